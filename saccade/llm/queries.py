@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from saccade.llm import token_counts, token_output
+from saccade.llm import line_dedup, mixing, quality, token_counts, token_output
 from saccade.llm.common import read, shared_dir
 
 
@@ -15,6 +15,75 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "source")
+    return mixing.mix(docs).select("doc_id", "source", "block", "slot", "place")
+
+
+OP1_SQL = """
+WITH RECURSIVE c AS (SELECT coalesce('s' || source, 'none') AS src, count(*) AS n FROM documents GROUP BY 1),
+sh AS (SELECT src, greatest(CAST(round(1000 * pow(n, 0.5) / sum(pow(n, 0.5)) OVER ()) AS BIGINT), 1) AS e FROM c),
+one AS (SELECT list(e ORDER BY src) AS es, CAST(sum(e) AS BIGINT) AS p FROM sh),
+num AS (SELECT src, e, row_number() OVER (ORDER BY src) AS i FROM sh),
+run(t, done, pick) AS (
+  SELECT CAST(0 AS BIGINT), list_transform(es, lambda x: CAST(0 AS BIGINT)), CAST(NULL AS BIGINT) FROM one
+  UNION ALL
+  SELECT t + 1, list_transform(done, lambda d, i: CASE WHEN i = pk THEN d + 1 ELSE d END), pk FROM (
+    SELECT t, done, list_sort(list_filter(list_transform(range(1, len(es) + 1),
+      lambda i: {'due': ((done[i] + 1) * p + es[i] - 1) // es[i], 'i': i, 'rel': (done[i] * p) // es[i]}), lambda s: s.rel <= t))[1].i AS pk
+    FROM run, one WHERE t < p)),
+s AS (SELECT pick AS i, t - 1 AS slot, row_number() OVER (PARTITION BY pick ORDER BY t) - 1 AS k FROM run WHERE pick IS NOT NULL),
+d AS (SELECT doc_id, source, coalesce('s' || source, 'none') AS src,
+  row_number() OVER (PARTITION BY source ORDER BY md5(CAST(doc_id AS VARCHAR)), doc_id) - 1 AS r FROM documents)
+SELECT doc_id, source, r // 64 AS block, ((r // 64) // e) * p + slot AS slot, CAST(r % 64 AS INTEGER) AS place
+FROM d JOIN num USING (src) CROSS JOIN one JOIN s ON s.i = num.i AND s.k = (r // 64) % e
+"""
+
+
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    rows = line_dedup.dedup_lines(docs, min_docs=10, min_chars=1)
+    return rows.select("doc_id", "n_lines", "n_dropped", F.sha2(F.encode("kept_text", "UTF-8"), 256).alias("kept_sha256"))
+
+
+OP3_SQL = r"""
+WITH l AS (SELECT rid, unnest(range(1, len(a) + 1)) AS pos, unnest(a) AS line FROM (
+    SELECT rowid AS rid, string_split(coalesce(text, ''), chr(10)) AS a FROM (SELECT row_number() OVER () AS rowid, text FROM documents))),
+k AS (SELECT *, regexp_replace(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g') AS key FROM l),
+f AS (SELECT key FROM k WHERE key <> '' GROUP BY key HAVING count(DISTINCT rid) >= 10),
+r AS (SELECT rid, count(*) AS n_lines, count(f.key) AS n_dropped, coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE f.key IS NULL), '') AS kept FROM k LEFT JOIN f USING (key) GROUP BY rid)
+SELECT doc_id, n_lines, n_dropped, sha256(kept) AS kept_sha256 FROM r JOIN (SELECT row_number() OVER () AS rid, doc_id FROM documents) USING (rid)
+"""
+
+
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    return quality.score(docs).select("doc_id", *quality.BASE, "base_failed", "kept")
+
+
+OP9_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce('h' || source, 'none') AS host, coalesce(text, '') AS t FROM documents),
+w AS (SELECT *, list_filter(regexp_split_to_array(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM d),
+g AS (SELECT rid, i, w[i] AS a, w[i + 1] AS b, w[i + 2] AS c FROM (SELECT rid, w, unnest(range(1, len(w) - 1)) AS i FROM w)),
+m AS (SELECT rid, i FROM g QUALIFY count(*) OVER (PARTITION BY rid, a, b, c) > 1),
+rep AS (SELECT rid, count(DISTINCT i + o) AS n_repeat_words FROM m, (VALUES (0), (1), (2)) v(o) GROUP BY rid),
+l AS (SELECT rid, host, t, pos, line FROM (SELECT rid, host, t, unnest(range(1, len(a) + 1)) AS pos, unnest(a) AS line FROM (SELECT *, string_split(t, chr(10)) AS a FROM d)) WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
+dup AS (SELECT rid, count(*) - count(DISTINCT line) AS n_dup_lines FROM l GROUP BY rid),
+n AS (SELECT rid, host, t, pos, len(list_filter(regexp_split_to_array(line, '[\x20\x09-\x0D]+'), lambda x: x <> '')) AS words,
+  regexp_replace(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g') AS key FROM l),
+x AS (SELECT *, coalesce(lag(key) OVER (PARTITION BY rid ORDER BY pos), '') AS above, coalesce(lead(key) OVER (PARTITION BY rid ORDER BY pos), '') AS below FROM n),
+o AS (SELECT DISTINCT host, key, t, above, below FROM x),
+f AS (SELECT host, key FROM o GROUP BY host, key HAVING count(DISTINCT t) > 10 AND count(DISTINCT (above, below)) >= 0.75 * count(DISTINCT t)),
+gone AS (SELECT rid, sum(words) AS gone FROM x SEMI JOIN f USING (host, key) GROUP BY rid),
+r AS (SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(regexp_replace(t, '[\x20\x09-\x0D]+', '', 'g')) AS BIGINT) AS word_chars,
+  CAST(length(t) - length(translate(t, '#*$%&|<>', '')) AS BIGINT) AS n_symbols, CAST(coalesce(n_dup_lines, 0) AS BIGINT) AS n_dup_lines,
+  CAST(coalesce(n_repeat_words, 0) AS BIGINT) AS n_repeat_words, CAST(len(w) - coalesce(gone, 0) AS BIGINT) AS rest
+  FROM w LEFT JOIN rep USING (rid) LEFT JOIN dup USING (rid) LEFT JOIN gone USING (rid)),
+b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM r)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND rest >= 50 AND rest >= 0.3 * n_words AS kept FROM b
+"""
+
+
 def op8_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{shared_dir(spark)}/tokens"
     token_output.write_tokens(read(spark, sf_dir, "documents").select("doc_id", "text"), path, tokenizer_path("word_bpe_49k.json"))
@@ -28,7 +97,10 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_mixing": op1_mixing,
+    "op3_line_dedup": op3_line_dedup,
     "op8_token_output": op8_token_output,
+    "op9_quality": op9_quality,
     "op10_token_counts": op10_token_counts,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op1_mixing": OP1_SQL, "op3_line_dedup": OP3_SQL, "op9_quality": OP9_SQL}
