@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from saccade.llm import line_dedup, mixing, quality, token_counts, token_output
+from saccade.llm import decontaminate, line_dedup, mixing, ngram_join, quality, token_counts, token_output
 from saccade.llm.common import read, shared_dir
 
 
@@ -84,6 +84,29 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 """
 
 
+def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.jaccard_components(read(spark, sf_dir, "documents").select("doc_id", "text"), n=4, percent=85)
+
+
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, items = read(spark, sf_dir, "documents").select("doc_id", "text"), read(spark, sf_dir, "benchmark")
+    rows = decontaminate.decontaminate(docs, items)
+    return rows.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.encode(F.array_join("items", ","), "UTF-8"), 256).alias("items_sha256"), "contaminated")
+
+
+OP6_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM documents),
+b AS (SELECT item_id, w, least(13, len(w)) AS k FROM (SELECT item_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM benchmark) WHERE len(w) > 0),
+win AS (SELECT DISTINCT item_id, k, array_to_string(w[s:s + k - 1], ' ') AS g FROM (SELECT item_id, k, w, unnest(range(1, len(w) - k + 2)) AS s FROM b)),
+g AS (SELECT rid, s, k, array_to_string(w[s:s + k - 1], ' ') AS g FROM (SELECT rid, w, k, unnest(range(1, len(w) - k + 2)) AS s FROM d, (SELECT DISTINCT k FROM win) WHERE len(w) >= k)),
+m AS (SELECT rid, s, k, item_id FROM g JOIN win USING (k, g)),
+hit AS (SELECT rid, count(DISTINCT p) AS n_hit FROM (SELECT rid, unnest(range(s, s + k)) AS p FROM m) GROUP BY rid),
+it AS (SELECT rid, count(DISTINCT item_id) AS n_items, array_to_string(list_sort(list(DISTINCT CAST(item_id AS VARCHAR))), ',') AS ids FROM m GROUP BY rid)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256,
+  coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated FROM d LEFT JOIN hit USING (rid) LEFT JOIN it USING (rid)
+"""
+
+
 def op8_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{shared_dir(spark)}/tokens"
     token_output.write_tokens(read(spark, sf_dir, "documents").select("doc_id", "text"), path, tokenizer_path("word_bpe_49k.json"))
@@ -99,8 +122,10 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_mixing": op1_mixing,
     "op3_line_dedup": op3_line_dedup,
+    "op4_ngram_jaccard": op4_ngram_jaccard,
+    "op6_decontamination": op6_decontamination,
     "op8_token_output": op8_token_output,
     "op9_quality": op9_quality,
     "op10_token_counts": op10_token_counts,
 }
-ORACLES: dict[str, str] = {"op1_mixing": OP1_SQL, "op3_line_dedup": OP3_SQL, "op9_quality": OP9_SQL}
+ORACLES: dict[str, str] = {"op1_mixing": OP1_SQL, "op3_line_dedup": OP3_SQL, "op6_decontamination": OP6_SQL, "op9_quality": OP9_SQL}
