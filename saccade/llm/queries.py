@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from saccade.llm import decontaminate, line_dedup, mixing, ngram_join, quality, token_counts, token_output
+from saccade.llm import decontaminate, line_dedup, mixing, ngram_join, quality, token_counts, token_output, toxicity
 from saccade.llm.common import read, shared_dir
 
 
@@ -40,6 +40,12 @@ FROM d JOIN num USING (src) CROSS JOIN one JOIN s ON s.i = num.i AND s.k = (r //
 """
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.train(docs, read(spark, sf_dir, "labels").select("doc_id", "toxic"))
+    return toxicity.score(docs, model).select("doc_id", "held_out", "score", "predicted")
+
+
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     rows = line_dedup.dedup_lines(docs, min_docs=10, min_chars=1)
@@ -121,6 +127,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_mixing": op1_mixing,
+    "op2_toxicity": op2_toxicity,
     "op3_line_dedup": op3_line_dedup,
     "op4_ngram_jaccard": op4_ngram_jaccard,
     "op6_decontamination": op6_decontamination,
