@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from saccade.llm import decontaminate, line_dedup, mixing, ngram_join, quality, token_counts, token_output, toxicity
+from saccade.llm import decontaminate, line_dedup, mixing, ngram_join, quality, sharding, substring_dedup, token_counts, token_output, toxicity
 from saccade.llm.common import read, shared_dir
 
 
@@ -94,6 +94,11 @@ def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.jaccard_components(read(spark, sf_dir, "documents").select("doc_id", "text"), n=4, percent=85)
 
 
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substring_dedup.repeats(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "start", "n_bytes", "n_chunks", "first_id", "is_first")
+
+
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, items = read(spark, sf_dir, "documents").select("doc_id", "text"), read(spark, sf_dir, "benchmark")
     rows = decontaminate.decontaminate(docs, items)
@@ -113,6 +118,17 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, c
 """
 
 
+def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    store = sharding.shard(read(spark, sf_dir, "documents"), f"{shared_dir(spark)}/shards")
+    t = F.coalesce(F.col("text"), F.lit(""))
+    return store.read().select("doc_id", "lang", "source", "n_chars", F.octet_length(t).cast("long").alias("n_bytes"), F.md5(t).alias("text_md5"), F.col("_shard").isNotNull().alias("in_manifest"))
+
+
+OP7_SQL = """
+SELECT doc_id, lang, source, n_chars, CAST(strlen(coalesce(text, '')) AS BIGINT) AS n_bytes, md5(coalesce(text, '')) AS text_md5, true AS in_manifest FROM documents
+"""
+
+
 def op8_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{shared_dir(spark)}/tokens"
     token_output.write_tokens(read(spark, sf_dir, "documents").select("doc_id", "text"), path, tokenizer_path("word_bpe_49k.json"))
@@ -130,9 +146,11 @@ QUERIES = {
     "op2_toxicity": op2_toxicity,
     "op3_line_dedup": op3_line_dedup,
     "op4_ngram_jaccard": op4_ngram_jaccard,
+    "op5_substring_dedup": op5_substring_dedup,
     "op6_decontamination": op6_decontamination,
+    "op7_sharding": op7_sharding,
     "op8_token_output": op8_token_output,
     "op9_quality": op9_quality,
     "op10_token_counts": op10_token_counts,
 }
-ORACLES: dict[str, str] = {"op1_mixing": OP1_SQL, "op3_line_dedup": OP3_SQL, "op6_decontamination": OP6_SQL, "op9_quality": OP9_SQL}
+ORACLES: dict[str, str] = {"op1_mixing": OP1_SQL, "op3_line_dedup": OP3_SQL, "op6_decontamination": OP6_SQL, "op7_sharding": OP7_SQL, "op9_quality": OP9_SQL}
