@@ -9,7 +9,9 @@ reader take single documents, or the metadata columns alone.
 
 from __future__ import annotations
 
+import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,6 +26,10 @@ CACHED, LONGEST = 500_000, 48
 #: How the tokenizer's own rules take a normalised text apart (fixed values; checked against the file).
 PRE_TOKEN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
+#: The same for lower-case texts up to U+024F, whose letters, digits and white space are these.
+NARROW_LETTERS, NARROW_DIGITS = "a-zªµºß-öø-ɏ", "0-9²³¹¼½¾"
+NARROW = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{NARROW_LETTERS}]+|[{NARROW_DIGITS}]|[^\t-\r \x85\xa0{NARROW_LETTERS}{NARROW_DIGITS}]+").findall
+
 _encoders: dict = {}
 
 
@@ -51,7 +57,7 @@ class Encoder:
 
     def _parts(self, text: str) -> list[str]:
         """Up to U+024F, lower() is all that the normaliser does besides white space."""
-        return self.split(self.library.normalizer.normalize_str(text) if self.wide(text) else text.lower())
+        return self.split(self.library.normalizer.normalize_str(text)) if self.wide(text) else NARROW(text.lower())
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Each text's ids as little-endian unsigned 32-bit integers."""
@@ -63,7 +69,7 @@ class Encoder:
         for a in range(0, len(missing), 5000):
             some = missing[a : a + 5000]
             for part, e in zip(some, self.library.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                self.known[part] = np.array(e.ids, "<u4").tobytes()
+                self.known[part] = array("I", e.ids).tobytes()
         ids = [self._ids(t) if p is None else b"".join(map(self.known.__getitem__, p)) for t, p in zip(texts, parts, strict=True)]
         for part in missing:
             if len(part) > LONGEST:
