@@ -58,17 +58,17 @@ def augmented(tracks: DataFrame, copies: int, sigma: float, seed: int = 42) -> D
     """tracks and ``copies`` noisy copies of each: every feature moves by sigma of its deviation times a normal draw from a hash."""
     from saccade.sources.generators import normal
 
-    stds = tracks.agg(*[F.coalesce(F.stddev_pop(c), F.lit(0.0)).alias(f"_s_{c}") for c in NAMES])
+    stds = tracks.agg(*[F.coalesce(F.stddev_pop(c), F.lit(0.0)).alias(c) for c in NAMES]).first().asDict()  # 15 numbers
     rows = tracks.withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(copies))))
     key = [c for c in ("scene", "track_id", "row") if c in rows.columns] or NAMES[:4]
-    moved = {c: F.col(c) + F.when(F.col("copy") > 0, stds.select(f"_s_{c}").scalar() * sigma * normal(seed, c, "copy", *key)).otherwise(0.0) for c in NAMES}
+    moved = {c: F.col(c) + F.when(F.col("copy") > 0, F.lit(stds[c] * sigma) * normal(seed, c, "copy", *key)).otherwise(0.0) for c in NAMES}
     return rows.withColumns(moved)
 
 
 def train(clean: DataFrame, weather: DataFrame, kind: str = "gradient_boost", copies: int = 4, seed: int = 42, max_iter: int = 100) -> PipelineModel:
     """A classifier of tracks as weather (1) or not (0); the two sets are augmented and scaled."""
     rows = clean.select("*", F.lit(0.0).alias("weather")).unionByName(weather.select("*", F.lit(1.0).alias("weather")), allowMissingColumns=True)
-    rows = augmented(rows, copies, 0.03, seed)
+    rows = augmented(rows, copies, 0.03, seed).persist()  # every iteration reads it again
     n = {r["weather"]: r["count"] for r in rows.groupBy("weather").count().collect()}
     total = sum(n.values())
     rows = rows.withColumn("balance", F.when(F.col("weather") == 1.0, total / (2.0 * max(1, n.get(1.0, 0)))).otherwise(total / (2.0 * max(1, n.get(0.0, 0)))))
@@ -76,7 +76,9 @@ def train(clean: DataFrame, weather: DataFrame, kind: str = "gradient_boost", co
         model = LogisticRegression(labelCol="weather", weightCol="balance", regParam=1.0 / max(1, total), maxIter=max_iter)
     else:
         model = GBTClassifier(labelCol="weather", maxIter=max_iter, maxDepth=4, stepSize=0.1, seed=seed)
-    return Pipeline(stages=[*assembled(), model]).fit(rows)
+    fitted = Pipeline(stages=[*assembled(), model]).fit(rows)
+    rows.unpersist()
+    return fitted
 
 
 def split(tracks: DataFrame, mode: str = "rules", model: PipelineModel | None = None) -> tuple[DataFrame, DataFrame]:

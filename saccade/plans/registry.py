@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from saccade.functions.schema import WINDOW_US
+from saccade.functions.scratch import shared_dir
 from saccade.operators import clustering, denoise, features, learning, network, ranking, streams, tracking, weather
 from saccade.plans import benchmark
 from saccade.sources import files, generators
@@ -446,6 +447,9 @@ def cross_validation(spark, sf_dir):
 
 def _two_kinds(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     tracks = features.trajectory(proxy_tracks(spark, sf_dir), ["track_id"]).join(tracking.vote(proxy_events(spark, sf_dir).select("track_id", "label"), ["track_id"]), "track_id")
+    path = f"{shared_dir(spark)}/tracks"
+    tracks.write.parquet(path)  # training reads it many times
+    tracks = spark.read.parquet(path)
     return tracks.where("gt_class = 0"), tracks.where("gt_class <> 0")
 
 
@@ -541,8 +545,6 @@ def streaming_session(spark, sf_dir):
 
 @query()
 def streaming_track_link(spark, sf_dir):
-    from saccade.functions.scratch import shared_dir
-
     found = clustering.detect(replay_events(spark, sf_dir), clustering.DETECTORS["DBSCAN"])[1]
     path = f"{shared_dir(spark)}/detections"
     found.select(F.lit("all").alias("scene"), "window_id", "cluster_id", "cx", "cy").coalesce(1).write.parquet(path)
