@@ -89,7 +89,7 @@ def build_table(docs: DataFrame, model_path: str, table_size: int = 16_384, text
     characters, so under 3 MB) and a byte for each one's token count."""
     units = [r.unit for r in frequent_units(docs, table_size, text).collect()]
     counts = _lengths(_model(model_path), units) if units else []
-    return "\n\n".join(units).encode(), np.array(counts, "u1").tobytes()
+    return "▁".join(units).encode(), np.array(counts, "u1").tobytes()
 
 
 def count_tokens(docs: DataFrame, model_path: str, limit: int = 4096, table: tuple[bytes, bytes] | None = None, table_size: int = 16_384, text: str = "text") -> DataFrame:
@@ -107,7 +107,7 @@ def count_tokens(docs: DataFrame, model_path: str, limit: int = 4096, table: tup
     def n_tokens(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         model = _model(model_path)
         names, counts = shared.value
-        first = dict(zip(names.decode().split("\n\n"), counts, strict=True)) if counts else {}
+        first = dict(zip(names.decode().split("▁"), counts, strict=True)) if counts else {}
         key = (model_path, hash(names))
         if key not in _caches:
             _caches.clear()
