@@ -51,6 +51,17 @@ def stored(df: DataFrame, path: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(spark: SparkSession, path: str) -> None:
+    """Removes a table that stored() wrote and that nothing reads any more."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def release(spark: SparkSession) -> None:
+    """Lets Spark remove the shuffle files of finished jobs now, and not when the driver's memory fills."""
+    spark._jvm.System.gc()
+
+
 def without(df: DataFrame, *names: str) -> DataFrame:
     """df without columns that an operator is about to add under the same names."""
     taken = {n.lower() for n in names}

@@ -16,7 +16,8 @@ size (hash buckets); any such table keeps the results exact, it only decides the
 Nodes with a signature in common are candidates. Each is first compared with one hub of each of its
 signatures, and the links found are joined to components. Only where a signature's nodes still lie in
 several components, all its pairs across components are compared as well, so that no link that could
-change a component is missed; pairs inside one component need no comparison.
+change a component is missed; pairs inside one component need no comparison. Sizes and sketches of
+parities rule most pairs out; whole sets are made and joined for the others alone.
 """
 
 from __future__ import annotations
@@ -30,12 +31,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from saccade.llm.common import row_key, shared_dir, stored
+from saccade.llm.common import discard, release, row_key, shared_dir, stored
 
 #: Buckets of the table of counts, and how many of them make a row of it. 4 MB in all.
 BUCKETS, ROW = 1 << 20, 1 << 12
-#: Bits of the filter of candidate nodes (2 MB) and bytes of a node's sketch of parities.
-FILTER_BITS, SKETCH = 1 << 24, 256
+#: Bits of the filter of rows whose sets are needed (2 MB), and the least and most bits of a sketch.
+FILTER_BITS, SKETCH = 1 << 24, (256, 8192)
+#: Nodes that a task remembers so as to index copies once; beyond that it forgets them all.
+REMEMBERED = 200_000
 M1, M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
 
@@ -115,11 +118,25 @@ def signatures(s: np.ndarray, tiers: np.ndarray, percent: int) -> np.ndarray:
 
 
 def sketch(s: np.ndarray) -> bytes:
-    """Parities of the set's shingles in SKETCH * 8 buckets: sets differ in at least as many shingles as their sketches differ in bits."""
-    counts = np.bincount((s >> np.uint64(40)).astype("i8") % (SKETCH * 8), minlength=SKETCH * 8)
+    """Parities of the set's shingles in buckets, about as many as it has shingles: sets differ in at
+    least as many shingles as their sketches differ in bits."""
+    least, most = SKETCH
+    bits = min(most, max(least, 1 << len(s).bit_length()))
+    counts = np.bincount(((s >> np.uint64(40)) & np.uint64(bits - 1)).astype("i8"), minlength=bits)
     return np.packbits((counts & 1).astype("u1")).tobytes()
 
 
+def bits_apart(a: list[bytes], b: list[bytes]) -> np.ndarray:
+    """In how many bits each pair of sketches differs; the longer one is folded to the shorter one's size."""
+    na, nb = np.array([len(x) for x in a]), np.array([len(x) for x in b])
+    out = np.zeros(len(a), "i4")
+    for m, n in {*zip(na.tolist(), nb.tolist(), strict=True)}:
+        at, k = np.flatnonzero((na == m) & (nb == n)), min(m, n) // 8
+        x, y = (np.bitwise_xor.reduce(np.frombuffer(b"".join(c[i] for i in at), "u8").reshape(len(at), -1, k), axis=1) for c in (a, b))
+        out[at] = np.bitwise_count(x ^ y).sum(axis=1)
+    return out
+
+
 def _table(rows: DataFrame, n_rows: int, dtype: str) -> np.ndarray:
     """Sums rows of (row, cells) to one array of fixed size. Each task adds up what reaches it, so no
     row's parts ever lie in memory together."""
@@ -158,13 +175,13 @@ SET = "_fp1 long, _fp2 long"
 
 
 def _nodes(docs: DataFrame, n: int, text: str, path: str) -> tuple[DataFrame, np.ndarray]:
-    """(key, row key, size, node) of every document, and the table of shingle counts, in one pass."""
-    made = T.StructType([*(T.StructField(c, T.LongType()) for c in ("_id", "_k1", "_k2", "_size", "_fp1", "_fp2")), T.StructField("row", T.IntegerType()), T.StructField("cells", T.BinaryType())])
+    """(key, row key, size, node, sketch) of every document, and the table of shingle counts, in one pass."""
+    made = T.StructType([*(T.StructField(c, T.LongType()) for c in ("_id", "_k1", "_k2", "_size", "_fp1", "_fp2")), T.StructField("_sketch", T.BinaryType()), T.StructField("row", T.IntegerType()), T.StructField("cells", T.BinaryType())])
 
     def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(BUCKETS, "u8")
         for batch in batches:
-            sizes, a, b = [], [], []
+            sizes, a, b, drawn = [], [], [], []
             for t in batch.column(3).to_pylist():
                 s = shingles(t, n)
                 np.add.at(counts, (s & np.uint64(BUCKETS - 1)).astype("i8"), 1)
@@ -172,31 +189,36 @@ def _nodes(docs: DataFrame, n: int, text: str, path: str) -> tuple[DataFrame, np
                 sizes.append(len(s))
                 a.append(x)
                 b.append(y)
+                drawn.append(sketch(s) if len(s) > 1 else None)
             k = batch.num_rows
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(sizes, pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary())], names=made.names)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(sizes, pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(drawn, pa.binary()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary())], names=made.names)
         cells = _cells(counts)
         k = len(cells)
         if k:
-            yield pa.RecordBatch.from_arrays([*(pa.nulls(k, pa.int64()) for _ in range(6)), pa.array(cells["row"], pa.int32()), pa.array(cells["cells"].to_list(), pa.binary())], names=made.names)
+            yield pa.RecordBatch.from_arrays([*(pa.nulls(k, pa.int64()) for _ in range(6)), pa.nulls(k, pa.binary()), pa.array(cells["row"], pa.int32()), pa.array(cells["cells"].to_list(), pa.binary())], names=made.names)
 
     both = stored(docs.select("_id", "_k1", "_k2", F.col(text).alias("_text")).mapInArrow(take, made), path)
     counts = _table(both.where("row is not null").select("row", "cells"), BUCKETS // ROW, "u8")
-    return both.where("row is null").select("_id", "_k1", "_k2", "_size", "_fp1", "_fp2"), counts
+    return both.where("row is null").drop("row", "cells"), counts
 
 
 def _signature_rows(docs: DataFrame, n: int, percent: int, tiers, text: str) -> DataFrame:
-    """(sig, node, size) for every document with more than one shingle; copies give equal rows."""
+    """(sig, node, size) for every document with more than one shingle; a task gives copies that it
+    remembers once, and those of several tasks give equal rows."""
 
     def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = tiers.value
+        own, known = tiers.value, set()
         for batch in batches:
             sigs, a, b, sizes, done = [], [], [], [], 0
             texts = batch.column(0).to_pylist()
             for i, t in enumerate(texts):
                 s = shingles(t, n)
-                if len(s) > 1:
+                x, y = fingerprint(s)
+                if len(s) > 1 and (x, y) not in known:
+                    if len(known) >= REMEMBERED:
+                        known.clear()
+                    known.add((x, y))
                     found = signatures(s, own, percent)
-                    x, y = fingerprint(s)
                     sigs.append(found)
                     a.append(np.full(len(found), x))
                     b.append(np.full(len(found), y))
@@ -210,42 +232,39 @@ def _signature_rows(docs: DataFrame, n: int, percent: int, tiers, text: str) ->
 
 
 def _node_sets(docs: DataFrame, n: int, wanted, text: str) -> DataFrame:
-    """(node, size, sketch, set) of the documents whose node may be among the candidates."""
+    """(node, set) of the rows that the filter lets through: those wanted, and some others."""
 
     def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = wanted.value
+        bits = np.frombuffer(wanted.value, "u1")
         for batch in batches:
+            at = batch.column(0).to_numpy() & (FILTER_BITS - 1)
+            some = np.flatnonzero(bits[at >> 3] >> (at & 7) & 1)
             rows: list[tuple] = []
-            for t in batch.column(0).to_pylist():
+            for t in batch.column(1).take(pa.array(some)).to_pylist():
                 s = shingles(t, n)
-                if len(s) > 1:
-                    x, y = fingerprint(s)
-                    at = x & (FILTER_BITS - 1)
-                    if bits[at >> 3] >> (at & 7) & 1:
-                        rows.append((x, y, len(s), sketch(s), s.tobytes()))
+                rows.append((*fingerprint(s), s.tobytes()))
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary()), strict=True)], names=["_fp1", "_fp2", "_size", "_sketch", "_set"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["_fp1", "_fp2", "_set"])
 
-    return docs.select(F.col(text).alias("_text")).mapInArrow(take, f"{SET}, _size int, _sketch binary, _set binary")
+    return docs.select("_k1", F.col(text).alias("_text")).mapInArrow(take, f"{SET}, _set binary")
 
 
-def _filter_of(nodes: DataFrame) -> np.ndarray:
-    """Bits of the nodes' hashes, in a table of fixed size."""
+def _filter_of(keys: DataFrame) -> bytes:
+    """Bits of the one column of 64-bit hashes, in a table of fixed size."""
 
     def take(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen = np.zeros(FILTER_BITS, bool)
         for batch in batches:
-            seen[batch["_fp1"].to_numpy() & (FILTER_BITS - 1)] = True
-        bits = np.packbits(seen, bitorder="little").astype("u4")
-        yield _cells(bits)
+            seen[batch["k"].to_numpy() & (FILTER_BITS - 1)] = True
+        yield _cells(np.packbits(seen, bitorder="little").astype("u4"))
 
-    parts = nodes.select("_fp1").mapInPandas(take, "row int, cells binary")
-    sums = _table(parts, FILTER_BITS // 8 // ROW, "u4")
-    return sums
+    parts = keys.toDF("k").mapInPandas(take, "row int, cells binary")
+    return np.minimum(_table(parts, FILTER_BITS // 8 // ROW, "u4"), 255).astype("u1").tobytes()
 
 
-def _links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) of nodes that reach the threshold, by their whole sets."""
+def _links(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, n: int, percent: int, text: str, path: str) -> DataFrame:
+    """The pairs (a, b) of nodes that reach the threshold: by sizes and sketches first, and those left by
+    their whole sets, which are made from one row of each node that is left."""
 
     @F.pandas_udf("int")
     def common(a: pd.Series, b: pd.Series) -> pd.Series:
@@ -256,25 +275,29 @@ def _links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
         return pd.Series([one(x, y) for x, y in zip(a, b, strict=True)], dtype="int32")
 
-    near = _sketched(pairs, sets, percent)
-    left = near.join(sets.select(F.col("node").alias("a"), F.col("_set").alias("_sa")), "a")
-    both = left.join(sets.select(F.col("node").alias("b"), F.col("_set").alias("_sb")), "b")
+    near = stored(_sketched(pairs, nodes, percent), f"{path}-near")
+    left = near.select(F.col("a").alias("node")).unionByName(near.select(F.col("b").alias("node"))).distinct()
+    wanted = docs.sparkSession.sparkContext.broadcast(_filter_of(nodes.join(left, "node", "left_semi").select("_k1")))
+    sets = _node_sets(docs, n, wanted, text).dropDuplicates(["_fp1", "_fp2"]).select(F.struct("_fp1", "_fp2").alias("node"), "_set")
+    sets = stored(sets, f"{path}-sets")
+    one = near.join(sets.select(F.col("node").alias("a"), F.col("_set").alias("_sa")), "a")
+    both = one.join(sets.select(F.col("node").alias("b"), F.col("_set").alias("_sb")), "b")
     both = both.select("a", "b", (F.octet_length("_sa") / 8).cast("long").alias("na"), (F.octet_length("_sb") / 8).cast("long").alias("nb"), common("_sa", "_sb").cast("long").alias("c"))
-    return both.where(F.col("c") * 100 >= percent * (F.col("na") + F.col("nb") - F.col("c"))).select("a", "b")
+    links = stored(both.where(F.col("c") * 100 >= percent * (F.col("na") + F.col("nb") - F.col("c"))).select("a", "b"), f"{path}-links")
+    discard(docs.sparkSession, f"{path}-sets")
+    release(docs.sparkSession)
+    return links
 
 
-def _sketched(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _sketched(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     """Pairs that their sizes and sketches leave open: sets reaching the threshold differ in at most (1 - j) / (1 + j) of the sum of their sizes."""
 
     @F.pandas_udf("int")
     def apart(a: pd.Series, b: pd.Series) -> pd.Series:
-        x = np.frombuffer(b"".join(a), "u8").reshape(-1, SKETCH // 8)
-        y = np.frombuffer(b"".join(b), "u8").reshape(-1, SKETCH // 8)
-        return pd.Series(np.bitwise_count(x ^ y).sum(axis=1).astype("i4"))
+        return pd.Series(bits_apart(a.to_list(), b.to_list()))
 
-    small = sets.select("node", "_size", "_sketch")
-    rows = pairs.join(small.select(F.col("node").alias("a"), F.col("_size").alias("na"), F.col("_sketch").alias("sa")), "a")
-    rows = rows.join(small.select(F.col("node").alias("b"), F.col("_size").alias("nb"), F.col("_sketch").alias("sb")), "b")
+    rows = pairs.join(nodes.select(F.col("node").alias("a"), F.col("_size").alias("na"), F.col("_sketch").alias("sa")), "a")
+    rows = rows.join(nodes.select(F.col("node").alias("b"), F.col("_size").alias("nb"), F.col("_sketch").alias("sb")), "b")
     rows = rows.where((F.col("na") * 100 >= F.col("nb") * percent) & (F.col("nb") * 100 >= F.col("na") * percent))
     return rows.where(apart("sa", "sb") * (100 + percent) <= (100 - percent) * (F.col("na") + F.col("nb"))).select("a", "b")
 
@@ -314,17 +337,19 @@ def labelled(docs: DataFrame, n: int, percent: int, key: str, text: str) -> Data
     found, counts = _nodes(docs, n, "_text", f"{base}/nodes")
     tiers = spark.sparkContext.broadcast(shingle_tiers(counts))
 
-    rows = stored(_signature_rows(docs, n, percent, tiers, "_text"), f"{base}/signatures")
     node = F.struct("_fp1", "_fp2")
+    nodes = found.where("_size > 1").dropDuplicates(["_fp1", "_fp2"]).select(node.alias("node"), "_size", "_sketch", "_k1")
+    nodes = stored(nodes, f"{base}/node-table")
+
+    rows = stored(_signature_rows(docs, n, percent, tiers, "_text"), f"{base}/signatures")
     shared = rows.groupBy("sig").agg(F.min("_fp1").alias("lo"), F.max("_fp1").alias("hi")).where("lo < hi").select("sig", "lo")
     members = stored(rows.join(shared, "sig").select("sig", node.alias("node"), "_size", "lo").distinct(), f"{base}/members")
-    wanted = spark.sparkContext.broadcast(_filter_of(members.select("node._fp1").distinct()).astype("u1").tobytes())
-    sets = _node_sets(docs, n, wanted, "_text").dropDuplicates(["_fp1", "_fp2"])
-    sets = stored(sets.select(node.alias("node"), "_size", "_sketch", "_set"), f"{base}/sets")
+    discard(spark, f"{base}/signatures")
+    release(spark)
 
     hubs = members.where(F.col("node._fp1") == F.col("lo")).groupBy("sig").agg(F.min("node").alias("hub"))
     pairs = members.join(hubs, "sig").where("node <> hub").select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
-    links = stored(_links(pairs, sets, percent), f"{base}/links")
+    links = _links(docs, nodes, pairs, n, percent, "_text", f"{base}/hub")
     labels = stored(components(links, f"{base}/first"), f"{base}/labels")
 
     named = members.join(labels, "node", "left").select("sig", "node", "_size", F.coalesce("label", "node").alias("label"))
@@ -333,7 +358,7 @@ def labelled(docs: DataFrame, n: int, percent: int, key: str, text: str) -> Data
     one, two = (open_.select("sig", F.col("node").alias(x), F.col("_size").alias(f"n{x}"), F.col("label").alias(f"l{x}")) for x in "ab")
     fits = (F.col("na") * 100 >= F.col("nb") * percent) & (F.col("nb") * 100 >= F.col("na") * percent)
     across = one.join(two, "sig").where((F.col("a") < F.col("b")) & (F.col("la") != F.col("lb")) & fits).select("a", "b").distinct()
-    more = stored(_links(across, sets, percent), f"{base}/more")
+    more = _links(docs, nodes, across, n, percent, "_text", f"{base}/across")
     labels = components(links.unionByName(more), f"{base}/second")
 
     found = found.withColumn("node", F.when(F.col("_size") > 0, node))
