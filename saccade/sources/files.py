@@ -32,13 +32,14 @@ def signed(p: Column) -> Column:
 
 def read_csv(spark: SparkSession, path: str) -> DataFrame:
     """With a header (aliases allowed) or, if its names aren't known, four columns t, x, y, p without one."""
-    named = spark.read.option("header", True).csv(path)
-    names = {c: ALIASES.get(c.strip().lower(), c.strip().lower()) for c in named.columns}
-    if not {"t", "x", "y", "p"} <= set(names.values()):
-        rows = spark.read.schema("t double, x double, y double, p double").csv(path)
+    head = spark.read.text(path).first()
+    names = [c.strip().strip('"').lower() for c in head.value.split(",")] if head else []
+    names = [ALIASES.get(c, c) for c in names]
+    if {"t", "x", "y", "p"} <= set(names):
+        rows = spark.read.option("header", True).schema(", ".join(f"_{i} string" for i in range(len(names)))).csv(path)
+        rows = rows.select(*[F.trim(f"_{names.index(c)}").cast("double").alias(c) for c in ("t", "x", "y", "p")])
     else:
-        by = {v: k for k, v in names.items()}
-        rows = named.select(*[F.col(f"`{by[c]}`").cast("double").alias(c) for c in ("t", "x", "y", "p")])
+        rows = spark.read.schema("t double, x double, y double, p double").csv(path)
     return rows.select("t", F.col("x").cast("int").alias("x"), F.col("y").cast("int").alias("y"), signed(F.col("p")).alias("p"))
 
 

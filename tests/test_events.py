@@ -86,9 +86,9 @@ def test_a_seed_needs_k_others():
 
 
 def test_points_that_are_not_core_bridge_only_after_the_seed():
-    chain, seed = [(8, 0), (16, 0), (24, 0)], [(0, 0)] * 6
-    assert labels_of(seed + chain, 10) == [0] * 9
-    assert labels_of(chain + seed, 10) == [0, 0, -1] + [0] * 6
+    chain, seed = [(9, 0), (17, 0), (25, 0)], [(0, 0)] * 6  # the chain's own radius doesn't reach the seed
+    assert labels_of(seed + chain, [10.0] * 6 + [8.5] * 3) == [0] * 9
+    assert labels_of(chain + seed, [8.5] * 3 + [10.0] * 6) == [0, 0, -1] + [0] * 6
 
 
 def test_later_clusters_take_border_points():

@@ -50,4 +50,3 @@ def test_query_gives_what_its_oracle_gives(spark, duck, name):
     want_columns, want_rows = table([d[0] for d in want.description], want.fetchall())
     assert columns == want_columns
     assert len(rows) == len(want_rows) and rows == want_rows
-    assert rows
