@@ -59,6 +59,32 @@ def test_jaccard_prefixes_hold_for_any_classes():
                 assert len(np.intersect1d(ngram_join.signatures(a, tiers, percent), ngram_join.signatures(b, tiers, percent)))
 
 
+def test_sketches_never_differ_in_more_bits_than_their_sets():
+    import numpy as np
+
+    rng = np.random.default_rng(6)
+    for _ in range(300):
+        universe = np.unique(rng.integers(0, 1 << 63, int(rng.integers(3, 900)), dtype="u8"))
+        a, b = (universe[rng.random(len(universe)) < rng.uniform(0.1, 1)] for _ in range(2))
+        (bits,) = ngram_join.bits_apart([ngram_join.sketch(a)], [ngram_join.sketch(b)])
+        assert bits <= len(np.setxor1d(a, b))
+
+
+def test_a_large_family_of_near_copies_is_one_component(spark):
+    """Most of its documents are not linked with most others."""
+    rng = cases.random.Random(9)
+    base = cases.prose(rng, 150).split(" ")
+    rows = []
+    for i in range(90):
+        w = list(base)
+        for k in rng.sample(range(len(w)), 4):
+            w[k] = f"own{i}x{k}"
+        rows.append((i, " ".join(w)))
+    got = ngram_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), 4, 85)
+    want = brute.components(rows, 4, 85)
+    assert rows_of(got, "doc_id", "n_shingles", "component_id") == sorted(((r[0], *w) for r, w in zip(rows, want, strict=True)), key=repr)
+
+
 def test_keep_one_leaves_one_of_each_group(spark):
     rows = cases.documents()
     comp = brute.components([(r[0], r[1]) for r in rows], 5, 80)
