@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -17,3 +17,10 @@ def shared_dir(spark: SparkSession) -> str:
             context.setCheckpointDir(tempfile.mkdtemp(prefix="saccade-"))
         base = context.getCheckpointDir()
     return f"{base.rstrip('/')}/saccade-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """df, written to a new shared folder and read again: computed once, and safe from lost executors."""
+    path = shared_dir(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -2,15 +2,22 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.ml import Pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from saccade.operators import clustering, denoise, features, tracking
+from saccade.functions.scratch import stored
+from saccade.operators import clustering, denoise, features, learning, ranking, tracking, weather
 from saccade.sources import generators
 
 #: The conditions' rain and snow.
 SCENES = {"Clean": (None, None), "LightRain": ("light", None), "MedRain": ("medium", None), "HeavyRain": ("heavy", None), "LightSnow": (None, "light"), "MedSnow": (None, "medium"), "Rain+Snow": ("medium", "light")}
 
+#: Scenes lie this far apart on one clock, farther than noise filters and tracks reach.
+APART_US, APART_IDS = 1_000_000.0, 10_000_000
+
 
 def tracks_of(events: DataFrame, d: clustering.Detector, min_length: int | None = None) -> tuple[DataFrame, DataFrame]:
     """(members with their detections, features with gt_class and polarity) of a stream's tracks."""
@@ -33,3 +40,54 @@ def scene(spark: SparkSession, name: str, duration_ms: float = 200.0, seed: int
 
 def clean_scene(spark: SparkSession, name: str, **kw) -> DataFrame:
     return denoise.denoise(scene(spark, name, **kw))
+
+
+def scenes(spark: SparkSession, names: list[str], duration_ms: float = 200.0, seed: int = 42, weather_seed: int = 123) -> DataFrame:
+    """Several scenes as one stream with a scene column, one after the other on one clock, noise filtered."""
+    made = [scene(spark, n, duration_ms, seed, weather_seed).withColumns({"scene": F.lit(n), "t": F.col("t") + i * APART_US, "event_id": F.col("event_id") + i * APART_IDS}) for i, n in enumerate(names)]
+    return denoise.denoise(stored(reduce(DataFrame.unionByName, made)))
+
+
+def scene_tracks(events: DataFrame, d: clustering.Detector, min_length: int | None = None) -> DataFrame:
+    """(scene, track_id, the track features, gt_class) of all scenes at once."""
+    group, key = ["scene"], ["scene", "track_id"]
+    clusters, found = clustering.detect(events, d, group)
+    clusters, found = stored(clusters), stored(found)
+    members = tracking.long_tracks(tracking.link(found, d.link_px, d.max_gap, group), min_length or d.min_length, group)
+    of = ["scene", "window_id", "cluster_id"]
+    labels = members.join(clusters, of).join(events.select("event_id", "label"), "event_id").select(*key, "label")
+    return features.trajectory(members.join(found, of), key).join(tracking.vote(labels, key), key)
+
+
+def accuracies(tracks: DataFrame, filters: dict) -> DataFrame:
+    """(detector, filter, scene, accuracy) of predicted tracks (detector, scene, gt_class, predicted and a
+    boolean column for each filter, true where it removes the track). A removed track doesn't count; a
+    weather track left over counts as wrong."""
+    each = F.explode(F.array(*[F.struct(F.lit(n).alias("filter"), gone.alias("gone")) for n, gone in filters.items()])).alias("f")
+    rows = tracks.select("detector", "scene", "gt_class", "predicted", each).select("detector", "scene", "f.filter", F.when(~F.col("f.gone") & (F.col("gt_class") >= 0), (F.col("predicted") == F.col("gt_class")).cast("double")).alias("ok"))
+    return rows.groupBy("detector", "filter", "scene").agg(F.coalesce(F.avg("ok"), F.lit(0.0)).alias("accuracy"))
+
+
+def run(spark: SparkSession, detectors: list[str], names: list[str] | None = None, duration_ms: float = 200.0, trees: int = 50, max_iter: int = 20) -> DataFrame:
+    """(detector, filter, scene, accuracy): every detector without a filter, with the fixed rules, with the
+    learned filter and with both. The classifier learns from the clean scene, the filter from that and
+    from a rainy and snowy one of another seed. Detections are made once for each detector."""
+    train = scenes(spark, ["Clean", "Rain+Snow"], duration_ms, weather_seed=42)
+    taught = stored(scene_tracks(train, clustering.DETECTORS["DBSCAN"], min_length=2))
+    objects, rain_snow = taught.where("gt_class between 0 and 9"), taught.where("gt_class >= 10")
+    classifier = Pipeline(stages=[*weather.assembled(), learning.forest("gt_class", trees, 8)]).fit(objects)
+    learned = weather.train(objects, rain_snow, max_iter=max_iter)
+
+    events = stored(scenes(spark, names or list(SCENES), duration_ms))
+    made = [scene_tracks(events, clustering.DETECTORS[d]).withColumn("detector", F.lit(d)) for d in detectors]
+    tracks = reduce(DataFrame.unionByName, made)
+    kept = tracks.columns
+    rows = weather.rule_based(learned.transform(tracks).select(*kept, (F.col("prediction") == 1.0).alias("learned")))
+    rows = classifier.transform(rows).select("detector", "scene", "gt_class", "learned", "is_weather", F.col("prediction").cast("int").alias("predicted"))
+    gb, rules = F.col("learned"), F.col("is_weather")
+    return accuracies(stored(rows), {"none": F.lit(False), "rules": rules, "gradient_boost": gb, "both": gb | rules})
+
+
+def ranked(scores: DataFrame) -> DataFrame:
+    """(detector, filter, avg, rank) by the conditions' weights."""
+    return ranking.ranked(ranking.averages(scores))

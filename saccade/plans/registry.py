@@ -390,6 +390,12 @@ def scene_tracks(spark, sf_dir):
     return rounded(benchmark.tracks_of(rows, clustering.DETECTORS["ADB-Opt"])[1])
 
 
+@query()
+def benchmark_ranking(spark, sf_dir):
+    """The benchmark on synthetic scenes: three detectors by four filters over the seven conditions."""
+    return rounded(benchmark.ranked(benchmark.run(spark, ["DBSCAN", "ADB-Opt", "Dual-Opt"])), 4)
+
+
 # Learning
 
 VEC = [f"v{i}" for i in range(8)]
