@@ -3,8 +3,9 @@
 A gear rolling hash over the text's bytes (A-Z in lower case, white space as spaces, so that places
 stay the same) cuts a chunk wherever the hash of the last 32 bytes falls under a threshold. Where a
 cut falls depends on these bytes alone, so an insertion shifts no other cuts, and a passage that two
-documents share is cut alike in both. Chunks are deduplicated by 128-bit digest: a chunk that several
-documents have is repeated, and consecutive repeated chunks of a document make a span.
+documents share is cut alike in both. Chunks are deduplicated by 64-bit digest: a chunk that several
+documents have is repeated, and consecutive repeated chunks of a document make a span. A span takes
+several chunks as a rule, so digests that agree by chance make none.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from saccade.llm.common import row_key, shared_dir, stored
+from saccade.llm.common import discard, release, row_key, shared_dir, stored
 
 #: Chunk sizes in bytes: least, on average beyond the least, most.
 LEAST, AVERAGE, MOST = 16, 24, 256
@@ -66,35 +67,30 @@ def cuts(data: np.ndarray, least: int = LEAST, average: int = AVERAGE, most: int
 
 
 def chunks(docs: DataFrame, text: str = "text") -> DataFrame:
-    """(_k1, _k2, _id, place, start, end, d1, d2): every chunk of every text, by byte offsets."""
+    """(_k1, start, n_bytes, digest): every chunk of every text, by byte offsets."""
 
     def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
-        names = ["_k1", "_k2", "_id", "place", "start", "end", "d1", "d2"]
+        names = ["_k1", "start", "n_bytes", "digest"]
         for batch in batches:
-            keys = [c.to_numpy(zero_copy_only=False) for c in batch.columns[:2]]
-            ids, texts = batch.column(2), batch.column(3).to_pylist()
-            rows, begin, end, place, digests, n = [], [], [], [], [], 0
+            keys, texts = batch.column(0).to_numpy(), batch.column(1).to_pylist()
+            rows, begin, sizes, digests = [], [], [], []
             for i, t in enumerate(texts):
                 data = PLAIN[np.frombuffer(t.encode(), "u1")] if t else np.empty(0, "u1")
                 ends = cuts(data)
                 if ends:
                     raw, starts = data.tobytes(), [0, *ends[:-1]]
-                    digests += [xxhash.xxh3_128_digest(raw[a:b]) for a, b in zip(starts, ends, strict=True)]
+                    digests += [xxhash.xxh3_64_intdigest(raw[a:b]) for a, b in zip(starts, ends, strict=True)]
                     rows.append(np.full(len(ends), i))
                     begin.append(np.array(starts, "i4"))
-                    end.append(np.array(ends, "i4"))
-                    place.append(np.arange(len(ends), dtype="i4"))
-                    n += len(ends)
-                if n and (n > 200_000 or i + 1 == len(texts)):
-                    at = np.concatenate(rows)
-                    d = np.frombuffer(b"".join(digests), "<i8").reshape(-1, 2)
-                    yield pa.RecordBatch.from_arrays([pa.array(keys[0][at]), pa.array(keys[1][at]), ids.take(pa.array(at)), *(pa.array(np.concatenate(x)) for x in (place, begin, end)), pa.array(d[:, 0].copy()), pa.array(d[:, 1].copy())], names=names)
-                    rows, begin, end, place, digests, n = [], [], [], [], [], 0
+                    sizes.append(np.diff(np.array([0, *ends], "i4")))
+                if digests and (len(digests) > 200_000 or i + 1 == len(texts)):
+                    yield pa.RecordBatch.from_arrays([pa.array(keys[np.concatenate(rows)]), *(pa.array(np.concatenate(x)) for x in (begin, sizes)), pa.array(np.array(digests, "u8").view("i8"))], names=names)
+                    rows, begin, sizes, digests = [], [], [], []
 
-    rows = docs.select("_k1", "_k2", "_id", F.col(text).alias("_text"))
-    return rows.mapInArrow(take, "_k1 long, _k2 long, _id long, place int, start int, end int, d1 long, d2 long")
+    rows = docs.select("_k1", F.col(text).alias("_text"))
+    return rows.mapInArrow(take, "_k1 long, start int, n_bytes int, digest long")
 
 
 def repeats(docs: DataFrame, min_bytes: int = 128, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -106,15 +102,24 @@ def repeats(docs: DataFrame, min_bytes: int = 128, key: str = "doc_id", text: st
     equal in all columns are one document. Null texts have no chunks; a null key is never first. Spans
     come in text order and don't overlap; an empty table gives no rows.
     """
-    base = shared_dir(docs.sparkSession)
+    spark, base = docs.sparkSession, shared_dir(docs.sparkSession)
     keyed = docs.select(F.col(key).cast("long").alias("_id"), F.col(text).alias("_text"), *row_key(*docs.columns))
     found = stored(chunks(keyed, "_text"), f"{base}/chunks")
-    who = F.struct("_k1", "_k2")
-    shared = found.groupBy("d1", "d2").agg(F.min(who).alias("lo"), F.max(who).alias("hi"), F.min("_id").alias("first_id")).where("lo <> hi").select("d1", "d2", "first_id")
-    again = found.join(shared, ["d1", "d2"]).select("_k1", "_k2", "_id", "place", "start", "end", "first_id").distinct()
-    inside = Window.partitionBy("_k1", "_k2").orderBy("place")
-    runs = again.withColumn("_run", F.col("place") - F.row_number().over(inside))
-    spans = runs.groupBy("_k1", "_k2", "_id", "_run").agg(F.min("start").alias("start"), (F.max("end") - F.min("start")).alias("n_bytes"), F.count("*").alias("n_chunks"), F.min("first_id").alias("first_id"))
+    shared = found.groupBy("digest").agg(F.min("_k1").alias("lo"), F.max("_k1").alias("hi")).where("lo <> hi").select("digest")
+    shared = stored(shared, f"{base}/shared")
+    release(spark)
+    again = stored(found.join(shared, "digest", "left_semi"), f"{base}/again")
+    discard(spark, f"{base}/chunks")
+    release(spark)
+
+    rows = keyed.select("_k1", "_k2", "_id").dropDuplicates(["_k1"])
+    first = again.select("_k1", "digest").join(rows, "_k1").groupBy("digest").agg(F.min("_id").alias("first_id"))
+    placed = again.distinct().join(first, "digest").select("_k1", "start", "n_bytes", "first_id")
+    inside = Window.partitionBy("_k1").orderBy("start")
+    ahead = F.col("start") != F.lag(F.col("start") + F.col("n_bytes"), 1, -1).over(inside)
+    runs = placed.withColumn("_new", ahead.cast("int")).withColumn("_run", F.sum("_new").over(inside))
+    spans = runs.groupBy("_k1", "_run").agg(F.min("start").alias("start"), F.sum("n_bytes").cast("int").alias("n_bytes"), F.count("*").alias("n_chunks"), F.min("first_id").alias("first_id"))
+    spans = spans.join(rows, "_k1")
     spans = spans.where(F.col("n_bytes") >= min_bytes)
     return spans.select(F.col("_id").alias(key), "start", "n_bytes", "n_chunks", "first_id", (F.col("_id") <= F.col("first_id")).alias("is_first"), "_k1", "_k2")
 
