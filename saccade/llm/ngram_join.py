@@ -137,16 +137,16 @@ def bits_apart(a: list[bytes], b: list[bytes]) -> np.ndarray:
     return out
 
 
-def _table(rows: DataFrame, n_rows: int, dtype: str) -> np.ndarray:
-    """Sums rows of (row, cells) to one array of fixed size. Each task adds up what reaches it, so no
-    row's parts ever lie in memory together."""
+def _table(rows: DataFrame, n_rows: int, dtype: str, joined: np.ufunc = np.add) -> np.ndarray:
+    """Joins rows of (row, cells) to one array of fixed size, cell by cell: counts by their sum, bitmaps by
+    np.bitwise_or. Each task joins what reaches it, so no row's parts ever lie in memory together."""
 
     def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
             for row, cells in zip(batch["row"], batch["cells"], strict=True):
                 found = np.frombuffer(cells, dtype)
-                sums[row] = sums[row] + found if row in sums else found.astype(dtype)
+                sums[row] = joined(sums[row], found) if row in sums else found.astype(dtype)
         if sums:
             yield pd.DataFrame({"row": list(sums), "cells": [x.tobytes() for x in sums.values()]})
 
@@ -256,10 +256,10 @@ def _filter_of(keys: DataFrame) -> bytes:
         seen = np.zeros(FILTER_BITS, bool)
         for batch in batches:
             seen[batch["k"].to_numpy() & (FILTER_BITS - 1)] = True
-        yield _cells(np.packbits(seen, bitorder="little").astype("u4"))
+        yield _cells(np.packbits(seen, bitorder="little"))
 
     parts = keys.toDF("k").mapInPandas(take, "row int, cells binary")
-    return np.minimum(_table(parts, FILTER_BITS // 8 // ROW, "u4"), 255).astype("u1").tobytes()
+    return _table(parts, FILTER_BITS // 8 // ROW, "u1", np.bitwise_or).tobytes()
 
 
 def _links(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, n: int, percent: int, text: str, path: str) -> DataFrame:

@@ -85,6 +85,23 @@ def test_a_large_family_of_near_copies_is_one_component(spark):
     assert rows_of(got, "doc_id", "n_shingles", "component_id") == sorted(((r[0], *w) for r, w in zip(rows, want, strict=True)), key=repr)
 
 
+def test_keys_that_share_a_bit_of_the_filter_lose_no_pairs(spark, monkeypatch):
+    """With so few bits, several tasks set the same ones."""
+    import numpy as np
+
+    monkeypatch.setattr(ngram_join, "FILTER_BITS", 1 << 15)
+    keys = [int(k) for k in np.random.default_rng(8).integers(-(1 << 62), 1 << 62, 6000)]
+    bits = np.unpackbits(np.frombuffer(ngram_join._filter_of(spark.createDataFrame([(k,) for k in keys], "k long").repartition(24)), "u1"), bitorder="little")
+    assert set(np.flatnonzero(bits).tolist()) == {k & ((1 << 15) - 1) for k in keys}
+
+    rng, rows = cases.random.Random(10), []
+    for i in range(0, 1000, 2):
+        w = cases.prose(rng, 60).split(" ")
+        rows += [(i, " ".join(w)), (i + 1, " ".join([*w, f"own{i}"]))]
+    got = ngram_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(24), 4, 85)
+    assert {r.doc_id: r.component_id for r in got.collect()} == {i: i - i % 2 for i, _ in rows}
+
+
 def test_keep_one_leaves_one_of_each_group(spark):
     rows = cases.documents()
     comp = brute.components([(r[0], r[1]) for r in rows], 5, 80)
