@@ -4,8 +4,9 @@ A gear rolling hash over the text's bytes (A-Z in lower case, white space as spa
 stay the same) cuts a chunk wherever the hash of the last 32 bytes falls under a threshold. Where a
 cut falls depends on these bytes alone, so an insertion shifts no other cuts, and a passage that two
 documents share is cut alike in both. Chunks are deduplicated by 64-bit digest: a chunk that several
-documents have is repeated, and consecutive repeated chunks of a document make a span. A span takes
-several chunks as a rule, so digests that agree by chance make none.
+documents have is repeated. Consecutive repeated chunks of a document make a stretch, which takes
+several chunks as a rule, so digests that agree by chance make none. A stretch is divided into spans
+wherever the first document that has the chunks changes, so that each span has one first holder.
 """
 
 from __future__ import annotations
@@ -94,9 +95,10 @@ def chunks(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def repeats(docs: DataFrame, min_bytes: int = 128, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row for each repeated span of at least min_bytes: key, start and n_bytes (in the UTF-8 text),
-    n_chunks, first_id (smallest key of the documents that share one of its chunks) and is_first (no
-    document with a smaller key shares any of its chunks). Documents without such spans have no row.
+    """One row for each span of the repeated stretches of at least min_bytes: key, start and n_bytes (in
+    the UTF-8 text), n_chunks, first_id (smallest key of the documents that share its chunks, the same for
+    each of them) and is_first (no document with a smaller key has any of them). A span may be shorter
+    than min_bytes if its stretch isn't. Documents without such stretches have no row.
 
     key is an integer column. Rows count as different documents if any of their columns differ; rows
     equal in all columns are one document. Null texts have no chunks; a null key is never first. Spans
@@ -117,10 +119,12 @@ def repeats(docs: DataFrame, min_bytes: int = 128, key: str = "doc_id", text: st
     placed = again.distinct().join(first, "digest").select("_k1", "start", "n_bytes", "first_id")
     inside = Window.partitionBy("_k1").orderBy("start")
     ahead = F.col("start") != F.lag(F.col("start") + F.col("n_bytes"), 1, -1).over(inside)
-    runs = placed.withColumn("_new", ahead.cast("int")).withColumn("_run", F.sum("_new").over(inside))
-    spans = runs.groupBy("_k1", "_run").agg(F.min("start").alias("start"), F.sum("n_bytes").cast("int").alias("n_bytes"), F.count("*").alias("n_chunks"), F.min("first_id").alias("first_id"))
+    other = ahead | ~F.col("first_id").eqNullSafe(F.lag("first_id").over(inside))
+    runs = placed.withColumn("_new", ahead.cast("int")).withColumn("_other", other.cast("int"))
+    runs = runs.withColumn("_run", F.sum("_new").over(inside)).withColumn("_span", F.sum("_other").over(inside))
+    spans = runs.groupBy("_k1", "_run", "_span").agg(F.min("start").alias("start"), F.sum("n_bytes").cast("int").alias("n_bytes"), F.count("*").alias("n_chunks"), F.min("first_id").alias("first_id"))
+    spans = spans.withColumn("_stretch", F.sum("n_bytes").over(Window.partitionBy("_k1", "_run"))).where(F.col("_stretch") >= min_bytes)
     spans = spans.join(rows, "_k1")
-    spans = spans.where(F.col("n_bytes") >= min_bytes)
     return spans.select(F.col("_id").alias(key), "start", "n_bytes", "n_chunks", "first_id", (F.col("_id") <= F.col("first_id")).alias("is_first"), "_k1", "_k2")
 
 

@@ -129,6 +129,21 @@ def test_substring_repeats_catch_passages_and_leave_the_rest(spark):
     assert substring_dedup.repeats(cases.empty(spark)).count() == 0
 
 
+def test_copies_that_share_a_passage_with_an_earlier_document_keep_the_rest_once(spark):
+    rng = cases.random.Random(11)
+    before, passage, after = (cases.prose(rng, n) for n in (90, 80, 90))
+    copy = f"{before} {passage} {after}"
+    rows = [(1, f"{cases.prose(rng, 40)} {passage} {cases.prose(rng, 40)}"), (5, copy), (9, copy + " ")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = substring_dedup.repeats(docs).collect()
+    assert {(r.doc_id, r.first_id, r.is_first) for r in found} == {(1, 1, True), (5, 5, True), (5, 1, False), (9, 5, False), (9, 1, False)}
+    raw = {i: t.encode() for i, t in rows}
+    assert all(raw[r.doc_id][r.start : r.start + r.n_bytes].lower() in raw[r.first_id].lower() for r in found)
+    left = {r.doc_id: r.text for r in substring_dedup.drop_repeats(docs).collect()}
+    assert left[1] == rows[0][1] and before[:400] in left[5] and after[-400:] in left[5] and passage[100:300] not in left[5]
+    assert len(left[9]) < 100
+
+
 def test_cuts_resist_shifts():
     import numpy as np
 
