@@ -68,14 +68,14 @@ def accuracies(tracks: DataFrame, filters: dict) -> DataFrame:
     return rows.groupBy("detector", "filter", "scene").agg(F.coalesce(F.avg("ok"), F.lit(0.0)).alias("accuracy"))
 
 
-def run(spark: SparkSession, detectors: list[str], names: list[str] | None = None, duration_ms: float = 200.0, trees: int = 50, max_iter: int = 20) -> DataFrame:
+def run(spark: SparkSession, detectors: list[str], names: list[str] | None = None, duration_ms: float = 200.0, trees: int = 200, max_iter: int = 100) -> DataFrame:
     """(detector, filter, scene, accuracy): every detector without a filter, with the fixed rules, with the
     learned filter and with both. The classifier learns from the clean scene, the filter from that and
     from a rainy and snowy one of another seed. Detections are made once for each detector."""
     train = scenes(spark, ["Clean", "Rain+Snow"], duration_ms, weather_seed=42)
     taught = stored(scene_tracks(train, clustering.DETECTORS["DBSCAN"], min_length=2))
     objects, rain_snow = taught.where("gt_class between 0 and 9"), taught.where("gt_class >= 10")
-    classifier = Pipeline(stages=[*weather.assembled(), learning.forest("gt_class", trees, 8)]).fit(objects)
+    classifier = Pipeline(stages=[*weather.assembled(), learning.forest("gt_class", trees)]).fit(objects)
     learned = weather.train(objects, rain_snow, max_iter=max_iter)
 
     events = stored(scenes(spark, names or list(SCENES), duration_ms))

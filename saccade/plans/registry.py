@@ -392,8 +392,8 @@ def scene_tracks(spark, sf_dir):
 
 @query()
 def benchmark_ranking(spark, sf_dir):
-    """The benchmark on synthetic scenes: three detectors by four filters over the seven conditions."""
-    return rounded(benchmark.ranked(benchmark.run(spark, ["DBSCAN", "ADB-Opt", "Dual-Opt"])), 4)
+    """The benchmark on synthetic scenes: all detectors by four filters over the seven conditions."""
+    return rounded(benchmark.ranked(benchmark.run(spark, list(clustering.DETECTORS))), 4)
 
 
 # Learning
@@ -431,23 +431,23 @@ def _classes(spark: SparkSession, sf_dir: str) -> tuple[int, int]:
 @query()
 def mlp_predict(spark, sf_dir):
     n, k = _classes(spark, sf_dir)
-    return rounded(_fitted(spark, sf_dir, learning.mlp(n, k, (32, 16), max_iter=30)).select("vec_id", "label", "prediction", "confidence"), 4)
+    return rounded(_fitted(spark, sf_dir, learning.mlp(n, k)).select("vec_id", "label", "prediction", "confidence"), 4)
 
 
 @query()
 def random_forest_predict(spark, sf_dir):
-    return rounded(_fitted(spark, sf_dir, learning.forest(trees=20, depth=6)).select("vec_id", "label", "prediction", "confidence"), 4)
+    return rounded(_fitted(spark, sf_dir, learning.forest()).select("vec_id", "label", "prediction", "confidence"), 4)
 
 
 @query()
 def classification_report(spark, sf_dir):
-    return rounded(learning.report(learning.confusion(_fitted(spark, sf_dir, learning.forest(trees=20, depth=6)))))
+    return rounded(learning.report(learning.confusion(_fitted(spark, sf_dir, learning.forest()))))
 
 
 @query()
 def cross_validation(spark, sf_dir):
     rows = learning.as_features(read(spark, sf_dir, "embeddings").select(F.col("label").cast("int").alias("label"), "embedding"), "embedding")
-    scores = learning.cross_validated(rows, learning.forest(trees=5, depth=4), folds=3)
+    scores = learning.cross_validated(rows, learning.forest())
     return rounded(spark.createDataFrame([("accuracy", float(s)) for s in scores], "metric string, value double"))
 
 
@@ -462,7 +462,7 @@ def _two_kinds(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 @query()
 def weather_gbt_filter(spark, sf_dir):
     clean, noisy = _two_kinds(spark, sf_dir)
-    model = weather.train(clean, noisy, max_iter=5)
+    model = weather.train(clean, noisy)
     kept, gone = weather.split(clean.unionByName(noisy), "gradient_boost", model)
     return kept.select("track_id", F.lit(False).alias("is_weather")).unionByName(gone.select("track_id", F.lit(True).alias("is_weather")))
 
@@ -470,7 +470,7 @@ def weather_gbt_filter(spark, sf_dir):
 @query()
 def weather_logistic_filter(spark, sf_dir):
     clean, noisy = _two_kinds(spark, sf_dir)
-    model = weather.train(clean, noisy, "logistic", max_iter=20)
+    model = weather.train(clean, noisy, "logistic", max_iter=500)
     kept, gone = weather.split(clean.unionByName(noisy), "both", model)
     return kept.select("track_id", F.lit(False).alias("is_weather")).unionByName(gone.select("track_id", F.lit(True).alias("is_weather")))
 

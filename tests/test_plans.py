@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from saccade.operators import clustering, features, learning, network, ranking, tracking, weather
-from saccade.plans import benchmark
+from saccade.plans import benchmark, registry
 from saccade.streaming import streams as live
 
 
@@ -19,6 +19,32 @@ def test_benchmark_scores_the_grid(spark):
     assert benchmark.ranked(scores).count() == 4
 
 
+def test_registered_models_have_the_operators_sizes(monkeypatch):
+    import inspect
+    from unittest.mock import MagicMock
+
+    seen = {}
+    for name in ("read", "rounded", "_two_kinds", "_fitted"):
+        monkeypatch.setattr(registry, name, MagicMock())
+    registry._two_kinds.return_value = MagicMock(), MagicMock()
+    monkeypatch.setattr(registry, "_classes", lambda *a: (8, 3))
+    monkeypatch.setattr(registry, "F", MagicMock())
+    for module, name in ((registry.benchmark, "run"), (registry.benchmark, "ranked"), (learning, "forest"), (learning, "mlp"), (learning, "cross_validated"), (learning, "as_features"), (learning, "report"), (learning, "confusion"), (weather, "train"), (weather, "split")):
+        sizes = {k: v.default for k, v in inspect.signature(getattr(module, name)).parameters.items() if v.default is not v.empty}
+        made = MagicMock(return_value=(MagicMock(), MagicMock()) if name == "split" else None)
+        monkeypatch.setattr(module, name, made)
+        seen[name] = made, sizes
+    for name in ("benchmark_ranking", "mlp_predict", "random_forest_predict", "classification_report", "cross_validation", "weather_gbt_filter"):
+        if name == "cross_validation":
+            learning.cross_validated.return_value = [1.0]
+        registry.QUERIES[name](MagicMock(), "")
+    assert list(seen["run"][0].call_args.args[1]) == list(clustering.DETECTORS) and len(clustering.DETECTORS) == 7
+    assert (seen["run"][1]["trees"], seen["run"][1]["max_iter"]) == (200, 100)
+    for name in ("forest", "mlp", "cross_validated", "train", "run"):
+        assert seen[name][0].called and not any(set(c.kwargs) & {"trees", "depth", "hidden", "max_iter", "folds"} for c in seen[name][0].call_args_list)
+    assert seen["mlp"][0].call_args.args == (8, 3) and seen["forest"][0].call_args.args == ()
+
+
 def test_scenes_on_one_clock_keep_their_tracks_apart(spark):
     events = benchmark.scenes(spark, ["Clean", "LightSnow"], duration_ms=60.0)
     tracks = benchmark.scene_tracks(events, clustering.DETECTORS["ADB-Opt"])
