@@ -30,8 +30,10 @@ def split_words(text: Column) -> Column:
 
 
 def row_key(*columns: str) -> list[Column]:
-    """Two 64-bit hashes that stand for a row's content, so that joins need not carry it."""
-    return [F.xxhash64(*columns).alias("_k1"), F.xxhash64(F.lit(7), *columns).alias("_k2")]
+    """Two 64-bit hashes that stand for a row's content, so that joins need not carry it. Hashes skip
+    nulls, so which columns are null is hashed too."""
+    cells = [*columns, *[F.col(c).isNull() for c in columns]]
+    return [F.xxhash64(*cells).alias("_k1"), F.xxhash64(F.lit(7), *cells).alias("_k2")]
 
 
 def shared_dir(spark: SparkSession) -> str:
