@@ -1,23 +1,27 @@
 """Jaccard self-join of documents on word n-grams, by token-combination prefixes, and its components.
 
-A document is its set of n-word shingles (64-bit hashes). Equal sets are one node from the start. A
-global order puts rare shingles first. If two sets reach the threshold, all but t of a set's shingles
-are in the other one, t = size - ceil(threshold * size). A prefix in that order is cut into classes:
-rare shingles are indexed singly, frequent ones in pairs, and pairs are only formed inside the parts
-that a hash deals frequent shingles to. A pair needs one shingle of its part besides the first, so a
-prefix with n_j frequent shingles in part j and n rare ones still meets every partner in a signature if
-n + sum(n_j - 1) > t: prefixes are extended until it holds. The number of parts goes by the power of
-two of the sizes, so that pairs stay as few as single shingles; a set near the border of two such
-levels is indexed for both.
-
-Which shingles count as frequent comes from counts of all documents' shingles in a table of fixed
-size (hash buckets); any such table keeps the results exact, it only decides the work.
-
-Nodes with a signature in common are candidates. Each is first compared with one hub of each of its
-signatures, and the links found are joined to components. Only where a signature's nodes still lie in
-several components, all its pairs across components are compared as well, so that no link that could
-change a component is missed; pairs inside one component need no comparison. Sizes and sketches of
-parities rule most pairs out; whole sets are made and joined for the others alone.
+A document is its set of n-word shingles (64-bit hashes). Equal sets are one node from the start. The
+tokens of the join are the shingles, in a global order of classes by the number of nodes that have
+them: those of one node alone first, which can match nothing and are never indexed, then rare ones,
+then frequent ones. If two sets reach the threshold, all but t of a set's shingles are in the other
+one, t = size - ceil(threshold * size). A node with more than t shingles of its own is alone. All
+others get a prefix in that order: rare shingles are indexed singly, frequent ones in pairs, and pairs
+are only formed inside the parts that a hash deals frequent shingles to. A pair needs one shingle of
+its part besides the first, so a prefix with n_j frequent shingles in part j and n others still meets
+every partner in a signature if n + sum(n_j - 1) > t: prefixes are extended until it holds. The number
+of parts goes by the power of two of the sizes; a set near the border of two such levels is indexed
+for both.
+
+Which nodes have a shingle is found by an inverted index: tasks deal (shingle, node) postings to parts
+of the hash space as packed arrays, each part finds the shingles of several nodes, and their postings
+go back to the parts of the nodes. Parts hold about as much each at any size of the input; shingles
+that very many documents have don't meet in one part, since their class is known beforehand.
+
+Signatures that nodes share give candidates. Where a shared signature stands in a set's order bounds
+the sizes that partners may have. Each node is compared with one hub of each of its signatures, the
+one with the fewest shingles of its own; the links found are joined to components. Where a signature's
+nodes still lie in several components, pairs across them that the bounds admit are compared as well, so
+that no link that could change a component is missed; pairs inside one component need no comparison.
 """
 
 from __future__ import annotations
@@ -27,19 +31,22 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from saccade.llm.common import discard, release, row_key, shared_dir, stored
+from saccade.llm.common import SPACES, discard, row_key, shared_dir, stored
 
-#: Buckets of the table of counts, and how many of them make a row of it. 4 MB in all.
-BUCKETS, ROW = 1 << 20, 1 << 12
-#: Bits of the filter of rows whose sets are needed (2 MB), and the least and most bits of a sketch.
-FILTER_BITS, SKETCH = 1 << 24, (256, 8192)
-#: Nodes that a task remembers so as to index copies once; beyond that it forgets them all.
+#: Bytes of text whose postings make a part, bytes of text that are hashed at once, shingles sent at once.
+PART_BYTES, CHUNK, SENT = 8 << 20, 1 << 19, 1_000_000
+#: Shingles in so large a share of all documents go by a table of at most HEAVY entries (128 kB).
+HEAVY_SHARE, HEAVY = 1 / 256, 16_384
+#: Nodes that a task remembers so as to send copies once; beyond that it forgets them all.
 REMEMBERED = 200_000
+#: From so many nodes on a shingle is frequent. Classes are quarters of powers of two.
+FREQUENT = 64
 M1, M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
+NODE = ["n1", "n2"]
 
 
 def _mixed(h: np.ndarray) -> np.ndarray:
@@ -47,24 +54,93 @@ def _mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(29))
 
 
-def shingles(text: str | None, n: int) -> np.ndarray:
-    """Sorted distinct hashes of the text's n-word shingles (bytes, A-Z in lower case)."""
-    words = text.encode().lower().split() if text else []
-    if not words:
-        return np.empty(0, "u8")
-    w = pd.util.hash_array(np.array(words, dtype=object), categorize=len(words) > 5000)
-    k = min(n, len(w))
-    h = np.full(len(w) - k + 1, np.uint64(k))
-    for i in range(k):
-        h = _mixed((h + w[i : len(w) - k + 1 + i]) * M1)
-    return np.unique(h)
-
-
-def fingerprint(s: np.ndarray) -> tuple[int, int]:
+def _alphabet() -> tuple[np.ndarray, np.ndarray]:
+    """A 64-bit number for each byte, A-Z as a-z, and which bytes are white space."""
+    low = np.arange(256, dtype="u1")
+    low[ord("A") : ord("Z") + 1] += 32
+    return _mixed(_mixed(np.arange(1, 257, dtype="u8") * M1))[low], np.isin(np.arange(256), list(SPACES.encode()))
+
+
+LETTERS, BLANK = _alphabet()
+BASE = 0x9E3779B97F4A7C13
+_powers: dict[int, np.ndarray] = {}
+
+
+def _powers_of(base: int, n: int) -> np.ndarray:
+    """base ** 0, 1, 2, ... modulo 2 ** 64."""
+    known = _powers.get(base)
+    if known is None or len(known) < n:
+        p = np.full(max(2 * CHUNK, n), np.uint64(base))
+        p[0] = 1
+        known = _powers[base] = np.multiply.accumulate(p)
+    return known[:n]
+
+
+def word_hashes(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words of texts that lie one after another in data, and the number of words before
+    each text's end. ends: the texts' ends. A word's hash is a polynomial over its bytes, made from sums
+    over all of data."""
+    size = len(data)
+    word = ~BLANK[data]
+    edge = np.zeros(size + 1, bool)
+    edge[ends] = True
+    first, last = word.copy(), word.copy()
+    first[1:] &= ~word[:-1] | edge[1:-1]
+    last[:-1] &= ~word[1:] | edge[1:-1]
+    a, z = np.flatnonzero(first), np.flatnonzero(last)
+    sums = LETTERS[data] * _powers_of(BASE, size)
+    np.cumsum(sums, out=sums)
+    w = sums[z]
+    w[a > 0] -= sums[a[a > 0] - 1]
+    w *= _powers_of(pow(BASE, -1, 1 << 64), size)[a]
+    return _mixed((w + (z - a).astype("u8")) * M1), np.searchsorted(a, ends)
+
+
+def shingle_sets(data: np.ndarray, ends: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The texts' sets of shingle hashes, each sorted, one after another, and where each begins and ends."""
+    w, upto = word_hashes(data, ends) if len(data) else (np.empty(0, "u8"), np.zeros(len(ends), "i8"))
+    before = np.append(0, upto[:-1])
+    words = upto - before
+    h = np.full(max(0, len(w) - n + 1), np.uint64(n))
+    for i in range(n):
+        h = _mixed((h + w[i : len(w) - n + 1 + i]) * M1)
+    many = np.maximum(words - n + 1, np.minimum(words, 1))
+    bounds = np.append(0, np.cumsum(many))
+    at = np.repeat(before - bounds[:-1], many) + np.arange(bounds[-1])
+    out = h[np.minimum(at, max(len(h) - 1, 0))] if len(h) else np.zeros(bounds[-1], "u8")
+    for d in np.flatnonzero((words > 0) & (words < n)):
+        one = np.full(1, np.uint64(words[d]))
+        for i in range(before[d], upto[d]):
+            one = _mixed((one + w[i : i + 1]) * M1)
+        out[bounds[d]] = one[0]
+    for a, z in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+        if z - a > 1:
+            out[a:z].sort()
+    new = np.ones(len(out), bool)
+    new[1:] = out[1:] != out[:-1]
+    new[bounds[:-1][many > 0]] = True
+    return out[new], np.append(0, np.cumsum(new))[bounds]
+
+
+def sets_of(texts: pa.Array, n: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(number of the first text, sets, bounds) for some texts at a time; null counts as empty."""
+    whole = texts.fill_null("").cast(pa.large_binary())
+    offsets = np.frombuffer(whole.buffers()[1], "i8")[whole.offset : whole.offset + len(whole) + 1]
+    data = np.frombuffer(whole.buffers()[2] or b"", "u1")
+    a = 0
+    while a < len(whole):
+        z = min(len(whole), max(a + 1, int(np.searchsorted(offsets, offsets[a] + CHUNK, "right")) - 1))
+        yield a, *shingle_sets(data[offsets[a] : offsets[z]], offsets[a + 1 : z + 1] - offsets[a], n)
+        a = z
+
+
+def names_of(sets: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """96 bits that name each set: 64 and 32 of them."""
     import xxhash
 
-    d = xxhash.xxh3_128_digest(s.tobytes())
-    return int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True)
+    each = b"".join(xxhash.xxh3_128_digest(sets[a:z]) for a, z in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True))
+    both = np.frombuffer(each, "u8").reshape(-1, 2)
+    return both[:, 0].copy(), both[:, 1].astype("u4")
 
 
 def most_missing(size: int, percent: int) -> int:
@@ -76,195 +152,313 @@ def parts_of(level: int, percent: int) -> int:
     return most_missing(1 << level, percent) + 1
 
 
-def signatures(s: np.ndarray, tiers: np.ndarray, percent: int) -> np.ndarray:
-    """The 64-bit signatures of a set. tiers: the table's bucket classes; over 0 means frequent."""
-    size = len(s)
-    tier = tiers[(s & np.uint64(BUCKETS - 1)).astype("i8")]
-    h = _mixed(s * M1)
-    order = np.lexsort((h, tier))
-    t, out = most_missing(size, percent), []
+def class_of(nodes: np.ndarray) -> np.ndarray:
+    """Classes of shingles by the number of nodes that have them."""
+    return np.minimum(254, np.floor(4 * np.log2(nodes))).astype("u1")
+
+
+def signatures(h: np.ndarray, classes: np.ndarray, own: int, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """A set's 64-bit signatures, and the least number of its shingles that no partner found by each can
+    have. h: the shingles that other nodes have too, in the global order; own: how many others there are."""
+    size = own + len(h)
+    frequent = classes >= class_of(np.array([FREQUENT]))[0]
+    rare = int(len(h) - np.count_nonzero(frequent))
+    t, single, out, bound = most_missing(size, percent), 0, [], []
     least, most = -(-size * percent // 100), size * 100 // percent
-    for level in range(least.bit_length() - 1, most.bit_length()):
-        parts = parts_of(level, percent)
-        own = order[: min(size, t + 1 + parts)]
-        frequent = tier[own] > 0
-        part = (h[own] >> np.uint64(20)) % np.uint64(parts)
-        score, seen, taken = 0, {}, len(own)
-        if not frequent.any():
-            taken = min(size, t + 1)
-        else:
-            for i in range(len(own)):
-                if not frequent[i]:
-                    score += 1
-                elif (p := int(part[i])) in seen:
-                    score += 1
-                else:
-                    seen[p] = True
-                if score > t:
-                    taken = i + 1
-                    break
-        own, frequent, part = own[:taken], frequent[:taken], part[:taken]
-        out.append(_mixed(h[own[~frequent]] + np.uint64(level)))
-        if frequent.any():
-            f, p = h[own[frequent]], part[frequent]
-            by = np.lexsort((f, p))
-            f, p = f[by], p[by]
-            starts = np.flatnonzero(np.append(True, p[1:] != p[:-1]))
+    if own + rare > t:  # enough without frequent ones
+        single = t + 1 - own
+    else:
+        single = rare
+        for level in range(least.bit_length() - 1, most.bit_length()):
+            parts = parts_of(level, percent)
+            some = h[rare : rare + max(0, t + 1 + parts - own - rare)]
+            part = (some >> np.uint64(20)) % np.uint64(parts)
+            _, first = np.unique(part, return_index=True)
+            gain = np.ones(len(some), "i8")
+            gain[first] = 0
+            enough = np.flatnonzero(own + rare + np.cumsum(gain) > t)
+            taken = int(enough[0]) + 1 if len(enough) else len(some)
+            some, part = some[:taken], part[:taken]
+            by = np.lexsort((some, part))
+            f, p = some[by], part[by]
+            starts = np.flatnonzero(np.append(True, p[1:] != p[:-1])) if taken else np.empty(0, "i8")
             for a, b in zip(starts, np.append(starts[1:], len(p)), strict=True):
                 if b - a > 1:
                     i, j = np.triu_indices(b - a, 1)
                     out.append(_mixed(_mixed(f[a:b][i] * M1 + f[a:b][j]) + np.uint64(level)))
-    return np.unique(np.concatenate(out)) if out else np.empty(0, "u8")
+                    bound.append(np.full(len(i), own + rare))
+    out.append(_mixed(h[:single] + np.uint64(1 << 40)))
+    bound.append(own + np.arange(single))
+    found, at = np.unique(np.concatenate(out), return_index=True)
+    return found, np.concatenate(bound)[at]
 
 
-def sketch(s: np.ndarray) -> bytes:
-    """Parities of the set's shingles in buckets, about as many as it has shingles: sets differ in at
-    least as many shingles as their sketches differ in bits."""
-    least, most = SKETCH
-    bits = min(most, max(least, 1 << len(s).bit_length()))
-    counts = np.bincount(((s >> np.uint64(40)) & np.uint64(bits - 1)).astype("i8"), minlength=bits)
-    return np.packbits((counts & 1).astype("u1")).tobytes()
+def _cells(data: np.ndarray, bounds: np.ndarray) -> pa.Array:
+    """data[bounds[i]:bounds[i + 1]] as one binary value each."""
+    data = np.ascontiguousarray(data)
+    offsets = (bounds * data.itemsize).astype("i4")
+    return pa.Array.from_buffers(pa.binary(), len(bounds) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(data)])
 
 
-def bits_apart(a: list[bytes], b: list[bytes]) -> np.ndarray:
-    """In how many bits each pair of sketches differs; the longer one is folded to the shorter one's size."""
-    na, nb = np.array([len(x) for x in a]), np.array([len(x) for x in b])
-    out = np.zeros(len(a), "i4")
-    for m, n in {*zip(na.tolist(), nb.tolist(), strict=True)}:
-        at, k = np.flatnonzero((na == m) & (nb == n)), min(m, n) // 8
-        x, y = (np.bitwise_xor.reduce(np.frombuffer(b"".join(c[i] for i in at), "u8").reshape(len(at), -1, k), axis=1) for c in (a, b))
-        out[at] = np.bitwise_count(x ^ y).sum(axis=1)
-    return out
+def _gathered(batches: Iterator[pa.RecordBatch], kinds: dict[str, str]) -> dict[str, np.ndarray]:
+    """The binary columns of all rows, each as one array."""
+    found: dict[str, list[bytes]] = {c: [] for c in kinds}
+    for batch in batches:
+        for c in kinds:
+            found[c] += batch.column(batch.schema.get_field_index(c)).to_pylist()
+    return {c: np.frombuffer(b"".join(x for x in cells if x), kinds[c]) for c, cells in found.items()}
 
 
-def _table(rows: DataFrame, n_rows: int, dtype: str, joined: np.ufunc = np.add) -> np.ndarray:
-    """Joins rows of (row, cells) to one array of fixed size, cell by cell: counts by their sum, bitmaps by
-    np.bitwise_or. Each task joins what reaches it, so no row's parts ever lie in memory together."""
+def _runs(*keys: np.ndarray) -> np.ndarray:
+    """Where runs of equal keys begin."""
+    if not len(keys[0]):
+        return np.empty(0, "i8")
+    new = np.zeros(len(keys[0]), bool)
+    new[0] = True
+    for k in keys:
+        new[1:] |= k[1:] != k[:-1]
+    return np.flatnonzero(new)
+
+
+def _lengths(starts: np.ndarray, end: int) -> np.ndarray:
+    return np.diff(np.append(starts, end))
 
-    def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        sums: dict[int, np.ndarray] = {}
-        for batch in batches:
-            for row, cells in zip(batch["row"], batch["cells"], strict=True):
-                found = np.frombuffer(cells, dtype)
-                sums[row] = joined(sums[row], found) if row in sums else found.astype(dtype)
-        if sums:
-            yield pd.DataFrame({"row": list(sums), "cells": [x.tobytes() for x in sums.values()]})
 
-    fan = F.concat_ws("-", "row", F.spark_partition_id() % 16)
-    once = rows.withColumn("_fan", fan).repartition("_fan").select("row", "cells").mapInPandas(add, "row int, cells binary")
-    whole = once.repartition("row").mapInPandas(add, "row int, cells binary").toPandas()
-    out = np.zeros((n_rows, ROW), dtype)
-    for row, cells in zip(whole["row"], whole["cells"], strict=True):
-        out[row] = np.frombuffer(cells, dtype)
-    return out.ravel()
+def _dealt(part: np.ndarray, n1: np.ndarray, n2: np.ndarray, columns: dict[str, np.ndarray]) -> tuple[np.ndarray, dict[str, pa.Array]]:
+    """Cells for each part of postings that are sorted by part and node: runs of nodes, and the columns."""
+    runs = _runs(part, n1, n2)
+    parts = part[runs]
+    heads = _runs(parts)
+    inner = np.append(heads, len(runs))
+    outer = np.append(runs[heads], len(part))
+    cells = {"n1": _cells(n1[runs], inner), "n2": _cells(n2[runs], inner), "runs": _cells(_lengths(runs, len(part)).astype("u4"), inner)}
+    return parts[heads], cells | {c: _cells(x, outer) for c, x in columns.items()}
 
 
-def _cells(counts: np.ndarray) -> pd.DataFrame:
-    cells = counts.reshape(-1, ROW)
-    some = np.flatnonzero(cells.any(axis=1))
-    return pd.DataFrame({"row": some.astype("i4"), "cells": [cells[i].tobytes() for i in some]})
+SENT_KINDS = {"n1": "u8", "n2": "u4", "runs": "u4", "lo": "u4", "hi": "u2"}
+BACK_KINDS = {"n1": "u8", "n2": "u4", "runs": "u4", "tokens": "u8", "classes": "u1"}
+SENT_ROW = "part int, n1 binary, n2 binary, runs binary, lo binary, hi binary, tokens binary, classes binary, sizes binary"
+BACK_ROW = "part int, n1 binary, n2 binary, runs binary, tokens binary, classes binary, sizes binary"
 
 
-def shingle_tiers(counts: np.ndarray) -> np.ndarray:
-    """Classes of buckets: 0 for rare shingles, and a class more for each doubling from 8 times the mean (8 at least) on."""
-    base = max(8.0, 8.0 * counts.mean())
-    return np.maximum(0, np.floor(np.log2(np.maximum(counts, 1) / base)) + 1).astype("u1")
+def _rows(schema: str, part: np.ndarray, cells: dict[str, pa.Array]) -> pa.RecordBatch:
+    names = [c.split()[0] for c in schema.split(", ")]
+    columns = [pa.array(part.astype("i4")) if c == "part" else cells.get(c, pa.nulls(len(part), pa.binary())) for c in names]
+    return pa.RecordBatch.from_arrays(columns, names=names)
 
 
-SET = "_fp1 long, _fp2 long"
+def _node_part(n1: np.ndarray, parts: int) -> np.ndarray:
+    return (_mixed(n1) % np.uint64(parts)).astype("i4")
 
 
-def _nodes(docs: DataFrame, n: int, text: str, path: str) -> tuple[DataFrame, np.ndarray]:
-    """(key, row key, size, node, sketch) of every document, and the table of shingle counts, in one pass."""
-    made = T.StructType([*(T.StructField(c, T.LongType()) for c in ("_id", "_k1", "_k2", "_size", "_fp1", "_fp2")), T.StructField("_sketch", T.BinaryType()), T.StructField("row", T.IntegerType()), T.StructField("cells", T.BinaryType())])
+def _token(part: np.ndarray, low: np.ndarray) -> np.ndarray:
+    """A shingle as all tasks name it: 48 bits of its hash and 16 of its part, mixed."""
+    return _mixed(((part.astype("u8") & np.uint64(0xFFFF)) << np.uint64(48) | low) * M1)
+
+
+def _found(docs: DataFrame, n: int, path: str) -> DataFrame:
+    """A row for each document (_id, _k1, _k2, _size, n1, n2), and rows (token, seen) of shingles that
+    very many documents of some batch have."""
 
     def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(BUCKETS, "u8")
+        names = ["_id", "_k1", "_k2", "_size", "n1", "n2", "token", "seen"]
+        kinds = [*[pa.int64()] * 3, pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int64()]
+        waiting: dict[tuple[int, int], np.ndarray] = {}
+
+        def heavy() -> pa.RecordBatch:
+            every = np.concatenate([*waiting.values()]) if len(waiting) >= 512 else np.empty(0, "u8")
+            values, counts = np.unique(every, return_counts=True)
+            some = counts >= max(8, 4 * HEAVY_SHARE * len(waiting))
+            waiting.clear()
+            k = int(some.sum())
+            return pa.RecordBatch.from_arrays([*(pa.nulls(k, t) for t in kinds[:6]), pa.array(values[some].view("i8")), pa.array(counts[some])], names=names)
+
+        held = 0
         for batch in batches:
-            sizes, a, b, drawn = [], [], [], []
-            for t in batch.column(3).to_pylist():
-                s = shingles(t, n)
-                np.add.at(counts, (s & np.uint64(BUCKETS - 1)).astype("i8"), 1)
-                x, y = fingerprint(s)
-                sizes.append(len(s))
-                a.append(x)
-                b.append(y)
-                drawn.append(sketch(s) if len(s) > 1 else None)
-            k = batch.num_rows
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(sizes, pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(drawn, pa.binary()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary())], names=made.names)
-        cells = _cells(counts)
-        k = len(cells)
-        if k:
-            yield pa.RecordBatch.from_arrays([*(pa.nulls(k, pa.int64()) for _ in range(6)), pa.nulls(k, pa.binary()), pa.array(cells["row"], pa.int32()), pa.array(cells["cells"].to_list(), pa.binary())], names=made.names)
-
-    both = stored(docs.select("_id", "_k1", "_k2", F.col(text).alias("_text")).mapInArrow(take, made), path)
-    counts = _table(both.where("row is not null").select("row", "cells"), BUCKETS // ROW, "u8")
-    return both.where("row is null").drop("row", "cells"), counts
-
-
-def _signature_rows(docs: DataFrame, n: int, percent: int, tiers, text: str) -> DataFrame:
-    """(sig, node, size) for every document with more than one shingle; a task gives copies that it
-    remembers once, and those of several tasks give equal rows."""
+            sizes, a, b = [], [], []
+            for _, sets, bounds in sets_of(batch.column(3), n):
+                n1, n2 = names_of(sets, bounds)
+                sizes.append(np.diff(bounds))
+                a.append(n1)
+                b.append(n2)
+                for x, y, i, j in zip(n1.tolist(), n2.tolist(), bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+                    if (x, y) not in waiting:
+                        waiting[x, y] = sets[i:j]
+                        held += j - i
+                if held > SENT:
+                    yield heavy()
+                    held = 0
+            if sizes:
+                k = batch.num_rows
+                yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(np.concatenate(sizes).astype("i4")), pa.array(np.concatenate(a).view("i8")), pa.array(np.concatenate(b).view("i4")), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64())], names=names)
+        yield heavy()
+
+    made = "_id long, _k1 long, _k2 long, _size int, n1 long, n2 int, token long, seen long"
+    return stored(docs.select("_id", "_k1", "_k2", "_text").mapInArrow(take, made), path)
+
+
+def heavy_shingles(found: DataFrame) -> np.ndarray:
+    """At most HEAVY shingles of those that more than HEAVY_SHARE of all documents have, sorted. They
+    decide the work alone: whichever they are, the results are the same."""
+    least = max(64, int(HEAVY_SHARE * found.where("_size > 0").count()))
+    rows = found.where("token is not null").groupBy("token").agg(F.sum("seen").alias("seen")).where(F.col("seen") >= least)
+    most = rows.orderBy(F.desc("seen"), "token").limit(HEAVY).select("token").collect()
+    return np.sort(np.array([r.token for r in most], "i8").view("u8"))
+
+
+def _postings(docs: DataFrame, n: int, parts: int, heavy) -> DataFrame:
+    """What tasks send to parts: postings of shingles to the shingles' parts; sizes of nodes and postings
+    of heavy shingles to the nodes' parts."""
 
     def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, known = tiers.value, set()
+        common, known = heavy.value, set()
+        hit = np.zeros(1 << 20, bool)
+        hit[(common & np.uint64((1 << 20) - 1)).astype("i8")] = True
+        held: list[np.ndarray] = []
+        n1s: list[int] = []
+        n2s: list[int] = []
+        size = 0
+
+        def send() -> Iterator[pa.RecordBatch]:
+            tokens, sizes = np.concatenate(held), np.array([len(x) for x in held])
+            n1, n2 = np.array(n1s, "u8"), np.array(n2s, "u4")
+            part = _node_part(n1, parts)
+            by = np.argsort(part, kind="stable")
+            heads = _runs(part[by])
+            bounds = np.append(heads, len(by))
+            yield _rows(SENT_ROW, part[by][heads], {"n1": _cells(n1[by], bounds), "n2": _cells(n2[by], bounds), "sizes": _cells(sizes[by].astype("u4"), bounds)})
+            node = np.repeat(np.arange(len(n1)), sizes)
+            low, of = tokens & np.uint64((1 << 48) - 1), (_mixed(tokens) % np.uint64(parts)).astype("i4")
+            known_heavy = hit[(tokens & np.uint64((1 << 20) - 1)).astype("i8")]
+            if known_heavy.any():
+                at = np.flatnonzero(known_heavy)
+                place = np.minimum(np.searchsorted(common, tokens[at]), len(common) - 1)
+                known_heavy[at] = common[place] == tokens[at]
+                at = np.flatnonzero(known_heavy)
+                at = at[np.argsort(part[node[at]], kind="stable")]
+                if len(at):
+                    yield _rows(SENT_ROW, *_dealt(part[node[at]], n1[node[at]], n2[node[at]], {"tokens": _token(of[at], low[at]), "classes": np.full(len(at), 255, "u1")}))
+                rest = np.flatnonzero(~known_heavy)
+                node, low, of = node[rest], low[rest], of[rest]
+            by = np.argsort(of, kind="stable")
+            node, low, of = node[by], low[by], of[by]
+            if len(of):
+                yield _rows(SENT_ROW, *_dealt(of, n1[node], n2[node], {"lo": low.astype("u4"), "hi": (low >> np.uint64(32)).astype("u2")}))
+
         for batch in batches:
-            sigs, a, b, sizes, done = [], [], [], [], 0
-            texts = batch.column(0).to_pylist()
-            for i, t in enumerate(texts):
-                s = shingles(t, n)
-                x, y = fingerprint(s)
-                if len(s) > 1 and (x, y) not in known:
-                    if len(known) >= REMEMBERED:
-                        known.clear()
-                    known.add((x, y))
-                    found = signatures(s, own, percent)
-                    sigs.append(found)
-                    a.append(np.full(len(found), x))
-                    b.append(np.full(len(found), y))
-                    sizes.append(np.full(len(found), len(s), "i4"))
-                    done += len(found)
-                if sigs and (done > 300_000 or i + 1 == len(texts)):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sigs).view("i8")), *(pa.array(np.concatenate(c)) for c in (a, b, sizes))], names=["sig", "_fp1", "_fp2", "_size"])
-                    sigs, a, b, sizes, done = [], [], [], [], 0
-
-    return docs.select(F.col(text).alias("_text")).mapInArrow(take, f"sig long, {SET}, _size int")
-
-
-def _node_sets(docs: DataFrame, n: int, wanted, text: str) -> DataFrame:
-    """(node, set) of the rows that the filter lets through: those wanted, and some others."""
+            for _, sets, bounds in sets_of(batch.column(0), n):
+                for x, y, i, j in zip(*(v.tolist() for v in names_of(sets, bounds)), bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+                    if j > i and (x, y) not in known:
+                        if len(known) >= REMEMBERED:
+                            known.clear()
+                        known.add((x, y))
+                        held.append(sets[i:j])
+                        n1s.append(x)
+                        n2s.append(y)
+                        size += j - i
+                if size > SENT:
+                    yield from send()
+                    held, n1s, n2s, size = [], [], [], 0
+        if held:
+            yield from send()
+
+    return docs.select("_text").mapInArrow(take, SENT_ROW)
+
+
+def _repeated(sent: DataFrame, parts: int) -> DataFrame:
+    """What the shingles' parts send to the nodes' parts: postings of shingles that several nodes have."""
 
     def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.frombuffer(wanted.value, "u1")
+        found: dict[str, list] = {c: [] for c in SENT_KINDS}
+        part: list[np.ndarray] = []
         for batch in batches:
-            at = batch.column(0).to_numpy() & (FILTER_BITS - 1)
-            some = np.flatnonzero(bits[at >> 3] >> (at & 7) & 1)
-            rows: list[tuple] = []
-            for t in batch.column(1).take(pa.array(some)).to_pylist():
-                s = shingles(t, n)
-                rows.append((*fingerprint(s), s.tobytes()))
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["_fp1", "_fp2", "_set"])
-
-    return docs.select("_k1", F.col(text).alias("_text")).mapInArrow(take, f"{SET}, _set binary")
+            direct = pc.is_null(batch.column("lo"))
+            through = batch.filter(direct)
+            if through.num_rows:
+                yield through.select([c.split()[0] for c in BACK_ROW.split(", ")])
+            own = batch.filter(pc.invert(direct))
+            for c in SENT_KINDS:
+                found[c] += own.column(c).to_pylist()
+            part.append(np.repeat(own.column("part").to_numpy(), [len(x) // 4 for x in own.column("lo").to_pylist()]))
+        n1, n2, runs, lo, hi = (np.frombuffer(b"".join(found.pop(c)), k) for c, k in SENT_KINDS.items())
+        if not len(lo):
+            return
+        tokens = _token(np.concatenate(part), hi.astype("u8") << np.uint64(32) | lo)
+        del lo, hi, part
+        by = np.argsort(tokens)
+        same = tokens[by][1:] == tokens[by][:-1]
+        some = by[np.append(same, False) | np.append(False, same)]
+        node = np.repeat(np.arange(len(n1), dtype="i4"), runs)[some]
+        tokens, n1, n2 = tokens[some], n1[node], n2[node]
+        by = np.lexsort((n2, n1, tokens))
+        by = by[_runs(tokens[by], n1[by], n2[by])]  # copies from several tasks
+        starts = _runs(tokens[by])
+        count = _lengths(starts, len(by))
+        classes = np.repeat(class_of(count), count)
+        some = np.repeat(count, count) > 1
+        by, classes = by[some], classes[some]
+        tokens, n1, n2 = tokens[by], n1[by], n2[by]
+        back = _node_part(n1, parts)
+        by = np.lexsort((n2, n1, back))
+        if len(by):
+            yield _rows(BACK_ROW, *_dealt(back[by], n1[by], n2[by], {"tokens": tokens[by], "classes": classes[by]}))
+
+    return sent.repartition(parts, "part").mapInArrow(take, BACK_ROW)
+
+
+def _candidates(back: DataFrame, parts: int, percent: int) -> DataFrame:
+    """(n1, n2, size, own, tokens, classes) of the nodes that can have a partner: own is the number of
+    shingles that no other node has, tokens are the others in the global order."""
 
+    def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sizes: dict[tuple[int, int], int] = {}
+
+        def postings() -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for a, b, c in zip(*(batch.column(k).to_pylist() for k in ("n1", "n2", "sizes")), strict=True):
+                    if c is not None:
+                        sizes.update(zip(zip(np.frombuffer(a, "u8").tolist(), np.frombuffer(b, "u4").tolist(), strict=True), np.frombuffer(c, "u4").tolist(), strict=True))
+                yield batch.filter(pc.is_null(batch.column("sizes")))
+
+        x = _gathered(postings(), BACK_KINDS)
+        node = np.repeat(np.arange(len(x["n1"])), x["runs"])
+        n1, n2, tokens, classes = x["n1"][node], x["n2"][node], x["tokens"], x["classes"]
+        by = np.lexsort((tokens, classes, n2, n1))
+        by = by[_runs(n1[by], n2[by], tokens[by])]
+        n1, n2, tokens, classes = n1[by], n2[by], tokens[by], classes[by]
+        starts = _runs(n1, n2)
+        rows = []
+        for a, z in zip(starts.tolist(), np.append(starts[1:], len(n1)).tolist(), strict=True):
+            size = sizes[int(n1[a]), int(n2[a])]
+            own = size - (z - a)
+            if own <= most_missing(size, percent):
+                rows.append((n1[a].view("i8"), n2[a].view("i4"), size, own, tokens[a:z].tobytes(), classes[a:z].tobytes()))
+        for a in range(0, len(rows), 1000):
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*rows[a : a + 1000], strict=True), (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary()), strict=True)], names=["n1", "n2", "size", "own", "tokens", "classes"])
+
+    return back.repartition(parts, "part").mapInArrow(take, "n1 long, n2 int, size int, own int, tokens binary, classes binary")
+
+
+def _signature_rows(nodes: DataFrame, percent: int) -> DataFrame:
+    """(sig, n1, n2, size, own, cap): cap is the largest size that a partner found by sig may have."""
 
-def _filter_of(keys: DataFrame) -> bytes:
-    """Bits of the one column of 64-bit hashes, in a table of fixed size."""
-
-    def take(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        seen = np.zeros(FILTER_BITS, bool)
+    def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            seen[batch["k"].to_numpy() & (FILTER_BITS - 1)] = True
-        yield _cells(np.packbits(seen, bitorder="little"))
+            sizes, own = batch.column("size").to_numpy(), batch.column("own").to_numpy()
+            made = [signatures(np.frombuffer(t, "u8"), np.frombuffer(c, "u1"), int(k), percent) for t, c, k in zip(batch.column("tokens").to_pylist(), batch.column("classes").to_pylist(), own, strict=True)]
+            for a in range(0, len(made), 500):
+                part = made[a : a + 500]
+                at = np.repeat(np.arange(a, a + len(part)), [len(s) for s, _ in part])
+                sig, bound = (np.concatenate([x[i] for x in part]) for i in (0, 1))
+                cap = (sizes[at].astype("i8") - bound) * (100 + percent) // percent - sizes[at]
+                yield pa.RecordBatch.from_arrays([pa.array(sig.view("i8")), *(pa.array(batch.column(c).to_numpy()[at]) for c in NODE), pa.array(sizes[at]), pa.array(own[at]), pa.array(cap.astype("i4"))], names=["sig", *NODE, "size", "own", "cap"])
 
-    parts = keys.toDF("k").mapInPandas(take, "row int, cells binary")
-    return _table(parts, FILTER_BITS // 8 // ROW, "u1", np.bitwise_or).tobytes()
+    return nodes.mapInArrow(take, "sig long, n1 long, n2 int, size int, own int, cap int")
 
 
-def _links(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, n: int, percent: int, text: str, path: str) -> DataFrame:
-    """The pairs (a, b) of nodes that reach the threshold: by sizes and sketches first, and those left by
-    their whole sets, which are made from one row of each node that is left."""
+def _linked(nodes: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) of nodes that reach the threshold, by their whole sets: shingles that only one
+    node has can't be common."""
 
     @F.pandas_udf("int")
     def common(a: pd.Series, b: pd.Series) -> pd.Series:
@@ -275,38 +469,19 @@ def _links(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, n: int, percent:
 
         return pd.Series([one(x, y) for x, y in zip(a, b, strict=True)], dtype="int32")
 
-    near = stored(_sketched(pairs, nodes, percent), f"{path}-near")
-    left = near.select(F.col("a").alias("node")).unionByName(near.select(F.col("b").alias("node"))).distinct()
-    wanted = docs.sparkSession.sparkContext.broadcast(_filter_of(nodes.join(left, "node", "left_semi").select("_k1")))
-    sets = _node_sets(docs, n, wanted, text).dropDuplicates(["_fp1", "_fp2"]).select(F.struct("_fp1", "_fp2").alias("node"), "_set")
-    sets = stored(sets, f"{path}-sets")
-    one = near.join(sets.select(F.col("node").alias("a"), F.col("_set").alias("_sa")), "a")
-    both = one.join(sets.select(F.col("node").alias("b"), F.col("_set").alias("_sb")), "b")
-    both = both.select("a", "b", (F.octet_length("_sa") / 8).cast("long").alias("na"), (F.octet_length("_sb") / 8).cast("long").alias("nb"), common("_sa", "_sb").cast("long").alias("c"))
-    links = stored(both.where(F.col("c") * 100 >= percent * (F.col("na") + F.col("nb") - F.col("c"))).select("a", "b"), f"{path}-links")
-    discard(docs.sparkSession, f"{path}-sets")
-    release(docs.sparkSession)
-    return links
-
-
-def _sketched(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """Pairs that their sizes and sketches leave open: sets reaching the threshold differ in at most (1 - j) / (1 + j) of the sum of their sizes."""
-
-    @F.pandas_udf("int")
-    def apart(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series(bits_apart(a.to_list(), b.to_list()))
-
-    rows = pairs.join(nodes.select(F.col("node").alias("a"), F.col("_size").alias("na"), F.col("_sketch").alias("sa")), "a")
-    rows = rows.join(nodes.select(F.col("node").alias("b"), F.col("_size").alias("nb"), F.col("_sketch").alias("sb")), "b")
-    rows = rows.where((F.col("na") * 100 >= F.col("nb") * percent) & (F.col("nb") * 100 >= F.col("na") * percent))
-    return rows.where(apart("sa", "sb") * (100 + percent) <= (100 - percent) * (F.col("na") + F.col("nb"))).select("a", "b")
+    sets = nodes.select(F.struct(*NODE).alias("node"), "size", "tokens")
+    one = pairs.join(sets.select(F.col("node").alias("a"), F.col("size").alias("na"), F.col("tokens").alias("_sa")), "a")
+    both = one.join(sets.select(F.col("node").alias("b"), F.col("size").alias("nb"), F.col("tokens").alias("_sb")), "b")
+    both = both.select("a", "b", "na", "nb", common("_sa", "_sb").cast("long").alias("c"))
+    return both.where(F.col("c") * 100 >= percent * (F.col("na") + F.col("nb") - F.col("c"))).select("a", "b")
 
 
 def components(edges: DataFrame, path: str) -> DataFrame:
     """(node, label) for the nodes of edges (a, b): label is the smallest node of the component.
 
     Alternates two steps until nothing changes: every node's larger neighbours go to its smallest one,
-    then every node's smaller neighbours do. Each step's edges are written to the shared folder.
+    then every node's smaller neighbours do. Each step's edges are written to the shared folder, and
+    those of the step before are removed.
     """
     e = stored(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), f"{path}-0")
     state, k = None, 0
@@ -318,6 +493,7 @@ def components(edges: DataFrame, path: str) -> DataFrame:
         small = large.join(low, "a").select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         k += 1
         e = stored(small, f"{path}-{k}")
+        discard(e.sparkSession, f"{path}-{k - 1}")
         now = e.agg(F.count("*"), F.sum(F.xxhash64("a", "b") % 1_000_003), F.sum(F.xxhash64("b", "a") % 998_244_353)).first()
         if now == state:
             break
@@ -326,42 +502,58 @@ def components(edges: DataFrame, path: str) -> DataFrame:
     return out.unionByName(out.select(F.col("label").alias("node"), "label").distinct())
 
 
+def _bucket(size: Column, percent: int) -> Column:
+    """Sizes by eighths of the ratio that partners' sizes may have."""
+    return F.floor(F.log(size) * F.lit(8 / np.log(100 / percent))).cast("int")
+
+
+def _across(members: DataFrame, labels: DataFrame, percent: int, path: str) -> DataFrame:
+    """The pairs (a, b) of nodes in one signature and several components that the bounds of their sizes
+    admit. The smaller node meets larger ones in the buckets of sizes that both bounds reach, and one of
+    the two is always outside the signature's largest component."""
+    named = members.join(labels, "node", "left").select("sig", "node", "size", "cap", F.coalesce("label", "node").alias("label"))
+    each = named.groupBy("sig", "label").agg(F.count("*").alias("n"))
+    several = each.groupBy("sig").agg(F.count("*").alias("k"), F.max(F.struct("n", "label")).alias("m")).where("k > 1").select("sig", F.col("m.label").alias("main"))
+    open_ = named.join(several, "sig").select("sig", "node", "size", "cap", "label", (F.col("label") != F.col("main")).alias("minor"))
+    open_ = stored(open_, path)
+    least = F.ceil(F.col("size") * percent / 100)
+    small = open_.where("cap >= size").select("sig", F.col("node").alias("a"), F.col("size").alias("sa"), F.col("cap").alias("ca"), F.col("label").alias("la"), F.col("minor").alias("ma"), _bucket(F.col("size"), percent).alias("bucket"))
+    reach = F.explode(F.sequence(_bucket(least, percent), _bucket(F.least("cap", "size"), percent)))
+    large = open_.where(F.col("cap") >= least).select("sig", F.col("node").alias("b"), F.col("size").alias("sb"), F.col("cap").alias("cb"), F.col("label").alias("lb"), F.col("minor").alias("mb"), reach.alias("bucket"))
+    fits = (F.col("la") != F.col("lb")) & (F.col("sa") <= F.col("sb")) & (F.col("sa") <= F.col("cb")) & (F.col("sb") <= F.col("ca")) & (F.col("sa") * 100 >= F.col("sb") * percent)
+    one = small.where("ma").join(large, ["sig", "bucket"]).where(fits)
+    two = small.where("not ma").join(large.where("mb"), ["sig", "bucket"]).where(fits)
+    return one.select("a", "b").unionByName(two.select("a", "b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
 def labelled(docs: DataFrame, n: int, percent: int, key: str, text: str) -> DataFrame:
     """(_id, _k1, _k2, _size, label) of every row: its key, the hashes of the whole row, the size of its
     set, and the node that its component is named after (null without words)."""
     if percent < 70:
         raise ValueError("prefixes of pairs hold for thresholds of 70 percent and more")
-    spark = docs.sparkSession
-    base = shared_dir(spark)
+    spark, base = docs.sparkSession, shared_dir(docs.sparkSession)
     docs = docs.select(F.col(key).cast("long").alias("_id"), F.col(text).alias("_text"), *row_key(*docs.columns))
-    found, counts = _nodes(docs, n, "_text", f"{base}/nodes")
-    tiers = spark.sparkContext.broadcast(shingle_tiers(counts))
-
-    node = F.struct("_fp1", "_fp2")
-    nodes = found.where("_size > 1").dropDuplicates(["_fp1", "_fp2"]).select(node.alias("node"), "_size", "_sketch", "_k1")
-    nodes = stored(nodes, f"{base}/node-table")
-
-    rows = stored(_signature_rows(docs, n, percent, tiers, "_text"), f"{base}/signatures")
-    shared = rows.groupBy("sig").agg(F.min("_fp1").alias("lo"), F.max("_fp1").alias("hi")).where("lo < hi").select("sig", "lo")
-    members = stored(rows.join(shared, "sig").select("sig", node.alias("node"), "_size", "lo").distinct(), f"{base}/members")
+    found = _found(docs, n, f"{base}/found")
+    heavy = spark.sparkContext.broadcast(heavy_shingles(found))
+    parts = max(1, -(-(docs.agg(F.sum(F.octet_length("_text"))).first()[0] or 0) // PART_BYTES))
+    found = found.where("token is null").select("_id", "_k1", "_k2", "_size", F.when(F.col("_size") > 0, F.struct(*NODE)).alias("node"))
+
+    back = _repeated(_postings(docs, n, parts, heavy), parts)
+    nodes = stored(_candidates(back, parts, percent), f"{base}/nodes")
+    rows = stored(_signature_rows(nodes, percent), f"{base}/signatures")
+    hubs = rows.groupBy("sig").agg(F.min(F.struct((F.col("own") / F.col("size")).alias("share"), *NODE, F.col("size").alias("size"), F.col("cap").alias("cap"))).alias("hub"), F.count("*").alias("k")).where("k > 1").drop("k")
+    members = stored(rows.join(hubs, "sig").select("sig", F.struct(*NODE).alias("node"), "size", "cap", F.struct("hub.n1", "hub.n2").alias("hub"), F.col("hub.size").alias("hub_size"), F.col("hub.cap").alias("hub_cap")), f"{base}/members")
     discard(spark, f"{base}/signatures")
-    release(spark)
 
-    hubs = members.where(F.col("node._fp1") == F.col("lo")).groupBy("sig").agg(F.min("node").alias("hub"))
-    pairs = members.join(hubs, "sig").where("node <> hub").select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
-    links = _links(docs, nodes, pairs, n, percent, "_text", f"{base}/hub")
+    fits = (F.col("size") <= F.col("hub_cap")) & (F.col("hub_size") <= F.col("cap")) & (F.col("size") * 100 >= F.col("hub_size") * percent) & (F.col("hub_size") * 100 >= F.col("size") * percent)
+    pairs = members.where(fits & (F.col("node") != F.col("hub"))).select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
+    links = stored(_linked(nodes, pairs, percent), f"{base}/hub-links")
     labels = stored(components(links, f"{base}/first"), f"{base}/labels")
-
-    named = members.join(labels, "node", "left").select("sig", "node", "_size", F.coalesce("label", "node").alias("label"))
-    several = named.groupBy("sig").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("sig")
-    open_ = stored(named.join(several, "sig"), f"{base}/open")
-    one, two = (open_.select("sig", F.col("node").alias(x), F.col("_size").alias(f"n{x}"), F.col("label").alias(f"l{x}")) for x in "ab")
-    fits = (F.col("na") * 100 >= F.col("nb") * percent) & (F.col("nb") * 100 >= F.col("na") * percent)
-    across = one.join(two, "sig").where((F.col("a") < F.col("b")) & (F.col("la") != F.col("lb")) & fits).select("a", "b").distinct()
-    more = _links(docs, nodes, across, n, percent, "_text", f"{base}/across")
-    labels = components(links.unionByName(more), f"{base}/second")
-
-    found = found.withColumn("node", F.when(F.col("_size") > 0, node))
+    more = stored(_linked(nodes, _across(members.select("sig", "node", "size", "cap"), labels, percent, f"{base}/open"), percent), f"{base}/more-links")
+    if more.take(1):
+        labels = stored(components(links.unionByName(more), f"{base}/second"), f"{base}/all-labels")
+    for name in ("members", "open", "nodes"):
+        discard(spark, f"{base}/{name}")
     return found.join(labels, "node", "left").select("_id", "_k1", "_k2", "_size", F.coalesce("label", "node").alias("label"))
 
 

@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from saccade.llm import decontaminate, line_dedup, mixing, ngram_join, quality, substring_dedup
+from saccade.llm.common import row_key
 from tests.llm import brute, cases
 
 
@@ -42,7 +43,7 @@ def test_jaccard_components_match_brute_force(spark, n, percent):
 
 
 def test_jaccard_prefixes_hold_for_any_classes():
-    """Whatever shingles count as frequent, sets that reach the threshold share a signature."""
+    """Whatever classes shingles have, sets that reach the threshold share a signature whose bounds admit both."""
     import numpy as np
 
     rng = np.random.default_rng(5)
@@ -51,23 +52,38 @@ def test_jaccard_prefixes_hold_for_any_classes():
         universe = rng.integers(0, 1 << 63, size + 20, dtype="u8")
         a = np.unique(universe[:size])
         b = np.unique(np.append(np.delete(a, rng.integers(0, len(a), rng.integers(0, 8))), universe[size : size + rng.integers(0, 6)]))
-        tiers = np.zeros(ngram_join.BUCKETS, "u1")
-        tiers[(universe[rng.random(len(universe)) < rng.random()] & np.uint64(ngram_join.BUCKETS - 1)).astype("i8")] = rng.integers(1, 4)
+        shared = np.union1d(np.intersect1d(a, b), universe[rng.random(len(universe)) < 0.3])
+        kinds = dict(zip(universe.tolist(), (rng.integers(4, rng.integers(6, 60), len(universe))).tolist(), strict=True))
         for percent in (70, 80, 85, 95):
             both = len(np.intersect1d(a, b))
             if len(b) > 1 and len(a) != both and 100 * both >= percent * (len(a) + len(b) - both):
-                assert len(np.intersect1d(ngram_join.signatures(a, tiers, percent), ngram_join.signatures(b, tiers, percent)))
-
-
-def test_sketches_never_differ_in_more_bits_than_their_sets():
-    import numpy as np
-
-    rng = np.random.default_rng(6)
-    for _ in range(300):
-        universe = np.unique(rng.integers(0, 1 << 63, int(rng.integers(3, 900)), dtype="u8"))
-        a, b = (universe[rng.random(len(universe)) < rng.uniform(0.1, 1)] for _ in range(2))
-        (bits,) = ngram_join.bits_apart([ngram_join.sketch(a)], [ngram_join.sketch(b)])
-        assert bits <= len(np.setxor1d(a, b))
+                found = []
+                for s in (a, b):
+                    known = s[np.isin(s, shared)]
+                    classes = np.array([kinds[x] for x in known.tolist()], "u1")
+                    by = np.lexsort((known, classes))
+                    sig, bound = ngram_join.signatures(known[by], classes[by], len(s) - len(known), percent)
+                    found.append(dict(zip(sig.tolist(), ((len(s) - bound) * (100 + percent) // percent - len(s)).tolist(), strict=True)))
+                assert any(found[1].get(x, -1) >= len(a) and cap >= len(b) for x, cap in found[0].items())
+
+
+@pytest.mark.parametrize("n", [1, 4, 5])
+def test_sets_of_many_texts_at_once_are_those_of_each(n):
+    import pyarrow as pa
+
+    texts = [r[1] for r in cases.documents()] + ["", "  ", "a", "A a", " x  y z ", "x y z", "\u00a0 b\u2003c d", "tail\x0bof\x0cwords here"]
+    for column in (pa.array(texts), pa.array(["skip", *texts])[1:], pa.array(texts, pa.large_string())):
+        found = []
+        for first, sets, bounds in ngram_join.sets_of(column, n):
+            assert first == len(found)
+            found += [sets[a:z].tolist() for a, z in zip(bounds[:-1], bounds[1:], strict=True)]
+        assert len(found) == len(texts)
+        names: dict = {}
+        for t, s in zip(texts, found, strict=True):
+            want = brute.shingles(t, n)
+            assert len(s) == len(set(s)) == len(want)
+            assert names.setdefault(want, s) == s
+        assert len({x for s in found for x in s}) == len({x for t in texts for x in brute.shingles(t, n)})
 
 
 def test_a_large_family_of_near_copies_is_one_component(spark):
@@ -85,21 +101,50 @@ def test_a_large_family_of_near_copies_is_one_component(spark):
     assert rows_of(got, "doc_id", "n_shingles", "component_id") == sorted(((r[0], *w) for r, w in zip(rows, want, strict=True)), key=repr)
 
 
-def test_keys_that_share_a_bit_of_the_filter_lose_no_pairs(spark, monkeypatch):
-    """With so few bits, several tasks set the same ones."""
-    import numpy as np
-
-    monkeypatch.setattr(ngram_join, "FILTER_BITS", 1 << 15)
-    keys = [int(k) for k in np.random.default_rng(8).integers(-(1 << 62), 1 << 62, 6000)]
-    bits = np.unpackbits(np.frombuffer(ngram_join._filter_of(spark.createDataFrame([(k,) for k in keys], "k long").repartition(24)), "u1"), bitorder="little")
-    assert set(np.flatnonzero(bits).tolist()) == {k & ((1 << 15) - 1) for k in keys}
-
+def test_many_small_parts_and_heavy_shingles_lose_no_pairs(spark, monkeypatch):
+    """Postings in many parts and sendings, a passage that most documents have, and copies in every task."""
+    monkeypatch.setattr(ngram_join, "PART_BYTES", 2000)
+    monkeypatch.setattr(ngram_join, "SENT", 500)
     rng, rows = cases.random.Random(10), []
-    for i in range(0, 1000, 2):
+    passage = cases.prose(rng, 30)
+    for i in range(0, 700, 2):
         w = cases.prose(rng, 60).split(" ")
-        rows += [(i, " ".join(w)), (i + 1, " ".join([*w, f"own{i}"]))]
-    got = ngram_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(24), 4, 85)
-    assert {r.doc_id: r.component_id for r in got.collect()} == {i: i - i % 2 for i, _ in rows}
+        rows += [(i, " ".join([*w, passage])), (i + 1, " ".join([*w, f"own{i}", passage]))]
+    rows += [(1000 + i, rows[0][1]) for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(24)
+    want = {i: i - i % 2 if i < 1000 else 0 for i, _ in rows}
+    for least in (64, 4):
+        monkeypatch.setattr(ngram_join, "heavy_shingles", lambda found, least=least: heavy_of(rows, least))
+        got = ngram_join.jaccard_components(docs, 4, 85)
+        assert {r.doc_id: r.component_id for r in got.collect()} == want
+
+
+def heavy_of(rows, least):
+    import numpy as np
+    import pyarrow as pa
+
+    sets = np.concatenate([s for _, s, _ in ngram_join.sets_of(pa.array([t for _, t in rows]), 4)])
+    values, counts = np.unique(sets, return_counts=True)
+    return values[counts >= least]
+
+
+def test_heavy_shingles_are_those_of_very_many_documents(spark, monkeypatch):
+    rng = cases.random.Random(12)
+    rows = [(i, f"{cases.prose(rng, 20)} the same eight words stand in every text") for i in range(1200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    kept = []
+    find = ngram_join.heavy_shingles
+    monkeypatch.setattr(ngram_join, "heavy_shingles", lambda found: kept.append(find(found)) or kept[0])
+    assert ngram_join.jaccard_components(docs, 4, 85).count() == 1200
+    assert len(kept[0]) == 5
+
+
+def test_rows_that_differ_in_where_nulls_stand_have_keys_of_their_own(spark):
+    rows = [(1, "same words", "en", None, None), (1, "same words", None, "en", None), (1, "same words", None, None, None)]
+    keys = cases.frame(spark, rows).select(*row_key("doc_id", "text", "lang", "source", "n_chars")).collect()
+    assert len({r._k1 for r in keys}) == len({r._k2 for r in keys}) == 3
+    apart = cases.frame(spark, [(i, None, *x) for i, x in ((1, ("en", None, None)), (1, (None, "en", None)))])
+    assert ngram_join.keep_one(apart).count() == 2  # without words: nothing links
 
 
 def test_keep_one_leaves_one_of_each_group(spark):
