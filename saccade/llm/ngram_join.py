@@ -181,11 +181,11 @@ def signatures(h: np.ndarray, classes: np.ndarray, own: int, percent: int) -> tu
             some, part = some[:taken], part[:taken]
             by = np.lexsort((some, part))
             f, p = some[by], part[by]
-            starts = np.flatnonzero(np.append(True, p[1:] != p[:-1])) if taken else np.empty(0, "i8")
-            for a, b in zip(starts, np.append(starts[1:], len(p)), strict=True):
-                if b - a > 1:
-                    i, j = np.triu_indices(b - a, 1)
-                    out.append(_mixed(_mixed(f[a:b][i] * M1 + f[a:b][j]) + np.uint64(level)))
+            starts = _runs(p)
+            for a, k in zip(starts, _lengths(starts, len(p)), strict=True):
+                if k > 1:
+                    i, j = np.triu_indices(k, 1)
+                    out.append(_mixed(_mixed(f[a + i] * M1 + f[a + j]) + np.uint64(level)))
                     bound.append(np.full(len(i), own + rare))
     out.append(_mixed(h[:single] + np.uint64(1 << 40)))
     bound.append(own + np.arange(single))
@@ -221,7 +221,7 @@ def _runs(*keys: np.ndarray) -> np.ndarray:
 
 
 def _lengths(starts: np.ndarray, end: int) -> np.ndarray:
-    return np.diff(np.append(starts, end))
+    return np.diff(np.append(starts, end)) if len(starts) else np.empty(0, "i8")
 
 
 def _dealt(part: np.ndarray, n1: np.ndarray, n2: np.ndarray, columns: dict[str, np.ndarray]) -> tuple[np.ndarray, dict[str, pa.Array]]:
@@ -428,7 +428,7 @@ def _candidates(back: DataFrame, parts: int, percent: int) -> DataFrame:
         n1, n2, tokens, classes = n1[by], n2[by], tokens[by], classes[by]
         starts = _runs(n1, n2)
         rows = []
-        for a, z in zip(starts.tolist(), np.append(starts[1:], len(n1)).tolist(), strict=True):
+        for a, z in zip(starts.tolist(), (starts + _lengths(starts, len(n1))).tolist(), strict=True):
             size = sizes[int(n1[a]), int(n2[a])]
             own = size - (z - a)
             if own <= most_missing(size, percent):
