@@ -36,6 +36,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from saccade.llm.common import SPACES, discard, row_key, shared_dir, stored
+from saccade.llm.hashing import M1, mixed, numbers, run_hashes
 
 #: Bytes of text whose postings make a part, bytes of text that are hashed at once, shingles sent at once.
 PART_BYTES, CHUNK, SENT = 8 << 20, 1 << 19, 1_000_000
@@ -45,41 +46,22 @@ HEAVY_SHARE, HEAVY = 1 / 256, 16_384
 REMEMBERED = 200_000
 #: From so many nodes on a shingle is frequent. Classes are quarters of powers of two.
 FREQUENT = 64
-M1, M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 NODE = ["n1", "n2"]
 
 
-def _mixed(h: np.ndarray) -> np.ndarray:
-    h = (h ^ (h >> np.uint64(31))) * M2
-    return h ^ (h >> np.uint64(29))
-
-
 def _alphabet() -> tuple[np.ndarray, np.ndarray]:
     """A 64-bit number for each byte, A-Z as a-z, and which bytes are white space."""
     low = np.arange(256, dtype="u1")
     low[ord("A") : ord("Z") + 1] += 32
-    return _mixed(_mixed(np.arange(1, 257, dtype="u8") * M1))[low], np.isin(np.arange(256), list(SPACES.encode()))
+    return numbers(256)[low], np.isin(np.arange(256), list(SPACES.encode()))
 
 
 LETTERS, BLANK = _alphabet()
-BASE = 0x9E3779B97F4A7C13
-_powers: dict[int, np.ndarray] = {}
-
-
-def _powers_of(base: int, n: int) -> np.ndarray:
-    """base ** 0, 1, 2, ... modulo 2 ** 64."""
-    known = _powers.get(base)
-    if known is None or len(known) < n:
-        p = np.full(max(2 * CHUNK, n), np.uint64(base))
-        p[0] = 1
-        known = _powers[base] = np.multiply.accumulate(p)
-    return known[:n]
 
 
 def word_hashes(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the words of texts that lie one after another in data, and the number of words before
-    each text's end. ends: the texts' ends. A word's hash is a polynomial over its bytes, made from sums
-    over all of data."""
+    each text's end. ends: the texts' ends."""
     size = len(data)
     word = ~BLANK[data]
     edge = np.zeros(size + 1, bool)
@@ -88,12 +70,7 @@ def word_hashes(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndar
     first[1:] &= ~word[:-1] | edge[1:-1]
     last[:-1] &= ~word[1:] | edge[1:-1]
     a, z = np.flatnonzero(first), np.flatnonzero(last)
-    sums = LETTERS[data] * _powers_of(BASE, size)
-    np.cumsum(sums, out=sums)
-    w = sums[z]
-    w[a > 0] -= sums[a[a > 0] - 1]
-    w *= _powers_of(pow(BASE, -1, 1 << 64), size)[a]
-    return _mixed((w + (z - a).astype("u8")) * M1), np.searchsorted(a, ends)
+    return run_hashes(LETTERS[data], a, z), np.searchsorted(a, ends)
 
 
 def shingle_sets(data: np.ndarray, ends: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -103,7 +80,7 @@ def shingle_sets(data: np.ndarray, ends: np.ndarray, n: int) -> tuple[np.ndarray
     words = upto - before
     h = np.full(max(0, len(w) - n + 1), np.uint64(n))
     for i in range(n):
-        h = _mixed((h + w[i : len(w) - n + 1 + i]) * M1)
+        h = mixed((h + w[i : len(w) - n + 1 + i]) * M1)
     many = np.maximum(words - n + 1, np.minimum(words, 1))
     bounds = np.append(0, np.cumsum(many))
     at = np.repeat(before - bounds[:-1], many) + np.arange(bounds[-1])
@@ -111,7 +88,7 @@ def shingle_sets(data: np.ndarray, ends: np.ndarray, n: int) -> tuple[np.ndarray
     for d in np.flatnonzero((words > 0) & (words < n)):
         one = np.full(1, np.uint64(words[d]))
         for i in range(before[d], upto[d]):
-            one = _mixed((one + w[i : i + 1]) * M1)
+            one = mixed((one + w[i : i + 1]) * M1)
         out[bounds[d]] = one[0]
     for a, z in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
         if z - a > 1:
@@ -185,9 +162,9 @@ def signatures(h: np.ndarray, classes: np.ndarray, own: int, percent: int) -> tu
             for a, k in zip(starts, _lengths(starts, len(p)), strict=True):
                 if k > 1:
                     i, j = np.triu_indices(k, 1)
-                    out.append(_mixed(_mixed(f[a + i] * M1 + f[a + j]) + np.uint64(level)))
+                    out.append(mixed(mixed(f[a + i] * M1 + f[a + j]) + np.uint64(level)))
                     bound.append(np.full(len(i), own + rare))
-    out.append(_mixed(h[:single] + np.uint64(1 << 40)))
+    out.append(mixed(h[:single] + np.uint64(1 << 40)))
     bound.append(own + np.arange(single))
     found, at = np.unique(np.concatenate(out), return_index=True)
     return found, np.concatenate(bound)[at]
@@ -248,12 +225,12 @@ def _rows(schema: str, part: np.ndarray, cells: dict[str, pa.Array]) -> pa.Recor
 
 
 def _node_part(n1: np.ndarray, parts: int) -> np.ndarray:
-    return (_mixed(n1) % np.uint64(parts)).astype("i4")
+    return (mixed(n1) % np.uint64(parts)).astype("i4")
 
 
 def _token(part: np.ndarray, low: np.ndarray) -> np.ndarray:
     """A shingle as all tasks name it: 48 bits of its hash and 16 of its part, mixed."""
-    return _mixed(((part.astype("u8") & np.uint64(0xFFFF)) << np.uint64(48) | low) * M1)
+    return mixed(((part.astype("u8") & np.uint64(0xFFFF)) << np.uint64(48) | low) * M1)
 
 
 def _found(docs: DataFrame, n: int, path: str) -> DataFrame:
@@ -328,7 +305,7 @@ def _postings(docs: DataFrame, n: int, parts: int, heavy) -> DataFrame:
             bounds = np.append(heads, len(by))
             yield _rows(SENT_ROW, part[by][heads], {"n1": _cells(n1[by], bounds), "n2": _cells(n2[by], bounds), "sizes": _cells(sizes[by].astype("u4"), bounds)})
             node = np.repeat(np.arange(len(n1)), sizes)
-            low, of = tokens & np.uint64((1 << 48) - 1), (_mixed(tokens) % np.uint64(parts)).astype("i4")
+            low, of = tokens & np.uint64((1 << 48) - 1), (mixed(tokens) % np.uint64(parts)).astype("i4")
             known_heavy = hit[(tokens & np.uint64((1 << 20) - 1)).astype("i8")]
             if known_heavy.any():
                 at = np.flatnonzero(known_heavy)

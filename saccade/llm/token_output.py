@@ -9,9 +9,7 @@ reader take single documents, or the metadata columns alone.
 
 from __future__ import annotations
 
-import re
 import zlib
-from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,20 +19,57 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Bound of a worker's cache of pre-tokens, in entries; longer pre-tokens are not cached.
-CACHED, LONGEST = 500_000, 48
+from saccade.llm.hashing import numbers, run_hashes
+
+#: Places of a worker's cache of pre-tokens, the most pre-tokens it keeps ids of, and the longest ones that it keeps.
+PLACES, KEPT, LONGEST = 1 << 21, 1_000_000, 48
+#: Characters that are taken apart at once, and pre-tokens that go to the library as one text.
+CHUNK, TOGETHER = 500_000, 500
 #: How the tokenizer's own rules take a normalised text apart (fixed values; checked against the file).
 PRE_TOKEN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-
-#: The same for lower-case texts up to U+024F, whose letters, digits and white space are these.
-NARROW_LETTERS, NARROW_DIGITS = "a-zªµºß-öø-ɏ", "0-9²³¹¼½¾"
-NARROW = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{NARROW_LETTERS}]+|[{NARROW_DIGITS}]|[^\t-\r \x85\xa0{NARROW_LETTERS}{NARROW_DIGITS}]+").findall
+NORMALIZERS = ["NFC", "Replace", "Lowercase"]
+SPACE, LETTER, DIGIT, SYMBOL = range(4)
+#: Up to this code point texts are in normal form, and lower() is all that the normaliser does besides white space.
+NARROW = 0x24F
+OWN = ["part", "local_start", "n_tokens", "token_ids", "start"]
 
 _encoders: dict = {}
 
 
+def kinds_of_characters() -> np.ndarray:
+    """What each code point is to PRE_TOKEN."""
+    import regex
+
+    every = "".join(map(chr, range(0x110000)))
+    kinds = np.full(0x110000, SYMBOL, "u1")
+    for kind, pattern in ((SPACE, r"\p{White_Space}"), (LETTER, r"\p{L}"), (DIGIT, r"\p{N}")):
+        for m in regex.finditer(pattern + "+", every):
+            kinds[m.start() : m.end()] = kind
+    return kinds
+
+
+def pre_tokens(codes: np.ndarray, kinds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the pre-tokens of a normalised text begin and end (their last characters)."""
+    kind = kinds[codes]
+    first = kind != SPACE
+    first[1:] &= (kind[1:] != kind[:-1]) | (kind[1:] == DIGIT)
+    ahead = np.append(codes, [0, 0, 0]).astype("u4")
+    quotes = np.flatnonzero(first & (codes == ord("'")))
+    one, two = ahead[quotes + 1], ahead[quotes + 2]
+    short = np.isin(one, [ord(c) for c in "stmd"])
+    long = ~short & (((two == ord("e")) & np.isin(one, [ord("r"), ord("v")])) | ((one == ord("l")) & (two == ord("l"))))
+    for at, n in ((quotes[short], 2), (quotes[long], 3)):
+        first[at + 1] = False
+        after = at[at + n < len(codes)] + n
+        first[after] = kind[after] != SPACE
+    last = kind != SPACE
+    last[:-1] &= (kind[1:] == SPACE) | first[1:]
+    return np.flatnonzero(first), np.flatnonzero(last)
+
+
 class Encoder:
-    """Encodes texts through the library, one distinct pre-token at a time, and joins the ids."""
+    """Encodes texts through the library. Texts are taken apart as arrays; each pre-token goes to the
+    library once, and is found again by its hash as long as the cache has it."""
 
     def __init__(self, path: str):
         import json
@@ -47,34 +82,78 @@ class Encoder:
             rules = json.load(f)
         self.special = regex.compile("|".join(regex.escape(t["content"]) for t in rules["added_tokens"]) or "(?!)").search
         parts = (rules.get("pre_tokenizer") or {}).get("pretokenizers") or [{}]
-        known = parts[0].get("pattern") == {"Regex": PRE_TOKEN} and [n["type"] for n in (rules.get("normalizer") or {}).get("normalizers", [])] == ["NFC", "Replace", "Lowercase"]
-        self.split = regex.compile(PRE_TOKEN.replace(r"[^\s", r"[^\p{White_Space}")).findall if known else None
-        self.wide = regex.compile("[^\x00-ɏ]").search
-        self.known: dict[str, bytes] = {}
-
-    def _ids(self, text: str) -> bytes:
-        return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-
-    def _parts(self, text: str) -> list[str]:
-        """Up to U+024F, lower() is all that the normaliser does besides white space."""
-        return self.split(self.library.normalizer.normalize_str(text)) if self.wide(text) else NARROW(text.lower())
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Each text's ids as little-endian unsigned 32-bit integers."""
-        parts = [None if self.split is None or self.special(t) else self._parts(t) for t in texts]
-        needed = set().union(*(p for p in parts if p is not None))
-        if len(self.known) + len(needed) > CACHED:
-            self.known.clear()
-        missing = list(needed.difference(self.known))
-        for a in range(0, len(missing), 5000):
-            some = missing[a : a + 5000]
-            for part, e in zip(some, self.library.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                self.known[part] = array("I", e.ids).tobytes()
-        ids = [self._ids(t) if p is None else b"".join(map(self.known.__getitem__, p)) for t, p in zip(texts, parts, strict=True)]
-        for part in missing:
-            if len(part) > LONGEST:
-                del self.known[part]
-        return ids
+        self.apart = parts[0].get("pattern") == {"Regex": PRE_TOKEN} and [n["type"] for n in (rules.get("normalizer") or {}).get("normalizers", [])] == NORMALIZERS
+        self.wide = regex.compile(rf"[^\x00-{chr(NARROW)}]").search
+        if self.apart:
+            self.kinds, self.numbers = kinds_of_characters(), numbers(0x110000)
+            self.places, self.entries = np.zeros(PLACES, "u8"), np.zeros(PLACES, "i4")
+            self.forget()
+
+    def forget(self) -> None:
+        self.places[:] = 0
+        self.begin, self.size, self.ids = np.zeros(1, "i8"), np.ones(1, "i8"), np.zeros(1, "u4")
+
+    def _library(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, "u4") for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _add(self, words: list[str]) -> int:
+        """Encodes pre-tokens; returns the entry of the first one."""
+        ids, sizes = [], []
+        for a in range(0, len(words), TOGETHER):
+            some = words[a : a + TOGETHER]
+            whole = self.library.encode_batch([" ".join(some)], add_special_tokens=False)[0]
+            new = np.flatnonzero(np.diff(np.array(whole.word_ids, "i8"), prepend=-1))
+            if len(new) == len(some):
+                ids.append(np.array(whole.ids, "u4"))
+                sizes.append(np.diff(np.append(new, len(whole.ids))))
+            else:  # not taken apart as in its text: each alone
+                each = self._library(some)
+                ids += each
+                sizes.append(np.array([len(x) for x in each]))
+        entry, sizes = len(self.size), np.concatenate(sizes)
+        self.begin = np.append(self.begin, len(self.ids) + np.cumsum(sizes) - sizes)
+        self.size, self.ids = np.append(self.size, sizes), np.concatenate([self.ids, *ids])
+        return entry
+
+    def _entries(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        """Where the pre-tokens of a normalised text begin, and the entry of each."""
+        codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "u4")
+        first, last = pre_tokens(codes, self.kinds)
+        h = run_hashes(self.numbers[codes], first, last)
+        place = (h & np.uint64(PLACES - 1)).astype("i8")
+        known, entry = self.places[place] == h, self.entries[place]
+        missing = np.flatnonzero(~known)
+        if len(missing):
+            new, at, back = np.unique(h[missing], return_index=True, return_inverse=True)
+            at = missing[at]
+            entry[missing] = self._add([text[a : z + 1] for a, z in zip(first[at].tolist(), last[at].tolist(), strict=True)]) + back
+            stay = last[at] - first[at] < LONGEST
+            self.places[place[at[stay]]], self.entries[place[at[stay]]] = new[stay], entry[at[stay]]
+        return first, entry
+
+    def encode(self, texts: list[str], end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, end_id after each, one after another, and how many each text has."""
+        if not texts:
+            return np.empty(0, "u4"), np.empty(0, "i8")
+        whole = [not self.apart or self.special(t) is not None for t in texts]
+        if all(whole):
+            each = [np.append(x, np.uint32(end_id)) for x in self._library(texts)]
+            return np.concatenate(each), np.array([len(x) for x in each], "i8")
+        if any(whole):  # those with special tokens go to the library as they are
+            pairs = [self.encode([t], end_id) for t in texts]
+            return np.concatenate([x for x, _ in pairs]), np.concatenate([n for _, n in pairs])
+        if len(self.size) > KEPT:
+            self.forget()
+        plain = [t.lower() for t in texts]
+        plain = [self.library.normalizer.normalize_str(t) if self.wide(p) else p for t, p in zip(texts, plain, strict=True)]
+        first, entry = self._entries("\n".join(plain))
+        ends = np.searchsorted(first, np.cumsum([len(p) + 1 for p in plain]) - 1)
+        self.ids[0] = end_id
+        entry = np.insert(entry, ends, 0)
+        size = self.size[entry]
+        upto = np.cumsum(size)
+        ids = self.ids[np.repeat(self.begin[entry] - upto + size, size) + np.arange(upto[-1])]
+        return ids, np.diff(upto[ends + np.arange(len(ends))], prepend=0)
 
 
 def encoder(path: str) -> Encoder:
@@ -86,7 +165,7 @@ def encoder(path: str) -> Encoder:
     return _encoders[path]
 
 
-def _chunks(texts: list[str], most: int = 500_000) -> Iterator[list[str]]:
+def _chunks(texts: list[str], most: int = CHUNK) -> Iterator[list[str]]:
     part: list[str] = []
     size = 0
     for t in texts:
@@ -102,9 +181,12 @@ def _chunks(texts: list[str], most: int = 500_000) -> Iterator[list[str]]:
 def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, order: list[str] | None = None, keep: list[str] | None = None, text: str = "text", encoding: str = "dictionary", row_group_bytes: int = 64 << 20, page_bytes: int = 1 << 20, page_rows: int = 20_000) -> None:
     """Encodes every whole text, appends end_id, and writes the files in ascending order of ``order``
     (columns; doc_id if none is given), nulls first; ties go by the text's hash, then by the text.
-    keep: columns to store beside the ids. A null text counts as empty: its ids are the end id alone.
+    keep: columns to store beside the ids, without those that have a name of the format's own (OWN).
+
+    A null or empty text's ids are the end id alone. Very long texts are one list. Repeated rows are
+    written each for itself. An empty table makes a file without rows, so that its columns are known.
     """
-    keep = ["doc_id"] if keep is None else keep
+    keep = [c for c in (["doc_id"] if keep is None else keep) if c.lower() not in OWN]
     by = [F.col(f"_o{i}").asc_nulls_first() for i in range(len(order or ["doc_id"]))]
     rows = docs.select(
         *[F.col(c).alias(f"_o{i}") for i, c in enumerate(order or ["doc_id"])],
@@ -118,14 +200,13 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, or
     made = T.StructType([*rows.drop("_text").schema.fields, T.StructField("local_start", T.LongType()), T.StructField("n_tokens", T.LongType()), T.StructField("token_ids", T.ArrayType(T.IntegerType(), False))])
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, end, done = encoder(tokenizer), np.array([end_id], "<u4").tobytes(), 0
+        own, done = encoder(tokenizer), 0
         for batch in batches:
             kept, at = batch.columns[:-1], 0
             for some in _chunks(batch.column(batch.num_columns - 1).to_pylist()):
-                found = [x + end for x in own.encode(some)]
-                sizes = np.array([len(x) // 4 for x in found], "i8")
+                found, sizes = own.encode(some, end_id)
                 ends = np.cumsum(sizes)
-                ids = pa.ListArray.from_arrays(pa.array(np.append(0, ends), pa.int32()), pa.array(np.frombuffer(b"".join(found), "<i4")))
+                ids = pa.ListArray.from_arrays(pa.array(np.append(0, ends), pa.int32()), pa.array(found.view("i4")))
                 yield pa.RecordBatch.from_arrays([*(c.slice(at, len(some)) for c in kept), pa.array(done + ends - sizes), pa.array(sizes), ids], names=[*keep, "part", "local_start", "n_tokens", "token_ids"])
                 at, done = at + len(some), done + int(ends[-1])
 

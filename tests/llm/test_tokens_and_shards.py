@@ -28,6 +28,62 @@ def test_token_files_round_trip(spark, tmp_path):
     assert "token_ids" not in token_output.read_tokens(spark, path, ["doc_id"]).columns
 
 
+def library_ids(library, text):
+    return [*library.encode(text, add_special_tokens=False).ids, 2]
+
+
+def encoded(texts):
+    ids, sizes = token_output.encoder(tokenizer_path("word_bpe_49k.json")).encode(texts, 2)
+    ends = np.cumsum(sizes)
+    assert len(ids) == (ends[-1] if len(ends) else 0)
+    return [ids[z - n : z].tolist() for z, n in zip(ends, sizes, strict=True)]
+
+
+def test_ids_are_the_librarys_for_every_code_point():
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(tokenizer_path("word_bpe_49k.json"))
+    points = [chr(c) for c in range(0x10000) if not 0xD800 <= c < 0xE000]
+    for a in range(0, len(points), 4000):
+        texts = [f"a{c}b {c} {c}1{c}" for c in points[a : a + 4000]]
+        assert encoded(texts) == [library_ids(library, t) for t in texts]
+
+
+def test_ids_are_the_librarys_for_random_texts(monkeypatch):
+    from tokenizers import Tokenizer
+
+    library, rng = Tokenizer.from_file(tokenizer_path("word_bpe_49k.json")), cases.random.Random(3)
+    alphabet = "ab'stvelmdr 12\n\t.,!\"éİƁΑΣσ中😀\u0301\u00a0 \x1c\x85-"
+    for least in (1_000_000, 5):  # with so few entries the cache starts anew for each call
+        monkeypatch.setattr(token_output, "KEPT", least)
+        for _ in range(10):
+            texts = ["".join(rng.choice(alphabet) for _ in range(rng.randint(0, 40))) for _ in range(300)]
+            texts += ["a <|endoftext|> b", "", "x" * 5000, "'s't 'Street ''s"]
+            assert encoded(texts) == [library_ids(library, t) for t in texts]
+    assert encoded([]) == []
+
+
+def test_token_files_have_the_encoding_groups_and_pages_asked_for(spark, tmp_path):
+    import pyarrow.parquet as pq
+
+    docs = spark.createDataFrame([(i, cases.prose(cases.random.Random(i), 300)) for i in range(400)], "doc_id long, text string").coalesce(1)
+    for encoding in ("dictionary", "delta"):
+        path = str(tmp_path / encoding)
+        token_output.write_tokens(docs, path, tokenizer_path("word_bpe_49k.json"), encoding=encoding, row_group_bytes=1 << 18, page_bytes=1 << 14)
+        (file,) = (tmp_path / encoding).glob("*.parquet")
+        meta = pq.ParquetFile(file).metadata
+        column = next(meta.row_group(0).column(i) for i in range(meta.num_columns) if meta.row_group(0).column(i).path_in_schema.startswith("token_ids"))
+        assert meta.num_row_groups > 1 and column.has_offset_index and column.has_column_index
+        assert any(("DELTA" if encoding == "delta" else "DICTIONARY") in e for e in column.encodings)
+
+
+def test_token_files_of_columns_named_like_the_formats_own(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "a b", "x", 7)], "doc_id long, text string, part string, n_tokens int")
+    token_output.write_tokens(docs, str(tmp_path / "t"), tokenizer_path("word_bpe_49k.json"), keep=["doc_id", "part", "n_tokens"])
+    (row,) = token_output.read_tokens(spark, str(tmp_path / "t")).collect()
+    assert (row.doc_id, row.start, row.n_tokens) == (1, 0, 3)
+
+
 def test_token_files_of_no_and_of_equal_rows(spark, tmp_path):
     token_output.write_tokens(cases.empty(spark), str(tmp_path / "none"), tokenizer_path("word_bpe_49k.json"))
     assert token_output.read_tokens(spark, str(tmp_path / "none")).count() == 0
