@@ -14,8 +14,9 @@ from saccade.llm.queries import tokenizer_path
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the base rules or the line frequencies reject go; the others keep their texts."""
-    return quality.score(docs).where("kept").select(*docs.columns)
+    """Documents that the base rules or the line frequencies reject go; the others lose the lines above the limit."""
+    cells = {"text": F.col("clean_text"), "n_chars": F.length("clean_text").cast("long")}
+    return quality.score(docs).where("kept").select(*[cells.get(c, F.col(c)).alias(c) for c in docs.columns])
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

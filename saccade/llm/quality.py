@@ -1,12 +1,13 @@
 """Quality rules from line frequencies across documents (DataFrame functions only).
 
-A line that very many documents of one host carry, each time between other lines, is boilerplate.
-Normalised lines are hashed, distinct documents are counted for each host and line, lines above the
-limits count as removed, and a document that keeps too little is rejected.
-
-Copies must not look like boilerplate: documents with equal texts count once, and a line only goes
-above the limit if most of its documents show it in surroundings of their own (its neighbours above
-and below). A family of near copies repeats its surroundings too, so it is left to deduplication.
+Lines that very many documents of one host carry are boilerplate. Normalised lines are hashed, distinct
+documents are counted for each host and line, lines above the limit are removed, and a document that
+keeps too little is rejected.
+
+Copies must not look like boilerplate. Documents with equal texts count once. Near copies are told by
+sketches, a document's longest words: each document with a line is compared with one of them, and where
+the others, less a tenth for the sketch's errors, are within the limit, the line belongs to a family of
+near copies and stays. Whether a line stands alone or in a block of such lines makes no difference.
 """
 
 from __future__ import annotations
@@ -14,88 +15,131 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from saccade.llm.common import SPACES, ascii_lower, split_words, without
+from saccade.llm.common import SPACES, shared_dir, stored, without
 
-SYMBOLS = "#*$%&|<>"
+SYMBOLS = r"[#*$%&|<>]"
 BASE = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+ADDED = [*BASE, "n_removed_words", "base_failed", "kept", "clean_text"]
+#: Words in a sketch. Sketches that share five eighths of the longer one are of near copies.
+SKETCH = 32
 
 
 def _size(a: Column) -> Column:
     return F.size(a).cast("long")
 
 
-def with_base_counts(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs with n_words, word_chars (code points in words), n_symbols, n_dup_lines (lines with a word
-    that equal an earlier line) and n_repeat_words (words inside 3-word windows that occur twice or
-    more in the text), all long. Null text: zeros. Linear in the text but for one sort of its windows.
-    """
-    docs = without(docs, *BASE)
+def _spaced(text: Column) -> Column:
+    """White space other than newlines as spaces."""
+    for c in SPACES:
+        if c not in " \n":
+            text = F.replace(text, F.lit(c), F.lit(" "))
+    return text
+
+
+def _words(text: Column) -> Column:
+    """Words of a text without white space other than spaces."""
+    return F.array_remove(F.split(text, " "), "")
+
+
+def _keys(text: Column) -> Column:
+    """The normalised form of each line: white space as spaces, stripped, in lower case."""
+    return F.transform(F.split(_spaced(F.lower(text)), "\n"), lambda x: F.trim(x))
+
+
+def _counted(docs: DataFrame, columns: list[Column], text: str) -> DataFrame:
+    """The columns, _w (words), and the base counts but n_repeat_words; _t: hashes of the 3-word windows."""
     t = F.coalesce(F.col(text), F.lit(""))
-    cells = docs.select("*", split_words(t).alias("_w"), F.filter(F.split(t, "\n"), lambda x: F.btrim(x, F.lit(SPACES)) != "").alias("_l"))
+    lines = F.filter(F.split(t, "\n"), lambda x: F.btrim(x, F.lit(SPACES)) != "")
+    cells = docs.select(*columns, t.alias("_text"), _words(F.replace(_spaced(t), F.lit("\n"), F.lit(" "))).alias("_w"), lines.alias("_l"))
     n = F.greatest(F.size("_w") - 2, F.lit(0))
     pairs = F.zip_with(F.slice("_w", F.lit(1), n), F.slice("_w", F.lit(2), n), lambda a, b: F.xxhash64(a, b))
     windows = F.zip_with(pairs, F.slice("_w", F.lit(3), n), lambda a, b: F.xxhash64(a, b))
-    cells = cells.select(
-        *docs.columns,
+    return cells.select(
+        "*",
         _size("_w").alias("n_words"),
-        F.length(F.translate(t, SPACES, "")).cast("long").alias("word_chars"),
-        (F.length(t) - F.length(F.translate(t, SYMBOLS, ""))).cast("long").alias("n_symbols"),
+        F.length(F.array_join("_w", "")).cast("long").alias("word_chars"),
+        F.regexp_count("_text", F.lit(SYMBOLS)).cast("long").alias("n_symbols"),
         (F.size("_l") - F.size(F.array_distinct("_l"))).cast("long").alias("n_dup_lines"),
         windows.alias("_t"),
     )
+
+
+def _repeats(cells: DataFrame, columns: list[str]) -> DataFrame:
+    """The columns and n_repeat_words, from _t. Linear in the text but for one sort of its windows."""
     some = F.size("_t") > F.size(F.array_distinct("_t"))
     ordered = F.sort_array(F.transform("_t", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
-    cells = cells.select(*docs.columns, *BASE[:4], F.when(some, ordered).alias("_s"))
+    cells = cells.select(*columns, F.when(some, ordered).alias("_s"))
     same = F.zip_with(F.col("_s.h"), F.slice(F.col("_s.h"), F.lit(2), F.size("_s")), lambda a, b: a.eqNullSafe(b))
     cells = cells.select("*", same.alias("_n"))
     twice = F.zip_with("_n", F.concat(F.array(F.lit(False)), F.slice("_n", F.lit(1), F.size("_n") - 1)), lambda a, b: a | b)
     places = F.sort_array(F.filter(F.zip_with(twice, F.col("_s.i"), lambda f, i: F.when(f, i)), lambda i: i.isNotNull()))
     start = F.struct(F.lit(-3).alias("last"), F.lit(0).cast("long").alias("n"))
     covered = F.aggregate(places, start, lambda a, i: F.struct(i.alias("last"), (a["n"] + F.least(F.lit(3), i - a["last"])).alias("n")), lambda a: a["n"])
-    return cells.select(*docs.columns, *BASE[:4], F.when(F.col("_s").isNull(), F.lit(0)).otherwise(covered).cast("long").alias("n_repeat_words"))
+    return cells.select(*columns, F.when(F.col("_s").isNull(), F.lit(0)).otherwise(covered).cast("long").alias("n_repeat_words"))
 
 
-def _lines(docs: DataFrame, host: str, text: str) -> DataFrame:
-    """A row for each line with a word: content keys, host, place, hash, hash of its neighbours, words."""
-    lines = F.filter(F.transform(F.split(ascii_lower(F.coalesce(F.col(text), F.lit(""))), "\n"), lambda x: F.btrim(x, F.lit(SPACES))), lambda x: x != "")
-    rows = docs.select(*content_key(host, text), lines.alias("_l"))
-    rows = rows.select("_k1", "_k2", "_host", F.transform("_l", lambda x: F.xxhash64(x)).alias("_h"), F.transform("_l", lambda x: F.size(split_words(x))).alias("_w"))
-    above = F.concat(F.array(F.lit(0).cast("long")), F.col("_h"))
-    below = F.concat(F.slice("_h", F.lit(2), F.size("_h")), F.array(F.lit(0).cast("long")))
-    rows = rows.select("_k1", "_k2", "_host", F.arrays_zip(F.col("_h").alias("h"), above.alias("a"), below.alias("b"), F.col("_w").alias("w")).alias("_z"))
-    rows = rows.select("_k1", "_k2", "_host", F.posexplode("_z").alias("_pos", "_line")).where(F.col("_line.h").isNotNull())
-    return rows.select("_k1", "_k2", "_host", "_pos", F.col("_line.h").alias("_h"), F.xxhash64("_line.a", "_line.b").alias("_ctx"), F.col("_line.w").alias("_words"))
+def with_base_counts(docs: DataFrame, text: str = "text") -> DataFrame:
+    """docs with n_words, word_chars (code points in words), n_symbols, n_dup_lines (lines with a word
+    that equal an earlier line) and n_repeat_words (words inside 3-word windows that occur twice or
+    more in the text), all long. Null text: zeros. Columns of these names are replaced."""
+    docs = without(docs, *BASE)
+    return _repeats(_counted(docs, [F.col(c) for c in docs.columns], text), [*docs.columns, *BASE[:4]])
 
 
 def content_key(host: str, text: str) -> list[Column]:
-    t = F.coalesce(F.col(text), F.lit(""))
     named = F.coalesce(F.concat(F.lit("h"), F.col(host).cast("string")), F.lit("none")).alias("_host")
-    return [F.xxhash64(t).alias("_k1"), F.xxhash64(F.lit(7), t).alias("_k2"), named]
-
-
-def frequent_lines(lines: DataFrame, max_docs: int, own_share: float) -> DataFrame:
-    """(host, line) above the limits: more than max_docs distinct documents, and at least own_share as
-    many distinct surroundings."""
-    once = lines.groupBy("_host", "_h", "_k1", "_k2").agg(F.min("_ctx").alias("_ctx"))
-    around = once.groupBy("_host", "_h", "_ctx").agg(F.count("*").alias("_n"))
-    counts = around.groupBy("_host", "_h").agg(F.sum("_n").alias("_docs"), F.count("*").alias("_around"))
-    return counts.where((F.col("_docs") > max_docs) & (F.col("_around") >= own_share * F.col("_docs"))).select("_host", "_h")
-
-
-def score(docs: DataFrame, max_docs: int = 10, own_share: float = 0.75, min_words: int = 50, min_left: float = 0.3, max_repeat: float = 0.5, host: str = "source", text: str = "text") -> DataFrame:
-    """docs with the base counts, n_removed_words (words of lines above the limits), base_failed
-    (n_words < min_words, or more than max_repeat of the words in repeated windows) and kept (not
-    base_failed, and not depleted: at least min_words words and the share min_left of them stay).
-
-    Null or empty texts have no words and fail; a null host is a host of its own. Repeated rows get
-    equal verdicts. Columns with these names are replaced; an empty table gives an empty table.
+    return [named, F.md5(F.coalesce(F.col(text), F.lit(""))).alias("_md5")]
+
+
+def contents(docs: DataFrame, host: str, text: str) -> DataFrame:
+    """A row for each different text of a host: its base counts, its lines with a word (hash, number of
+    words) and its sketch."""
+    cells = _counted(docs, content_key(host, text), text)
+    keys = F.filter(_keys(F.col("_text")), lambda x: x != "")
+    lines = F.transform(keys, lambda x: F.struct(F.xxhash64(x).alias("h"), F.size(_words(x)).alias("w")))
+    longest = F.sort_array(F.transform(F.array_distinct("_w"), lambda x: F.struct((-F.length(x)).alias("n"), x.alias("w"))))
+    sketch = F.transform(F.slice(longest, 1, SKETCH), lambda x: F.xxhash64(x["w"]))
+    kept = ["_host", "_md5", *BASE[:4]]
+    rows = _repeats(cells.select(*kept, "_t", lines.alias("_lines"), sketch.alias("_sketch")), [*kept, "_lines", "_sketch"])
+    return rows.dropDuplicates(["_host", "_md5"])
+
+
+def frequent_lines(rows: DataFrame, max_docs: int) -> DataFrame:
+    """(_host, _h) of the lines above the limit, from contents(): more than max_docs different documents
+    of the host have them, and also more besides those that look like copies of one."""
+    hashes = F.explode(F.array_distinct("_lines.h")).alias("_h")
+    many = rows.select("_host", hashes).groupBy("_host", "_h").agg(F.count("*").alias("_docs")).where(F.col("_docs") > max_docs)
+    held = rows.select("_host", "_md5", "_sketch", hashes).join(many, ["_host", "_h"])
+    hubs = held.groupBy("_host", "_h").agg(F.min(F.struct("_md5", "_sketch")).alias("_hub"))
+    pairs = held.join(hubs, ["_host", "_h"])
+    common, longer = F.size(F.array_intersect("_sketch", "_hub._sketch")), F.greatest(F.size("_sketch"), F.size("_hub._sketch"))
+    others = pairs.where(common * 8 < longer * 5).groupBy("_host", "_h", "_docs").agg(F.count("*").alias("_others"))
+    return others.where(F.col("_others") * 10 > F.col("_docs") + 10 * max_docs).select("_host", "_h")
+
+
+def score(docs: DataFrame, max_docs: int = 10, min_words: int = 50, min_left: float = 0.3, max_repeat: float = 0.5, host: str = "source", text: str = "text") -> DataFrame:
+    """docs with the base counts, n_removed_words (words of lines above the limit), base_failed (n_words
+    < min_words, or more than max_repeat of the words in repeated windows), kept (not base_failed, and
+    not depleted: at least min_words words and the share min_left of them stay) and clean_text (the text
+    without the lines above the limit).
+
+    Null or empty texts have no words and fail; their clean_text is as they are. A null host is a host
+    of its own. Repeated rows get equal verdicts. Very long texts are counted whole. Columns with these
+    names are replaced; an empty table gives an empty table. Hosts all of whose pages are nearly equal
+    count as families of copies.
     """
-    docs = without(docs, *BASE, "n_removed_words", "base_failed", "kept")
-    lines = _lines(docs, host, text)
-    found = lines.join(frequent_lines(lines, max_docs, own_share), ["_host", "_h"], "left_semi")
-    removed = found.groupBy("_k1", "_k2", "_host", "_pos").agg(F.max("_words").alias("_words")).groupBy("_k1", "_k2", "_host").agg(F.sum("_words").alias("_removed"))
-    rows = with_base_counts(docs.select("*", *content_key(host, text)), text)
-    rows = rows.join(removed, ["_k1", "_k2", "_host"], "left").withColumn("n_removed_words", F.coalesce("_removed", F.lit(0)).cast("long")).drop("_k1", "_k2", "_host", "_removed")
+    base = shared_dir(docs.sparkSession)
+    docs = without(docs, *ADDED)
+    rows = stored(contents(docs, host, text), f"{base}/contents")
+    frequent = stored(frequent_lines(rows, max_docs), f"{base}/frequent")
+    each = rows.select("_host", "_md5", F.explode("_lines").alias("_line")).select("_host", "_md5", F.col("_line.h").alias("_h"), F.col("_line.w").alias("_n"))
+    gone = each.join(frequent, ["_host", "_h"]).groupBy("_host", "_md5").agg(F.sum("_n").alias("_removed"), F.collect_set("_h").alias("_gone"))
+    verdict = rows.select("_host", "_md5", *BASE).join(gone, ["_host", "_md5"], "left")
+    verdict = verdict.select("_host", "_md5", "_gone", *BASE, F.coalesce("_removed", F.lit(0)).cast("long").alias("n_removed_words"))
     left = F.col("n_words") - F.col("n_removed_words")
     failed = (F.col("n_words") < min_words) | (F.col("n_repeat_words") * 100 > F.lit(int(max_repeat * 100)) * F.col("n_words"))
-    return rows.withColumn("base_failed", failed).withColumn("kept", ~failed & (left >= min_words) & (left >= F.lit(min_left) * F.col("n_words")))
+    verdict = verdict.withColumn("base_failed", failed).withColumn("kept", ~failed & (left >= min_words) & (left >= F.lit(min_left) * F.col("n_words")))
+    joined = docs.select("*", *content_key(host, text)).join(stored(verdict, f"{base}/verdicts"), ["_host", "_md5"])
+    stay = F.filter(F.arrays_zip(F.split(F.col(text), "\n").alias("line"), _keys(F.col(text)).alias("key")), lambda x: ~F.array_contains("_gone", F.xxhash64(x["key"])))
+    clean = F.when(F.col("_gone").isNull(), F.col(text)).otherwise(F.array_join(stay["line"], "\n"))
+    return joined.select(*docs.columns, *ADDED[:-1], clean.alias("clean_text"))

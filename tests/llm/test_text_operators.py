@@ -228,6 +228,55 @@ def test_quality_keeps_copies_and_rejects_boilerplate(spark):
     assert quality.score(cases.empty(spark)).count() == 0
 
 
+def test_quality_removes_blocks_and_leaves_families_of_near_copies(spark):
+    """A menu without a line of a page's own between its lines goes; pages keep their own lines."""
+    rng = cases.random.Random(14)
+    menu = "\n".join(f"Menu Entry{i} {' '.join(rng.choice(cases.WORDS) for _ in range(8))}" for i in range(8))
+    rows = [(i, f"top {i}\n{menu.upper() if i % 2 else menu}\n{cases.prose(rng, 80)}", "en", "host", 1) for i in range(40)]
+    rows += [(50 + i, f"{menu}\nown words {i} {cases.prose(rng, 25)}", "en", "host", 1) for i in range(5)]  # depleted
+    base = cases.prose(rng, 150).split(" ")
+    for i in range(40):  # near copies in another host, each with three changed words
+        w = list(base)
+        for k in rng.sample(range(len(w)), 3):
+            w[k] = f"own{i}x{k}"
+        rows.append((100 + i, " ".join(w), "en", "other", 1))
+    rows += [(200 + i, rows[50][1], "en", "other", 1) for i in range(15)]  # copies
+    got = {r.doc_id: r for r in quality.score(cases.frame(spark, rows)).collect()}
+    assert all(got[i].kept and got[i].n_removed_words == 8 * 10 and got[i].clean_text == "\n".join(x for x in r[1].split("\n") if "entry" not in x.lower()) for i, r in enumerate(rows[:40]))
+    assert not any(got[50 + i].kept for i in range(5)) and all(not got[50 + i].base_failed for i in range(5))
+    assert all(got[i].kept and got[i].n_removed_words == 0 and got[i].clean_text == t for i, t, *_ in rows if i >= 100)
+
+
+def test_quality_has_one_verdict_with_its_sql(spark, tmp_path):
+    import duckdb
+
+    from saccade.llm import queries
+
+    rng = cases.random.Random(15)
+    menu = "\n".join(f"\t Menu entry {i} of this site " for i in range(4))
+    rows = cases.documents() + [(300 + i, f"{cases.prose(rng, 30)}\n{menu}\n{cases.prose(rng, 40)}", "en", f"s{i % 2}", 1) for i in range(30)]
+    folder = cases.save(spark, tmp_path, rows)
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW documents AS SELECT * FROM '{folder}/documents.parquet/*.parquet'")
+    got = queries.op9_quality(spark, folder)
+    want = db.execute(f"SELECT {', '.join(got.columns)} FROM ({queries.OP9_SQL})").fetchall()
+    assert rows_of(got, *got.columns) == sorted(want, key=repr)
+
+
+def test_filtering_by_the_verdict_copies_no_expressions(spark):
+    """What the verdict rests on is stored, so that a filter can't pull its expressions into the plan again."""
+    scored = quality.score(cases.frame(spark))
+    plans = [df._jdf.queryExecution().optimizedPlan().toString() for df in (scored, scored.where("kept"))]
+    assert plans[1].count("split(") <= plans[0].count("split(") <= 6
+
+
+def test_quality_of_awkward_rows(spark):
+    docs = cases.frame(spark).selectExpr("*", "1 AS clean_text", "2 AS _md5x", "3 AS N_WORDS")
+    got = quality.score(docs)
+    assert got.count() == len(cases.documents()) and got.columns.count("clean_text") == 1
+    assert {r.doc_id for r in got.where("clean_text is null").collect()} == {200}
+
+
 def test_quality_base_counts(spark):
     rows = [(1, "a b c a b c x\n#1 $2\n#1 $2\n \nA<b>", "en", "s", 1)]
     r = quality.with_base_counts(cases.frame(spark, rows)).first()
