@@ -41,3 +41,22 @@ def run_hashes(values: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.nd
     h[inner] -= values[first[inner] - 1]
     h *= _powers_of(pow(BASE, -1, 1 << 64), n)[first]
     return mixed((h + (last - first).astype("u8")) * M1)
+
+
+class Places:
+    """Values by 64-bit hash in tables of fixed size: what takes a place drives out what had it before."""
+
+    def __init__(self, size: int, kind: str):
+        self.keys, self.values, self.mask = np.zeros(size, "u8"), np.zeros(size, kind), np.uint64(size - 1)
+
+    def find(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which hashes are known, and their values."""
+        at = (h & self.mask).astype("i8")
+        return self.keys[at] == h, self.values[at]
+
+    def put(self, h: np.ndarray, values: np.ndarray) -> None:
+        at = (h & self.mask).astype("i8")
+        self.keys[at], self.values[at] = h, values
+
+    def clear(self) -> None:
+        self.keys[:] = 0

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from saccade.llm.hashing import numbers, run_hashes
+from saccade.llm.hashing import Places, numbers, run_hashes
 
 #: Places of a worker's cache of pre-tokens, the most pre-tokens it keeps ids of, and the longest ones that it keeps.
 PLACES, KEPT, LONGEST = 1 << 21, 1_000_000, 48
@@ -86,11 +86,11 @@ class Encoder:
         self.wide = regex.compile(rf"[^\x00-{chr(NARROW)}]").search
         if self.apart:
             self.kinds, self.numbers = kinds_of_characters(), numbers(0x110000)
-            self.places, self.entries = np.zeros(PLACES, "u8"), np.zeros(PLACES, "i4")
+            self.known = Places(PLACES, "i4")
             self.forget()
 
     def forget(self) -> None:
-        self.places[:] = 0
+        self.known.clear()
         self.begin, self.size, self.ids = np.zeros(1, "i8"), np.ones(1, "i8"), np.zeros(1, "u4")
 
     def _library(self, texts: list[str]) -> list[np.ndarray]:
@@ -120,15 +120,14 @@ class Encoder:
         codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "u4")
         first, last = pre_tokens(codes, self.kinds)
         h = run_hashes(self.numbers[codes], first, last)
-        place = (h & np.uint64(PLACES - 1)).astype("i8")
-        known, entry = self.places[place] == h, self.entries[place]
+        known, entry = self.known.find(h)
         missing = np.flatnonzero(~known)
         if len(missing):
             new, at, back = np.unique(h[missing], return_index=True, return_inverse=True)
             at = missing[at]
             entry[missing] = self._add([text[a : z + 1] for a, z in zip(first[at].tolist(), last[at].tolist(), strict=True)]) + back
             stay = last[at] - first[at] < LONGEST
-            self.places[place[at[stay]]], self.entries[place[at[stay]]] = new[stay], entry[at[stay]]
+            self.known.put(new[stay], entry[at[stay]])
         return first, entry
 
     def encode(self, texts: list[str], end_id: int) -> tuple[np.ndarray, np.ndarray]:

@@ -104,6 +104,20 @@ def test_token_counts_match_the_library(spark):
         want = sorted(((r[0], len((r[1] or "").encode()), n, n > 100) for r in rows for n in [len(model.encode(r[1] or ""))]), key=repr)
         assert sorted((tuple(r) for r in got.select("doc_id", "n_bytes", "n_tokens", "over_limit").collect()), key=repr) == want
     assert token_counts.count_tokens(cases.empty(spark), tokenizer_path("piece_bpe_32k.model")).count() == 0
+    plan = token_counts.count_tokens(cases.frame(spark).repartition(3), tokenizer_path("piece_bpe_32k.model"))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1  # that of the input alone
+
+
+def test_counts_are_the_librarys_for_random_texts():
+    import sentencepiece
+
+    path = tokenizer_path("piece_bpe_32k.model")
+    model, rng = sentencepiece.SentencePieceProcessor(model_file=path), cases.random.Random(5)
+    counter = token_counts.Counter(path, token_counts.frequent_table(path))
+    pieces = [*"ab \t\n.,é中😀▁\u0301\u00a0", "  ", "the ", " of", "<s>", "</s>", "Anblewh", "\x00"]
+    for _ in range(20):
+        texts = ["".join(rng.choice(pieces) for _ in range(rng.randint(0, 30))) for _ in range(500)]
+        assert counter.count(texts).tolist() == [len(model.encode(t)) for t in texts]
 
 
 def test_shards_keep_every_row_and_old_versions(spark, tmp_path):
