@@ -39,7 +39,7 @@ from saccade.llm.common import SPACES, discard, row_key, shared_dir, stored
 from saccade.llm.hashing import M1, mixed, numbers, run_hashes
 
 #: Bytes of text whose postings make a part, bytes of text that are hashed at once, shingles sent at once.
-PART_BYTES, CHUNK, SENT = 8 << 20, 1 << 19, 1_000_000
+PART_BYTES, CHUNK, SENT = 16 << 20, 1 << 19, 1_000_000
 #: Shingles in so large a share of all documents go by a table of at most HEAVY entries (128 kB).
 HEAVY_SHARE, HEAVY = 1 / 256, 16_384
 #: Nodes that a task remembers so as to send copies once; beyond that it forgets them all.
@@ -204,16 +204,18 @@ def _lengths(starts: np.ndarray, end: int) -> np.ndarray:
 def _dealt(part: np.ndarray, n1: np.ndarray, n2: np.ndarray, columns: dict[str, np.ndarray]) -> tuple[np.ndarray, dict[str, pa.Array]]:
     """Cells for each part of postings that are sorted by part and node: runs of nodes, and the columns."""
     runs = _runs(part, n1, n2)
+    pieces = -(-_lengths(runs, len(part)) // 255)  # lengths are bytes
+    runs = np.repeat(runs, pieces) + 255 * (np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces))
     parts = part[runs]
     heads = _runs(parts)
     inner = np.append(heads, len(runs))
     outer = np.append(runs[heads], len(part))
-    cells = {"n1": _cells(n1[runs], inner), "n2": _cells(n2[runs], inner), "runs": _cells(_lengths(runs, len(part)).astype("u4"), inner)}
+    cells = {"n1": _cells(n1[runs], inner), "n2": _cells(n2[runs], inner), "runs": _cells(_lengths(runs, len(part)).astype("u1"), inner)}
     return parts[heads], cells | {c: _cells(x, outer) for c, x in columns.items()}
 
 
-SENT_KINDS = {"n1": "u8", "n2": "u4", "runs": "u4", "lo": "u4", "hi": "u2"}
-BACK_KINDS = {"n1": "u8", "n2": "u4", "runs": "u4", "tokens": "u8", "classes": "u1"}
+SENT_KINDS = {"n1": "u8", "n2": "u4", "runs": "u1", "lo": "u4", "hi": "u2"}
+BACK_KINDS = {"n1": "u8", "n2": "u4", "runs": "u1", "tokens": "u8", "classes": "u1"}
 SENT_ROW = "part int, n1 binary, n2 binary, runs binary, lo binary, hi binary, tokens binary, classes binary, sizes binary"
 BACK_ROW = "part int, n1 binary, n2 binary, runs binary, tokens binary, classes binary, sizes binary"
 
