@@ -1,10 +1,12 @@
 """Toxicity by a weighted finite-state grammar over clauses.
 
-Five transducers read a clause's words: insults (learned words and stems with weights), threats,
-targets, negation and reported speech (short word lists in four languages). Composed, they make one
-automaton: an insult counts more near a target and less after a negation or in reported speech; a
-threat counts when a target follows. What is scored are the clauses that match, and a logistic model
-of a document's clause scores gives the probability that the document is toxic.
+Five transducers read a clause's words in turn, each what the one before it has written: negation marks
+the words in its reach, reported speech marks its clause, targets mark the words that follow them,
+insults pair with a target before or after them, and threats with a target after them. Each is a small
+table of states; composed, they are one automaton over a common alphabet, whose transitions carry
+weights. What is scored are the clauses in which a pattern matches (target and insult, threat and
+target); insults that find no target are a feature of their own. A logistic model of these features
+gives the probability that the document is toxic.
 
 Insults are learned from labelled rows: words and stems (prefixes) whose share among toxic documents
 is far above that among others, in surroundings of many kinds, so that copies of one toxic text don't
@@ -14,9 +16,10 @@ from the other. At most ``max_rows`` labelled rows and ``max_atoms`` words and s
 
 from __future__ import annotations
 
+import functools
 import math
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -26,20 +29,115 @@ from pyspark.sql import functions as F
 from saccade.llm.common import shared_dir, stored, without
 
 TARGETS = frozenset("you your yours yourself he him his she her they them their du dich dir dein deine ihr euch euer sie tu te toi ton ta vous votre vos il elle ils elles tú ti tus usted ustedes vosotros él ella ellos ellas".split())
-NEGATIONS = frozenset("not no never isn't aren't wasn't don't nicht kein keine nie niemals ne pas jamais aucun nunca jamás ningún ninguna".split())
+NEGATIONS = frozenset("not no never isn't aren't wasn't don't won't nicht kein keine nie niemals ne pas jamais aucun nunca jamás ningún ninguna".split())
 REPORTS = frozenset("said says say wrote called claimed reported quoted according sagte sagt schrieb nannte laut zufolge dit disait écrit appelé selon dijo dice escribió llamó según".split())
-THREATS = frozenset("kill kills hurt destroy beat shoot stab burn murder töten umbringen schlagen verletzen tuer frapper détruire blesser matar golpear destruir herir".split())
-#: Words that a negation, a target and a threat reach.
-NEG_REACH, TARGET_REACH, THREAT_REACH = 3, 5, 4
-#: What negation, reported speech and a target make of an insult's weight, and the weight of a threat.
-NEGATED, REPORTED, TARGETED, THREAT_WEIGHT = 0.4, 0.6, 1.25, 3.0
+THREAT_ENDINGS = {"kill hurt destroy beat shoot stab burn murder": ["", "s", "ed", "ing"], "töt umbring schlag verletz": ["e", "en", "t", "st", "te"], "tu frapp détrui bless": ["er", "e", "é", "re", "erai"], "mat golpe destru": ["ar", "aré", "ir", "iré"]}
+THREATS = frozenset(stem + end for stems, ends in THREAT_ENDINGS.items() for stem in stems.split() for end in ends)
+#: Words that a negation, a target before an insult, a target after it, and a threat reach.
+NEG_REACH, TARGET_REACH, INSULT_REACH, THREAT_REACH = 3, 5, 5, 4
+#: What negation and reported speech make of a weight, the weight of a threat, and the insults' weights by level.
+NEGATED, REPORTED, THREAT_WEIGHT = 0.4, 0.6, 3.0
+LEVELS, LEVEL_FROM = (2.0, 4.0, 6.0), (3.0, 5.0)
 STEMS = range(4, 9)
-FEATURES = ["total", "peak", "rate", "kinds"]
+FEATURES = ["matched", "peak", "bare", "rate"]
 CACHED = 300_000
 
+#: The alphabet, and the marks that transducers write beside a symbol.
+OTHER, END, TARGET, NEGATION, REPORT, THREAT, *INSULTS = range(6 + len(LEVELS))
+ALPHABET = (OTHER, END, TARGET, NEGATION, REPORT, THREAT, *INSULTS)
+NEG, NEAR, SPEECH = 1, 2, 4
+#: A transducer: from a state, a symbol and its marks to the next state, the marks written, and weights (matched, bare).
+Step = Callable[[object, int, int], tuple[object, int, float, float]]
+
 _tokens = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)?|[.!?;:\n]").findall
 
 
+def reaching(symbol: int, reach: int, mark: int) -> Step:
+    """Marks the words that follow a symbol within its reach. The state: for how many more words it does."""
+
+    def step(left: int, read: int, marks: int) -> tuple[int, int, float, float]:
+        if read == END:
+            return 0, marks, 0.0, 0.0
+        return reach if read == symbol else max(0, left - 1), marks | mark if left else marks, 0.0, 0.0
+
+    return step
+
+
+def speech(reported: int, read: int, marks: int) -> tuple[int, int, float, float]:
+    """Marks the end of a clause that has a word of reporting."""
+    if read == END:
+        return 0, marks | SPEECH if reported else marks, 0.0, 0.0
+    return int(reported or read == REPORT), marks, 0.0, 0.0
+
+
+def insults(waiting: tuple[float, int] | int, read: int, marks: int) -> tuple[tuple[float, int] | int, int, float, float]:
+    """Insults with a target near match; others wait for a target and are bare if none comes in time or
+    another insult comes first. The state: the weight that waits, and for how many more words."""
+    weight, left = waiting or (0.0, 0)
+    if read in INSULTS:
+        w = LEVELS[read - INSULTS[0]] * (NEGATED if marks & NEG else 1.0)
+        return (0, marks, w, weight) if marks & NEAR else ((w, INSULT_REACH), marks, 0.0, weight)
+    if read == TARGET and weight:
+        return 0, marks, weight, 0.0
+    if weight and (read == END or left == 1):
+        return 0, marks, 0.0, weight
+    return ((weight, left - 1) if weight else 0), marks, 0.0, 0.0
+
+
+def threats(left: int, read: int, marks: int) -> tuple[int, int, float, float]:
+    """A threat that isn't negated matches when a target follows it. The state: for how many more words."""
+    if read == THREAT and not marks & NEG:
+        return THREAT_REACH, marks, 0.0, 0.0
+    if read == TARGET and left:
+        return 0, marks, THREAT_WEIGHT, 0.0
+    return (0 if read == END else max(0, left - 1)), marks, 0.0, 0.0
+
+
+GRAMMAR: list[Step] = [reaching(NEGATION, NEG_REACH, NEG), speech, reaching(TARGET, TARGET_REACH, NEAR), insults, threats]
+
+
+def composed(parts: list[Step]) -> tuple[list[int], list[tuple[float, float, bool] | None]]:
+    """One automaton of the transducers, each reading what the one before writes: for each state (times
+    the alphabet's size) and symbol, the next state (times the same) and the weights, None for none. The
+    third of the weights says that the clause that ends here is reported."""
+    start = (0,) * len(parts)
+    number, found, after, weights = {start: 0}, [start], [], []
+    for state in found:  # grows as states are reached
+        for symbol in ALPHABET:
+            marks, matched, bare, new = 0, 0.0, 0.0, []
+            for step, own in zip(parts, state, strict=True):
+                own, marks, m, b = step(own, symbol, marks)
+                new.append(own)
+                matched, bare = matched + m, bare + b
+            if (key := tuple(new)) not in number:
+                number[key] = len(found)
+                found.append(key)
+            after.append(number[key] * len(ALPHABET))
+            weights.append((matched, bare, bool(marks & SPEECH)) if matched or bare or marks & SPEECH else None)
+    return after, weights
+
+
+@functools.cache
+def automaton() -> tuple[list[int], list[tuple[float, float, bool] | None]]:
+    return composed(GRAMMAR)
+
+
+def clause_weights(symbols: list[int]) -> Iterator[tuple[float, float]]:
+    """(matched, bare) of each clause that has any; the text's end ends its last clause."""
+    after, weights = automaton()
+    state, matched, bare = 0, 0.0, 0.0
+    for symbol in [*symbols, END]:
+        w = weights[state + symbol]
+        state = after[state + symbol]
+        if w is not None:
+            matched, bare = matched + w[0], bare + w[1]
+        if symbol == END:
+            if matched or bare:
+                share = REPORTED if w is not None and w[2] else 1.0
+                yield matched * share, bare * share
+            matched, bare = 0.0, 0.0
+
+
 def atoms(word: str) -> list[str]:
     """A word and its stems; a stem ends in a star."""
     return [word, *(word[:k] + "*" for k in STEMS if k < len(word))]
@@ -52,62 +150,28 @@ class Grammar:
     def insult(self, word: str) -> float:
         return max((self.weights.get(a, 0.0) for a in atoms(word)), default=0.0)
 
-    def label(self, token: str) -> tuple[str, float]:
-        """The transducers' common alphabet: what a token is to the automaton."""
+    def symbol(self, token: str) -> int:
+        """What a token is in the automaton's alphabet."""
         if token in ".!?;:\n":
-            return "end", 0.0
-        w = self.insult(token)
-        if w > 0:
-            return "insult", w
-        for name, words in (("target", TARGETS), ("negation", NEGATIONS), ("report", REPORTS), ("threat", THREATS)):
-            if token in words:
-                return name, 0.0
-        return "", 0.0
-
-    def clauses(self, labels: list[tuple[str, float]]) -> Iterator[float]:
-        """The scores of the clauses that match."""
-        score, at, negated, targeted, threatened, reported = 0.0, 0, -99, -99, -99, False
-        insults: list[list[float]] = []
-        for name, w in [*labels, ("end", 0.0)]:
-            if name == "end":
-                score += sum(x[1] for x in insults)
-                if score > 0:
-                    yield score * (REPORTED if reported else 1.0)
-                score, at, negated, targeted, threatened, reported, insults = 0.0, 0, -99, -99, -99, False, []
-                continue
-            at += 1
-            if name == "negation":
-                negated = at
-            elif name == "report":
-                reported = True
-            elif name == "target":
-                targeted = at
-                if at - threatened <= THREAT_REACH:
-                    score += THREAT_WEIGHT
-                    threatened = -99
-                for x in insults:
-                    if at - x[0] <= TARGET_REACH and not x[2]:
-                        x[1], x[2] = x[1] * TARGETED, True
-            elif name == "threat":
-                threatened = -99 if at - negated <= NEG_REACH else at
-            elif name == "insult":
-                near = at - targeted <= TARGET_REACH
-                insults.append([at, w * (NEGATED if at - negated <= NEG_REACH else 1.0) * (TARGETED if near else 1.0), near])
+            return END
+        if (w := self.insult(token)) > 0:
+            return INSULTS[sum(w >= x for x in LEVEL_FROM)]
+        return next((s for s, words in ((TARGET, TARGETS), (NEGATION, NEGATIONS), (REPORT, REPORTS), (THREAT, THREATS)) if token in words), OTHER)
 
     def features(self, text: str | None) -> tuple[float, float, float, float]:
-        """log of the clauses' total, log of the largest, total for a hundred words, kinds of insults."""
+        """Logs of the matched weight of all clauses, of the largest one's, of the bare weight, and of all
+        weight for a hundred words."""
         tokens = _tokens(text.lower()) if text else []
         if len(self.known) > CACHED:
             self.known.clear()
         for t in set(tokens).difference(self.known):
-            self.known[t] = self.label(t)
-        labels = list(map(self.known.__getitem__, tokens))
-        if not any(name in ("insult", "threat") for name in {x[0] for x in labels}):
+            self.known[t] = self.symbol(t)
+        symbols = list(map(self.known.__getitem__, tokens))
+        if not tokens or max(symbols) < THREAT:
             return 0.0, 0.0, 0.0, 0.0
-        scores = list(self.clauses(labels)) or [0.0]
-        total = sum(scores)
-        kinds = len({t for t, x in zip(tokens, labels, strict=True) if x[0] == "insult"})
-        return math.log1p(total), math.log1p(max(scores)), math.log1p(100 * total / len(tokens)), math.log1p(kinds)
+        found = [(0.0, 0.0), *clause_weights(symbols)]
+        matched, bare = sum(m for m, _ in found), sum(b for _, b in found)
+        return math.log1p(matched), math.log1p(max(m for m, _ in found)), math.log1p(bare), math.log1p(100 * (matched + bare) / len(tokens))
 
 
 def held_out(key: str) -> Column:
@@ -172,7 +236,7 @@ def hash_of(word: str) -> int:
 
 
 def _features(grammar: Grammar):
-    @F.pandas_udf("total double, peak double, rate double, kinds double")
+    @F.pandas_udf(", ".join(f"{n} double" for n in FEATURES))
     def features(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             yield pd.DataFrame([grammar.features(t) for t in batch], columns=FEATURES)

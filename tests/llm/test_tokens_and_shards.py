@@ -1,3 +1,4 @@
+import math
 import zlib
 
 import numpy as np
@@ -181,11 +182,69 @@ def test_toxicity_without_labels_scores_everything_alike(spark):
 
 
 def test_the_grammar_weighs_clauses():
-    g = toxicity.Grammar({"idiot": 4.0})
+    g = toxicity.Grammar({"idiot": 5.5, "grob*": 2.5})
 
-    def total(text):
+    def matched(text):
         return g.features(text)[0]
 
-    assert total("you are an idiot.") > total("that was some idiot.") > total("it is not an idiot.") > 0
-    assert total("they wrote: idiot") > 0 and total("someone said this idiot came") < total("then this idiot came")
-    assert total("i will kill you") > 0 and total("i will never kill you") == 0 and total("nothing here") == 0
+    def bare(text):
+        return g.features(text)[2]
+
+    assert matched("you are an idiot.") > matched("you are no idiot.") > 0 == bare("you are an idiot.")
+    assert matched("idiot, listen to them") > 0 == matched("that was some idiot. you know") < bare("that was some idiot. you know")
+    assert matched("they are grobian") < matched("they are an idiot") > matched("they are an idiot, she said") > 0
+    assert matched("i will kill you") > 0 and matched("we are killing them") > 0 and g.features("i will never kill you") == g.features("kill") == g.features("nothing here") == (0, 0, 0, 0)
+
+
+def patterns(symbols):
+    """(matched, bare) of each clause, from the rules as they are told."""
+    t, out, clause = toxicity, [], []
+    for s in [*symbols, t.END]:
+        if s != t.END:
+            clause.append(s)
+            continue
+        own = [i for i, x in enumerate(clause) if x in t.INSULTS]
+        near = lambda i, what, reach: any(x == what for x in clause[max(0, i - reach) : i])  # noqa: E731, B023
+        matched = bare = 0.0
+        for i, j in zip(own, [*own, len(clause)][1:], strict=True):
+            w = t.LEVELS[t.INSULTS.index(clause[i])] * (t.NEGATED if near(i, t.NEGATION, t.NEG_REACH) else 1)
+            if near(i, t.TARGET, t.TARGET_REACH) or t.TARGET in clause[i + 1 : min(j, i + 1 + t.INSULT_REACH)]:
+                matched += w
+            else:
+                bare += w
+        waiting = None
+        for i, x in enumerate(clause):
+            if x == t.THREAT and not near(i, t.NEGATION, t.NEG_REACH):
+                waiting = i
+            elif x == t.TARGET and waiting is not None and i - waiting <= t.THREAT_REACH:
+                matched, waiting = matched + t.THREAT_WEIGHT, None
+        if matched or bare:
+            share = t.REPORTED if t.REPORT in clause else 1.0
+            out.append((matched * share, bare * share))
+        clause = []
+    return out
+
+
+def test_the_composed_automaton_is_its_patterns():
+    rng = cases.random.Random(7)
+    after, weights = toxicity.automaton()
+    assert len(after) == len(weights) and max(after) < len(after) and len(after) > 1000
+    for _ in range(4000):
+        symbols = rng.choices(toxicity.ALPHABET, [6, 1, 2, 1, 0.3, 1.5, 1, 1, 1], k=rng.randint(0, 40))
+        got, want = list(toxicity.clause_weights(symbols)), patterns(symbols)
+        assert len(got) == len(want) and all(abs(a - c) + abs(b - d) < 1e-9 for (a, b), (c, d) in zip(got, want, strict=True)), symbols
+
+
+def test_scores_are_the_models_of_the_patterns(spark):
+    """The query's parts once more, without the automaton or Spark."""
+    rows, labels = toxic_documents(n=120)
+    docs = cases.frame(spark, rows).withColumn("score", F.lit("x"))
+    weights, b = toxicity.train(docs.drop("score"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+    grammar = toxicity.Grammar(weights)
+    for r in toxicity.score(docs, (weights, b)).collect():
+        tokens = toxicity._tokens(r.text.lower())
+        found = [(0.0, 0.0), *patterns([grammar.symbol(t) for t in tokens])]
+        m, n = (sum(x[i] for x in found) for i in (0, 1))
+        x = [math.log1p(v) for v in (m, max(v for v, _ in found), n, 100 * (m + n) / len(tokens))]
+        assert abs(r.score - 1 / (1 + math.exp(-sum(p * q for p, q in zip([*x, 1.0], b, strict=True))))) < 1e-9
+        assert r.predicted == int(r.score >= 0.5)
