@@ -39,7 +39,7 @@ from saccade.llm.common import SPACES, discard, row_key, shared_dir, stored
 from saccade.llm.hashing import M1, mixed, numbers, run_hashes
 
 #: Bytes of text whose postings make a part, bytes of text that are hashed at once, shingles sent at once.
-PART_BYTES, CHUNK, SENT = 16 << 20, 1 << 19, 1_000_000
+PART_BYTES, CHUNK, SENT = 16 << 20, 1 << 19, 500_000
 #: Shingles in so large a share of all documents go by a table of at most HEAVY entries (128 kB).
 HEAVY_SHARE, HEAVY = 1 / 256, 16_384
 #: Nodes that a task remembers so as to send copies once; beyond that it forgets them all.
