@@ -87,3 +87,56 @@ def schedule(shares):
         out.append(min(due)[1])
         done[out[-1]] += 1
     return out
+
+
+def chunk_ends(raw):
+    """Ends of the chunks of bytes, one byte after another."""
+    from saccade.llm import substring_dedup as S
+
+    low = bytes(32 if 9 <= c <= 13 else c + 32 if 65 <= c <= 90 else c for c in raw)
+    hashes, h = [], 0
+    for c in low:
+        h = (2 * h + int(S.GEAR[c])) % (1 << 32)
+        hashes.append(h)
+    ends, last = [], 0
+    while last < len(low):
+        cut = next((c for c in range(last + S.LEAST, len(low) + 1) if hashes[c - 1] < (1 << 32) // S.AVERAGE), len(low))
+        if cut - last > S.MOST:
+            cut = min(range(last + S.LEAST, last + S.MOST + 1), key=lambda c: (hashes[c - 1], c))
+        ends.append(cut)
+        last = cut
+    moved = []
+    for e in ends:
+        while e < len(raw) and raw[e] & 0xC0 == 0x80:
+            e += 1
+        moved.append(e)
+    return low, sorted(set(moved))
+
+
+def repeated_spans(rows, min_bytes):
+    """(key, start, n_bytes, n_chunks, first, is_first) from different rows (key, text, ...)"""
+    cut, holders = [], defaultdict(set)
+    for i, (_, text, *_) in enumerate(rows):
+        low, ends = chunk_ends((text or "").encode())
+        cut.append([(a, z, low[a:z]) for a, z in zip([0, *ends], ends, strict=False)])
+        for _, _, c in cut[-1]:
+            holders[c].add(i)
+    out = []
+    for (key, *_), own in zip(rows, cut, strict=True):
+        run, runs = [], []
+        for a, z, c in own:
+            if len(holders[c]) > 1:
+                run.append((a, z, min(rows[j][0] for j in holders[c])))
+            elif run:
+                runs.append(run)
+                run = []
+        for run in [*runs, *([run] if run else [])]:
+            if run[-1][1] - run[0][0] >= min_bytes:
+                spans = []
+                for a, z, first in run:
+                    if spans and spans[-1][3] == first:
+                        spans[-1][1:3] = [z, spans[-1][2] + 1]
+                    else:
+                        spans.append([a, z, 1, first])
+                out += [(key, a, z - a, n, first, key <= first) for a, z, n, first in spans]
+    return out

@@ -189,14 +189,45 @@ def test_copies_that_share_a_passage_with_an_earlier_document_keep_the_rest_once
     assert len(left[9]) < 100
 
 
+def test_substring_repeats_match_brute_force(spark):
+    rng = cases.random.Random(21)
+    passage = cases.prose(rng, 60)
+    rows = [r for r in cases.documents() if r[0] is not None]
+    rows += [(400 + i, f"{cases.prose(rng, 30)} {passage.upper()} {cases.prose(rng, 30)}", "é", "s1", i) for i in range(4)]
+    rows += [(410 + i, f"Ünïcode {'中文字符測試' * 90} ÉTÉ {i}", "en", "s1", i) for i in range(2)]
+    docs = cases.frame(spark, rows).selectExpr("*", "1 AS digest", "2 AS _k1x", "3 AS start")
+    got = substring_dedup.repeats(docs)
+    want = brute.repeated_spans(list(dict.fromkeys(rows)), 128)
+    assert rows_of(got, "doc_id", "start", "n_bytes", "n_chunks", "first_id", "is_first") == sorted(want, key=repr)
+    assert {w[0] for w in want} >= {410, 411, 400, 403}
+    left = {r.doc_id: r.text for r in substring_dedup.drop_repeats(docs).collect()}
+    for i, t in ((r[0], r[1]) for r in rows):
+        gone = sorted((a, a + n) for d, a, n, _, _, first in want if d == i and not first)
+        raw, at, out = (t or "").encode(), 0, []
+        for a, z in gone:
+            out.append(raw[at:a])
+            at = z
+        assert (left[i] or "") == b"".join([*out, raw[at:]]).decode()
+
+
+def test_passages_of_51_words_are_found(spark):
+    """Passages in two contexts each; a few may have too few whole chunks."""
+    rng, rows = cases.random.Random(22), []
+    for i in range(0, 600, 2):
+        passage = cases.prose(rng, 51)
+        rows += [(j, f"{cases.prose(rng, 40)} {passage} {cases.prose(rng, 40)}") for j in (i, i + 1)]
+    found = {r.doc_id for r in substring_dedup.repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert len(found) >= 0.97 * len(rows)
+
+
 def test_cuts_resist_shifts():
     import numpy as np
 
     rng = np.random.default_rng(3)
     data = rng.integers(97, 123, 5000).astype("u1")
     a = substring_dedup.cuts(data)
-    b = [e - 7 for e in substring_dedup.cuts(np.append(rng.integers(97, 123, 7).astype("u1"), data))]
-    assert len(set(a) & set(b)) > 0.95 * len(a)
+    b = [int(e) - 7 for e in substring_dedup.cuts(np.append(rng.integers(97, 123, 7).astype("u1"), data))]
+    assert len({*a.tolist()} & set(b)) > 0.95 * len(a)
 
 
 def test_decontamination_matches_brute_force(spark):
