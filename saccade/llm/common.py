@@ -41,7 +41,9 @@ def shared_dir(spark: SparkSession) -> str:
     context = spark.sparkContext
     base = context.getConf().get("spark.checkpoint.dir", None)
     if base is None:
-        if context.getCheckpointDir() is None:  # no cluster: tests and single machines
+        if not context.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        if context.getCheckpointDir() is None:  # one process: tests and single machines
             context.setCheckpointDir(tempfile.mkdtemp(prefix="saccade-"))
         base = context.getCheckpointDir()
     return f"{base.rstrip('/')}/saccade-{uuid.uuid4().hex}"
@@ -59,11 +61,6 @@ def discard(spark: SparkSession, path: str) -> None:
     place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
-def release(spark: SparkSession) -> None:
-    """Lets Spark remove the shuffle files of finished jobs now, and not when the driver's memory fills."""
-    spark._jvm.System.gc()
-
-
 def without(df: DataFrame, *names: str) -> DataFrame:
     """df without columns that an operator is about to add under the same names."""
     taken = {n.lower() for n in names}

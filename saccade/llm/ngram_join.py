@@ -382,7 +382,7 @@ def _repeated(sent: DataFrame, parts: int) -> DataFrame:
         if len(by):
             yield _rows(BACK_ROW, *_dealt(back[by], n1[by], n2[by], {"tokens": tokens[by], "classes": classes[by]}))
 
-    return sent.repartition(parts, "part").mapInArrow(take, BACK_ROW)
+    return sent.repartitionById(parts, "part").mapInArrow(take, BACK_ROW)
 
 
 def _candidates(back: DataFrame, parts: int, percent: int) -> DataFrame:
@@ -415,7 +415,7 @@ def _candidates(back: DataFrame, parts: int, percent: int) -> DataFrame:
         for a in range(0, len(rows), 1000):
             yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*rows[a : a + 1000], strict=True), (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary()), strict=True)], names=["n1", "n2", "size", "own", "tokens", "classes"])
 
-    return back.repartition(parts, "part").mapInArrow(take, "n1 long, n2 int, size int, own int, tokens binary, classes binary")
+    return back.repartitionById(parts, "part").mapInArrow(take, "n1 long, n2 int, size int, own int, tokens binary, classes binary")
 
 
 def _signature_rows(nodes: DataFrame, percent: int) -> DataFrame:
