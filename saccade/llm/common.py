@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import functools
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -65,3 +67,19 @@ def without(df: DataFrame, *names: str) -> DataFrame:
     """df without columns that an operator is about to add under the same names."""
     taken = {n.lower() for n in names}
     return df.drop(*[c for c in df.columns if c.lower() in taken])
+
+
+def private_names(operator: Callable) -> Callable:
+    """An operator on documents that may have columns of any name: those that begin with an underscore, as
+    the operators' own do, have other names while it works."""
+
+    @functools.wraps(operator)
+    def run(docs: DataFrame, *args, **named):
+        taken = {c: f"own{i}{c}" for i, c in enumerate(docs.columns) if c.startswith("_")}
+        if not taken:
+            return operator(docs, *args, **named)
+        new = lambda x: [new(y) for y in x] if isinstance(x, list) else taken.get(x, x) if isinstance(x, str) else x
+        out = operator(docs.withColumnsRenamed(taken), *map(new, args), **{k: new(v) for k, v in named.items()})
+        return out.withColumnsRenamed({v: k for k, v in taken.items()}) if isinstance(out, DataFrame) else out
+
+    return run

@@ -12,12 +12,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from saccade.llm.common import ascii_lower, row_key, shared_dir, stored, without
+from saccade.llm.common import ascii_lower, private_names, row_key, shared_dir, stored, without
 
 #: What stands between words (ASCII other than letters and digits).
 BETWEEN = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 #: Terms of the benchmark are broadcast up to so many bytes, and joined by shuffling beyond that.
 BROADCAST_BYTES = 16 << 20
+#: Bits of the filter of documents found: at most 65,536 rows of 16 bytes are broadcast.
+FILTER_BITS = 1 << 22
 ADDED = ["n_words", "n_hit", "n_items", "items", "contaminated"]
 
 
@@ -81,21 +83,41 @@ def matches(docs: DataFrame, benchmark: DataFrame, window: int = 13, rarest: int
     # before the document's first word the item's words can't match; cut them off here
     cut = F.greatest(F.lit(0), -F.col("diag"))
     m = F.size("words")
-    found = found.select("_k1", "_k2", F.struct("item", F.greatest("diag", F.lit(0)).alias("at"), F.slice("words", cut + 1, F.greatest(m - cut, F.lit(0))).alias("words"), F.least(m, F.lit(window)).alias("k")).alias("c"))
-    found = found.groupBy("_k1", "_k2").agg(F.collect_set("c").alias("_c"))
-    texts = docs.select("_k1", "_k2", F.col(text).alias("_t")).join(found, ["_k1", "_k2"])
-    rows = texts.select("_k1", "_k2", "_c", ascii_lower(F.col("_t")).alias("_t")).select("_k1", "_k2", "_c", word_list("_t").alias("_w"))
-    both = F.transform("_c", lambda c: F.struct(c["item"].alias("item"), c["at"].alias("at"), c["k"].alias("k"), F.zip_with(c["words"], F.slice(F.col("_w"), c["at"] + 1, F.size(c["words"])), lambda a, b: a.eqNullSafe(b)).alias("same")))
-    rows = rows.select("_k1", "_k2", F.size("_w").alias("_n"), both.alias("_b")).where("_n > 0").select("_k1", "_k2", F.explode("_b").alias("b"))
-    rows = rows.select("_k1", "_k2", "b.item", "b.at", "b.k", "b.same").where(F.size("same") >= F.col("k"))
+    found = found.select("_k1", "_k2", F.greatest("diag", F.lit(0)).alias("at"), "item", F.slice("words", cut + 1, F.greatest(m - cut, F.lit(0))).alias("words"), F.least(m, F.lit(window)).alias("k"))
+    found = stored(found.distinct(), f"{path}/diagonals")
+    texts = texts_of(docs, found, text, path)
+    rows = found.join(texts, ["_k1", "_k2"])
+    same = F.zip_with("words", F.slice("_w", F.col("at") + 1, F.size("words")), lambda a, b: a.eqNullSafe(b))
+    rows = rows.where(F.size("_w") > 0).select("_k1", "_k2", "item", "at", "k", same.alias("same")).where(F.size("same") >= F.col("k"))
     starts = F.filter(F.sequence(F.lit(0), F.size("same") - F.col("k")), lambda s: F.forall(F.slice(F.col("same"), s + 1, F.col("k")), lambda x: x))
     rows = rows.select("_k1", "_k2", "item", "at", "k", F.explode(starts).alias("s"))
     return rows.select("_k1", "_k2", "item", (F.col("at") + F.col("s")).alias("first"), (F.col("at") + F.col("s") + F.col("k") - 1).alias("last")).distinct()
 
 
+def texts_of(docs: DataFrame, found: DataFrame, text: str, path: str) -> DataFrame:
+    """(_k1, _k2, _w), the words of the documents found, stored. A Bloom filter of the keys found, of set
+    size, lets few other texts through, so that the join need not move the corpus."""
+    keys = found.select("_k1").distinct()
+    bits = keys.select(F.pmod("_k1", F.lit(FILTER_BITS)).alias("b")).select(F.shiftright("b", 6).alias("place"), F.expr("shiftleft(1L, cast(b & 63 as int))").alias("bit"))
+    bits = bits.groupBy("place").agg(F.bit_or("bit").alias("mask"))
+    at = F.pmod("_k1", F.lit(FILTER_BITS))
+    mask = F.expr(f"shiftleft(1L, cast(pmod(_k1, {FILTER_BITS}) & 63 as int))")
+    rows = docs.select("_k1", "_k2", F.col(text).alias("_t"), F.shiftright(at, 6).alias("place"), mask.alias("_bit"))
+    near = rows.join(F.broadcast(stored(bits, f"{path}/bits")), "place").where(F.col("mask").bitwiseAND(F.col("_bit")) != 0)  # FILTER_BITS / 64 rows at most
+    near = near.join(keys, "_k1", "left_semi").select("_k1", "_k2", ascii_lower(F.col("_t")).alias("_t")).dropDuplicates(["_k1", "_k2"])
+    return stored(near.select("_k1", "_k2", word_list("_t").alias("_w")), f"{path}/texts")
+
+
+@private_names
 def proximity_matches(docs: DataFrame, benchmark: DataFrame, window: int = 13, rarest: int = 3, slack: int = 8, share: float = 0.5, item: str = "item_id", text: str = "text") -> DataFrame:
     """docs' rows with item and near: items of which at least ``share`` of the searched places lie on
-    diagonals less than ``slack`` words apart, so that words may be inserted, dropped or replaced."""
+    diagonals less than ``slack`` words apart, so that words may be inserted, dropped or replaced. near is
+    that share, for the best such band of diagonals.
+
+    Null and empty texts and items have no words and match nothing; an item counts once a row, with its
+    best band; repeated rows are matched each; columns named item or near are replaced; empty tables
+    give no rows."""
+    docs = without(docs, "item", "near")
     keyed = docs.select("*", *row_key(*docs.columns))
     path = shared_dir(docs.sparkSession)
     items = stored(items_of(benchmark, item, text), f"{path}/items")
@@ -107,9 +129,11 @@ def proximity_matches(docs: DataFrame, benchmark: DataFrame, window: int = 13, r
     places = searched.groupBy("_i").agg(F.countDistinct("ipos").alias("all"))
     near = near.join(places, "_i").where(F.col("n") >= F.lit(share) * F.col("all")).groupBy("_k1", "_k2", "_i").agg(F.max(F.col("n") / F.col("all")).alias("near"))
     named = near.join(items.select("_i", "item"), "_i").select("_k1", "_k2", "item", "near")
+    named = named.groupBy("_k1", "_k2", "item").agg(F.max("near").alias("near"))
     return keyed.join(named, ["_k1", "_k2"]).select(*docs.columns, "item", "near")
 
 
+@private_names
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 13, rarest: int = 3, share: int = 20, item: str = "item_id", text: str = "text") -> DataFrame:
     """docs with n_words, n_hit (words inside any occurrence of a window), n_items, items (sorted ids, as
     strings, of items with a window found) and contaminated (n_hit > 0 and share * n_hit >= n_words).

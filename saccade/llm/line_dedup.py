@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from saccade.llm.common import SPACES, ascii_lower, row_key, shared_dir, stored, without
+from saccade.llm.common import SPACES, ascii_lower, private_names, row_key, shared_dir, stored, without
 
 
 def line_keys(text: str, min_chars: int = 1) -> Column:
@@ -87,6 +87,7 @@ class LineRuns:
         self.levels = [[]]
 
 
+@private_names
 def drop_lines(docs: DataFrame, frequent: DataFrame, text: str = "text", min_chars: int = 1) -> DataFrame:
     """docs with n_lines, n_dropped and kept_text: the lines outside ``frequent``, joined by newlines."""
     docs = without(docs, "n_lines", "n_dropped", "kept_text")
@@ -116,6 +117,7 @@ def drop_lines(docs: DataFrame, frequent: DataFrame, text: str = "text", min_cha
     )
 
 
+@private_names
 def dedup_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, batches: int = 4, fanout: int = 3, text: str = "text") -> DataFrame:
     """drop_lines() of all lines whose key min_docs documents or more have, counted batch by batch.
 

@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from saccade.llm.common import shared_dir, stored, without
+from saccade.llm.common import private_names, shared_dir, stored, without
 
 #: A table of sources up to this many rows is broadcast; a larger one is joined by shuffling.
 BROADCAST_ROWS = 10_000
@@ -37,7 +37,7 @@ aggregate(
 
 
 def slots(sources: DataFrame, power: float, resolution: int) -> DataFrame:
-    """From (_src, n, given): (_src, share, period, slots), slots being those of one period that each
+    """From (_src, n, given): (_src, _share, _period, _slots), _slots being those of one period that each
     source has, in order. A share that isn't given is n to the power, scaled so that all shares come
     to about resolution, and 1 at least."""
     one = sources.agg(F.sort_array(F.collect_list(F.struct("_src", "n", "given"))).alias("_all")).where(F.size("_all") > 0)
@@ -46,10 +46,11 @@ def slots(sources: DataFrame, power: float, resolution: int) -> DataFrame:
     one = one.select(F.col("_all._src").alias("names"), "shares", F.aggregate("shares", F.lit(0).cast("long"), lambda a, x: a + x).alias("period"))
     one = one.select("period", "names", "shares", F.expr(SCHEDULE).alias("picks"))
     rows = one.select("period", "names", "shares", F.posexplode("picks").alias("slot", "i"))
-    rows = rows.select("period", F.col("names")[F.col("i")].alias("_src"), F.col("shares")[F.col("i")].alias("share"), "slot")
-    return rows.groupBy("_src", "share", "period").agg(F.sort_array(F.collect_list("slot")).alias("slots"))
+    rows = rows.select(F.col("period").alias("_period"), F.col("names")[F.col("i")].alias("_src"), F.col("shares")[F.col("i")].alias("_share"), "slot")
+    return rows.groupBy("_src", "_share", "_period").agg(F.sort_array(F.collect_list("slot")).alias("_slots"))
 
 
+@private_names
 def mix(docs: DataFrame, weights: dict[str, int] | None = None, block_size: int = 64, power: float = 0.5, resolution: int = 1000, source: str = "source", by: str = "doc_id") -> DataFrame:
     """docs with block (number of the block in its source), slot (its turn among all blocks) and place
     (0 and up inside the block): the mix is the order of (slot, place).
@@ -80,9 +81,9 @@ def mix(docs: DataFrame, weights: dict[str, int] | None = None, block_size: int
     offsets = counts.select("_src", "_part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_before"))
     inside = Window.partitionBy("_src", "_part").orderBy("_md5", F.col(by).asc_nulls_first(), F.xxhash64(*docs.columns))
     ranked = keyed.withColumn("_rank", F.row_number().over(inside) - 1).join(offsets, ["_src", "_part"])
-    small = len(table.select("share").take(BROADCAST_ROWS + 1)) <= BROADCAST_ROWS
+    small = len(table.select("_share").take(BROADCAST_ROWS + 1)) <= BROADCAST_ROWS
     ranked = ranked.join(F.broadcast(table) if small else table, "_src")
     rank = F.col("_before") + F.col("_rank")
     ranked = ranked.withColumn("block", F.expr(f"(_before + _rank) div {int(block_size)}")).withColumn("place", F.pmod(rank, F.lit(block_size)).cast("int"))
-    turn = F.expr("(block div share) * period + slots[cast(block % share as int)]")
+    turn = F.expr("(block div _share) * _period + _slots[cast(block % _share as int)]")
     return ranked.select(*docs.columns, "block", turn.cast("long").alias("slot"), "place")

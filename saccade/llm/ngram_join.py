@@ -35,7 +35,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from saccade.llm.common import SPACES, discard, row_key, shared_dir, stored
+from saccade.llm.common import SPACES, discard, private_names, row_key, shared_dir, stored
 from saccade.llm.hashing import M1, mixed, numbers, run_hashes
 
 #: Bytes of text whose postings make a part, bytes of text that are hashed at once, shingles sent at once.
@@ -536,6 +536,7 @@ def labelled(docs: DataFrame, n: int, percent: int, key: str, text: str) -> Data
     return found.join(labels, "node", "left").select("_id", "_k1", "_k2", "_size", F.coalesce("label", "node").alias("label"))
 
 
+@private_names
 def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, n_shingles, component_id) of every row; key is an integer column.
 
@@ -552,6 +553,7 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, key: str
     return rows.select(F.col("_id").alias(key), F.col("_size").alias("n_shingles"), F.when(F.col("label").isNull(), F.col("_id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
+@private_names
 def keep_one(docs: DataFrame, n: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
     """docs with one row of each component: that of the smallest key (of equal keys, the one of the
     smallest hash). Rows without words stay, but repeated ones only once."""

@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from saccade.llm.common import SPACES, shared_dir, stored, without
+from saccade.llm.common import SPACES, private_names, shared_dir, stored, without
 
 SYMBOLS = r"[#*$%&|<>]"
 BASE = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
@@ -78,6 +78,7 @@ def _repeats(cells: DataFrame, columns: list[str]) -> DataFrame:
     return cells.select(*columns, F.when(F.col("_s").isNull(), F.lit(0)).otherwise(covered).cast("long").alias("n_repeat_words"))
 
 
+@private_names
 def with_base_counts(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs with n_words, word_chars (code points in words), n_symbols, n_dup_lines (lines with a word
     that equal an earlier line) and n_repeat_words (words inside 3-word windows that occur twice or
@@ -117,6 +118,7 @@ def frequent_lines(rows: DataFrame, max_docs: int) -> DataFrame:
     return others.where(F.col("_others") * 10 > F.col("_docs") + 10 * max_docs).select("_host", "_h")
 
 
+@private_names
 def score(docs: DataFrame, max_docs: int = 10, min_words: int = 50, min_left: float = 0.3, max_repeat: float = 0.5, host: str = "source", text: str = "text") -> DataFrame:
     """docs with the base counts, n_removed_words (words of lines above the limit), base_failed (n_words
     < min_words, or more than max_repeat of the words in repeated windows), kept (not base_failed, and

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from saccade.llm.common import discard, row_key, shared_dir, stored
+from saccade.llm.common import discard, private_names, row_key, shared_dir, stored
 
 #: Chunk sizes in bytes: least, on average beyond the least, most.
 LEAST, AVERAGE, MOST = 16, 24, 256
@@ -97,6 +97,7 @@ def chunks(docs: DataFrame, text: str = "text") -> DataFrame:
     return rows.mapInArrow(take, "_k1 long, _k2 long, start int, n_bytes int, digest long")
 
 
+@private_names
 def repeats(docs: DataFrame, min_bytes: int = 128, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row for each span of the repeated stretches of at least min_bytes: key, start and n_bytes (in
     the UTF-8 text), n_chunks, first_id (smallest key of the documents that share its chunks, the same for
@@ -132,6 +133,7 @@ def repeats(docs: DataFrame, min_bytes: int = 128, key: str = "doc_id", text: st
     return spans.select(F.col("_id").alias(key), "start", "n_bytes", "n_chunks", "first_id", (F.col("_id") <= F.col("first_id")).alias("is_first"), *doc)
 
 
+@private_names
 def drop_repeats(docs: DataFrame, min_bytes: int = 128, key: str = "doc_id", text: str = "text") -> DataFrame:
     """docs with text cut down to what no document of a smaller key has already. Null and empty texts stay
     as they are; a text that is repeated whole becomes empty; repeated rows are cut alike."""

@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from saccade.llm.common import without
+from saccade.llm.common import private_names, without
 from saccade.llm.hashing import Places, numbers, run_hashes
 
 #: Places of the broadcast table (4.5 MB with its counts) and of a worker's cache, and the longest pre-tokens cached.
@@ -120,6 +120,7 @@ class Counter:
         return out
 
 
+@private_names
 def count_tokens(docs: DataFrame, model_path: str, limit: int = 4096, table: tuple[bytes, bytes] | None = None, text: str = "text") -> DataFrame:
     """docs with n_bytes, n_tokens and over_limit (n_tokens > limit); columns of these names are replaced.
 

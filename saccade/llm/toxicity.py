@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from saccade.llm.common import shared_dir, stored, without
+from saccade.llm.common import private_names, shared_dir, stored, without
 
 TARGETS = frozenset("you your yours yourself he him his she her they them their du dich dir dein deine ihr euch euer sie tu te toi ton ta vous votre vos il elle ils elles tú ti tus usted ustedes vosotros él ella ellos ellas".split())
 NEGATIONS = frozenset("not no never isn't aren't wasn't don't won't nicht kein keine nie niemals ne pas jamais aucun nunca jamás ningún ninguna".split())
@@ -268,6 +268,7 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = 16_000, max_atoms:
     return weights, fit_logistic(pairs[FEATURES].to_numpy(), pairs["_toxic"].to_numpy()).tolist()
 
 
+@private_names
 def score(docs: DataFrame, model: tuple[dict[str, float], list[float]], key: str = "doc_id", text: str = "text") -> DataFrame:
     """docs with held_out (crc32 of the key as text, mod 5, is 0), score (0 to 1) and predicted (1 from
     0.5 on). Null and empty texts have no clauses and get the score of such; a null key counts as the

@@ -332,6 +332,21 @@ def test_mix_follows_the_shares(spark):
     assert rows_of(again, "doc_id", "slot", "place") == sorted(((r.doc_id, r.slot, r.place) for r in got), key=repr)
 
 
+OWN_NAMES = ["_k1", "_src", "_share", "_period", "_slots", "_md5", "_host", "_text", "_f", "share", "period", "slots", "n", "term", "digest", "sig", "label", "item"]
+
+
+@pytest.mark.parametrize("name", ["mix", "score", "dedup_lines", "decontaminate", "keep_one", "drop_repeats"])
+def test_columns_with_names_of_the_operators_own(spark, name):
+    rows = cases.documents()[:12] + cases.documents()[-6:]
+    plain = cases.frame(spark, rows)
+    docs = plain.selectExpr("*", *[f"doc_id + {i} AS {c}" for i, c in enumerate(OWN_NAMES)])
+    bench = spark.createDataFrame([(1, "alpha1 beta2")], "item_id long, text string")
+    run = {"mix": mixing.mix, "score": quality.score, "dedup_lines": line_dedup.dedup_lines, "decontaminate": lambda d: decontaminate.decontaminate(d, bench), "keep_one": ngram_join.keep_one, "drop_repeats": substring_dedup.drop_repeats}[name]
+    got, want = run(docs), run(plain)
+    assert rows_of(got, *want.columns) == rows_of(want, *want.columns)
+    assert all(r[i + 1] == r[0] + i for r in got.where("doc_id is not null").select("doc_id", *OWN_NAMES).collect() for i in range(len(OWN_NAMES)))
+
+
 def test_mix_keeps_awkward_rows(spark):
     rows = cases.documents()
     got = mixing.mix(cases.frame(spark))

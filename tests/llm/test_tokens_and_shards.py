@@ -137,6 +137,16 @@ def test_shards_keep_every_row_and_old_versions(spark, tmp_path):
     assert all(t == 0 or tiers.count(t) < 2 for t in tiers)
     store.vacuum()
     assert store.read().count() == len(want)
+    with pytest.raises(ValueError, match="no version"):
+        store.read(before)
+
+
+def test_shards_of_awkward_tables(spark, tmp_path):
+    store = sharding.shard(cases.frame(spark).selectExpr("*", "'mine' AS _shard"), f"file://{tmp_path}/own", arrivals=2)
+    rows = store.read().collect()
+    assert len(rows) == len(cases.documents()) and all("/" in r._shard for r in rows)
+    assert {len(r.text or "") for r in rows} == {len(r[1] or "") for r in cases.documents()}
+    assert sharding.shard(cases.empty(spark), f"file://{tmp_path}/none", arrivals=2).read().columns[:5] == cases.frame(spark).columns
 
 
 def test_a_slower_writer_is_refused(spark, tmp_path):
