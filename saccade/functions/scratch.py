@@ -9,10 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder below spark.checkpoint.dir; below a temporary folder where that is unset (no cluster)."""
+    """A new folder below spark.checkpoint.dir; below a temporary folder where that is unset and Spark is one process."""
     context = spark.sparkContext
     base = context.getConf().get("spark.checkpoint.dir", None)
     if base is None:
+        if not context.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         if context.getCheckpointDir() is None:
             context.setCheckpointDir(tempfile.mkdtemp(prefix="saccade-"))
         base = context.getCheckpointDir()

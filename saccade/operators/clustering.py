@@ -78,19 +78,42 @@ def k_dual(k: int, centre: float, edge: float) -> Column:
     return F.greatest(F.lit(2), F.rint(F.lit(k * centre) / F.greatest(local, F.lit(1.0)))).cast("int")
 
 
+def lidar_radius(span: Column, n: Column, k: Column, dims: int = 2) -> Column:
+    """The radius in which k of n points lie if they fill a volume of this extent evenly."""
+    eps = 0.7 * F.pow(span * k * math.gamma(dims / 2 + 1) / (n * math.sqrt(math.pi**dims)), F.lit(1.0 / dims))
+    return F.greatest(eps, F.lit(LEAST_EPS))
+
+
 def eps_lidar(rows: DataFrame, k: int, dims: int = 2) -> DataFrame:
     """(window_id, eps) from each window's extent over both axes together and its number of points."""
-    gamma = math.gamma(dims / 2 + 1)
     span = F.greatest(F.max("x"), F.max("y")) - F.least(F.min("x"), F.min("y"))
-    eps = 0.7 * F.pow(span * k * gamma / (F.count("*") * math.sqrt(math.pi**dims)), F.lit(1.0 / dims))
-    return rows.groupBy("window_id").agg(F.count("*").alias("n"), F.greatest(eps, F.lit(LEAST_EPS)).alias("eps"))
-
-
-def with_density(events: DataFrame, d: Detector) -> DataFrame:
-    """events with window_id, eps and k of a detector."""
+    return rows.groupBy("window_id").agg(F.count("*").alias("n"), lidar_radius(span, F.count("*"), F.lit(k), dims).alias("eps"))
+
+
+def with_density(events: DataFrame, d: Detector, scene: list[str] | None = None) -> DataFrame:
+    """events with window_id, eps and k of a detector. radius_of: radial (from the centre; k is the
+    detector's), pixel (both from x) or lidar (k from x, eps from the window's extent and that k)."""
+    rows = with_window(events, d.window_us, scene)
+    if d.radius_of in ("pixel", "lidar"):
+        rows = rows.withColumn("k", k_xpos(d.c2, d.c1, d.base))
+        if d.radius_of == "pixel":
+            return rows.withColumn("eps", eps_xpos(d.c2, d.c1, d.base))
+        key = [*(scene or []), "window_id"]
+        extent = rows.groupBy(*key).agg((F.greatest(F.max("x"), F.max("y")) - F.least(F.min("x"), F.min("y"))).alias("_span"), F.count("*").alias("_m"))
+        return rows.join(extent, key).withColumn("eps", lidar_radius(F.col("_span"), F.col("_m"), F.col("k"))).drop("_span", "_m")
     eps = (eps_xpos if d.radius_of == "xpos" else eps_radial)(d.c2, d.c1, d.base)
     k = k_dual(d.k, *d.dual) if d.dual else F.lit(d.k)
-    return with_window(events, d.window_us).withColumn("eps", eps).withColumn("k", k)
+    return rows.withColumn("eps", eps).withColumn("k", k)
+
+
+def eps_stats(rows: DataFrame, key: list[str] | None = None) -> DataFrame:
+    """(key..., min, max, mean) of the radii of with_density(); key: window_id if none is given."""
+    return rows.groupBy(*(key or ["window_id"])).agg(F.min("eps").alias("min"), F.max("eps").alias("max"), F.avg("eps").alias("mean"))
+
+
+def n_clusters(clusters: DataFrame, key: list[str] | None = None) -> DataFrame:
+    """(key..., n_clusters): clusters of each window, 0 where all events are noise."""
+    return clusters.groupBy(*(key or ["window_id"])).agg(F.count_distinct(F.when(F.col("cluster_id") >= 0, F.col("cluster_id"))).alias("n_clusters"))
 
 
 def neighbours(rows: DataFrame, eps: float) -> DataFrame:
@@ -164,7 +187,7 @@ def expand(near: list[np.ndarray], k: np.ndarray) -> np.ndarray:
 def kernel_clusters(events: DataFrame, d: Detector, scene: list[str] | None = None) -> DataFrame:
     """(scene..., window_id, event_id, cluster_id) of the events of windows with at least k events; -1 is noise."""
     scene = scene or []
-    rows = with_density(events, d).select(*scene, "window_id", "event_id", "t", "x", "y", "eps", "k")
+    rows = with_density(events, d, scene).select(*scene, "window_id", "event_id", "t", "x", "y", "eps", "k")
     scale, least = d.t_scale_us, d.k
 
     def cluster(w: pd.DataFrame) -> pd.DataFrame:
@@ -217,15 +240,17 @@ def dbscan_clusters(rows: DataFrame, eps: float = 10.0, min_samples: int = 5) ->
 def detections(events: DataFrame, clusters: DataFrame, d: Detector, scene: list[str] | None = None) -> DataFrame:
     """A row for each cluster of at least k events: its window, centre, box, size and share of positive events."""
     scene = scene or []
-    first = events.agg(F.min("t")).scalar()
     joined = clusters.where("cluster_id >= 0").join(events, [*scene, "event_id"])
     rows = joined.groupBy(*scene, "window_id", "cluster_id").agg(
         F.avg("x").alias("cx"), F.avg("y").alias("cy"), F.min("x").alias("x_min"), F.max("x").alias("x_max"), F.min("y").alias("y_min"), F.max("y").alias("y_max"),
         F.count("*").alias("n_events"), F.avg((F.col("p") > 0).cast("double")).alias("pol_ratio"),
         F.min("t").alias("t_min_us"), F.max("t").alias("t_max_us"), ((F.max("t") - F.min("t")) / 1000).alias("t_span_ms"),
     )
-    centre = first + (F.col("window_id") + 0.5) * d.window_us
-    return rows.where(F.col("n_events") >= d.k).withColumn("t_center", centre)
+    rows = rows.where(F.col("n_events") >= d.k)
+    half = (F.col("window_id") + 0.5) * d.window_us
+    if scene:
+        return rows.join(events.groupBy(*scene).agg(F.min("t").alias("_first")), scene).withColumn("t_center", F.col("_first") + half).drop("_first")
+    return rows.withColumn("t_center", events.agg(F.min("t")).scalar() + half)
 
 
 def detect(events: DataFrame, d: Detector, scene: list[str] | None = None) -> tuple[DataFrame, DataFrame]:

@@ -19,17 +19,17 @@ def scaled(rows: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def stratified(rows: DataFrame, label: str, key: str, test_share: float = 0.2) -> DataFrame:
-    """rows with is_test: the same share of every label, by hash of the key. Ranks come from shares of the
-    hash's range, so that no label gathers in one task."""
-    h = F.pmod(F.xxhash64(F.lit(11), key), F.lit(1 << 30)) / float(1 << 30)
-    return rows.withColumn("is_test", h < test_share)
-
-
-def stratified_exact(rows: DataFrame, label: str, order: Column, test_share: float = 0.2) -> DataFrame:
-    """As stratified(), with exactly floor(share * n) test rows a label, for training sets."""
+    """rows with is_test: floor(test_share * n) rows of every label, in order of md5(key). Ranks come from
+    4096 ranges of the hash that are counted and sorted apart, so that no label gathers in one task."""
+    md5 = F.md5(F.coalesce(F.col(key).cast("string"), F.lit("")))
+    cut = rows.withColumn("_md5", md5).withColumn("_range", F.substring("_md5", 1, 3))
+    counts = cut.groupBy(label, "_range").agg(F.count("*").alias("_n"))
     w = Window.partitionBy(label)
-    rank, n = F.row_number().over(w.orderBy(order)), F.count("*").over(w)
-    return rows.withColumn("is_test", rank <= F.floor(n * test_share))
+    counts = counts.select(label, "_range", F.coalesce(F.sum("_n").over(w.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"), F.sum("_n").over(w).alias("_all"))
+    rank = F.row_number().over(Window.partitionBy(label, "_range").orderBy("_md5", key)) + F.col("_before")
+    one, two = cut.alias("a"), counts.alias("b")
+    out = one.join(two, F.col(f"a.{label}").eqNullSafe(F.col(f"b.{label}")) & (F.col("a._range") == F.col("b._range"))).select("a.*", "_before", "_all")
+    return out.withColumn("is_test", rank <= F.floor(F.col("_all") * test_share)).select(*rows.columns, "is_test")
 
 
 def as_features(rows: DataFrame, array: str) -> DataFrame:
@@ -84,6 +84,18 @@ def cross_validated(rows: DataFrame, model, folds: int = 5, metric: str = "accur
     return cv.fit(rows).avgMetrics
 
 
+def balanced(rows: DataFrame, label: str, key: str, seed: int = 42) -> DataFrame:
+    """rows with each label about as frequent as the most frequent one: rows of rarer labels are repeated,
+    whole times and once more by hash of the key for the rest (column copy: 0 for the row itself)."""
+    from saccade.sources.generators import uniform
+
+    counts = rows.groupBy(label).agg(F.count("*").alias("_n"))  # a row a label
+    most = counts.agg(F.max("_n")).scalar()
+    times = rows.join(counts, label).withColumn("_times", most / F.col("_n"))
+    more = F.floor("_times") + (uniform(seed, "balance", key) < F.col("_times") - F.floor("_times")).cast("long")
+    return times.withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), more - 1))).select(*rows.columns, "copy")
+
+
 def importances(model, names: list[str], top: int = 5) -> list[tuple[str, float]]:
     """The largest feature importances of a fitted tree model."""
     return sorted(zip(names, model.featureImportances.toArray().tolist(), strict=True), key=lambda x: -x[1])[:top]

@@ -1,12 +1,19 @@
-"""Tracks from detections: greedy nearest neighbours in time order, one scene a group."""
+"""Tracks from detections: greedy nearest neighbours in time order, in stretches without gaps."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from saccade.functions.scratch import stored
+
+#: Numbers in a block of running().
+BLOCK = 4096
+
 
 class Linker:
     """Open tracks of one scene. A detection goes to the track whose last detection is nearest, closer
@@ -33,24 +40,53 @@ class Linker:
 
 
 def link(detections: DataFrame, link_px: float = 40.0, max_gap: int = 3, scene: list[str] | None = None) -> DataFrame:
-    """(scene..., track_id, seq, window_id, cluster_id). Linking is sequential in a scene; its detections are
-    some thousandths of its events, and scenes go in parallel."""
+    """(scene..., track_id, seq, window_id, cluster_id); tracks are numbered in each scene by their first
+    detections. After more than max_gap empty windows no track is open, so the stretches between such
+    gaps are linked apart, each as one group, and numbered on afterwards. A stretch without a gap is
+    sequential work: some thousandths of its events."""
     scene = scene or []
     kinds = dict(detections.dtypes)
+    key = [*scene, "_start"]
 
     def run(g: pd.DataFrame) -> pd.DataFrame:
         g = g.sort_values(["window_id", "cluster_id"], kind="stable")
         linker = Linker(link_px, max_gap)
         found = [linker.add(w, x, y) for w, x, y in zip(g["window_id"], g["cx"], g["cy"], strict=True)]
-        out = g[[*scene, "window_id", "cluster_id"]].copy()
+        out = g[[*key, "window_id", "cluster_id"]].copy()
         out["track_id"], out["seq"] = [f[0] for f in found], [f[1] for f in found]
-        return out[[*scene, "track_id", "seq", "window_id", "cluster_id"]]
-
-    schema = ", ".join([f"{c} {kinds[c]}" for c in scene] + ["track_id long, seq long, window_id long, cluster_id long"])
-    rows = detections.select(*scene, "window_id", "cluster_id", "cx", "cy")
-    if not scene:
-        rows = rows.withColumn("_one", F.lit(1))
-    return rows.groupBy(*(scene or ["_one"])).applyInPandas(run, schema)
+        return out[[*key, "track_id", "seq", "window_id", "cluster_id"]]
+
+    schema = ", ".join([f"{c} {kinds[c]}" for c in scene] + ["_start long, track_id long, seq long, window_id long, cluster_id long"])
+    rows = detections.select(*scene, "window_id", "cluster_id", "cx", "cy").join(stretches(detections, max_gap, scene), [*scene, "window_id"])
+    tracks = stored(rows.groupBy(*key).applyInPandas(run, schema))
+    counts = tracks.groupBy(*key).agg((F.max("track_id") + 1).alias("_n"))
+    before = running(counts, F.sum, "_n", scene, "_start", inclusive=False)
+    out = tracks.join(before, key).withColumn("track_id", F.col("track_id") + F.coalesce("_before", F.lit(0)))
+    return out.select(*scene, "track_id", "seq", "window_id", "cluster_id")
+
+
+def running(rows: DataFrame, how: Callable[[str], Column], column: str, group: list[str], order: str, inclusive: bool = True) -> DataFrame:
+    """(group..., order, _before): the sum or maximum (how: F.sum or F.max) of a column over all rows up to
+    each one, or before it, by the number ``order``, which is unique in a group. Blocks of numbers are
+    summed up first, so that a group's rows never meet in one task, only a row for each of its blocks."""
+    kept = rows.select(*group, order, F.col(column).alias("_v"), F.floor(F.col(order) / BLOCK).cast("long").alias("_block"))
+    blocks = kept.groupBy(*group, "_block").agg(how("_v").alias("_v"))
+    ahead = how("_v").over(Window.partitionBy(*group).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1))
+    inside = Window.partitionBy(*group, "_block").orderBy(order).rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
+    out = kept.withColumn("_own", how("_v").over(inside)).join(blocks.select(*group, "_block", ahead.alias("_ahead")), [*group, "_block"])
+    both = F.array_compact(F.array("_ahead", "_own"))
+    total = F.array_max(both) if how is F.max else F.when(F.size(both) > 0, F.aggregate(both, F.lit(0).cast("long"), lambda a, x: a + x))
+    return out.select(*group, order, total.alias("_before"))
+
+
+def stretches(detections: DataFrame, max_gap: int, scene: list[str]) -> DataFrame:
+    """(scene..., window_id, _start): the windows with detections, and the first window of the stretch that
+    each is in; a stretch begins after more than max_gap windows without detections."""
+    rows = detections.select(*scene, "window_id").distinct()
+    last = running(rows, F.max, "window_id", scene, "window_id", inclusive=False)
+    first = F.col("_before").isNull() | (F.col("window_id") - F.col("_before") > max_gap)
+    cuts = last.select(*scene, "window_id", F.when(first, F.col("window_id")).alias("_cut"))
+    return running(cuts, F.max, "_cut", scene, "window_id").withColumnRenamed("_before", "_start")
 
 
 def long_tracks(members: DataFrame, min_length: int, scene: list[str] | None = None) -> DataFrame:

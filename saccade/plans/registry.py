@@ -13,11 +13,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from saccade.functions.schema import WINDOW_US
-from saccade.functions.scratch import shared_dir
+from saccade.functions.scratch import shared_dir, stored
 from saccade.operators import clustering, denoise, features, learning, network, ranking, streams, tracking, weather
 from saccade.plans import benchmark
 from saccade.sources import files, generators
-from saccade.sources.adapter import read, replay_events
+from saccade.sources.adapter import read, replay_events, to_stream
 from saccade.streaming import streams as live
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -386,7 +386,7 @@ def weather_scene(spark, sf_dir):
 @query()
 def scene_tracks(spark, sf_dir):
     """Tracks of the clean scene by the adaptive detector, with features, ground truth and polarity."""
-    rows = benchmark.clean_scene(spark, "Clean").persist()
+    rows = stored(benchmark.clean_scene(spark, "Clean"))
     return rounded(benchmark.tracks_of(rows, clustering.DETECTORS["ADB-Opt"])[1])
 
 
@@ -398,22 +398,25 @@ def benchmark_ranking(spark, sf_dir):
 
 # Learning
 
-VEC = [f"v{i}" for i in range(8)]
+VEC = [f"v{i}" for i in range(64)]
 
 
 def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "embeddings").select("vec_id", F.col("label").cast("int").alias("label"), *[F.col("embedding")[i].cast("double").alias(c) for i, c in enumerate(VEC)])
 
 
-@query("WITH e AS (SELECT vec_id, label, " + ", ".join(f"CAST(embedding[{i + 1}] AS DOUBLE) AS {c}" for i, c in enumerate(VEC)) + ") FROM embeddings) SELECT 1".replace(") FROM embeddings) SELECT 1", " FROM embeddings) SELECT vec_id, ") + ", ".join(f"round(({c} - avg({c}) OVER ()) / stddev_pop({c}) OVER (), 5) AS {c}" for c in VEC) + " FROM e")
+VEC_CELLS = ", ".join(f"CAST(embedding[{i + 1}] AS DOUBLE) AS {c}" for i, c in enumerate(VEC))
+VEC_SCALED = ", ".join(f"round(({c} - avg({c}) OVER ()) / stddev_pop({c}) OVER (), 5) AS {c}" for c in VEC)
+
+
+@query(f"WITH e AS (SELECT vec_id, {VEC_CELLS} FROM embeddings) SELECT vec_id, {VEC_SCALED} FROM e")
 def scaler_popstd(spark, sf_dir):
     return rounded(learning.scaled(_vectors(spark, sf_dir).drop("label"), VEC), 5)
 
 
-@query()
+@query("SELECT vec_id, label, row_number() OVER (PARTITION BY label ORDER BY md5(CAST(vec_id AS VARCHAR)), vec_id) <= floor(count(*) OVER (PARTITION BY label) * 0.2) AS is_test FROM embeddings")
 def stratified_split(spark, sf_dir):
-    rows = learning.stratified_exact(_vectors(spark, sf_dir), "label", F.xxhash64("vec_id"))
-    return rows.groupBy("label").agg(F.count_if("is_test").alias("test"), F.count("*").alias("n"))
+    return learning.stratified(_vectors(spark, sf_dir).select("vec_id", "label"), "label", "vec_id")
 
 
 def _fitted(spark: SparkSession, sf_dir: str, model) -> DataFrame:
@@ -534,25 +537,34 @@ TS = "strftime({c}, '%Y-%m-%d %H:%M:%S.%f')"
 
 @query(f"SELECT {TS.format(c='time_bucket(INTERVAL 1 HOUR, ts)')} AS start, {TS.format(c='time_bucket(INTERVAL 1 HOUR, ts) + INTERVAL 1 HOUR')} AS stop, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2, 3")
 def streaming_tumbling(spark, sf_dir):
-    return live.drained(live.tumbling(live.events_stream(spark, sf_dir)))
+    stream, close = live.closable(spark, sf_dir)
+    return live.drained(live.tumbling(stream), close)
 
 
 @query(f"SELECT {TS.format(c='s')} AS start, {TS.format(c='s + INTERVAL 1 HOUR')} AS stop, count(*) AS n, round(sum(value), 4) AS total FROM (SELECT value, unnest([time_bucket(INTERVAL 30 MINUTE, ts), time_bucket(INTERVAL 30 MINUTE, ts) - INTERVAL 30 MINUTE]) AS s FROM events) GROUP BY 1, 2")
 def streaming_sliding(spark, sf_dir):
-    return live.drained(live.sliding(live.events_stream(spark, sf_dir)))
+    stream, close = live.closable(spark, sf_dir)
+    return live.drained(live.sliding(stream), close)
 
 
 @query(f"""WITH g AS (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) < INTERVAL 5 MINUTE THEN 0 ELSE 1 END AS b FROM events),
 s AS (SELECT *, sum(b) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS k FROM g)
 SELECT {TS.format(c='min(ts)')} AS start, {TS.format(c='max(ts) + INTERVAL 5 MINUTE')} AS stop, user_id, count(*) AS n, round(sum(value), 4) AS total FROM s GROUP BY user_id, k""")
 def streaming_session(spark, sf_dir):
-    return live.drained(live.sessions(live.events_stream(spark, sf_dir)))
+    stream, close = live.closable(spark, sf_dir)
+    return live.drained(live.sessions(stream), close)
 
 
 @query()
 def streaming_track_link(spark, sf_dir):
     found = clustering.detect(replay_events(spark, sf_dir), clustering.DETECTORS["DBSCAN"])[1]
     path = f"{shared_dir(spark)}/detections"
-    found.select(F.lit("all").alias("scene"), "window_id", "cluster_id", "cx", "cy").coalesce(1).write.parquet(path)
+    scene = F.concat(F.lit("hour "), F.floor(F.col("window_id") / 720_000))  # recordings of an hour; tracks don't go on in the next
+    found.select(scene.alias("scene"), "window_id", "cluster_id", "cx", "cy").write.parquet(path)
     stream = spark.readStream.schema("scene string, window_id long, cluster_id long, cx double, cy double").parquet(path)
-    return live.drained(live.link_stream(stream), "append")
+    return live.drained(live.link_stream(stream))
+
+
+@query(f"WITH {D} SELECT event_id, t, x, y, p FROM d WHERE {NEAR.format(r=10)}")
+def streaming_noise_filter(spark, sf_dir):
+    return live.drained(live.noise_stream(to_stream(live.events_stream(spark, sf_dir))))

@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from saccade.functions.schema import HEIGHT, WIDTH
+
 #: Column names that mean time and polarity (fixed values).
 ALIASES = {"timestamp_us": "t", "timestamp": "t", "ts": "t", "time": "t", "pol": "p", "polarity": "p"}
 SCHEMA = "t double, x int, y int, p int"
@@ -31,20 +33,26 @@ def signed(p: Column) -> Column:
 
 
 def read_csv(spark: SparkSession, path: str) -> DataFrame:
-    """With a header (aliases allowed) or, if its names aren't known, four columns t, x, y, p without one."""
+    """With a header (aliases allowed) or, if its names aren't known, four columns t, x, y, p without one.
+    Polarity may be a number or true and false. The files of a folder have one form: the first line found
+    decides for all."""
     head = spark.read.text(path).first()
     names = [c.strip().strip('"').lower() for c in head.value.split(",")] if head else []
     names = [ALIASES.get(c, c) for c in names]
     if {"t", "x", "y", "p"} <= set(names):
         rows = spark.read.option("header", True).schema(", ".join(f"_{i} string" for i in range(len(names)))).csv(path)
-        rows = rows.select(*[F.trim(f"_{names.index(c)}").cast("double").alias(c) for c in ("t", "x", "y", "p")])
+        rows = rows.select(*[F.trim(f"_{names.index(c)}").alias(c) for c in ("t", "x", "y", "p")])
     else:
-        rows = spark.read.schema("t double, x double, y double, p double").csv(path)
-    return rows.select("t", F.col("x").cast("int").alias("x"), F.col("y").cast("int").alias("y"), signed(F.col("p")).alias("p"))
+        rows = spark.read.schema("t string, x string, y string, p string").csv(path)
+        rows = rows.select(*[F.trim(c).alias(c) for c in ("t", "x", "y", "p")])
+    number = lambda c: F.col(c).try_cast("double")
+    truth = F.lower("p")
+    p = F.when(truth == "true", 1.0).when(truth == "false", 0.0).otherwise(number("p"))
+    return rows.select(number("t").alias("t"), number("x").cast("int").alias("x"), number("y").cast("int").alias("y"), signed(p).alias("p"))
 
 
 def read_npz(spark: SparkSession, path: str) -> DataFrame:
-    """Arrays t, x, y, p of each file; polarity as it is. A file is one task's work."""
+    """Arrays t, x, y, p of each file; polarity as it is. A file is one task's work. Sizes of sensors: sizes_of()."""
 
     def take(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -55,6 +63,20 @@ def read_npz(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("content").mapInPandas(take, SCHEMA)
 
 
+def sizes_of(spark: SparkSession, path: str, width: int = WIDTH, height: int = HEIGHT) -> DataFrame:
+    """(path, width, height) of NPZ files: their W and H, or those given where a file has none."""
+
+    def take(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            found = []
+            for content in batch["content"]:
+                with np.load(io.BytesIO(content)) as f:
+                    found.append((int(f["W"]) if "W" in f else width, int(f["H"]) if "H" in f else height))
+            yield pd.DataFrame({"path": batch["path"], "width": [w for w, _ in found], "height": [h for _, h in found]})
+
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(take, "path string, width int, height int")
+
+
 def read_bin(spark: SparkSession, path: str) -> DataFrame:
     """Packed 64-bit events (t << 32 | x << 16 | y << 1 | p, p 1 or 0); files whose coordinates come
     out above 4096 are four 32-bit integers an event instead."""
@@ -92,5 +114,41 @@ def write_csv(events: DataFrame, path: str) -> None:
     rows.write.mode("overwrite").option("header", True).csv(path)
 
 
+def write_npz(events: DataFrame, uri: str, width: int = WIDTH, height: int = HEIGHT) -> list[str]:
+    """An archive of arrays t, x, y, p and W, H for each partition of events, in order of time, below uri
+    (file://, hdfs:// or the like, which all executors can write). A part is written under a name of its
+    attempt first, so that a task that runs again leaves one file. Returns the files' names."""
+
+    def save(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyarrow import fs
+        from pyspark import TaskContext
+
+        parts = list(batches)
+        if parts:
+            rows, task = pd.concat(parts).sort_values(["t"], kind="stable"), TaskContext.get()
+            store, folder = fs.FileSystem.from_uri(uri)
+            store.create_dir(folder)
+            name = f"part-{task.partitionId():05d}.npz"
+            draft = f"{folder}/.{name}-{task.taskAttemptId()}"
+            made = io.BytesIO()
+            np.savez(made, t=rows["t"].to_numpy("f8"), x=rows["x"].to_numpy("i2"), y=rows["y"].to_numpy("i2"), p=rows["p"].to_numpy("i1"), W=width, H=height)
+            with store.open_output_stream(draft) as out:
+                out.write(made.getvalue())
+            store.move(draft, f"{folder}/{name}")
+            yield pd.DataFrame({"file": [name]})
+
+    return sorted(r.file for r in events.select("t", "x", "y", "p").mapInPandas(save, "file string").collect())  # a name a partition
+
+
+def write_bin(events: DataFrame) -> DataFrame:
+    """(packed) for a sink of one's own: each event as its 64-bit number."""
+    return events.select(packed(F.col("t"), F.col("x"), F.col("y"), F.col("p")).alias("packed"))
+
+
+def write_results(scores: DataFrame, path: str) -> None:
+    """Scores (detector, filter, scene, accuracy) or a report's rows, as lines of JSON."""
+    scores.write.mode("overwrite").json(path)
+
+
 def write_parquet(events: DataFrame, path: str) -> None:
     events.write.mode("overwrite").parquet(path)

@@ -97,7 +97,7 @@ def test_linking_a_stream_gives_the_tracks_of_the_batch(spark, tmp_path):
     schema = "scene string, window_id long, cluster_id long, cx double, cy double"
     table = spark.createDataFrame(rows, schema)
     table.coalesce(1).write.parquet(str(tmp_path / "in"))
-    out = live.drained(live.link_stream(spark.readStream.schema(schema).parquet(str(tmp_path / "in"))), "append")
+    out = live.drained(live.link_stream(spark.readStream.schema(schema).parquet(str(tmp_path / "in"))))
     cols = ["scene", "track_id", "seq", "window_id", "cluster_id"]
     want = tracking.link(table, scene=["scene"])
     assert sorted(map(tuple, out.select(*cols).collect())) == sorted(map(tuple, want.select(*cols).collect()))
@@ -107,7 +107,7 @@ def test_scaling_splits_and_reports(spark):
     rows = spark.createDataFrame([(i, float(i), 5.0, i % 2) for i in range(20)], "k long, a double, b double, label int")
     got = learning.scaled(rows, ["a", "b"]).agg(F.avg("a"), F.stddev_pop("a"), F.max(F.abs("b"))).first()
     assert abs(got[0]) < 1e-9 and abs(got[1] - 1) < 1e-9 and got[2] == 0.0
-    parts = {(r.label, r.is_test): r["count"] for r in learning.stratified_exact(rows, "label", F.col("k")).groupBy("label", "is_test").count().collect()}
+    parts = {(r.label, r.is_test): r["count"] for r in learning.stratified(rows, "label", "k").groupBy("label", "is_test").count().collect()}
     assert parts == {(0, True): 2, (0, False): 8, (1, True): 2, (1, False): 8}
     matrix = spark.createDataFrame([(0, 0, 3), (0, 1, 1), (1, 1, 4)], "actual int, predicted int, n long")
     got = {r.cls: (r.support, r.precision, r.recall) for r in learning.report(matrix).collect()}
