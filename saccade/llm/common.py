@@ -63,6 +63,24 @@ def discard(spark: SparkSession, path: str) -> None:
     place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
+#: Bits of a filter of keys: at most 65,536 rows of 16 bytes, which is what is broadcast.
+FILTER_BITS = 1 << 22
+
+
+def filter_of(keys: DataFrame, path: str) -> DataFrame:
+    """A Bloom filter, of set size, of the one column of 64-bit keys: for among()."""
+    bit = F.pmod(keys.columns[0], F.lit(FILTER_BITS))
+    bits = keys.select(F.shiftright(bit, 6).alias("_place"), F.expr(f"shiftleft(1L, cast(pmod({keys.columns[0]}, {FILTER_BITS}) & 63 as int))").alias("_bit"))
+    return stored(bits.groupBy("_place").agg(F.bit_or("_bit").alias("_mask")), path)
+
+
+def among(rows: DataFrame, key: str, keys: DataFrame) -> DataFrame:
+    """rows whose key the filter has, and a few others: so few rows move to the join that decides."""
+    bit = F.pmod(key, F.lit(FILTER_BITS))
+    hit = F.expr(f"shiftleft(1L, cast(pmod({key}, {FILTER_BITS}) & 63 as int))").bitwiseAND(F.col("_mask")) != 0
+    return rows.withColumn("_place", F.shiftright(bit, 6)).join(F.broadcast(keys), "_place").where(hit).select(*rows.columns)
+
+
 def without(df: DataFrame, *names: str) -> DataFrame:
     """df without columns that an operator is about to add under the same names."""
     taken = {n.lower() for n in names}

@@ -12,14 +12,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from saccade.llm.common import ascii_lower, private_names, row_key, shared_dir, stored, without
+from saccade.llm.common import among, ascii_lower, filter_of, private_names, row_key, shared_dir, stored, without
 
 #: What stands between words (ASCII other than letters and digits).
 BETWEEN = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 #: Terms of the benchmark are broadcast up to so many bytes, and joined by shuffling beyond that.
 BROADCAST_BYTES = 16 << 20
-#: Bits of the filter of documents found: at most 65,536 rows of 16 bytes are broadcast.
-FILTER_BITS = 1 << 22
 ADDED = ["n_words", "n_hit", "n_items", "items", "contaminated"]
 
 
@@ -98,12 +96,7 @@ def texts_of(docs: DataFrame, found: DataFrame, text: str, path: str) -> DataFra
     """(_k1, _k2, _w), the words of the documents found, stored. A Bloom filter of the keys found, of set
     size, lets few other texts through, so that the join need not move the corpus."""
     keys = found.select("_k1").distinct()
-    bits = keys.select(F.pmod("_k1", F.lit(FILTER_BITS)).alias("b")).select(F.shiftright("b", 6).alias("place"), F.expr("shiftleft(1L, cast(b & 63 as int))").alias("bit"))
-    bits = bits.groupBy("place").agg(F.bit_or("bit").alias("mask"))
-    at = F.pmod("_k1", F.lit(FILTER_BITS))
-    mask = F.expr(f"shiftleft(1L, cast(pmod(_k1, {FILTER_BITS}) & 63 as int))")
-    rows = docs.select("_k1", "_k2", F.col(text).alias("_t"), F.shiftright(at, 6).alias("place"), mask.alias("_bit"))
-    near = rows.join(F.broadcast(stored(bits, f"{path}/bits")), "place").where(F.col("mask").bitwiseAND(F.col("_bit")) != 0)  # FILTER_BITS / 64 rows at most
+    near = among(docs.select("_k1", "_k2", F.col(text).alias("_t")), "_k1", filter_of(keys, f"{path}/bits"))
     near = near.join(keys, "_k1", "left_semi").select("_k1", "_k2", ascii_lower(F.col("_t")).alias("_t")).dropDuplicates(["_k1", "_k2"])
     return stored(near.select("_k1", "_k2", word_list("_t").alias("_w")), f"{path}/texts")
 

@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from saccade.llm.common import SPACES, private_names, shared_dir, stored, without
+from saccade.llm.common import SPACES, among, filter_of, private_names, shared_dir, stored, without
 
 SYMBOLS = r"[#*$%&|<>]"
 BASE = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
@@ -102,15 +102,18 @@ def contents(docs: DataFrame, host: str, text: str) -> DataFrame:
     sketch = F.transform(F.slice(longest, 1, SKETCH), lambda x: F.xxhash64(x["w"]))
     kept = ["_host", "_md5", *BASE[:4]]
     rows = _repeats(cells.select(*kept, "_t", lines.alias("_lines"), sketch.alias("_sketch")), [*kept, "_lines", "_sketch"])
-    return rows.dropDuplicates(["_host", "_md5"])
+    return rows.dropDuplicates(["_host", "_md5"]).withColumn("_c", F.xxhash64("_md5"))
 
 
-def frequent_lines(rows: DataFrame, max_docs: int) -> DataFrame:
+def frequent_lines(rows: DataFrame, max_docs: int, path: str) -> DataFrame:
     """(_host, _h) of the lines above the limit, from contents(): more than max_docs different documents
     of the host have them, and also more besides those that look like copies of one."""
     hashes = F.explode(F.array_distinct("_lines.h")).alias("_h")
     many = rows.select("_host", hashes).groupBy("_host", "_h").agg(F.count("*").alias("_docs")).where(F.col("_docs") > max_docs)
-    held = rows.select("_host", "_md5", "_sketch", hashes).join(many, ["_host", "_h"])
+    many = stored(many, f"{path}/many")
+    held = among(rows.select("_host", "_c", hashes), "_h", filter_of(many.select("_h").distinct(), f"{path}/many-bits"))
+    held = held.join(many, ["_host", "_h"])
+    held = held.join(rows.select("_host", "_c", "_md5", "_sketch"), ["_host", "_c"])
     hubs = held.groupBy("_host", "_h").agg(F.min(F.struct("_md5", "_sketch")).alias("_hub"))
     pairs = held.join(hubs, ["_host", "_h"])
     common, longer = F.size(F.array_intersect("_sketch", "_hub._sketch")), F.greatest(F.size("_sketch"), F.size("_hub._sketch"))
@@ -133,10 +136,11 @@ def score(docs: DataFrame, max_docs: int = 10, min_words: int = 50, min_left: fl
     base = shared_dir(docs.sparkSession)
     docs = without(docs, *ADDED)
     rows = stored(contents(docs, host, text), f"{base}/contents")
-    frequent = stored(frequent_lines(rows, max_docs), f"{base}/frequent")
-    each = rows.select("_host", "_md5", F.explode("_lines").alias("_line")).select("_host", "_md5", F.col("_line.h").alias("_h"), F.col("_line.w").alias("_n"))
-    gone = each.join(frequent, ["_host", "_h"]).groupBy("_host", "_md5").agg(F.sum("_n").alias("_removed"), F.collect_set("_h").alias("_gone"))
-    verdict = rows.select("_host", "_md5", *BASE).join(gone, ["_host", "_md5"], "left")
+    frequent = stored(frequent_lines(rows, max_docs, base), f"{base}/frequent")
+    each = rows.select("_host", "_c", F.explode("_lines").alias("_line")).select("_host", "_c", F.col("_line.h").alias("_h"), F.col("_line.w").alias("_n"))
+    each = among(each, "_h", filter_of(frequent.select("_h").distinct(), f"{base}/bits"))
+    gone = each.join(frequent, ["_host", "_h"]).groupBy("_host", "_c").agg(F.sum("_n").alias("_removed"), F.collect_set("_h").alias("_gone"))
+    verdict = rows.select("_host", "_c", "_md5", *BASE).join(gone, ["_host", "_c"], "left")
     verdict = verdict.select("_host", "_md5", "_gone", *BASE, F.coalesce("_removed", F.lit(0)).cast("long").alias("n_removed_words"))
     left = F.col("n_words") - F.col("n_removed_words")
     failed = (F.col("n_words") < min_words) | (F.col("n_repeat_words") * 100 > F.lit(int(max_repeat * 100)) * F.col("n_words"))
