@@ -45,6 +45,13 @@ def threshold_sweep(rows: DataFrame, value: str, label: str, thresholds: list[fl
     return rows.select(label, value, each).groupBy("threshold", label).agg(F.avg((v < t).cast("double")).alias("below"), F.avg((v > t).cast("double")).alias("above"), F.count("*").alias("n"))
 
 
+def histogram(rows: DataFrame, group: str, value: str, low: float, high: float, bins: int) -> DataFrame:
+    """(group, bin, n): counts in equal bins from low to high; the last bin is closed, values outside are left out."""
+    v = F.col(value)
+    b = F.least(F.lit(bins - 1), F.floor((v - low) / (high - low) * bins)).cast("int")
+    return rows.where((v >= low) & (v <= high)).groupBy(group, b.alias("bin")).agg(F.count("*").alias("n"))
+
+
 def spread(rows: DataFrame, group: str, value: str) -> DataFrame:
     v = F.col(value)
     return rows.groupBy(group).agg(F.count("*").alias("n"), F.avg(v).alias("mean"), F.stddev_pop(v).alias("std"), F.min(v).alias("min"), F.max(v).alias("max"))

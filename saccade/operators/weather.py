@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
+from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.feature import StandardScaler, VectorAssembler
+from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -81,6 +83,21 @@ def train(clean: DataFrame, weather: DataFrame, kind: str = "gradient_boost", co
     return fitted
 
 
+def trained_report(clean: DataFrame, weather: DataFrame, copies: int = 4, seed: int = 42, max_iter: int = 100, folds: int = 5, top: int = 3) -> DataFrame:
+    """(metric, name, value): mean and deviation of the folds' F1 of gradient boosting, its accuracy on what it
+    learned from, and the most important features."""
+    model = train(clean, weather, "gradient_boost", copies, seed, max_iter)
+    rows = clean.select("*", F.lit(0.0).alias("weather")).unionByName(weather.select("*", F.lit(1.0).alias("weather")), allowMissingColumns=True)
+    rows = augmented(rows, copies, 0.03, seed)
+    booster = GBTClassifier(labelCol="weather", maxIter=max_iter, maxDepth=4, stepSize=0.1, seed=seed)
+    judge = MulticlassClassificationEvaluator(labelCol="weather", metricName="fMeasureByLabel", metricLabel=1.0)
+    cv = CrossValidator(estimator=Pipeline(stages=[*assembled(), booster]), estimatorParamMaps=ParamGridBuilder().build(), evaluator=judge, numFolds=folds, seed=seed).fit(rows)
+    accuracy = model.transform(rows).agg(F.avg((F.col("prediction") == F.col("weather")).cast("double"))).first()[0]
+    weights = sorted(zip(NAMES, model.stages[-1].featureImportances.toArray().tolist(), strict=True), key=lambda x: -x[1])[:top]
+    found = [("cv_f1", "mean", float(cv.avgMetrics[0])), ("cv_f1", "std", float(cv.stdMetrics[0])), ("accuracy", "train", float(accuracy))]
+    return clean.sparkSession.createDataFrame([*found, *(("importance", n, w) for n, w in weights)], "metric string, name string, value double")
+
+
 def split(tracks: DataFrame, mode: str = "rules", model: PipelineModel | None = None) -> tuple[DataFrame, DataFrame]:
     """(clean, weather) tracks."""
     if mode not in MODES:

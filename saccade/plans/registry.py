@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.ml import Pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -121,6 +122,27 @@ def bin_pack_unpack(spark, sf_dir):
     return rows.select("event_id", "packed", *files.unpacked(F.col("packed")))
 
 
+def _round_trip(spark: SparkSession, sf_dir: str, write, kind: str) -> DataFrame:
+    path = f"{shared_dir(spark)}/events.{kind}"
+    write(replay_events(spark, sf_dir), path)
+    return files.read_events(spark, path)
+
+
+@query(f"WITH {D} SELECT t, x, y, p FROM d")
+def csv_round_trip(spark, sf_dir):
+    return _round_trip(spark, sf_dir, files.write_csv, "csv")
+
+
+@query(f"WITH {D} SELECT t, x, y, p FROM d")
+def npz_round_trip(spark, sf_dir):
+    return _round_trip(spark, sf_dir, files.write_npz, "npz")
+
+
+@query(f"WITH {D} SELECT t, x, y, p FROM d")
+def parquet_round_trip(spark, sf_dir):
+    return _round_trip(spark, sf_dir, files.write_parquet, "parquet").select("t", "x", "y", "p")
+
+
 # Noise filters
 
 NEAR = "d.event_id IN (SELECT a.event_id FROM d a JOIN d b ON b.event_id < a.event_id AND b.t > a.t - 8000 AND abs(a.x - b.x) <= {r} AND abs(a.y - b.y) <= {r})"
@@ -174,6 +196,32 @@ def eps_lidar(spark, sf_dir):
     return rounded(clustering.eps_lidar(windowed(spark, sf_dir), 5))
 
 
+PIXEL = clustering.Detector("pixel", 1e-4, -0.02, 10.0, radius_of="pixel")
+LIDAR = clustering.Detector("lidar", 1e-4, -0.02, 10.0, radius_of="lidar")
+K_X = "greatest(floor(1e-4 * x * x - 0.02 * x + 10), 1)"
+
+
+@query(f"WITH {WIN}, r AS (SELECT window_id, greatest(1e-4 * x * x - 0.02 * x + 10, 0.9) AS eps FROM w) SELECT window_id, round(min(eps), 6) AS min, round(max(eps), 6) AS max, round(avg(eps), 6) AS mean FROM r GROUP BY 1")
+def eps_stats_pixel(spark, sf_dir):
+    return rounded(clustering.eps_stats(clustering.with_density(replay_events(spark, sf_dir), PIXEL)))
+
+
+@query(f"""WITH {WIN}, s AS (SELECT window_id, greatest(max(x), max(y)) - least(min(x), min(y)) AS span, count(*) AS n FROM w GROUP BY 1),
+r AS (SELECT window_id, greatest(0.7 * sqrt(span * {K_X} * 1.0 / (n * pi())), 0.9) AS eps FROM w JOIN s USING (window_id)) SELECT window_id, round(min(eps), 6) AS min, round(max(eps), 6) AS max, round(avg(eps), 6) AS mean FROM r GROUP BY 1""")
+def eps_stats_lidar(spark, sf_dir):
+    return rounded(clustering.eps_stats(clustering.with_density(replay_events(spark, sf_dir), LIDAR)))
+
+
+@query()
+def n_clusters_pixel(spark, sf_dir):
+    return clustering.n_clusters(clustering.kernel_clusters(replay_events(spark, sf_dir), PIXEL))
+
+
+@query()
+def n_clusters_lidar(spark, sf_dir):
+    return clustering.n_clusters(clustering.kernel_clusters(replay_events(spark, sf_dir), LIDAR))
+
+
 PAIRS = "e AS (SELECT a.window_id, a.event_id AS i, b.event_id AS j FROM w a JOIN w b ON a.window_id = b.window_id AND (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) <= 100)"
 
 
@@ -335,6 +383,16 @@ def flip_stats(spark, sf_dir):
     return rounded(ranking.spread(_sided(spark, sf_dir), "side", "flip_rate"))
 
 
+@query(f"WITH {POL} SELECT CASE WHEN track_id % 2 = 0 THEN 'even' ELSE 'odd' END AS side, least(33, CAST(floor(flip_rate / 0.7 * 34) AS INTEGER)) AS bin, count(*) AS n FROM pol WHERE n_events >= 4 AND flip_rate BETWEEN 0 AND 0.7 GROUP BY 1, 2")
+def flip_histogram(spark, sf_dir):
+    return ranking.histogram(_sided(spark, sf_dir), "side", "flip_rate", 0.0, 0.7, 34)
+
+
+@query(f"WITH {POL} SELECT track_id, n_events, round(flip_rate, 6) AS flip_rate, round(pol_ratio, 6) AS pol_ratio FROM pol WHERE n_events >= 3")
+def polarity_report_features(spark, sf_dir):
+    return rounded(features.polarity(proxy_events(spark, sf_dir), ["track_id"], least=3)).select("track_id", "n_events", "flip_rate", "pol_ratio")
+
+
 def _sided(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = features.polarity(proxy_events(spark, sf_dir), ["track_id"])
     return rows.withColumn("side", F.when(F.col("track_id") % 2 == 0, "even").otherwise("odd"))
@@ -431,6 +489,64 @@ def _classes(spark: SparkSession, sf_dir: str) -> tuple[int, int]:
     return r[0], int(r[1]) + 1
 
 
+GUESS = "SELECT CASE o_orderstatus WHEN 'F' THEN 0 WHEN 'O' THEN 1 ELSE 2 END AS actual, CAST(o_orderkey % 3 AS INTEGER) AS predicted, count(*) AS n FROM orders GROUP BY 1, 2"
+
+
+def _guesses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    status = F.col("o_orderstatus")
+    return read(spark, sf_dir, "orders").select(F.when(status == "F", 0).when(status == "O", 1).otherwise(2).alias("label"), (F.col("o_orderkey") % 3).cast("double").alias("prediction"))
+
+
+@query(GUESS)
+def confusion_matrix(spark, sf_dir):
+    return learning.confusion(_guesses(spark, sf_dir))
+
+
+@query(f"""WITH m AS ({GUESS}), a AS (SELECT actual AS cls, sum(n) AS support, sum(CASE WHEN actual = predicted THEN n ELSE 0 END) AS tp FROM m GROUP BY 1),
+b AS (SELECT predicted AS cls, sum(n) AS found FROM m GROUP BY 1), r AS (SELECT cls, CAST(support AS BIGINT) AS support, coalesce(tp / found, 0) AS p, tp / support AS r FROM a LEFT JOIN b USING (cls))
+SELECT cls, support, round(p, 6) AS precision, round(r, 6) AS recall, round(CASE WHEN p + r = 0 THEN 0 ELSE 2 * p * r / (p + r) END, 6) AS f1 FROM r""")
+def report_of_confusion(spark, sf_dir):
+    return rounded(learning.report(learning.confusion(_guesses(spark, sf_dir))))
+
+
+@query("WITH c AS (SELECT o_orderpriority AS prio, count(*) AS n FROM orders GROUP BY 1) SELECT prio, n, true AS full FROM c")
+def balanced_resampling(spark, sf_dir):
+    rows = read(spark, sf_dir, "orders").select("o_orderkey", F.col("o_orderpriority").alias("prio"))
+    made = learning.balanced(rows, "prio", "o_orderkey").groupBy("prio").agg(F.count_if(F.col("copy") == 0).alias("n"), F.count("*").alias("m"))
+    most = made.agg(F.max("n")).scalar()
+    return made.select("prio", "n", (F.abs(F.col("m") - most) <= 0.05 * most).alias("full"))
+
+
+@query()
+def feature_importances(spark, sf_dir):
+    """The five most important track features for the object classes."""
+    clean, noisy = _two_kinds(spark, sf_dir)
+    rows = clean.unionByName(noisy)
+    fitted = Pipeline(stages=[*weather.assembled(), learning.forest("gt_class")]).fit(rows.where("gt_class >= 0"))
+    return rounded(spark.createDataFrame(learning.importances(fitted.stages[-1], features.NAMES), "name string, weight double"))
+
+
+@query()
+def augmented_tracks(spark, sf_dir):
+    clean, noisy = _two_kinds(spark, sf_dir)
+    return rounded(weather.augmented(clean.unionByName(noisy), 4, 0.03).select("track_id", "copy", *features.NAMES))
+
+
+@query()
+def weather_training_report(spark, sf_dir):
+    clean, noisy = _two_kinds(spark, sf_dir)
+    return rounded(weather.trained_report(clean, noisy))
+
+
+@query()
+def combined_filter(spark, sf_dir):
+    """What the learned filter and the polarity filter after it remove."""
+    clean, noisy = _two_kinds(spark, sf_dir)
+    pol = _with_polarity(spark, sf_dir).drop("pol_ratio")
+    tracks = clean.unionByName(noisy).join(pol, "track_id")
+    return weather.combined(tracks, weather.train(clean, noisy, "logistic", max_iter=500))[1]
+
+
 @query()
 def mlp_predict(spark, sf_dir):
     n, k = _classes(spark, sf_dir)

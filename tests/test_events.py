@@ -149,6 +149,40 @@ def test_links_stay_inside_scenes(spark):
     assert got == [(s, 0, i) for s in ("a", "b") for i in range(3)]
 
 
+def test_stretches_are_linked_as_one_stream_would_be(spark, monkeypatch):
+    """Gaps cut the stream into many groups; blocks of windows are small enough to matter."""
+    monkeypatch.setattr(tracking, "BLOCK", 7)
+    rng, rows, w = random.Random(6), [], 3
+    for _ in range(120):
+        rows += [(w, c, rng.uniform(0, 150), rng.uniform(0, 150)) for c in range(rng.randint(1, 3))]
+        w += rng.choice([1, 1, 2, 3, 4, 5, 30])
+    table = spark.createDataFrame(rows, "window_id long, cluster_id long, cx double, cy double")
+    one = tracking.Linker(40.0, 3)
+    want = sorted((*one.add(w, x, y), w, c) for w, c, x, y in rows)
+    got = sorted(tuple(r) for r in tracking.link(table).select("track_id", "seq", "window_id", "cluster_id").collect())
+    assert got == want
+    assert tracking.stretches(table, 3, []).select("_start").distinct().count() > 20
+
+
+def test_windows_of_scenes_begin_with_their_own_first_events(spark):
+    rows = stream(spark, [(100, 1, 1), (5099, 1, 1), (7000, 1, 1), (12_100, 1, 1)]).withColumn("scene", F.when(F.col("event_id") < 2, "a").otherwise("b"))
+    got = {r.event_id: r.window_id for r in streams.with_window(rows, 5000.0, ["scene"]).collect()}
+    assert got == {0: 0, 1: 0, 2: 0, 3: 1}
+
+
+def test_pixel_and_lidar_radii(spark):
+    rows = stream(spark, [(i, 100 + i % 3, 100) for i in range(20)] + [(30, 300, 200)])
+    for kind in ("pixel", "lidar"):
+        d = clustering.Detector(kind, 1e-4, -0.02, 10.0, radius_of=kind)
+        dense = {r.event_id: (r.k, r.eps) for r in clustering.with_density(rows, d).collect()}
+        k = max(1, math.floor(1e-4 * 300 * 300 - 0.02 * 300 + 10))
+        eps = 1e-4 * 300 * 300 - 0.02 * 300 + 10 if kind == "pixel" else 0.7 * math.sqrt((300 - 100) * k / (21 * math.pi))
+        assert dense[20][0] == k and math.isclose(dense[20][1], max(eps, 0.9))
+        (r,) = clustering.eps_stats(clustering.with_density(rows, d)).collect()
+        assert r.min <= r.mean <= r.max
+        assert [x.n_clusters for x in clustering.n_clusters(clustering.kernel_clusters(rows, d)).collect()] == [1]
+
+
 def test_vote_takes_the_lowest_of_equal_labels(spark):
     rows = spark.createDataFrame([(1, 3), (1, 2), (1, -1), (1, -1), (2, -1), (3, 11)], "track_id long, label int")
     assert {r.track_id: r.gt_class for r in tracking.vote(rows, ["track_id"]).collect()} == {1: 2, 2: -1, 3: 11}
@@ -223,6 +257,21 @@ def test_csv_with_and_without_header(spark, tmp_path):
     assert rows_of(files.read_events(spark, str(tmp_path / "out.csv"))) == WANT
 
 
+def test_csv_with_true_and_false(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("t,x,y,polarity\n1,10,20,True\n2.5,30,40,False\n")
+    (tmp_path / "b.csv").write_text("1,10,20, true\n2.5,30,40,0\n")
+    assert rows_of(files.read_events(spark, str(tmp_path / "a.csv"))) == rows_of(files.read_events(spark, str(tmp_path / "b.csv"))) == WANT
+
+
+def test_archives_come_back_with_their_sizes(spark, tmp_path):
+    events = spark.createDataFrame(WANT, "t double, x int, y int, p int")
+    names = files.write_npz(events.coalesce(1), f"file://{tmp_path}/out", 640, 480)
+    assert rows_of(files.read_npz(spark, f"file://{tmp_path}/out/{names[0]}")) == WANT and len(names) == 1
+    np.savez(tmp_path / "plain.npz", t=np.zeros(1))
+    sizes = {r.path.rsplit("/", 1)[1]: (r.width, r.height) for p in (f"file://{tmp_path}/out", f"file://{tmp_path}/plain.npz") for r in files.sizes_of(spark, p).collect()}
+    assert sizes == {names[0]: (640, 480), "plain.npz": (346, 260)}
+
+
 def test_npz_and_packed_files(spark, tmp_path):
     t, x, y, p = (np.array(c) for c in zip(*WANT, strict=True))
     np.savez(tmp_path / "a.npz", t=t, x=x.astype("i2"), y=y.astype("i2"), p=p.astype("i1"))
