@@ -1,4 +1,4 @@
-"""A residual 1-D convolutional network over event sequences: forward pass and filter.
+"""A residual 1-D convolutional network over event sequences: training, forward pass and filter.
 
 Weights are a dictionary of arrays (convolutions with their normalisations folded in), stored as a
 Parquet table of (name, shape, values), and broadcast: under a million numbers.
@@ -13,6 +13,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from saccade.functions.scratch import stored
+
 #: Channels in, channels out, stride of each residual block.
 BLOCKS = [(32, 64, 1), (64, 64, 1), (64, 128, 2), (128, 128, 1), (128, 256, 2), (256, 256, 1)]
 STEM, HEAD, OUT = (4, 32, 7), 128, 3
@@ -63,6 +65,105 @@ def score(rows: DataFrame, weights: dict[str, np.ndarray], seq: str = "seq", bat
     return out.select(*rows.columns, "_p.*")
 
 
+def conv_back(x: np.ndarray, w: np.ndarray, dy: np.ndarray, stride: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """What conv() sends back: to its input, its weights and its constants."""
+    k, n = w.shape[2], x.shape[2]
+    padded = np.pad(x, ((0, 0), (0, 0), (k // 2, k // 2))) if k > 1 else x
+    spans = np.lib.stride_tricks.sliding_window_view(padded, k, axis=2)[:, :, ::stride]
+    dw = np.einsum("nol,nclk->ock", dy, spans, optimize=True)
+    dx = np.zeros_like(padded)
+    for j in range(k):
+        dx[:, :, j : j + stride * dy.shape[2] : stride] += np.einsum("nol,oc->ncl", dy, w[:, :, j], optimize=True)
+    return dx[:, :, k // 2 : k // 2 + n], dw, dy.sum(axis=(0, 2))
+
+
+def gradients(x: np.ndarray, y: np.ndarray, share: np.ndarray, w: dict[str, np.ndarray]) -> tuple[float, dict[str, np.ndarray]]:
+    """The mean weighted cross-entropy of classes y (their weights: share), and its gradient."""
+    x0 = x.transpose(0, 2, 1).astype("f4")
+    a = np.maximum(conv(x0, w["stem"], w["stem_b"]), 0)
+    kept = []
+    for i, (_, _, stride) in enumerate(BLOCKS):
+        h = np.maximum(conv(a, w[f"r{i}_1"], w[f"r{i}_1b"], stride), 0)
+        z = conv(h, w[f"r{i}_2"], w[f"r{i}_2b"]) + (conv(a, w[f"r{i}_s"], w[f"r{i}_sb"], stride) if f"r{i}_s" in w else a)
+        kept.append((a, h, z))
+        a = np.maximum(z, 0)
+    mean = a.mean(axis=2)
+    head = np.maximum(mean @ w["fc1"].T + w["fc1_b"], 0)
+    z = head @ w["fc2"].T + w["fc2_b"]
+    e = np.exp(z - z.max(axis=1, keepdims=True))
+    p, of = e / e.sum(axis=1, keepdims=True), share[y]
+    loss = float(-(of * np.log(p[np.arange(len(y)), y] + 1e-9)).sum() / of.sum())
+    d = p.copy()
+    d[np.arange(len(y)), y] -= 1
+    d *= (of / of.sum())[:, None]
+    g = {"fc2": d.T @ head, "fc2_b": d.sum(axis=0)}
+    d = (d @ w["fc2"]) * (head > 0)
+    g |= {"fc1": d.T @ mean, "fc1_b": d.sum(axis=0)}
+    d = np.repeat((d @ w["fc1"])[:, :, None] / a.shape[2], a.shape[2], axis=2)
+    for i in reversed(range(len(BLOCKS))):
+        a, h, z = kept[i]
+        stride, d = BLOCKS[i][2], d * (z > 0)
+        dh, g[f"r{i}_2"], g[f"r{i}_2b"] = conv_back(h, w[f"r{i}_2"], d, 1)
+        da, g[f"r{i}_1"], g[f"r{i}_1b"] = conv_back(a, w[f"r{i}_1"], dh * (h > 0), stride)
+        if f"r{i}_s" in w:
+            ds, g[f"r{i}_s"], g[f"r{i}_sb"] = conv_back(a, w[f"r{i}_s"], d, stride)
+            d = da + ds
+        else:
+            d = da + d
+    d = d * (np.maximum(conv(x0, w["stem"], w["stem_b"]), 0) > 0)
+    _, g["stem"], g["stem_b"] = conv_back(x0, w["stem"], d, 1)
+    return loss, g
+
+
+def train(rows: DataFrame, epochs: int = 12, batch: int = 16, rate: float = 1e-3, tasks: int = 4, max_rows: int = 4000, seed: int = 42, seq: str = "seq", label: str = "cls") -> tuple[dict[str, np.ndarray], DataFrame]:
+    """(weights, losses (epoch, loss)) learned from at most max_rows rows of sequences and classes 0 to 2.
+
+    Data-parallel: in each epoch every task takes Adam steps over its rows from the shared weights, and the
+    tasks' weights are averaged by their numbers of rows: under four megabytes a task come to the driver.
+    Classes weigh in inversely to their frequency."""
+    spark = rows.sparkSession
+    kept = stored(rows.select(F.col(seq).alias("seq"), F.col(label).cast("int").alias("cls")).orderBy(F.xxhash64(F.lit(seed), F.to_json(seq))).limit(max_rows).repartition(tasks))
+    counts = {r.cls: r["count"] for r in kept.groupBy("cls").count().collect()}  # three rows
+    if not counts:
+        raise ValueError("no labelled rows")
+    share = np.array([sum(counts.values()) / counts[c] if c in counts else 0.0 for c in range(OUT)], "f4")
+    weights = random_weights(seed)
+    for i in range(len(BLOCKS)):
+        weights[f"r{i}_2"] *= 0.3  # blocks begin near the identity
+    losses = []
+    for epoch in range(epochs):
+        shared = spark.sparkContext.broadcast(weights)
+        step = rate * (0.02 + 0.98 * 0.5 * (1 + np.cos(np.pi * epoch / epochs)))
+
+        def learn(batches: Iterator[pd.DataFrame], shared=shared, step=step, epoch=epoch) -> Iterator[pd.DataFrame]:
+            own = pd.concat([*batches, pd.DataFrame({"seq": [], "cls": []})])
+            if not len(own):
+                return
+            x, y = np.stack([np.stack(s) for s in own["seq"]]).astype("f4"), own["cls"].to_numpy("i4")
+            w = {k: v.copy() for k, v in shared.value.items()}
+            m, v = ({k: np.zeros_like(a) for k, a in w.items()} for _ in range(2))
+            order, total, n = np.random.default_rng([seed, epoch, len(y)]).permutation(len(y)), 0.0, 0
+            for a in range(0, len(y), batch):
+                at = order[a : a + batch]
+                loss, g = gradients(x[at], y[at], share, w)
+                total, n = total + loss * len(at), n + 1
+                for k in w:
+                    m[k] = 0.9 * m[k] + 0.1 * g[k]
+                    v[k] = 0.999 * v[k] + 0.001 * g[k] ** 2
+                    w[k] -= (step * (m[k] / (1 - 0.9**n)) / (np.sqrt(v[k] / (1 - 0.999**n)) + 1e-8) + step * 1e-4 * w[k]).astype("f4")
+            yield pd.DataFrame({"n": [len(y)], "loss": [total], "weights": [b"".join(w[k].astype("f4").tobytes() for k in sorted(w))]})
+
+        parts = kept.mapInPandas(learn, "n long, loss double, weights binary").collect()
+        n = sum(r.n for r in parts)
+        flat = sum(np.frombuffer(r.weights, "f4") * np.float32(r.n / n) for r in parts)
+        at = 0
+        for k in sorted(weights):
+            weights[k] = flat[at : at + weights[k].size].reshape(weights[k].shape)
+            at += weights[k].size
+        losses.append((epoch, sum(r.loss for r in parts) / n))
+    return weights, spark.createDataFrame(losses, "epoch int, loss double")
+
+
 def real_tracks(scored: DataFrame, threshold: float = 0.5) -> DataFrame:
     return scored.where(F.col("p_rain") + F.col("p_snow") <= threshold)
 

@@ -532,12 +532,6 @@ def augmented_tracks(spark, sf_dir):
     return rounded(weather.augmented(clean.unionByName(noisy), 4, 0.03).select("track_id", "copy", *features.NAMES))
 
 
-@query()
-def weather_training_report(spark, sf_dir):
-    clean, noisy = _two_kinds(spark, sf_dir)
-    return rounded(weather.trained_report(clean, noisy))
-
-
 @query()
 def combined_filter(spark, sf_dir):
     """What the learned filter and the polarity filter after it remove."""

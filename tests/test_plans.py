@@ -84,6 +84,37 @@ def test_network_gives_probabilities():
     assert np.allclose(got[1, 5, 100], (padded[1, :, 100:107] * w["stem"][5]).sum() + w["stem_b"][5], atol=1e-4)
 
 
+def test_gradients_are_the_slopes_of_the_loss():
+    rng = np.random.default_rng(3)
+    w = {k: v.astype("f8") for k, v in network.random_weights().items()}
+    x, y, share = rng.random((4, 32, 4)).astype("f4"), np.array([0, 1, 2, 1]), np.array([1.0, 2.0, 3.0])
+    _, g = network.gradients(x, y, share, w)
+    assert set(g) == set(w) and all(g[k].shape == w[k].shape for k in w)
+    for k in ("stem", "stem_b", "r0_1", "r2_s", "r3_2", "r5_2b", "fc1", "fc2_b"):
+        at = np.unravel_index(np.abs(g[k]).argmax(), g[k].shape)
+        losses = []
+        for d in (1e-4, -1e-4):
+            moved = w | {k: w[k].copy()}
+            moved[k][at] += d
+            losses.append(network.gradients(x, y, share, moved)[0])
+        assert np.isclose((losses[0] - losses[1]) / 2e-4, g[k][at], rtol=0.05), k
+
+
+def test_the_network_learns(spark):
+    rng = np.random.default_rng(4)
+    rows = []
+    for i in range(48):
+        s = rng.random((32, 4)) * 0.2
+        s[:, i % 3] += 0.8
+        rows.append((s.tolist(), i % 3))
+    table = spark.createDataFrame(rows, "seq array<array<double>>, cls int")
+    weights, losses = network.train(table, epochs=6, batch=8, tasks=2)
+    by = [r.loss for r in losses.orderBy("epoch").collect()]
+    assert by[-1] < 0.5 * by[0]
+    got = network.score(table, weights).collect()
+    assert sum(int(np.argmax([r.p_real, r.p_rain, r.p_snow])) == r.cls for r in got) >= 44
+
+
 def test_weights_come_back(spark, tmp_path):
     w = {"a": np.arange(6, dtype="f4").reshape(2, 3), "b": np.zeros(2, "f4")}
     network.save_weights(spark, w, str(tmp_path / "w"))
@@ -116,6 +147,18 @@ def test_scaling_splits_and_reports(spark):
         learning.fit(rows.withColumn("label", F.lit(-1)), learning.forest())
 
 
+def test_training_report_and_balance(spark):
+    rng = np.random.default_rng(5)
+    rows = [{c: float(rng.normal(i % 2, 0.3)) for c in features.NAMES} | {"track_id": i} for i in range(40)]
+    table = spark.createDataFrame(rows)
+    got = weather.trained_report(table.where("track_id % 2 = 0"), table.where("track_id % 2 = 1"), copies=1, max_iter=2, folds=2).collect()
+    assert [r.metric for r in got] == ["cv_f1", "cv_f1", "accuracy"] + ["importance"] * 3 and got[0].value > 0.9
+    uneven = spark.createDataFrame([(i, 0 if i < 600 else 1) for i in range(800)], "k long, label int")
+    made = learning.balanced(uneven, "label", "k")
+    counts = {r.label: (r.n, r.first) for r in made.groupBy("label").agg(F.count("*").alias("n"), F.count_if(F.col("copy") == 0).alias("first")).collect()}
+    assert counts[0] == (600, 600) and counts[1][1] == 200 and abs(counts[1][0] - 600) < 60
+
+
 def test_ranking_breaks_ties_by_name(spark):
     avgs = spark.createDataFrame([("a", "x", 0.5), ("a", "y", 0.9), ("b", "x", 0.9), ("b", "y", 0.9)], "detector string, filter string, avg double")
     assert [(r.detector, r["filter"]) for r in ranking.best(avgs, "detector", "avg", "filter").orderBy("detector").collect()] == [("a", "y"), ("b", "x")]
