@@ -8,13 +8,17 @@ from pyspark.ml import Pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from saccade.functions.schema import RAIN, SNOW
 from saccade.functions.scratch import stored
-from saccade.operators import clustering, denoise, features, learning, ranking, tracking, weather
+from saccade.operators import clustering, denoise, features, learning, network, ranking, tracking, weather
 from saccade.sources import generators
 
 #: The conditions' rain and snow.
 SCENES = {"Clean": (None, None), "LightRain": ("light", None), "MedRain": ("medium", None), "HeavyRain": ("heavy", None), "LightSnow": (None, "light"), "MedSnow": (None, "medium"), "Rain+Snow": ("medium", "light")}
 
+#: The scene that filters learn weather from.
+TRAINING = {"Heavy rain and medium snow": ("heavy", "medium")}
+
 #: Scenes lie this far apart on one clock, farther than noise filters and tracks reach.
 APART_US, APART_IDS = 1_000_000.0, 10_000_000
 
@@ -33,7 +37,7 @@ def tracks_of(events: DataFrame, d: clustering.Detector, min_length: int | None
 
 
 def scene(spark: SparkSession, name: str, duration_ms: float = 200.0, seed: int = 42, weather_seed: int = 123) -> DataFrame:
-    rain, snow = SCENES[name]
+    rain, snow = (SCENES | TRAINING)[name]
     made = generators.objects(spark, duration_ms, seed=seed)
     return generators.numbered(generators.add_weather(made, rain, snow, duration_ms * 1000, weather_seed))
 
@@ -49,14 +53,15 @@ def scenes(spark: SparkSession, names: list[str], duration_ms: float = 200.0, se
 
 
 def scene_tracks(events: DataFrame, d: clustering.Detector, min_length: int | None = None) -> DataFrame:
-    """(scene, track_id, the track features, gt_class) of all scenes at once."""
+    """(scene, track_id, the track features, gt_class, seq) of all scenes at once."""
     group, key = ["scene"], ["scene", "track_id"]
     clusters, found = clustering.detect(events, d, group)
     clusters, found = stored(clusters), stored(found)
     members = tracking.long_tracks(tracking.link(found, d.link_px, d.max_gap, group), min_length or d.min_length, group)
     of = ["scene", "window_id", "cluster_id"]
-    labels = members.join(clusters, of).join(events.select("event_id", "label"), "event_id").select(*key, "label")
-    return features.trajectory(members.join(found, of), key).join(tracking.vote(labels, key), key)
+    own = stored(members.join(clusters, of).join(events.select("event_id", "t", "x", "y", "p", "label"), "event_id").select(*key, "event_id", "t", "x", "y", "p", "label"))
+    out = features.trajectory(members.join(found, of), key).join(tracking.vote(own.select(*key, "label"), key), key)
+    return out.join(features.sequences(own, key), key)
 
 
 def accuracies(tracks: DataFrame, filters: dict) -> DataFrame:
@@ -68,24 +73,26 @@ def accuracies(tracks: DataFrame, filters: dict) -> DataFrame:
     return rows.groupBy("detector", "filter", "scene").agg(F.coalesce(F.avg("ok"), F.lit(0.0)).alias("accuracy"))
 
 
-def run(spark: SparkSession, detectors: list[str], names: list[str] | None = None, duration_ms: float = 200.0, trees: int = 200, max_iter: int = 100) -> DataFrame:
-    """(detector, filter, scene, accuracy): every detector without a filter, with the fixed rules, with the
-    learned filter and with both. The classifier learns from the clean scene, the filter from that and
-    from a rainy and snowy one of another seed. Detections are made once for each detector."""
-    train = scenes(spark, ["Clean", "Rain+Snow"], duration_ms, weather_seed=42)
-    taught = stored(scene_tracks(train, clustering.DETECTORS["DBSCAN"], min_length=2))
+def run(spark: SparkSession, detectors: list[str], names: list[str] | None = None, duration_ms: float = 200.0, trees: int = 200, max_iter: int = 100, epochs: int = 12) -> DataFrame:
+    """(detector, filter, scene, accuracy): every detector without a filter, with gradient boosting, with the
+    network and with both. The classifier learns from the clean scene, the filters from that and from a
+    rainy and snowy one of other seeds. Detections are made once for each detector."""
+    names_taught = ["Clean", *TRAINING]
+    taught, deep = (stored(scene_tracks(scenes(spark, names_taught, duration_ms, weather_seed=seed), clustering.DETECTORS["DBSCAN"], min_length=2)) for seed in (42, 99))
     objects, rain_snow = taught.where("gt_class between 0 and 9"), taught.where("gt_class >= 10")
     classifier = Pipeline(stages=[*weather.assembled(), learning.forest("gt_class", trees)]).fit(objects)
     learned = weather.train(objects, rain_snow, max_iter=max_iter)
+    gt = F.col("gt_class")
+    weights, _ = network.train(deep.where(gt >= 0).select("seq", F.when(gt == RAIN, 1).when(gt == SNOW, 2).otherwise(0).alias("cls")), epochs)
 
     events = stored(scenes(spark, names or list(SCENES), duration_ms))
     made = [scene_tracks(events, clustering.DETECTORS[d]).withColumn("detector", F.lit(d)) for d in detectors]
-    tracks = reduce(DataFrame.unionByName, made)
+    tracks = network.score(reduce(DataFrame.unionByName, made), weights).withColumn("deep", F.col("p_rain") + F.col("p_snow") > 0.5).drop("seq")
     kept = tracks.columns
-    rows = weather.rule_based(learned.transform(tracks).select(*kept, (F.col("prediction") == 1.0).alias("learned")))
-    rows = classifier.transform(rows).select("detector", "scene", "gt_class", "learned", "is_weather", F.col("prediction").cast("int").alias("predicted"))
-    gb, rules = F.col("learned"), F.col("is_weather")
-    return accuracies(stored(rows), {"none": F.lit(False), "rules": rules, "gradient_boost": gb, "both": gb | rules})
+    rows = learned.transform(tracks).select(*kept, (F.col("prediction") == 1.0).alias("learned"))
+    rows = classifier.transform(rows).select("detector", "scene", "gt_class", "learned", "deep", F.col("prediction").cast("int").alias("predicted"))
+    gb, dl = F.col("learned"), F.col("deep")
+    return accuracies(stored(rows), {"none": F.lit(False), "gradient_boost": gb, "network": dl, "both": gb | dl})
 
 
 def ranked(scores: DataFrame) -> DataFrame:

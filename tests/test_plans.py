@@ -12,7 +12,7 @@ from saccade.streaming import streams as live
 
 
 def test_benchmark_scores_the_grid(spark):
-    scores = benchmark.run(spark, ["DBSCAN"], ["Clean", "HeavyRain"], duration_ms=100.0, trees=10, max_iter=3)
+    scores = benchmark.run(spark, ["DBSCAN"], ["Clean", "HeavyRain"], duration_ms=100.0, trees=10, max_iter=3, epochs=3)
     rows = {(r["filter"], r.scene): r.accuracy for r in scores.collect()}
     assert len(rows) == 8 and all(0 <= v <= 1 for v in rows.values())
     assert rows["none", "Clean"] > 0.5 and rows["gradient_boost", "HeavyRain"] >= rows["none", "HeavyRain"]
