@@ -127,8 +127,10 @@ def dedup_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, batches
     spark = docs.sparkSession
     runs = LineRuns(spark, min_docs, fanout)
     hashed = F.pmod(F.xxhash64(*[F.col(c) for c in docs.columns if c != text] or [F.lit(0)]), F.lit(batches))
-    for b in range(batches):
-        runs.add(docs.where(hashed == b), text, min_chars)
-    frequent = stored(runs.frequent(), f"{shared_dir(spark)}/frequent")
-    runs.drop()
+    try:
+        for b in range(batches):
+            runs.add(docs.where(hashed == b), text, min_chars)
+        frequent = stored(runs.frequent(), f"{shared_dir(spark)}/frequent")
+    finally:
+        runs.drop()
     return drop_lines(docs, frequent, text, min_chars)

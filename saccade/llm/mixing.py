@@ -20,18 +20,22 @@ from saccade.llm.common import private_names, shared_dir, stored, without
 BROADCAST_ROWS = 10_000
 ADDED = ["block", "slot", "place"]
 
-#: One period: for each slot, the number of the source that gets it.
+#: The blocks of one period that have a slot of their own to be found, in the order in which they get it:
+#: at each step time goes on to the next slot, or to the next release if no block is released yet, and
+#: the released block that is due first is picked.
 SCHEDULE = """
 aggregate(
-  sequence(0L, period - 1),
-  named_struct('done', transform(shares, x -> 0L), 'picks', cast(array() as array<int>)),
-  (acc, t) -> transform(
-    array(array_min(transform(
-      filter(zip_with(transform(shares, (e, i) -> named_struct('e', e, 'i', i)), acc.done,
-                      (s, d) -> named_struct('due', ((d + 1) * period + s.e - 1) div s.e, 'i', s.i, 'from', (d * period) div s.e)),
-             c -> c.from <= t),
-      c -> named_struct('due', c.due, 'i', c.i))).i),
-    p -> named_struct('done', transform(acc.done, (d, i) -> if(i = p, d + 1, d)), 'picks', array_append(acc.picks, p)))[0],
+  sequence(1L, greatest(total, 1L)),
+  named_struct('t', 0L, 'done', transform(shares, x -> 0L), 'picks', cast(array() as array<struct<i: int, slot: bigint>>)),
+  (acc, step) -> transform(
+    array(named_struct('left', filter(zip_with(transform(shares, (e, i) -> named_struct('e', e, 'i', i)), acc.done,
+      (s, d) -> named_struct('due', ((d + 1) * period + s.e - 1) div s.e, 'i', s.i, 'from', (d * period) div s.e, 'open', d < s.e)), c -> c.open))),
+    q -> transform(
+      array(named_struct('now', greatest(acc.t, array_min(q.left.from)))),
+      n -> transform(
+        array(array_min(transform(filter(q.left, c -> c.from <= n.now), c -> named_struct('due', c.due, 'i', c.i))).i),
+        p -> named_struct('t', n.now + 1, 'done', transform(acc.done, (d, i) -> if(i = p, d + 1, d)),
+                          'picks', array_append(acc.picks, named_struct('i', p, 'slot', n.now))))[0])[0])[0],
   acc -> acc.picks)
 """
 
@@ -39,15 +43,35 @@ aggregate(
 def slots(sources: DataFrame, power: float, resolution: int) -> DataFrame:
     """From (_src, n, given): (_src, _share, _period, _slots), _slots being those of one period that each
     source has, in order. A share that isn't given is n to the power, scaled so that all shares come
-    to about resolution, and 1 at least."""
-    one = sources.agg(F.sort_array(F.collect_list(F.struct("_src", "n", "given"))).alias("_all")).where(F.size("_all") > 0)
-    one = one.withColumn("_sum", F.aggregate("_all", F.lit(0.0), lambda a, x: a + F.pow(x["n"], F.lit(power))))
-    one = one.withColumn("shares", F.transform("_all", lambda x: F.coalesce(x["given"], F.greatest(F.round(F.lit(resolution) * F.pow(x["n"], F.lit(power)) / F.col("_sum")).cast("long"), F.lit(1).cast("long")))))
-    one = one.select(F.col("_all._src").alias("names"), "shares", F.aggregate("shares", F.lit(0).cast("long"), lambda a, x: a + x).alias("period"))
-    one = one.select("period", "names", "shares", F.expr(SCHEDULE).alias("picks"))
-    rows = one.select("period", "names", "shares", F.posexplode("picks").alias("slot", "i"))
-    rows = rows.select(F.col("period").alias("_period"), F.col("names")[F.col("i")].alias("_src"), F.col("shares")[F.col("i")].alias("_share"), "slot")
-    return rows.groupBy("_src", "_share", "_period").agg(F.sort_array(F.collect_list("slot")).alias("_slots"))
+    to about resolution, and 1 at least.
+
+    Sources of share 1 may lie anywhere in the period, so only the others (about resolution at most, if
+    shares aren't given) are scheduled in one row; those of share 1 take the slots left free, by name."""
+    scale = F.lit(resolution) / sources.agg(F.sum(F.pow("n", F.lit(power)))).scalar()
+    own = F.greatest(F.round(scale * F.pow("n", F.lit(power))).cast("long"), F.lit(1).cast("long"))
+    table = sources.select("_src", F.coalesce("given", own).alias("_share"))
+    period = table.agg(F.sum("_share")).scalar()
+    one = table.where("_share > 1").agg(F.sort_array(F.collect_list(F.struct("_src", "_share"))).alias("_all")).where(F.size("_all") > 0)
+    one = one.select(period.alias("period"), F.col("_all._src").alias("names"), F.col("_all._share").alias("shares"), F.aggregate("_all._share", F.lit(0).cast("long"), lambda a, x: a + x).alias("total"))
+    rows = one.select("names", "shares", F.explode(F.expr(SCHEDULE)).alias("p"))
+    rows = rows.select(F.col("names")[F.col("p.i")].alias("_src"), F.col("shares")[F.col("p.i")].alias("_share"), F.col("p.slot").alias("slot"))
+    many = rows.groupBy("_src", "_share").agg(F.sort_array(F.collect_list("slot")).alias("_slots"))
+
+    # the r-th free slot is r and as many more as taken ones lie before it
+    taken = rows.agg(F.sort_array(F.collect_list("slot")).alias("_taken"))
+    free = F.transform("_taken", lambda u, i: u - i)
+    few = ranked(table.where("_share = 1"), "_src").withColumn("_before", taken.select(free).scalar())
+    few = few.select("_src", F.lit(1).cast("long").alias("_share"), F.array(F.col("_rank") + F.size(F.filter("_before", lambda u: u <= F.col("_rank")))).alias("_slots"))
+    return many.unionByName(few).select("_src", "_share", period.alias("_period"), "_slots")
+
+
+def ranked(rows: DataFrame, name: str) -> DataFrame:
+    """rows with _rank, from 0, in order of the name's md5: hash ranges are counted and sorted apart."""
+    cut = rows.withColumn("_md5", F.md5(name)).withColumn("_part", F.substring("_md5", 1, 3))
+    counts = cut.groupBy("_part").agg(F.count("*").alias("_n"))
+    before = counts.select("_part", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    rank = F.row_number().over(Window.partitionBy("_part").orderBy("_md5", name)) - 1 + F.col("_before")
+    return cut.join(before, "_part").withColumn("_rank", rank).select(*rows.columns, "_rank")
 
 
 @private_names

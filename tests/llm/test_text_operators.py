@@ -332,6 +332,20 @@ def test_mix_follows_the_shares(spark):
     assert rows_of(again, "doc_id", "slot", "place") == sorted(((r.doc_id, r.slot, r.place) for r in got), key=repr)
 
 
+def test_slots_of_many_small_sources_fill_what_the_others_leave(spark):
+    shares = {"a": 7, "b": 3, **{f"x{i}": 1 for i in range(12)}}
+    table = spark.createDataFrame([(k, 10, v) for k, v in shares.items()], "_src string, n long, given long")
+    got = {r._src: (r._period, r._slots) for r in mixing.slots(table, 0.5, 1000).collect()}
+    period = sum(shares.values())
+    assert all(p == period and len(s) == shares[k] for k, (p, s) in got.items())
+    assert sorted(x for _, s in got.values() for x in s) == list(range(period))
+    for k, (_, s) in got.items():
+        for i, x in enumerate(s):
+            assert i * period // shares[k] <= x < -(-(i + 1) * period // shares[k])
+    only = spark.createDataFrame([("a", 1, 1), ("b", 1, 1)], "_src string, n long, given long")
+    assert sorted(r._slots for r in mixing.slots(only, 0.5, 1000).collect()) == [[0], [1]]
+
+
 OWN_NAMES = ["_k1", "_src", "_share", "_period", "_slots", "_md5", "_host", "_text", "_f", "share", "period", "slots", "n", "term", "digest", "sig", "label", "item"]
 
 
