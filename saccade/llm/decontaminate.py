@@ -44,9 +44,10 @@ def _terms(docs: DataFrame, text: str, *keys: str) -> DataFrame:
     return rows.select(*keys, "pos", ascii_lower(F.col("_w")).alias("term"))
 
 
-def search_terms(docs: DataFrame, items: DataFrame, path: str, window: int, rarest: int, text: str) -> DataFrame:
+def search_terms(docs: DataFrame, items: DataFrame, path: str, window: int, rarest: int, text: str, whole: bool = True) -> DataFrame:
     """(_i, ipos, term, need): the places of items that windows are searched by, and how many of them a
-    diagonal must show for this item: those of its windows' rarest terms, counted in the whole corpus."""
+    diagonal must show for this item: those of its windows' rarest terms, counted in the whole corpus.
+    whole: windows with a term that the corpus doesn't have aren't searched; else their other terms are."""
     places = items.select("_i", F.size("words").alias("n"), F.posexplode("words").alias("ipos", "term"))
     vocabulary = checked_broadcast(places.select("term").distinct(), f"{path}/vocabulary")
     counts = _terms(docs, text).join(vocabulary, "term").groupBy("term").agg(F.count("*").alias("df"))
@@ -54,7 +55,7 @@ def search_terms(docs: DataFrame, items: DataFrame, path: str, window: int, rare
     placed = places.join(counts, "term", "left").withColumn("df", F.coalesce("df", F.lit(0)))
     k = F.least(F.col("n"), F.lit(window))
     starts = F.explode(F.sequence(F.greatest(F.lit(0), F.col("ipos") - k + 1), F.least(F.col("ipos"), F.col("n") - k))).alias("start")
-    ranked = placed.select("_i", "n", "ipos", "term", "df", k.alias("k"), starts)
+    ranked = (placed if whole else placed.where("df > 0")).select("_i", "n", "ipos", "term", "df", k.alias("k"), starts)
     order = Window.partitionBy("_i", "start").orderBy("df", "term", "ipos")
     least = F.min("df").over(Window.partitionBy("_i", "start"))
     ranked = ranked.withColumn("r", F.row_number().over(order)).withColumn("least", least)
@@ -114,7 +115,7 @@ def proximity_matches(docs: DataFrame, benchmark: DataFrame, window: int = 13, r
     keyed = docs.select("*", *row_key(*docs.columns))
     path = shared_dir(docs.sparkSession)
     items = stored(items_of(benchmark, item, text), f"{path}/items")
-    searched = stored(search_terms(keyed, items, path, window, rarest, text), f"{path}/places")
+    searched = stored(search_terms(keyed, items, path, window, rarest, text, whole=False), f"{path}/places")
     index, _ = diagonals(keyed, searched, path, text)
     met = index.join(checked_broadcast(searched, f"{path}/searched-near"), "term").withColumn("diag", F.col("pos") - F.col("ipos"))
     bands = F.explode(F.array_distinct(F.array(F.floor(F.col("diag") / slack), F.floor((F.col("diag") + slack / 2) / slack) + F.lit(0.5)))).alias("band")

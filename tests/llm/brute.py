@@ -140,3 +140,34 @@ def repeated_spans(rows, min_bytes):
                         spans.append([a, z, 1, first])
                 out += [(key, a, z - a, n, first, key <= first) for a, z, n, first in spans]
     return out
+
+
+def near_items(texts, items, window=13, rarest=3, slack=8, share=0.5):
+    """For each text, {item: best share of its searched places in one band of diagonals}, from share on."""
+    words_of = [item_words(t) for t in texts]
+    df = Counter(w for ws in words_of for w in ws)
+    searched = {}
+    for i, t in items:
+        w = item_words(t)
+        k, places = min(window, len(w)), set()
+        for s in range(len(w) - k + 1) if w else []:
+            places |= {(p, w[p]) for p in sorted((p for p in range(s, s + k) if df[w[p]]), key=lambda p: (df[w[p]], w[p], p))[:rarest]}
+        if places:
+            searched[str(i), tuple(w)] = places
+    out = []
+    for ws in words_of:
+        at, best = defaultdict(list), {}
+        for p, w in enumerate(ws):
+            at[w].append(p)
+        for (i, _), places in searched.items():
+            bands = defaultdict(set)
+            for q, w in places:
+                for p in at[w]:
+                    d = p - q
+                    for band in {d // slack, (2 * d + slack) // (2 * slack) + 0.5}:
+                        bands[band].add(q)
+            found = max((len(x) for x in bands.values()), default=0) / len({q for q, _ in places})
+            if found >= share:
+                best[i] = max(found, best.get(i, 0))
+        out.append(best)
+    return out

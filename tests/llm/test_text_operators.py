@@ -246,6 +246,21 @@ def test_decontamination_matches_brute_force(spark):
     assert {r.doc_id for r in near.collect()} >= {120, 121, 122}
 
 
+def test_proximity_matches_are_those_of_brute_force(spark):
+    rng = cases.random.Random(31)
+    rows = cases.documents(n=25)
+    passage = next(t for i, t, *_ in rows if i == 120).split()[45:75]
+    changed = [w if i % 7 else f"{w} inserted{i}" for i, w in enumerate(passage)]
+    items = [(1, " ".join(changed)), (2, None), (3, ""), (4, "one"), (5, cases.prose(rng, 30)), (6, " ".join(passage[:9])), (6, " ".join(passage[:9]))]
+    docs = cases.frame(spark, rows)
+    got = decontaminate.proximity_matches(docs.withColumn("near", F.lit(1)), spark.createDataFrame(items, "item_id long, text string"))
+    want = brute.near_items([r[1] for r in rows], items)
+    expect = sorted(((r[0], i, round(x, 9)) for r, found in zip(rows, want, strict=True) for i, x in found.items()), key=repr)
+    assert sorted(((r.doc_id, r["item"], round(r.near, 9)) for r in got.collect()), key=repr) == expect
+    assert {(i, k) for i, k, _ in expect} >= {(120, "1"), (121, "1"), (122, "6")}
+    assert decontaminate.proximity_matches(cases.empty(spark), spark.createDataFrame(items, "item_id long, text string")).count() == 0
+
+
 def test_quality_keeps_copies_and_rejects_boilerplate(spark):
     rng = cases.random.Random(4)
     shell = "\n".join("menu entry %d of this very site with some words" % i for i in range(8))
