@@ -372,7 +372,12 @@ def sequence_tensor(spark, sf_dir):
     return rounded(rows.select("track_id", "step", *[F.col("v")[i].alias(c) for i, c in enumerate(("x", "y", "t", "p"))]))
 
 
-@query(f"WITH {POL} SELECT threshold, side, avg(CASE WHEN flip_rate < threshold THEN 1.0 ELSE 0.0 END) AS below, avg(CASE WHEN flip_rate > threshold THEN 1.0 ELSE 0.0 END) AS above, count(*) AS n FROM (SELECT *, CASE WHEN track_id % 2 = 0 THEN 'even' ELSE 'odd' END AS side FROM pol WHERE n_events >= 4), (VALUES (CAST(0.2 AS DOUBLE)), (0.25), (0.28), (0.3), (0.35)) v(threshold) GROUP BY 1, 2".replace("avg(CASE WHEN flip_rate <", "round(avg(CASE WHEN flip_rate <").replace("0.0 END) AS below", "0.0 END), 6) AS below").replace("avg(CASE WHEN flip_rate >", "round(avg(CASE WHEN flip_rate >").replace("0.0 END) AS above", "0.0 END), 6) AS above"))
+SIDES = "SELECT *, CASE WHEN track_id % 2 = 0 THEN 'even' ELSE 'odd' END AS side FROM pol WHERE n_events >= 4"
+
+
+@query(f"""WITH {POL} SELECT threshold, side, round(avg(CASE WHEN flip_rate < threshold THEN 1.0 ELSE 0.0 END), 6) AS below,
+ round(avg(CASE WHEN flip_rate > threshold THEN 1.0 ELSE 0.0 END), 6) AS above, count(*) AS n
+ FROM ({SIDES}), (VALUES (CAST(0.2 AS DOUBLE)), (0.25), (0.28), (0.3), (0.35)) v(threshold) GROUP BY 1, 2""")
 def threshold_sweep(spark, sf_dir):
     rows = _sided(spark, sf_dir)
     return rounded(ranking.threshold_sweep(rows, "flip_rate", "side", [0.2, 0.25, 0.28, 0.3, 0.35]))
