@@ -493,6 +493,7 @@ def _across(members: DataFrame, labels: DataFrame, percent: int, path: str) -> D
     named = members.join(labels, "node", "left").select("sig", "node", "size", "cap", F.coalesce("label", "node").alias("label"))
     each = named.groupBy("sig", "label").agg(F.count("*").alias("n"))
     several = each.groupBy("sig").agg(F.count("*").alias("k"), F.max(F.struct("n", "label")).alias("m")).where("k > 1").select("sig", F.col("m.label").alias("main"))
+    several = stored(several, f"{path}-several")
     open_ = named.join(several, "sig").select("sig", "node", "size", "cap", "label", (F.col("label") != F.col("main")).alias("minor"))
     open_ = stored(open_, path)
     least = F.ceil(F.col("size") * percent / 100)
@@ -521,6 +522,7 @@ def labelled(docs: DataFrame, n: int, percent: int, key: str, text: str) -> Data
     nodes = stored(_candidates(back, parts, percent), f"{base}/nodes")
     rows = stored(_signature_rows(nodes, percent), f"{base}/signatures")
     hubs = rows.groupBy("sig").agg(F.min(F.struct((F.col("own") / F.col("size")).alias("share"), *NODE, F.col("size").alias("size"), F.col("cap").alias("cap"))).alias("hub"), F.count("*").alias("k")).where("k > 1").drop("k")
+    hubs = stored(hubs, f"{base}/hubs")  # so that the join can split frequent signatures
     members = stored(rows.join(hubs, "sig").select("sig", F.struct(*NODE).alias("node"), "size", "cap", F.struct("hub.n1", "hub.n2").alias("hub"), F.col("hub.size").alias("hub_size"), F.col("hub.cap").alias("hub_cap")), f"{base}/members")
     discard(spark, f"{base}/signatures")
 
@@ -548,7 +550,9 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, key: str
     gives an empty table. percent must be 70 or more.
     """
     rows = labelled(docs.select(key, text), n, percent, key, text)
-    least = rows.where("label is not null").groupBy("label").agg(F.min("_id").alias("component_id"))
+    base = shared_dir(docs.sparkSession)
+    rows = stored(rows, f"{base}/rows")
+    least = stored(rows.where("label is not null").groupBy("label").agg(F.min("_id").alias("component_id")), f"{base}/least")  # so that the join can split large components
     rows = rows.join(least, "label", "left")
     return rows.select(F.col("_id").alias(key), F.col("_size").alias("n_shingles"), F.when(F.col("label").isNull(), F.col("_id")).otherwise(F.col("component_id")).alias("component_id"))
 

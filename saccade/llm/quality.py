@@ -114,7 +114,8 @@ def frequent_lines(rows: DataFrame, max_docs: int, path: str) -> DataFrame:
     held = among(rows.select("_host", "_c", hashes), "_h", filter_of(many.select("_h").distinct(), f"{path}/many-bits"))
     held = held.join(many, ["_host", "_h"])
     held = held.join(rows.select("_host", "_c", "_md5", "_sketch"), ["_host", "_c"])
-    hubs = held.groupBy("_host", "_h").agg(F.min(F.struct("_md5", "_sketch")).alias("_hub"))
+    held = stored(held, f"{path}/held")
+    hubs = stored(held.groupBy("_host", "_h").agg(F.min(F.struct("_md5", "_sketch")).alias("_hub")), f"{path}/hubs")  # stored, so that the join can split frequent lines
     pairs = held.join(hubs, ["_host", "_h"])
     common, longer = F.size(F.array_intersect("_sketch", "_hub._sketch")), F.greatest(F.size("_sketch"), F.size("_hub._sketch"))
     others = pairs.where(common * 8 < longer * 5).groupBy("_host", "_h", "_docs").agg(F.count("*").alias("_others"))
