@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from saccade.llm import decontaminate, line_dedup, mixing, ngram_join, quality, sharding, substring_dedup, token_counts, token_output, toxicity
+from saccade.llm import decontaminate, fill_middle, lexical_search, line_dedup, mixing, ngram_join, quality, sharding, substring_dedup, token_counts, token_output, toxicity
 from saccade.llm.common import read, shared_dir
 
 
@@ -144,6 +144,43 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(docs, tokenizer_path("piece_bpe_32k.model")).select("doc_id", "n_bytes", "n_tokens", "over_limit")
 
 
+def op12_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = fill_middle.fill_in_middle(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    digest = lambda c: F.sha2(F.encode(c, "UTF-8"), 256)
+    back = fill_middle.restored(F.col("output"), F.col("form"))
+    return rows.select("doc_id", "n", "form", "prefix_chars", "middle_chars", digest(F.col("output")).alias("output_sha256"), digest(back).alias("restored_sha256"))
+
+
+OP12_SQL = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, sha256('42:' || CAST(doc_id AS VARCHAR)) AS h FROM documents),
+u AS (SELECT doc_id, t, regexp_extract_all(t, '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS u,
+  CAST('0x' || h[1:8] AS BIGINT) AS h1, CAST('0x' || h[9:16] AS BIGINT) AS h2, CAST('0x' || h[17:24] AS BIGINT) AS h3, CAST('0x' || h[25:32] AS BIGINT) AS h4 FROM d),
+c AS (SELECT *, CAST(len(u) AS BIGINT) AS n, least(h1 % (len(u) + 1), h2 % (len(u) + 1)) AS a, greatest(h1 % (len(u) + 1), h2 % (len(u) + 1)) AS b,
+  CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= 50 THEN 'plain' WHEN h4 % 100 < 80 THEN 'spm' ELSE 'psm' END AS form FROM u),
+p AS (SELECT *, array_to_string(u[1:a], '') AS p, array_to_string(u[a + 1:b], '') AS m, array_to_string(u[b + 1:n], '') AS s FROM c)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN CAST(length(p) AS BIGINT) END AS prefix_chars, CASE WHEN form <> 'plain' THEN CAST(length(m) AS BIGINT) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256, sha256(t) AS restored_sha256 FROM p
+"""
+
+
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.search(read(spark, sf_dir, "documents").select("doc_id", "text"), read(spark, sf_dir, "benchmark"))
+
+
+OP13_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM documents),
+b AS (SELECT row_number() OVER () AS iid, item_id, list_distinct(list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'), lambda x: x <> '')) AS w FROM benchmark),
+q AS (SELECT iid, unnest(w) AS term FROM b),
+z AS (SELECT CAST(count(*) AS BIGINT) AS n, CAST(sum(len(w)) AS BIGINT) AS l FROM d WHERE len(w) > 0),
+p AS (SELECT rid, term, count(*) AS tf FROM (SELECT rid, unnest(w) AS term FROM d) WHERE term IN (SELECT term FROM q) GROUP BY rid, term),
+f AS (SELECT term, CAST(floor(1000 * ln((2 * n + 2) / (2 * df + 1))) AS BIGINT) AS w FROM (SELECT term, count(*) AS df FROM p GROUP BY term), z),
+m AS (SELECT rid, doc_id, 100 - 90 + ((90 * CAST(len(w) AS BIGINT) * n) // l) AS m FROM d, z WHERE len(w) > 0),
+i AS (SELECT rid, doc_id, term, f.w * ((1000000000 * tf) // (1000 * tf + 8 * m)) AS v FROM p JOIN f USING (term) JOIN m USING (rid)),
+s AS (SELECT iid, rid, any_value(doc_id) AS doc_id, CAST(sum(v) AS BIGINT) AS score FROM q JOIN i USING (term) GROUP BY iid, rid)
+SELECT item_id, CAST(row_number() OVER (PARTITION BY iid ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score FROM s JOIN b USING (iid) WHERE score > 0 QUALIFY rank <= 10
+"""
+
+
 QUERIES = {
     "op1_mixing": op1_mixing,
     "op2_toxicity": op2_toxicity,
@@ -155,5 +192,7 @@ QUERIES = {
     "op8_token_output": op8_token_output,
     "op9_quality": op9_quality,
     "op10_token_counts": op10_token_counts,
+    "op12_fill_middle": op12_fill_middle,
+    "op13_lexical_search": op13_lexical_search,
 }
-ORACLES: dict[str, str] = {"op1_mixing": OP1_SQL, "op3_line_dedup": OP3_SQL, "op6_decontamination": OP6_SQL, "op7_sharding": OP7_SQL, "op9_quality": OP9_SQL}
+ORACLES: dict[str, str] = {"op1_mixing": OP1_SQL, "op3_line_dedup": OP3_SQL, "op6_decontamination": OP6_SQL, "op7_sharding": OP7_SQL, "op9_quality": OP9_SQL, "op12_fill_middle": OP12_SQL, "op13_lexical_search": OP13_SQL}
