@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from saccade.llm import decontaminate, fill_middle, lexical_search, line_dedup, mixing, ngram_join, quality, sharding, substring_dedup, token_counts, token_output, toxicity
+from saccade.llm import decontaminate, fill_middle, lexical_search, line_dedup, mixing, ngram_join, quality, sharding, substring_dedup, suffix_dedup, token_counts, token_output, toxicity
 from saccade.llm.common import read, shared_dir
 
 
@@ -144,6 +144,11 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(docs, tokenizer_path("piece_bpe_32k.model")).select("doc_id", "n_bytes", "n_tokens", "over_limit")
 
 
+def op11_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = suffix_dedup.drop_repeated(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return rows.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op12_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = fill_middle.fill_in_middle(read(spark, sf_dir, "documents").select("doc_id", "text"))
     digest = lambda c: F.sha2(F.encode(c, "UTF-8"), 256)
@@ -192,6 +197,7 @@ QUERIES = {
     "op8_token_output": op8_token_output,
     "op9_quality": op9_quality,
     "op10_token_counts": op10_token_counts,
+    "op11_suffix_dedup": op11_suffix_dedup,
     "op12_fill_middle": op12_fill_middle,
     "op13_lexical_search": op13_lexical_search,
 }
