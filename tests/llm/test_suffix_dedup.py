@@ -80,7 +80,7 @@ def test_rest_matches_brute_force(spark, monkeypatch, length, shard_bytes, segme
     cells = got.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256)).collect()
     want = rests([r[1] for r in rows], length)
     assert sorted(map(tuple, cells), key=repr) == sorted(((r[0], *w) for r, w in zip(rows, want, strict=True)), key=repr)
-    assert sum(w[2] > 1 for w in want) > 1
+    assert any(w[2] > 1 for w in want)
 
 
 def test_pieces_hold_each_window_once():
