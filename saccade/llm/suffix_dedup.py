@@ -25,7 +25,7 @@ from saccade.llm.hashing import M1, M2, numbers
 from saccade.llm.induced_sort import scan_suffixes
 
 #: Bytes of a gram; windows of a text that are looked at at a time; bytes of text in a shard; hashes that a key is split by.
-GRAM, SEGMENT, SHARD_BYTES, HASHES = 32, 1 << 22, 1 << 23, 4
+GRAM, SEGMENT, SHARD_BYTES, HASHES = 32, 1 << 22, 1 << 22, 4
 #: Stands between pieces in a shard's text: no byte of UTF-8 after one has been added to each.
 BETWEEN = 0xF6
 GEAR = numbers(256)
@@ -122,46 +122,67 @@ def _hits(rows: DataFrame, key: str, keys: DataFrame, path: str) -> tuple[DataFr
     return all_.where("_hit").drop("_hit"), all_.where("not _hit").drop("_hit")
 
 
-def _sorted(texts: DataFrame, length: int, shards: int) -> DataFrame:
-    """(_k1, _k2, start, size): the repeated stretches in the pieces (least, _k1, _k2, start, only, _piece), a shard at a time."""
+class Shard:
+    """Pieces of one shard: their text on disk, and where each begins."""
 
-    def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        with tempfile.TemporaryFile() as file:
-            places, sizes, rows, at = [], [], [], 0
-            for batch in batches:
-                for piece in batch.column(4):
-                    own = np.frombuffer(piece.as_buffer(), "u1") + np.uint8(1)
-                    file.write(own.tobytes() + bytes([BETWEEN]))
-                    places.append(at)
-                    sizes.append(len(own))
-                    at += len(own) + 1
-                rows.append(batch.select([0, 1, 2, 3]))
-            if not at:
-                return
-            file.write(b"\0")
-            file.flush()
-            text, again = np.memmap(file, "u1", "r"), np.zeros(at + 1, bool)
-            last = np.zeros(1, "i8")
-
-            def mark(pos: np.ndarray, common: np.ndarray) -> None:
-                same = common >= length
-                again[pos[same]] = True
-                again[np.append(last, pos[:-1])[same]] = True
-                last[0] = pos[-1]
-
-            scan_suffixes(text, 256, length, mark, 1 << 20)
-        table = pa.Table.from_batches(rows)
+    def __init__(self):
+        self.file, self.places, self.rows, self.at = tempfile.TemporaryFile(), [], [], 0  # noqa: SIM115
+
+    def add(self, batch: pa.RecordBatch) -> None:
+        for piece in batch.column(5):
+            own = np.frombuffer(piece.as_buffer(), "u1") + np.uint8(1)
+            self.file.write(own.tobytes() + bytes([BETWEEN]))
+            self.places.append((self.at, len(own)))
+            self.at += len(own) + 1
+        self.rows.append(batch.select([1, 2, 3, 4]))
+
+    def repeats(self, length: int) -> pa.RecordBatch:
+        """(_k1, _k2, start, size): the repeated stretches in the pieces that occur once."""
+        self.file.write(b"\0")
+        self.file.flush()
+        again, last = np.zeros(self.at + 1, bool), np.zeros(1, "i8")
+
+        def mark(pos: np.ndarray, common: np.ndarray) -> None:
+            same = common >= length
+            again[pos[same]] = True
+            again[np.append(last, pos[:-1])[same]] = True
+            last[0] = pos[-1]
+
+        scan_suffixes(np.memmap(self.file, "u1", "r"), 256, length, mark)
+        self.file.close()
+        table = pa.Table.from_batches(self.rows)
         k1, k2, start, only = (table.column(i).to_numpy() for i in range(4))
         out = []
         for i in np.flatnonzero(only).tolist():
-            own = np.flatnonzero(np.diff(again[places[i] : places[i] + sizes[i] - length + 1].view("i1"), prepend=0, append=0))
-            for a, b in zip(own[::2].tolist(), own[1::2].tolist(), strict=True):
-                out.append((k1[i], k2[i], int(start[i]) + a, b - a + length - 1))
-        if out:
-            cells = [pa.array(x, k) for x, k in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.int32(), pa.int32()), strict=True)]
-            yield pa.RecordBatch.from_arrays(cells, names=[*ID, "start", "size"])
-
-    dealt = texts.repartition(shards, "least").select(*ID, "start", "only", "_piece")
+            at, size = self.places[i]
+            own = np.flatnonzero(np.diff(again[at : at + size - length + 1].view("i1"), prepend=0, append=0))
+            out += [(k1[i], k2[i], int(start[i]) + a, b - a + length - 1) for a, b in zip(own[::2].tolist(), own[1::2].tolist(), strict=True)]
+        kinds = pa.int64(), pa.int64(), pa.int32(), pa.int32()
+        return pa.RecordBatch.from_arrays([pa.array([r[c] for r in out], k) for c, k in enumerate(kinds)], names=[*ID, "start", "size"])
+
+
+def _sorted(texts: DataFrame, length: int, shards: int) -> DataFrame:
+    """(_k1, _k2, start, size): the repeated stretches in the pieces (least, _k1, _k2, start, only, _piece). A task takes
+    its shards one after another."""
+
+    def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shard, number = None, None
+        for batch in batches:
+            numbers_ = batch.column(0).to_numpy()
+            cut = [0, *(np.flatnonzero(numbers_[1:] != numbers_[:-1]) + 1).tolist(), len(batch)]
+            for a, b in zip(cut[:-1], cut[1:], strict=True):
+                if a == b:
+                    continue
+                if shard is not None and numbers_[a] != number:
+                    yield shard.repeats(length)
+                    shard = None
+                shard, number = shard or Shard(), numbers_[a]
+                shard.add(batch.slice(a, b - a))
+        if shard is not None:
+            yield shard.repeats(length)
+
+    number = F.pmod(F.xxhash64("least"), F.lit(shards)).alias("_shard")
+    dealt = texts.select(number, *ID, "start", "only", "_piece").repartition("_shard").sortWithinPartitions("_shard")
     return dealt.mapInArrow(take, "_k1 long, _k2 long, start int, size int")
 
 
