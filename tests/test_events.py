@@ -149,19 +149,46 @@ def test_links_stay_inside_scenes(spark):
     assert got == [(s, 0, i) for s in ("a", "b") for i in range(3)]
 
 
-def test_stretches_are_linked_as_one_stream_would_be(spark, monkeypatch):
-    """Gaps cut the stream into many groups; blocks of windows are small enough to matter."""
+DETECTED = "window_id long, cluster_id long, cx double, cy double"
+
+
+def one_pass(rows, link_px=40.0, max_gap=3):
+    one = tracking.Linker(link_px, max_gap)
+    return sorted((*one.add(w, x, y), w, c) for w, c, x, y in sorted(rows))
+
+
+@pytest.mark.parametrize(("span", "warm", "extent", "whole"), [(4, 0, 90, False), (5, 2, 150, False), (7, 7, 60, True), (32, 16, 200, False)])
+def test_blocks_are_linked_as_one_stream_would_be(spark, monkeypatch, span, warm, extent, whole):
+    """Blocks that begin with a wrong state, tracks over many blocks, gaps, and ties between old tracks (whole numbers)."""
     monkeypatch.setattr(tracking, "BLOCK", 7)
-    rng, rows, w = random.Random(6), [], 3
-    for _ in range(120):
-        rows += [(w, c, rng.uniform(0, 150), rng.uniform(0, 150)) for c in range(rng.randint(1, 3))]
-        w += rng.choice([1, 1, 2, 3, 4, 5, 30])
-    table = spark.createDataFrame(rows, "window_id long, cluster_id long, cx double, cy double")
-    one = tracking.Linker(40.0, 3)
-    want = sorted((*one.add(w, x, y), w, c) for w, c, x, y in rows)
-    got = sorted(tuple(r) for r in tracking.link(table).select("track_id", "seq", "window_id", "cluster_id").collect())
-    assert got == want
-    assert tracking.stretches(table, 3, []).select("_start").distinct().count() > 20
+    rng, rows, w = random.Random(span), [], -9
+    for _ in range(70):
+        place = lambda: float(rng.randrange(0, extent, 10)) if whole else rng.uniform(0, extent)
+        rows += [(w, c, place(), place()) for c in range(rng.randint(1, 3))]
+        w += rng.choice([1, 1, 1, 2, 3, 4, 5]) if len(rows) % 40 else 30
+    got = tracking.link(spark.createDataFrame(rows, DETECTED), span=span, warm=warm)
+    assert sorted(tuple(r) for r in got.select("track_id", "seq", "window_id", "cluster_id").collect()) == one_pass(rows)
+
+
+def test_ties_go_to_the_older_track_over_blocks(spark):
+    """Two tracks cross blocks; the one that was first in a block is the younger one, and a tie between them comes later."""
+    rows = [(0, 0, 0.0, 0.0), (1, 0, 100.0, 0.0), (3, 0, 100.0, 0.0), (4, 0, 0.0, 0.0), (5, 0, 100.0, 0.0), (6, 0, 0.0, 0.0), (7, 0, 100.0, 0.0), (8, 0, 50.0, 0.0), (9, 0, 60.0, 0.0)]
+    got = tracking.link(spark.createDataFrame(rows, DETECTED), link_px=60.0, span=4, warm=1)
+    assert sorted(tuple(r) for r in got.select("track_id", "seq", "window_id", "cluster_id").collect()) == one_pass(rows, 60.0)
+
+
+def test_no_group_of_linking_is_larger_than_a_block(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(tracking, "_linked_blocks", lambda rows, *a, f=tracking._linked_blocks: (seen.append(rows), f(rows, *a))[1])
+    rows = [(w, c, 5.0 * c, 3.0 * (w % 4)) for w in range(400) for c in range(2)]  # one could-link component
+    got = tracking.link(spark.createDataFrame(rows, DETECTED))
+    assert sorted(tuple(r) for r in got.select("track_id", "seq", "window_id", "cluster_id").collect()) == one_pass(rows)
+    sizes = [r["count"] for r in seen[0].groupBy("_block").count().collect()]
+    assert len(sizes) == 13 and max(sizes) <= 2 * (tracking.SPAN + tracking.WARM)
+
+
+def test_linking_nothing(spark):
+    assert tracking.link(spark.createDataFrame([], DETECTED)).count() == 0
 
 
 def test_windows_of_scenes_begin_with_their_own_first_events(spark):
