@@ -166,6 +166,27 @@ def noise_keep_mask(spark, sf_dir):
     return denoise.with_keep(rows, denoise.ba_filter(rows, 5)).select("event_id", "label", "keep")
 
 
+DENSITY = f"""{D}, num AS (SELECT *, row_number() OVER (ORDER BY t, event_id) - 1 AS i FROM d), dens AS (SELECT a.event_id,
+ coalesce(sum(pow(0.9995, a.i - 1 - b.i)), 0) / any_value((least(a.x + 4, 345) - greatest(a.x - 4, 0) + 1) * (least(a.y + 4, 259) - greatest(a.y - 4, 0) + 1)) AS density
+ FROM num a LEFT JOIN num b ON b.i < a.i AND abs(a.x - b.x) <= 4 AND abs(a.y - b.y) <= 4 GROUP BY 1)"""
+#: Densities at which the radii 8, 4 and 2 all occur in the replayed events.
+SPARSE_MAP = {"decay": 0.9995, "dense": (0.012, 0.03)}
+
+
+@query(f"WITH {DENSITY} SELECT event_id, round(density, 6) AS density FROM dens")
+def local_density(spark, sf_dir):
+    return rounded(denoise.local_density(replay_events(spark, sf_dir), SPARSE_MAP["decay"]))
+
+
+@query(f"""WITH {DENSITY}, r AS (SELECT d.*, CASE WHEN density > 0.03 THEN 2 WHEN density > 0.012 THEN 4 ELSE 8 END AS radius FROM d JOIN dens USING (event_id)),
+ k AS (SELECT DISTINCT a.event_id FROM r a JOIN r b ON b.event_id < a.event_id AND b.t > a.t - 8000 AND abs(a.x - b.x) <= a.radius AND abs(a.y - b.y) <= a.radius)
+ SELECT event_id, x, y, radius, event_id IN (SELECT event_id FROM k) AS keep FROM r""")
+def density_adaptive_decayed(spark, sf_dir):
+    """The adaptive filter with a slower decay, at which all three radii occur."""
+    rows = denoise.with_radius(replay_events(spark, sf_dir), **SPARSE_MAP)
+    return denoise.with_keep(rows, denoise.ba_filter(rows, max(denoise.RADII), own="radius")).select("event_id", "x", "y", "radius", "keep")
+
+
 # Clustering
 
 DIST = "sqrt((x - 173.0) * (x - 173.0) + (y - 130.0) * (y - 130.0))"

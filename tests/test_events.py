@@ -330,3 +330,43 @@ def test_scenes_are_the_same_however_they_are_dealt(spark):
     assert set(counts) == {-1, 0, 1, 2, 3, 4, 5, RAIN, SNOW}
     ids = generators.numbered(scene)
     assert ids.agg(F.min("event_id"), F.max("event_id"), F.count_distinct("event_id")).first() == (0, scene.count() - 1, scene.count())
+
+
+def brute_densities(rows, decay, half=4):
+    """The map as it is, pixel by pixel and event by event."""
+    m, out = np.zeros((260, 346)), []
+    for _, x, y in rows:
+        out.append(m[max(0, y - half) : y + half + 1, max(0, x - half) : x + half + 1].mean())
+        m *= decay
+        m[y, x] += 1
+    return out
+
+
+@pytest.mark.parametrize(("decay", "longest"), [(0.9, 65_536), (0.97, 16), (0.9995, 65_536), (0.999, 50)])
+def test_local_density_matches_the_decayed_map(spark, monkeypatch, decay, longest):
+    monkeypatch.setattr(denoise, "LONGEST", longest)
+    rng = random.Random(5)
+    rows = sorted((float(rng.randint(0, 30_000)), rng.choice([0, 1, 345, rng.randint(0, 20)]), rng.choice([0, 259, 258, rng.randint(0, 15)])) for _ in range(500))
+    got = {r.event_id: r.density for r in denoise.local_density(stream(spark, rows), decay).collect()}
+    assert np.allclose([got[i] for i in range(len(rows))], brute_densities(rows, decay), rtol=1e-9, atol=1e-12)
+
+
+def test_adaptive_radii_narrow_where_events_are_dense(spark):
+    rng = random.Random(7)
+    rows = sorted((float(rng.randint(0, 40_000)), rng.choice([50, 51, 52, rng.randint(40, 80)]), rng.choice([50, 51, rng.randint(30, 90)])) for _ in range(600))
+    dense, radii = (0.2, 1.0), {}
+    for i, d in enumerate(brute_densities(rows, 0.99)):
+        radii[i] = 2 if d > dense[1] else 4 if d > dense[0] else 8
+    assert set(radii.values()) == {2, 4, 8}
+    want = [i for i, (t, x, y) in enumerate(rows) if any(abs(x - a) <= radii[i] and abs(y - b) <= radii[i] and s > t - 3000 for s, a, b in rows[:i])]
+    got = denoise.density_adaptive(stream(spark, rows), 3000.0, 0.99, dense=dense)
+    assert sorted(r.event_id for r in got.collect()) == want and len(want) < len(rows)
+    assert got.columns == ["event_id", "t", "x", "y", "p", "label"]
+    with pytest.raises(ValueError, match="decay"):
+        denoise.local_density(stream(spark, rows), 1.0)
+
+
+def test_default_densities_never_narrow_the_radius(spark):
+    plan = denoise.with_radius(stream(spark, [(0, 1, 1)]))
+    assert [r.radius for r in plan.collect()] == [8]
+    assert max(brute_densities([(i, 0, 0) for i in range(3000)], denoise.DECAY)) < denoise.DENSE[0]
