@@ -208,7 +208,7 @@ def preceding(text: np.ndarray, pos: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 def stars(text: np.ndarray) -> np.ndarray:
     """Positions of the S* suffixes, the last character included."""
-    found, right, hi = [np.array([len(text) - 1])], True, len(text) - 1
+    found, right, hi = [], True, len(text) - 1
     while hi > 0:
         lo = max(0, hi - 16 * BLOCK)
         a = text[lo : hi + 1]
@@ -216,7 +216,7 @@ def stars(text: np.ndarray) -> np.ndarray:
         kind = np.append(a[:-1] < a[1:], right)[np.append(np.minimum.accumulate(at[::-1])[::-1], hi - lo)]
         found.append(np.flatnonzero(~kind[:-1] & kind[1:]) + lo + 1)
         right, hi = bool(kind[0]), lo
-    return np.unique(np.concatenate(found))
+    return np.concatenate(found[::-1])
 
 
 def _sorted_keys(keys: np.ndarray, memory: int) -> np.ndarray:

@@ -25,7 +25,7 @@ from saccade.llm.hashing import M1, M2, numbers
 from saccade.llm.induced_sort import scan_suffixes
 
 #: Bytes of a gram; windows of a text that are looked at at a time; bytes of text in a shard; hashes that a key is split by.
-GRAM, SEGMENT, SHARD_BYTES, HASHES = 32, 1 << 22, 1 << 22, 4
+GRAM, SEGMENT, SHARD_BYTES, HASHES = 32, 1 << 22, 1 << 21, 4
 #: Stands between pieces in a shard's text: no byte of UTF-8 after one has been added to each.
 BETWEEN = 0xF6
 GEAR = numbers(256)
