@@ -354,7 +354,7 @@ def test_local_density_matches_the_decayed_map(spark, monkeypatch, decay, longes
 def test_adaptive_radii_narrow_where_events_are_dense(spark):
     rng = random.Random(7)
     rows = sorted((float(rng.randint(0, 40_000)), rng.choice([50, 51, 52, rng.randint(40, 80)]), rng.choice([50, 51, rng.randint(30, 90)])) for _ in range(600))
-    dense, radii = (0.2, 1.0), {}
+    dense, radii = (0.1, 0.4), {}
     for i, d in enumerate(brute_densities(rows, 0.99)):
         radii[i] = 2 if d > dense[1] else 4 if d > dense[0] else 8
     assert set(radii.values()) == {2, 4, 8}
