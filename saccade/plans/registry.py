@@ -17,7 +17,7 @@ from saccade.functions.schema import WINDOW_US
 from saccade.functions.scratch import shared_dir, stored
 from saccade.operators import clustering, denoise, features, learning, network, ranking, streams, tracking, weather
 from saccade.plans import benchmark
-from saccade.sources import files, generators
+from saccade.sources import files, generators, packed
 from saccade.sources.adapter import read, replay_events, to_stream
 from saccade.streaming import streams as live
 
@@ -138,6 +138,19 @@ def npz_round_trip(spark, sf_dir):
     return _round_trip(spark, sf_dir, files.write_npz, "npz")
 
 
+@query(f"WITH {D} SELECT t, x, y, p FROM d")
+def bin_round_trip(spark, sf_dir):
+    return _round_trip(spark, sf_dir, files.write_bin, "bin")
+
+
+@query(f"WITH {D} SELECT t, x, y, p FROM d WHERE t >= 30000 AND t < 90000 AND p > 0")
+def bin_time_slice(spark, sf_dir):
+    """A time slice of packed files; ranges outside it aren't read."""
+    path = f"{shared_dir(spark)}/events.bin"
+    packed.write_files(replay_events(spark, sf_dir).repartitionByRange("t").sortWithinPartitions("t"), path)
+    return packed.read_files(spark, path, "bin", "packed", sorted="true", start="30000", stop="90000").where("p > 0")
+
+
 @query(f"WITH {D} SELECT t, x, y, p FROM d")
 def parquet_round_trip(spark, sf_dir):
     return _round_trip(spark, sf_dir, files.write_parquet, "parquet").select("t", "x", "y", "p")

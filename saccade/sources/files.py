@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from saccade.functions.schema import HEIGHT, WIDTH
+from saccade.sources import packed as ranges
 
 #: Column names that mean time and polarity (fixed values).
 ALIASES = {"timestamp_us": "t", "timestamp": "t", "ts": "t", "time": "t", "pol": "p", "polarity": "p"}
@@ -51,8 +52,20 @@ def read_csv(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(number("t").alias("t"), number("x").cast("int").alias("x"), number("y").cast("int").alias("y"), signed(p).alias("p"))
 
 
+def _by_ranges(path: str) -> bool:
+    """Whether files can be read in ranges: their store must be one that pyarrow knows."""
+    try:
+        ranges.opened(path)
+    except Exception:  # other stores are left to Spark, a whole file at a time
+        return False
+    return True
+
+
 def read_npz(spark: SparkSession, path: str) -> DataFrame:
-    """Arrays t, x, y, p of each file; polarity as it is. A file is one task's work. Sizes of sensors: sizes_of()."""
+    """Arrays t, x, y, p of each file; polarity as it is. Stored arrays are read in ranges by several tasks; files in
+    stores that only Spark knows are one task's work each. Sizes of sensors: sizes_of()."""
+    if _by_ranges(path):
+        return ranges.read_files(spark, path, "npz")
 
     def take(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -79,7 +92,10 @@ def sizes_of(spark: SparkSession, path: str, width: int = WIDTH, height: int = H
 
 def read_bin(spark: SparkSession, path: str) -> DataFrame:
     """Packed 64-bit events (t << 32 | x << 16 | y << 1 | p, p 1 or 0); files whose coordinates come
-    out above 4096 are four 32-bit integers an event instead."""
+    out above 4096 are four 32-bit integers an event instead. Files are read in ranges by several tasks; in
+    stores that only Spark knows, a file is one task's work."""
+    if _by_ranges(path):
+        return ranges.read_files(spark, path, "bin")
 
     def take(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -140,9 +156,9 @@ def write_npz(events: DataFrame, uri: str, width: int = WIDTH, height: int = HEI
     return sorted(r.file for r in events.select("t", "x", "y", "p").mapInPandas(save, "file string").collect())  # a name a partition
 
 
-def write_bin(events: DataFrame) -> DataFrame:
-    """(packed) for a sink of one's own: each event as its 64-bit number."""
-    return events.select(packed(F.col("t"), F.col("x"), F.col("y"), F.col("p")).alias("packed"))
+def write_bin(events: DataFrame, path: str) -> None:
+    """Packed files, one a partition, below path (file://, hdfs:// or the like, which all executors can write)."""
+    ranges.write_files(events, path, "overwrite")
 
 
 def write_results(scores: DataFrame, path: str) -> None:
