@@ -28,7 +28,7 @@ CHUNK, TOGETHER = 500_000, 500
 #: How the tokenizer's own rules take a normalised text apart (fixed values; checked against the file).
 PRE_TOKEN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 NORMALIZERS = ["NFC", "Replace", "Lowercase"]
-SPACE, LETTER, DIGIT, SYMBOL = range(4)
+SPACE, LETTER, DIGIT, SYMBOL, UNKNOWN = range(5)
 #: Up to this code point texts are in normal form, and lower() is all that the normaliser does besides white space.
 NARROW = 0x24F
 OWN = ["part", "local_start", "n_tokens", "token_ids", "start"]
@@ -36,21 +36,35 @@ OWN = ["part", "local_start", "n_tokens", "token_ids", "start"]
 _encoders: dict = {}
 
 
-def kinds_of_characters() -> np.ndarray:
-    """What each code point is to PRE_TOKEN."""
-    import regex
+class Kinds:
+    """What each code point is to PRE_TOKEN, by the library's own tables: it takes apart each code point after a
+    letter and after a symbol, when texts first have it."""
 
-    every = "".join(map(chr, range(0x110000)))
-    kinds = np.full(0x110000, SYMBOL, "u1")
-    for kind, pattern in ((SPACE, r"\p{White_Space}"), (LETTER, r"\p{L}"), (DIGIT, r"\p{N}")):
-        for m in regex.finditer(pattern + "+", every):
-            kinds[m.start() : m.end()] = kind
-    return kinds
+    def __init__(self, split: dict):
+        from tokenizers import Regex, pre_tokenizers
 
+        self.split = pre_tokenizers.Split(Regex(split["pattern"]["Regex"]), split["behavior"].lower(), split["invert"])
+        self.table = np.full(0x110000, UNKNOWN, "u1")
 
-def pre_tokens(codes: np.ndarray, kinds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Where the pre-tokens of a normalised text begin and end (their last characters)."""
-    kind = kinds[codes]
+    def of(self, codes: np.ndarray) -> np.ndarray:
+        kind = self.table[codes]
+        if (kind == UNKNOWN).any():
+            new = np.unique(codes[kind == UNKNOWN])
+            for a in range(0, len(new), 50_000):
+                self._ask(new[a : a + 50_000])
+            kind = self.table[codes]
+        return kind
+
+    def _ask(self, new: np.ndarray) -> None:
+        found = {span for _, span in self.split.pre_tokenize_str("".join(f"a{chr(c)} !{chr(c)} " for c in new.tolist()))}
+        for i, c in enumerate(new.tolist()):
+            at = 6 * i
+            alone = (at + 1, at + 2) in found
+            self.table[c] = LETTER if (at, at + 2) in found else SYMBOL if (at + 3, at + 5) in found else DIGIT if alone else SPACE
+
+
+def pre_tokens(codes: np.ndarray, kind: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the pre-tokens of a normalised text, of characters of these kinds, begin and end (their last characters)."""
     first = kind != SPACE
     first[1:] &= (kind[1:] != kind[:-1]) | (kind[1:] == DIGIT)
     ahead = np.append(codes, [0, 0, 0]).astype("u4")
@@ -85,7 +99,7 @@ class Encoder:
         self.apart = parts[0].get("pattern") == {"Regex": PRE_TOKEN} and [n["type"] for n in (rules.get("normalizer") or {}).get("normalizers", [])] == NORMALIZERS
         self.wide = regex.compile(rf"[^\x00-{chr(NARROW)}]").search
         if self.apart:
-            self.kinds, self.numbers = kinds_of_characters(), numbers(0x110000)
+            self.kinds, self.numbers = Kinds(parts[0]), numbers(0x110000)
             self.known = Places(PLACES, "i4")
             self.forget()
 
@@ -118,7 +132,7 @@ class Encoder:
     def _entries(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         """Where the pre-tokens of a normalised text begin, and the entry of each."""
         codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "u4")
-        first, last = pre_tokens(codes, self.kinds)
+        first, last = pre_tokens(codes, self.kinds.of(codes))
         h = run_hashes(self.numbers[codes], first, last)
         known, entry = self.known.find(h)
         missing = np.flatnonzero(~known)
