@@ -19,6 +19,7 @@ from saccade.operators import clustering, denoise, features, learning, network,
 from saccade.plans import benchmark
 from saccade.sources import files, generators, packed
 from saccade.sources.adapter import read, replay_events, to_stream
+from saccade.streaming import stateful
 from saccade.streaming import streams as live
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -704,16 +705,47 @@ def streaming_session(spark, sf_dir):
     return live.drained(live.sessions(stream), close)
 
 
+DETECTION = "scene string, window_id long, cluster_id long, cx double, cy double"
+SCENE = "events"
+
+
 @query()
 def streaming_track_link(spark, sf_dir):
-    found = clustering.detect(replay_events(spark, sf_dir), clustering.DETECTORS["DBSCAN"])[1]
+    """The tracks of dbscan_tracks from a stream: files of detections in no order, within a second of each other."""
+    found = stored(clustering.detect(replay_events(spark, sf_dir), clustering.DETECTORS["DBSCAN"])[1].select(F.lit(SCENE).alias("scene"), "window_id", "cluster_id", "cx", "cy"))
     path = f"{shared_dir(spark)}/detections"
-    scene = F.concat(F.lit("hour "), F.floor(F.col("window_id") / 720_000))  # recordings of an hour; tracks don't go on in the next
-    found.select(scene.alias("scene"), "window_id", "cluster_id", "cx", "cy").write.parquet(path)
-    stream = spark.readStream.schema("scene string, window_id long, cluster_id long, cx double, cy double").parquet(path)
-    return live.drained(live.link_stream(stream))
+    slot = F.floor((F.col("window_id") * WINDOW_US + F.pmod(F.hash("window_id", "cluster_id"), F.lit(300_000))) / 600_000)
+    found.withColumn("_slot", slot).repartitionByRange("_slot").drop("_slot").write.parquet(path)
+    stream = spark.readStream.schema(DETECTION).option("maxFilesPerTrigger", 1000).parquet(path)
+
+    def close() -> None:
+        last = found.agg(F.lit("end").alias("scene"), (F.coalesce(F.max("window_id"), F.lit(0)) + 1_000_000).alias("window_id"))
+        last.select("scene", "window_id", F.lit(0).cast("long").alias("cluster_id"), F.lit(0.0).alias("cx"), F.lit(0.0).alias("cy")).write.mode("append").parquet(path)
+
+    return live.drained(stateful.link_stream(stream, late="10 seconds"), close).where(F.col("scene") == SCENE)
 
 
 @query(f"WITH {D} SELECT event_id, t, x, y, p FROM d WHERE {NEAR.format(r=10)}")
 def streaming_noise_filter(spark, sf_dir):
-    return live.drained(live.noise_stream(to_stream(live.events_stream(spark, sf_dir))))
+    stream, close = live.closable(spark, sf_dir)
+    return live.drained(stateful.noise_stream(to_stream(stream)), close)
+
+
+@query(f"WITH {DENSITY}, r AS (SELECT d.*, CASE WHEN density > 0.03 THEN 2 WHEN density > 0.012 THEN 4 ELSE 8 END AS radius FROM d JOIN dens USING (event_id)) SELECT DISTINCT a.event_id, a.t, a.x, a.y, a.p FROM r a JOIN r b ON b.event_id < a.event_id AND b.t > a.t - 8000 AND abs(a.x - b.x) <= a.radius AND abs(a.y - b.y) <= a.radius")
+def streaming_density_adaptive(spark, sf_dir):
+    """The adaptive filter with a decayed density map as the stream's state."""
+    stream, close = live.closable(spark, sf_dir)
+    map_ = SPARSE_MAP | {"half": denoise.HALF, "radii": denoise.RADII}
+    return live.drained(stateful.noise_stream(to_stream(stream), adaptive=map_), close)
+
+
+@query(f"WITH {D} SELECT event_id, t, x, y, p FROM d WHERE {NEAR.format(r=5)}")
+def streaming_packed_noise(spark, sf_dir):
+    """Packed files as a stream that stops and goes on between commits; events are up to 0.3 s out of order."""
+    path = f"{shared_dir(spark)}/packed"
+    rows = replay_events(spark, sf_dir).select("t", "x", "y", "p", (F.col("t") + F.pmod(F.hash("event_id"), F.lit(300_000))).alias("_came"))
+    half = rows.agg(F.max("_came")).scalar() / 2
+    far = rows.agg((F.max("t") + 60_000_000.0).alias("t")).select("t", F.lit(0).alias("x"), F.lit(0).alias("y"), F.lit(1).alias("p"))
+    packed.write_files(rows.where(F.col("_came") <= half), path)
+    stream = packed.stream_files(spark, path).withColumn("event_id", F.round(F.col("t") / 15).cast("long"))
+    return live.drained(stateful.noise_stream(stream, 5), lambda: packed.write_files(rows.where(F.col("_came") > half), path), lambda: packed.write_files(far, path))

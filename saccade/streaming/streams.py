@@ -1,19 +1,14 @@
-"""The same analytics on streams: windows over event time, a noise filter and track linking with state."""
+"""The same analytics on streams: windows over event time. Noise filter and track linking: stateful."""
 
 from __future__ import annotations
 
-import json
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StreamingQuery
 
-from saccade.functions.schema import HEIGHT, WIDTH, WINDOW_US
 from saccade.functions.scratch import shared_dir
-from saccade.operators.tracking import Linker
 
 EVENTS = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
 
@@ -43,80 +38,37 @@ def _windowed(groups, *keys: str) -> DataFrame:
     return rows.select(text("w.start").alias("start"), text("w.end").alias("stop"), *keys, "n", "total")
 
 
-def drained(stream: DataFrame, close: Callable[[], None] | None = None) -> DataFrame:
+def run(stream: DataFrame, out: str, state: str) -> StreamingQuery:
+    """Appends what the stream gives to the folder out, until all that is there has been read; goes on from state."""
+    query = stream.writeStream.format("parquet").outputMode("append").option("path", out).option("checkpointLocation", state).trigger(availableNow=True).start()
+    query.awaitTermination()
+    return query
+
+
+def drained(stream: DataFrame, *closing: Callable[[], None]) -> DataFrame:
     """What the stream gives in append mode once all that is there has been read, as a table. Watermarks hold
-    windows back until later events have come: close() adds such an event, and the stream goes on."""
+    windows back until later events have come: after each of closing, which adds such events, the stream starts
+    again and goes on."""
     spark, base = stream.sparkSession, shared_dir(stream.sparkSession)
     stream.sparkSession.createDataFrame([], stream.schema).write.parquet(f"{base}/none")
-    for step in (None, close) if close else (None,):
+    for step in (None, *closing):
         if step:
             step()
-        stream.writeStream.format("parquet").outputMode("append").option("path", f"{base}/out").option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start().awaitTermination()
+        run(stream, f"{base}/out", f"{base}/state")
     return spark.read.schema(stream.schema).parquet(f"{base}/none").unionByName(spark.read.schema(stream.schema).parquet(f"{base}/out"))
 
 
 def closable(spark: SparkSession, folder: str) -> tuple[DataFrame, Callable[[], None]]:
-    """The events table as a stream, and what closes it: one event a year after its last one, whose own
-    windows are never given out."""
+    """The events table as a stream, and what closes it: one event a year after its last one and a milliard
+    numbers on, whose own windows are never given out."""
     path = f"{shared_dir(spark)}/closing"
     empty = spark.createDataFrame([], EVENTS)
     empty.write.parquet(path)
 
     def close() -> None:
-        last = spark.read.schema(EVENTS).parquet(f"{folder}/events.parquet").agg(F.max("ts").alias("ts"))
-        row = last.select(*[(F.col("ts") + F.expr("INTERVAL 1 YEAR") if c == "ts" else F.lit(None)).cast(t).alias(c) for c, t in empty.dtypes])
+        last = spark.read.schema(EVENTS).parquet(f"{folder}/events.parquet").agg(F.max("ts").alias("ts"), F.max("event_id").alias("event_id"))
+        far = {"ts": F.col("ts") + F.expr("INTERVAL 1 YEAR"), "event_id": F.col("event_id") + 1_000_000_000}
+        row = last.select(*[far.get(c, F.lit(None)).cast(t).alias(c) for c, t in empty.dtypes])
         row.write.mode("append").parquet(path)
 
     return events_stream(spark, folder).unionByName(events_stream(spark, path, "*.parquet")), close
-
-
-def noise_stream(events: DataFrame, radius: int = 10, dt_us: float = 8000.0, tile: int = 64) -> DataFrame:
-    """(event_id, t, x, y, p) of a stream's events that have an earlier one at most radius away on both axes and
-    less than dt_us before. The state is each pixel's last time, in tiles of the sensor that also see the
-    events around them; times that nothing can reach any more are dropped from it. A batch brings later
-    events than those before."""
-
-    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        x0, y0 = key[0] * tile - radius, key[1] * tile - radius
-        last = np.full((tile + 2 * radius, tile + 2 * radius), -np.inf)
-        for x, y, t in json.loads(state.get[0]) if state.exists else []:
-            last[y, x] = t
-        rows, stay = pd.concat(list(batches)).sort_values(["t", "event_id"]), []
-        for t, x, y, own in zip(rows["t"], rows["x"] - x0, rows["y"] - y0, rows["own"], strict=True):
-            stay.append(bool(own and (last[max(0, y - radius) : y + radius + 1, max(0, x - radius) : x + radius + 1] > t - dt_us).any()))
-            last[y, x] = t
-        ys, xs = np.nonzero(last > rows["t"].iloc[-1] - dt_us)
-        state.update((json.dumps([[int(x), int(y), float(last[y, x])] for x, y in zip(xs, ys, strict=True)]),))
-        yield rows.loc[np.array(stay), ["event_id", "t", "x", "y", "p"]]
-
-    def tiles(c: str, size: int) -> list:
-        near = F.sequence(F.greatest(F.lit(0), F.floor((F.col(c) - radius) / tile)), F.least(F.lit((size - 1) // tile), F.floor((F.col(c) + radius) / tile)))
-        return F.explode(near).alias(f"t{c}")
-
-    rows = events.select("event_id", "t", "x", "y", "p", tiles("x", WIDTH)).select("*", tiles("y", HEIGHT))
-    rows = rows.withColumn("own", (F.floor(F.col("x") / tile) == F.col("tx")) & (F.floor(F.col("y") / tile) == F.col("ty")))
-    out = "event_id long, t double, x int, y int, p int"
-    return rows.groupBy("tx", "ty").applyInPandasWithState(run, out, "last string", "append", GroupStateTimeout.NoTimeout)
-
-
-def link_stream(detections: DataFrame, link_px: float = 40.0, max_gap: int = 3, window_us: float = WINDOW_US, late: str = "1 minute", idle_ms: int = 60_000) -> DataFrame:
-    """(scene, track_id, seq, window_id, cluster_id) of a stream of detections (scene, window_id, cluster_id, cx, cy).
-    Open tracks are a scene's state; a batch brings whole windows, later ones than before. Event time is that
-    of the windows; a scene for which the watermark is idle_ms past its last window has ended, and its
-    state goes."""
-
-    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        kept = json.loads(state.get[0]) if state.exists else {"open": [], "next": 0}
-        linker = Linker(link_px, max_gap, kept["open"], kept["next"])
-        rows = pd.concat(list(batches)).sort_values(["window_id", "cluster_id"])
-        found = [linker.add(int(w), float(x), float(y)) for w, x, y in zip(rows["window_id"], rows["cx"], rows["cy"], strict=True)]
-        state.update((json.dumps({"open": linker.open, "next": linker.next_id}),))
-        state.setTimeoutTimestamp(max(state.getCurrentWatermarkMs() + 1, int((rows["window_id"].max() + 1) * window_us / 1000) + idle_ms))
-        yield pd.DataFrame({"scene": key[0], "track_id": [f[0] for f in found], "seq": [f[1] for f in found], "window_id": rows["window_id"].to_numpy(), "cluster_id": rows["cluster_id"].to_numpy()})
-
-    out = "scene string, track_id long, seq long, window_id long, cluster_id long"
-    timed = detections.withColumn("ts", F.timestamp_micros(((F.col("window_id") + 1) * window_us).cast("long"))).withWatermark("ts", late)
-    return timed.groupBy("scene").applyInPandasWithState(run, out, "tracks string", "append", GroupStateTimeout.EventTimeTimeout)

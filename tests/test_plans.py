@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 
 from saccade.operators import clustering, features, learning, network, ranking, tracking, weather
 from saccade.plans import benchmark, registry
-from saccade.streaming import streams as live
 
 
 def test_benchmark_scores_the_grid(spark):
@@ -122,18 +121,6 @@ def test_weights_come_back(spark, tmp_path):
     assert set(back) == set(w) and all(np.array_equal(back[k], w[k]) for k in w)
 
 
-def test_linking_a_stream_gives_the_tracks_of_the_batch(spark, tmp_path):
-    rng = np.random.default_rng(2)
-    rows = [("a", int(w), c, float(x), float(y)) for w in range(12) for c, (x, y) in enumerate(rng.uniform(0, 120, (3, 2)))]
-    schema = "scene string, window_id long, cluster_id long, cx double, cy double"
-    table = spark.createDataFrame(rows, schema)
-    table.coalesce(1).write.parquet(str(tmp_path / "in"))
-    out = live.drained(live.link_stream(spark.readStream.schema(schema).parquet(str(tmp_path / "in"))))
-    cols = ["scene", "track_id", "seq", "window_id", "cluster_id"]
-    want = tracking.link(table, scene=["scene"])
-    assert sorted(map(tuple, out.select(*cols).collect())) == sorted(map(tuple, want.select(*cols).collect()))
-
-
 def test_scaling_splits_and_reports(spark):
     rows = spark.createDataFrame([(i, float(i), 5.0, i % 2) for i in range(20)], "k long, a double, b double, label int")
     got = learning.scaled(rows, ["a", "b"]).agg(F.avg("a"), F.stddev_pop("a"), F.max(F.abs("b"))).first()
