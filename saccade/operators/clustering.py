@@ -135,51 +135,78 @@ def core_points(rows: DataFrame, eps: float, min_samples: int) -> DataFrame:
     return neighbour_counts(rows, eps).where(F.col("n") >= min_samples).select("window_id", "event_id")
 
 
-def _adjacent(x: np.ndarray, y: np.ndarray, z: np.ndarray | None, eps: np.ndarray) -> list[np.ndarray]:
-    """Indices within eps[i] of each point i, itself included: candidates by a sorted x, then distances."""
-    order = np.argsort(x, kind="stable")
-    xs = x[order]
-    lo, hi = np.searchsorted(xs, x - eps, "left"), np.searchsorted(xs, x + eps, "right")
-    out = []
-    for i in range(len(x)):
-        c = order[lo[i] : hi[i]]
-        d = (x[c] - x[i]) ** 2 + (y[c] - y[i]) ** 2
+@dataclass(frozen=True)
+class Neighbours:
+    """Neighbours of each point as runs of one array: those of point i are of[start[i]:start[i + 1]]."""
+
+    start: np.ndarray
+    of: np.ndarray
+
+    def __len__(self) -> int:
+        return len(self.start) - 1
+
+    def counts(self) -> np.ndarray:
+        return np.diff(self.start)
+
+    def around(self, points: np.ndarray) -> np.ndarray:
+        """The neighbours of all points, one after another."""
+        lo, n = self.start[points], self.start[points + 1] - self.start[points]
+        return self.of[np.repeat(lo - np.append(0, np.cumsum(n)[:-1]), n) + np.arange(n.sum())]
+
+
+#: Candidates that are looked at together.
+CANDIDATES = 1 << 20
+
+
+def _adjacent(x: np.ndarray, y: np.ndarray, z: np.ndarray | None, eps: np.ndarray) -> Neighbours:
+    """The points within eps[i] of each point i, itself included. Points lie in cells of the largest radius, sorted by
+    row and column, so that a point's candidates are three runs; all runs are looked at together."""
+    n = len(x)
+    size = max(float(eps.max(initial=0.0)), 1e-9)
+    col, row = np.floor((x - x.min(initial=0)) / size).astype("i8"), np.floor((y - y.min(initial=0)) / size).astype("i8")
+    width = int(col.max(initial=0)) + 3
+    cell = row * width + col + 1
+    order = np.argsort(cell, kind="stable")
+    held = cell[order]
+    runs = cell[:, None] + np.array([-width, 0, width])
+    lo, hi = np.searchsorted(held, runs - 1, "left"), np.searchsorted(held, runs + 1, "right")
+    found, counts = [], np.zeros(n, "i8")
+    total = np.cumsum((hi - lo).sum(axis=1))
+    cuts = np.unique(np.append(np.searchsorted(total, np.arange(CANDIDATES, int(total[-1]) if n else 0, CANDIDATES)) + 1, n))
+    for a, b in zip(np.append(0, cuts[:-1]).tolist(), cuts.tolist(), strict=True):
+        first, many = lo[a:b].ravel(), (hi - lo)[a:b].ravel()
+        other = order[np.repeat(first - np.append(0, np.cumsum(many)[:-1]), many) + np.arange(many.sum())]
+        own = np.repeat(np.arange(a, b), (hi - lo)[a:b].sum(axis=1))
+        d = (x[other] - x[own]) ** 2 + (y[other] - y[own]) ** 2
         if z is not None:
-            d = d + (z[c] - z[i]) ** 2
-        out.append(c[np.sqrt(d) <= eps[i]])
-    return out
+            d = d + (z[other] - z[own]) ** 2
+        near = np.sqrt(d) <= eps[own]
+        found.append(other[near])
+        counts[a:b] = np.bincount(own[near] - a, minlength=b - a)
+    return Neighbours(np.append(0, np.cumsum(counts)), np.concatenate(found) if found else np.empty(0, "i8"))
 
 
-def expand(near: list[np.ndarray], k: np.ndarray) -> np.ndarray:
+def expand(near: Neighbours, k: np.ndarray) -> np.ndarray:
     """Labels (0 and up, -1 for noise) of the expanding kernel, in the order of the points.
 
     A point not reached yet with more than k neighbours (itself included) starts a cluster; its
     neighbours all join it and expand. A point with two neighbours or more expands, core or not: its
     neighbours join too, taken from other clusters if need be, and those not reached before expand.
+    Which points a cluster gets doesn't depend on the order of its points, so they expand in waves.
     """
-    n = len(near)
-    labels, reached, cluster = np.full(n, -1), np.zeros(n, bool), 0
-    for i in range(n):
+    counts = near.counts()
+    labels, reached, cluster = np.full(len(near), -1), np.zeros(len(near), bool), 0
+    for i in np.flatnonzero(counts > k).tolist():
         if reached[i]:
             continue
-        reached[i] = True
-        if len(near[i]) <= k[i]:
-            labels[i] = -1
-            continue
-        labels[near[i]] = cluster
-        queue = list(near[i])
-        waiting = np.zeros(n, bool)
-        waiting[near[i]] = True
-        while queue:
-            j = queue.pop()
-            reached[j], waiting[j] = True, False
-            if len(near[j]) < 2:
-                continue
-            labels[near[j]] = cluster
-            fresh = near[j][~reached[near[j]]]
-            reached[fresh] = True
-            queue.extend(fresh[~waiting[fresh]].tolist())
-            waiting[fresh] = True
+        wave = near.of[near.start[i] : near.start[i + 1]]
+        reached[: i + 1] = True  # those before were looked at in their turn
+        labels[wave] = cluster
+        while len(wave):
+            reached[wave] = True
+            joined = near.around(wave[counts[wave] >= 2])
+            labels[joined] = cluster
+            wave = np.unique(joined[~reached[joined]])
         cluster += 1
     return labels
 
@@ -213,25 +240,20 @@ def dbscan_clusters(rows: DataFrame, eps: float = 10.0, min_samples: int = 5) ->
     def cluster(w: pd.DataFrame) -> pd.DataFrame:
         w = w.sort_values("event_id").reset_index(drop=True)
         near = _adjacent(w["x"].to_numpy("f8"), w["y"].to_numpy("f8"), None, np.full(len(w), float(eps)))
-        core = np.array([len(n) >= min_samples for n in near])
-        root = np.full(len(w), -1)
-        for i in np.flatnonzero(core):
-            if root[i] >= 0:
+        core = near.counts() >= min_samples
+        root = np.full(len(w), len(w))
+        for i in np.flatnonzero(core).tolist():
+            if root[i] < len(w):
                 continue
-            root[i], stack = i, [i]
-            while stack:
-                n = near[stack.pop()]
-                new = n[core[n] & (root[n] < 0)]
-                root[new] = i
-                stack.extend(new.tolist())
+            wave = np.array([i])
+            while len(wave):
+                root[wave] = i
+                joined = near.around(wave)
+                wave = np.unique(joined[core[joined] & (root[joined] == len(w))])
+        of = np.where(core[near.of], root[near.of], len(w))
+        least = np.minimum.reduceat(of, near.start[:-1]) if len(w) else root  # each point is its own neighbour
         ids = w["event_id"].to_numpy()
-        out = np.full(len(w), -1, dtype="i8")
-        for i, n in enumerate(near):
-            c = n[core[n]]
-            if core[i]:
-                out[i] = ids[root[i]]
-            elif len(c):
-                out[i] = ids[root[c].min()]
+        out = np.append(ids, -1)[np.where(core, root, least)]
         return pd.DataFrame({"window_id": w["window_id"], "event_id": ids, "cluster_id": out})
 
     return rows.select("window_id", "event_id", "x", "y").groupBy("window_id").applyInPandas(cluster, "window_id long, event_id long, cluster_id long")

@@ -14,13 +14,13 @@ from pyspark.sql import functions as F
 def scaled(rows: DataFrame, columns: list[str]) -> DataFrame:
     """Columns less their mean, by their population deviation (1 where it is 0)."""
     sums = rows.agg(*[F.avg(c).alias(f"m_{c}") for c in columns], *[F.stddev_pop(c).alias(f"s_{c}") for c in columns])
-    cell = lambda n: sums.select(n).scalar()
-    return rows.withColumns({c: (F.col(c) - cell(f"m_{c}")) / F.when(cell(f"s_{c}") == 0, 1.0).otherwise(cell(f"s_{c}")) for c in columns})
+    cells = {c: (F.col(c) - F.col(f"m_{c}")) / F.when(F.col(f"s_{c}") == 0, 1.0).otherwise(F.col(f"s_{c}")) for c in columns}
+    return rows.crossJoin(F.broadcast(sums)).select(*[cells.get(c, F.col(c)).alias(c) for c in rows.columns])  # one row of sums
 
 
-def stratified(rows: DataFrame, label: str, key: str, test_share: float = 0.2) -> DataFrame:
-    """rows with is_test: floor(test_share * n) rows of every label, in order of md5(key). Ranks come from
-    4096 ranges of the hash that are counted and sorted apart, so that no label gathers in one task."""
+def hashed_ranks(rows: DataFrame, label: str, key: str) -> DataFrame:
+    """rows with _rank (from 1) among the _all rows of their label, in order of md5(key). Ranks come from 4096
+    ranges of the hash that are counted and sorted apart, so that no label gathers in one task."""
     md5 = F.md5(F.coalesce(F.col(key).cast("string"), F.lit("")))
     cut = rows.withColumn("_md5", md5).withColumn("_range", F.substring("_md5", 1, 3))
     counts = cut.groupBy(label, "_range").agg(F.count("*").alias("_n"))
@@ -29,7 +29,12 @@ def stratified(rows: DataFrame, label: str, key: str, test_share: float = 0.2) -
     rank = F.row_number().over(Window.partitionBy(label, "_range").orderBy("_md5", key)) + F.col("_before")
     one, two = cut.alias("a"), counts.alias("b")
     out = one.join(two, F.col(f"a.{label}").eqNullSafe(F.col(f"b.{label}")) & (F.col("a._range") == F.col("b._range"))).select("a.*", "_before", "_all")
-    return out.withColumn("is_test", rank <= F.floor(F.col("_all") * test_share)).select(*rows.columns, "is_test")
+    return out.withColumn("_rank", rank.cast("long")).select(*rows.columns, "_rank", "_all")
+
+
+def stratified(rows: DataFrame, label: str, key: str, test_share: float = 0.2) -> DataFrame:
+    """rows with is_test: floor(test_share * n) rows of every label, in order of md5(key)."""
+    return hashed_ranks(rows, label, key).withColumn("is_test", F.col("_rank") <= F.floor(F.col("_all") * test_share)).select(*rows.columns, "is_test")
 
 
 def as_features(rows: DataFrame, array: str) -> DataFrame:
@@ -84,16 +89,25 @@ def cross_validated(rows: DataFrame, model, folds: int = 5, metric: str = "accur
     return cv.fit(rows).avgMetrics
 
 
-def balanced(rows: DataFrame, label: str, key: str, seed: int = 42) -> DataFrame:
-    """rows with each label about as frequent as the most frequent one: rows of rarer labels are repeated,
-    whole times and once more by hash of the key for the rest (column copy: 0 for the row itself)."""
-    from saccade.sources.generators import uniform
+#: Draws that one row of a label's counts becomes at a time.
+DRAWS = 4096
+
 
+def balanced(rows: DataFrame, label: str, key: str, seed: int = 42) -> DataFrame:
+    """rows with each label exactly as frequent as the most frequent one: the rows of rarer labels, and as many
+    draws from them with replacement as are missing (column copy: 0 for a row itself, else the draw's number).
+    A draw is a hash of seed, label and number, modulo the label's rows; it finds its row by rank."""
+    name = F.coalesce(F.col(label).cast("string"), F.lit("null"))
     counts = rows.groupBy(label).agg(F.count("*").alias("_n"))  # a row a label
-    most = counts.agg(F.max("_n")).scalar()
-    times = rows.join(counts, label).withColumn("_times", most / F.col("_n"))
-    more = F.floor("_times") + (uniform(seed, "balance", key) < F.col("_times") - F.floor("_times")).cast("long")
-    return times.withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), more - 1))).select(*rows.columns, "copy")
+    missing = counts.withColumn("_missing", counts.agg(F.max("_n")).scalar() - F.col("_n")).where("_missing > 0")
+    blocks = missing.select(label, "_n", "_missing", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("_missing") - 1) / DRAWS))).alias("_b"))
+    last = F.least(F.col("_missing"), (F.col("_b") + 1) * DRAWS)
+    draws = blocks.repartition(label, "_b").select(label, "_n", F.explode(F.sequence(F.col("_b") * DRAWS + 1, last)).alias("copy"))
+    digits = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), name, F.lit(":"), F.col("copy").cast("string"))), 1, 12), 16, 10).cast("long")
+    draws = draws.select(F.col(label).alias("_label"), "copy", (F.pmod(digits, F.col("_n")) + 1).alias("_rank"))
+    ranks = hashed_ranks(rows, label, key)
+    drawn = ranks.join(draws, F.col(label).eqNullSafe(F.col("_label")) & (ranks["_rank"] == draws["_rank"])).select(*rows.columns, "copy")
+    return rows.withColumn("copy", F.lit(0).cast("long")).unionByName(drawn)
 
 
 def importances(model, names: list[str], top: int = 5) -> list[tuple[str, float]]:

@@ -55,3 +55,11 @@ def histogram(rows: DataFrame, group: str, value: str, low: float, high: float,
 def spread(rows: DataFrame, group: str, value: str) -> DataFrame:
     v = F.col(value)
     return rows.groupBy(group).agg(F.count("*").alias("n"), F.avg(v).alias("mean"), F.stddev_pop(v).alias("std"), F.min(v).alias("min"), F.max(v).alias("max"))
+
+
+def summary(scores: DataFrame) -> DataFrame:
+    """Weighted averages and extremes of accuracy by detector and filter, by detector, and over all, in one pass
+    (level: 0, 1, 3): a null name stands for all."""
+    w = weight(F.col("scene"))
+    cells = [F.grouping_id().cast("int").alias("level"), F.count("*").alias("n"), (F.sum(w * F.col("accuracy")) / F.sum(w)).alias("avg"), F.min("accuracy").alias("min"), F.max("accuracy").alias("max")]
+    return scores.rollup("detector", "filter").agg(*cells)

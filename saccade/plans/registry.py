@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from saccade.functions.schema import WINDOW_US
 from saccade.functions.scratch import shared_dir, stored
-from saccade.operators import clustering, denoise, features, learning, network, ranking, streams, tracking, weather
+from saccade.operators import clustering, denoise, features, learning, nearest, network, ranking, streams, tracking, weather
 from saccade.plans import benchmark
 from saccade.sources import files, generators, packed
 from saccade.sources.adapter import read, replay_events, to_stream
@@ -157,6 +157,14 @@ def parquet_round_trip(spark, sf_dir):
     return _round_trip(spark, sf_dir, files.write_parquet, "parquet").select("t", "x", "y", "p")
 
 
+@query("SELECT event_type, count(*) AS n, count(k) AS n_k, CAST(sum(k) AS BIGINT) AS sum_k, min(k) AS min_k, max(k) AS max_k FROM (SELECT event_type, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events) GROUP BY 1")
+def props_by_type(spark, sf_dir):
+    """A number from the JSON of events.props; what isn't JSON or has no such number is null."""
+    k = F.try_variant_get(F.try_parse_json("props"), "$.k", "bigint")
+    rows = read(spark, sf_dir, "events").select("event_type", k.alias("k"))
+    return rows.groupBy("event_type").agg(F.count("*").alias("n"), F.count("k").alias("n_k"), F.sum("k").alias("sum_k"), F.min("k").alias("min_k"), F.max("k").alias("max_k"))
+
+
 # Noise filters
 
 NEAR = "d.event_id IN (SELECT a.event_id FROM d a JOIN d b ON b.event_id < a.event_id AND b.t > a.t - 8000 AND abs(a.x - b.x) <= {r} AND abs(a.y - b.y) <= {r})"
@@ -450,6 +458,16 @@ def anti_track_filter(spark, sf_dir):
     return proxy_events(spark, sf_dir).join(calm, "track_id", "left_anti").groupBy("track_id").agg(F.count("*").alias("n"))
 
 
+@query(f"""WITH {PROXY}, c AS (SELECT a.track_id, a.window_id, b.track_id AS near_track_id, b.window_id AS near_window_id, a.window_id - b.window_id AS gap, (a.cx - b.cx) * (a.cx - b.cx) + (a.cy - b.cy) * (a.cy - b.cy) AS d
+ FROM det a JOIN det b ON b.window_id BETWEEN a.window_id - 3 AND a.window_id - 1 WHERE (a.cx - b.cx) * (a.cx - b.cx) + (a.cy - b.cy) * (a.cy - b.cy) < 1600),
+ n AS (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY track_id, window_id ORDER BY d, gap, near_track_id, near_window_id) = 1)
+ SELECT track_id, window_id, round(sqrt(d), 6) AS distance, gap, near_track_id, near_window_id FROM det LEFT JOIN n USING (track_id, window_id)""")
+def nearest_before(spark, sf_dir):
+    """Each detection's nearest one of the three windows before, less than 40 px away."""
+    rows = proxy_tracks(spark, sf_dir).select("track_id", "window_id", "cx", "cy")
+    return rounded(nearest.nearest_before(rows, rows, 40.0, 3, ["track_id", "window_id"]))
+
+
 # Weather scenes
 
 
@@ -554,7 +572,16 @@ def balanced_resampling(spark, sf_dir):
     rows = read(spark, sf_dir, "orders").select("o_orderkey", F.col("o_orderpriority").alias("prio"))
     made = learning.balanced(rows, "prio", "o_orderkey").groupBy("prio").agg(F.count_if(F.col("copy") == 0).alias("n"), F.count("*").alias("m"))
     most = made.agg(F.max("n")).scalar()
-    return made.select("prio", "n", (F.abs(F.col("m") - most) <= 0.05 * most).alias("full"))
+    return made.select("prio", "n", (F.col("m") == most).alias("full"))
+
+
+@query("""WITH o AS (SELECT o_orderkey, o_orderpriority AS prio, row_number() OVER (PARTITION BY o_orderpriority ORDER BY md5(CAST(o_orderkey AS VARCHAR)), o_orderkey) AS r FROM orders),
+ c AS (SELECT prio, count(*) AS n, max(count(*)) OVER () - count(*) AS missing FROM o GROUP BY 1), k AS (SELECT prio, n, unnest(range(1, missing + 1)) AS copy FROM c),
+ d AS (SELECT prio, copy, CAST('0x' || md5('42:' || prio || ':' || CAST(copy AS VARCHAR))[1:12] AS BIGINT) % n + 1 AS r FROM k)
+ SELECT prio, o_orderkey, count(*) AS rows, max(copy) AS last_copy FROM (SELECT prio, o_orderkey, 0 AS copy FROM o UNION ALL SELECT prio, o_orderkey, copy FROM d JOIN o USING (prio, r)) GROUP BY 1, 2""")
+def exact_resampling(spark, sf_dir):
+    rows = read(spark, sf_dir, "orders").select("o_orderkey", F.col("o_orderpriority").alias("prio"))
+    return learning.balanced(rows, "prio", "o_orderkey").groupBy("prio", "o_orderkey").agg(F.count("*").alias("rows"), F.max("copy").alias("last_copy"))
 
 
 @query()
@@ -674,6 +701,12 @@ def top_combinations(spark, sf_dir):
     return rounded(ranking.averages(_scores(spark, sf_dir))).where("filter <> 'f0'").orderBy(F.desc("avg"), "detector", "filter").limit(12)
 
 
+@query(f"""WITH {SCORES} SELECT detector, filter, CAST(grouping(detector, filter) AS INTEGER) AS level, count(*) AS n, round(sum(w * accuracy) / sum(w), 6) AS avg, round(min(accuracy), 6) AS min, round(max(accuracy), 6) AS max
+ FROM (SELECT *, CASE scene WHEN 'LightRain' THEN 1.2 WHEN 'MedSnow' THEN 1.2 WHEN 'Clean' THEN 1.0 WHEN 'LightSnow' THEN 1.0 ELSE 1.5 END AS w FROM sc) GROUP BY ROLLUP (detector, filter)""")
+def ranking_summary(spark, sf_dir):
+    return rounded(ranking.summary(_scores(spark, sf_dir)))
+
+
 @query(f"WITH {SCORES} SELECT d.detector, f.filter, s.scene FROM (SELECT DISTINCT detector FROM sc) d, (SELECT DISTINCT filter FROM sc) f, (SELECT DISTINCT scene FROM sc) s")
 def detector_filter_scene_grid(spark, sf_dir):
     rows = _scores(spark, sf_dir)
@@ -745,7 +778,7 @@ def streaming_packed_noise(spark, sf_dir):
     path = f"{shared_dir(spark)}/packed"
     rows = replay_events(spark, sf_dir).select("t", "x", "y", "p", (F.col("t") + F.pmod(F.hash("event_id"), F.lit(300_000))).alias("_came"))
     half = rows.agg(F.max("_came")).scalar() / 2
-    far = rows.agg((F.max("t") + 60_000_000.0).alias("t")).select("t", F.lit(0).alias("x"), F.lit(0).alias("y"), F.lit(1).alias("p"))
+    far = lambda s: lambda: packed.write_files(rows.agg((F.max("t") + s * 1e6).alias("t")).select("t", F.lit(0).alias("x"), F.lit(0).alias("y"), F.lit(1).alias("p")), path)
     packed.write_files(rows.where(F.col("_came") <= half), path)
     stream = packed.stream_files(spark, path).withColumn("event_id", F.round(F.col("t") / 15).cast("long"))
-    return live.drained(stateful.noise_stream(stream, 5), lambda: packed.write_files(rows.where(F.col("_came") > half), path), lambda: packed.write_files(far, path))
+    return live.drained(stateful.noise_stream(stream, 5), lambda: packed.write_files(rows.where(F.col("_came") > half), path), far(60), far(120))

@@ -49,8 +49,8 @@ def passed(timers, expired, step_ms: int) -> int:
 class NoiseFilter(StatefulProcessor):
     """A tile's pixels: last times, and densities where radii depend on them."""
 
-    def __init__(self, tile: int, radius: int, dt_us: float, step_ms: int, adaptive: dict | None):
-        self.tile, self.radius, self.dt_us, self.step_ms, self.adaptive = tile, radius, dt_us, step_ms, adaptive
+    def __init__(self, tile: int, radius: int, dt_us: float, step_ms: int, adaptive: dict | None, scene: list[str]):
+        self.tile, self.radius, self.dt_us, self.step_ms, self.adaptive, self.scene = tile, radius, dt_us, step_ms, adaptive, scene
         self.edge = max(radius, adaptive["half"] if adaptive else 0)
 
     def init(self, handle: StatefulProcessorHandle) -> None:
@@ -74,7 +74,7 @@ class NoiseFilter(StatefulProcessor):
             return
         self.waiting.put(rest) if rest else self.waiting.clear()
         edge, size = self.edge, self.tile + 2 * self.edge
-        x0, y0 = int(key[0]) * self.tile - edge, int(key[1]) * self.tile - edge
+        x0, y0 = int(key[-2]) * self.tile - edge, int(key[-1]) * self.tile - edge
         last, density, number = np.full((size, size), -np.inf), np.zeros((size, size)), np.zeros((size, size), "i8")
         for x, y, t, d, n in self.last.get() if self.last.exists() else []:
             last[y, x], density[y, x], number[y, x] = t, d, n
@@ -96,7 +96,7 @@ class NoiseFilter(StatefulProcessor):
         state = [(int(x), int(y), float(last[y, x]), float(density[y, x]), int(number[y, x])) for x, y in zip(xs, ys, strict=True)]
         self.last.put(state) if state else self.last.clear()
         if kept:
-            yield pd.DataFrame(kept, columns=["event_id", "t", "x", "y", "p"])
+            yield pd.DataFrame([(*key[:-2], *k) for k in kept], columns=[*self.scene, "event_id", "t", "x", "y", "p"])
 
     def _radius(self, density: np.ndarray, number: np.ndarray, i: int, x: int, y: int, px: int, py: int) -> int:
         half, (first, second), (wide, medium, tight) = self.adaptive["half"], self.adaptive["dense"], self.adaptive["radii"]
@@ -109,10 +109,10 @@ class NoiseFilter(StatefulProcessor):
         pass
 
 
-def noise_stream(events: DataFrame, radius: int = 10, dt_us: float = 8000.0, tile: int = 64, late: str = "1 second", step_ms: int = 10, adaptive: dict | None = None) -> DataFrame:
-    """(event_id, t, x, y, p) of a stream's events that have an earlier one at most radius away on both axes and less
+def noise_stream(events: DataFrame, radius: int = 10, dt_us: float = 8000.0, tile: int = 128, late: str = "1 second", step_ms: int = 10, adaptive: dict | None = None, scene: list[str] | None = None) -> DataFrame:
+    """(scene..., event_id, t, x, y, p) of a stream's events that have an earlier one at most radius away on both axes and less
     than dt_us before; events may come in any order, by up to ``late``. The sensor is cut into tiles, which
-    also see the events around them. adaptive: decay, half, dense and radii of denoise.with_radius(), for a
+    also see the events around them; sensors (scene: columns that name them) are apart. adaptive: decay, half, dense and radii of denoise.with_radius(), for a
     radius by local density; event_id must then number the events, from any number on without gaps."""
     on_rocks(events.sparkSession)
     radius = max(adaptive["radii"]) if adaptive else radius
@@ -121,10 +121,13 @@ def noise_stream(events: DataFrame, radius: int = 10, dt_us: float = 8000.0, til
     def tiles(c: str, size: int):
         return F.explode(F.sequence(F.greatest(F.lit(0), F.floor((F.col(c) - edge) / tile)), F.least(F.lit((size - 1) // tile), F.floor((F.col(c) + edge) / tile)))).alias(f"t{c}")
 
-    timed = events.withColumn("ts", F.timestamp_micros(F.col("t").cast("long"))).withWatermark("ts", late)
-    rows = timed.select("ts", "event_id", "t", "x", "y", "p", tiles("x", WIDTH)).select("*", tiles("y", HEIGHT))
+    ts = F.timestamp_micros(F.col("t").cast("long") + 1)  # a watermark begins at 0, and what isn't later is late
+    timed = events.withColumn("ts", ts).withWatermark("ts", late)
+    scene, kinds = scene or [], dict(events.dtypes)
+    rows = timed.select(*scene, "ts", "event_id", "t", "x", "y", "p", tiles("x", WIDTH)).select("*", tiles("y", HEIGHT))
+    out = ", ".join([*(f"{c} {kinds[c]}" for c in scene), "event_id long, t double, x int, y int, p int"])
     own = (F.floor(F.col("x") / tile) == F.col("tx")) & (F.floor(F.col("y") / tile) == F.col("ty"))
-    return rows.withColumn("own", own).groupBy("tx", "ty").transformWithStateInPandas(NoiseFilter(tile, radius, dt_us, step_ms, adaptive), "event_id long, t double, x int, y int, p int", "Append", "EventTime")
+    return rows.withColumn("own", own).groupBy(*scene, "tx", "ty").transformWithStateInPandas(NoiseFilter(tile, radius, dt_us, step_ms, adaptive, scene), out, "Append", "EventTime")
 
 
 class TrackLinker(StatefulProcessor):

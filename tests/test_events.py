@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from saccade.functions.schema import RAIN, SNOW
-from saccade.operators import clustering, denoise, features, streams, tracking
+from saccade.operators import clustering, denoise, features, nearest, streams, tracking
 from saccade.sources import adapter, files, generators
 
 EVENTS = "event_id long, t double, x int, y int, p int, label int"
@@ -91,6 +91,48 @@ def test_points_that_are_not_core_bridge_only_after_the_seed():
     assert labels_of(chain + seed, [8.5] * 3 + [10.0] * 6) == [0, 0, -1] + [0] * 6
 
 
+def slow_kernel(x, y, eps, k):
+    """The kernel point by point, with a stack of single points."""
+    near = [np.flatnonzero(np.sqrt((x - x[i]) ** 2 + (y - y[i]) ** 2) <= eps[i]) for i in range(len(x))]
+    labels, reached, cluster = np.full(len(x), -1), np.zeros(len(x), bool), 0
+    for i in range(len(x)):
+        if reached[i]:
+            continue
+        reached[i] = True
+        if len(near[i]) <= k[i]:
+            continue
+        labels[near[i]] = cluster
+        queue = near[i].tolist()
+        while queue:
+            j = queue.pop()
+            reached[j] = True
+            if len(near[j]) >= 2:
+                labels[near[j]] = cluster
+                for m in near[j][~reached[near[j]]].tolist():
+                    reached[m] = True
+                    if m not in queue:
+                        queue.append(m)
+        cluster += 1
+    return labels
+
+
+@pytest.mark.parametrize("most", [1 << 20, 50])
+def test_waves_over_cells_give_the_kernels_labels(monkeypatch, most):
+    monkeypatch.setattr(clustering, "CANDIDATES", most)
+    rng = np.random.default_rng(11)
+    for _ in range(60):
+        n = int(rng.integers(0, 160))
+        x, y = rng.integers(0, rng.choice([30, 120]), n).astype("f8"), rng.integers(0, rng.choice([1, 90]), n).astype("f8")
+        eps, k = rng.uniform(0.9, 12, n), rng.integers(1, 7, n)
+        near = clustering._adjacent(x, y, None, eps)
+        want = [set(np.flatnonzero(np.sqrt((x - x[i]) ** 2 + (y - y[i]) ** 2) <= eps[i])) for i in range(n)]
+        assert [set(near.of[a:b]) for a, b in zip(near.start[:-1], near.start[1:], strict=True)] == want
+        assert clustering.expand(near, k).tolist() == slow_kernel(x, y, eps, k).tolist()
+    z = rng.uniform(0, 5, n)
+    deep = clustering._adjacent(x, y, z, eps)
+    assert all(np.sqrt((x[o] - x[i]) ** 2 + (y[o] - y[i]) ** 2 + (z[o] - z[i]) ** 2) <= eps[i] for i in range(n) for o in deep.of[deep.start[i] : deep.start[i + 1]])
+
+
 def test_later_clusters_take_border_points():
     points, eps = [(0, 0)] * 6 + [(9, 0)] + [(18, 0)] * 6, [10.0] * 6 + [0.9] + [10.0] * 6
     assert labels_of(points, eps) == [0] * 6 + [1] * 7
@@ -370,3 +412,17 @@ def test_default_densities_never_narrow_the_radius(spark):
     plan = denoise.with_radius(stream(spark, [(0, 1, 1)]))
     assert [r.radius for r in plan.collect()] == [8]
     assert max(brute_densities([(i, 0, 0) for i in range(3000)], denoise.DECAY)) < denoise.DENSE[0]
+
+
+def test_nearest_earlier_partner(spark):
+    rng = random.Random(8)
+    rows = [(s, w, c, float(rng.randrange(0, 120, 10)), float(rng.randrange(0, 60, 10))) for s in ("a", "b") for w in range(-4, 12) for c in range(rng.randint(0, 3))]
+    table = spark.createDataFrame(rows, "scene string, window_id long, cluster_id long, cx double, cy double").withColumn("gap", F.lit("clash"))
+    got = nearest.nearest_before(table, table, 30.0, 3, ["window_id", "cluster_id"], by=["scene"])
+    want = []
+    for s, w, c, x, y in rows:
+        found = [((x - a) ** 2 + (y - b) ** 2, w - v, v, d) for t, v, d, a, b in rows if t == s and 1 <= w - v <= 3 and (x - a) ** 2 + (y - b) ** 2 < 900]
+        best = min(found, default=None)
+        want.append((s, w, c, *((math.sqrt(best[0]), best[1], best[2], best[3]) if best else (None,) * 4)))
+    assert sorted(map(tuple, got.select("scene", "window_id", "cluster_id", "distance", "gap", "near_window_id", "near_cluster_id").collect()), key=repr) == sorted(want, key=repr)
+    assert any(r[3] is None for r in want) and any(r[4] == 3 for r in want)

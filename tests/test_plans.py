@@ -143,7 +143,18 @@ def test_training_report_and_balance(spark):
     uneven = spark.createDataFrame([(i, 0 if i < 600 else 1) for i in range(800)], "k long, label int")
     made = learning.balanced(uneven, "label", "k")
     counts = {r.label: (r.n, r.first) for r in made.groupBy("label").agg(F.count("*").alias("n"), F.count_if(F.col("copy") == 0).alias("first")).collect()}
-    assert counts[0] == (600, 600) and counts[1][1] == 200 and abs(counts[1][0] - 600) < 60
+    assert counts == {0: (600, 600), 1: (600, 200)}
+
+
+@pytest.mark.parametrize("block", [4096, 7])
+def test_draws_are_exact_and_the_same_however_rows_are_dealt(spark, monkeypatch, block):
+    monkeypatch.setattr(learning, "DRAWS", block)
+    rows = spark.createDataFrame([(i, "a" if i < 50 else "b" if i < 53 else None) for i in range(63)], "k long, label string")
+    made = [sorted((r.label or "", r.k, r.copy) for r in learning.balanced(rows.repartition(n), "label", "k").collect()) for n in (1, 5)]
+    assert made[0] == made[1] and len(made[0]) == 150
+    assert {x: sum(r[0] == x for r in made[0]) for x in ("a", "b", "")} == {"a": 50, "b": 50, "": 50}
+    assert sorted(r[2] for r in made[0] if r[0] == "b") == [0, 0, 0, *range(1, 48)] and len({r[1] for r in made[0] if r[0] == "b"}) == 3
+    assert learning.balanced(rows.limit(0), "label", "k").count() == 0
 
 
 def test_ranking_breaks_ties_by_name(spark):
