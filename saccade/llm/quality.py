@@ -4,10 +4,11 @@ Lines that very many documents of one host carry are boilerplate. Normalised lin
 documents are counted for each host and line, lines above the limit are removed, and a document that
 keeps too little is rejected.
 
-Copies must not look like boilerplate. Documents with equal texts count once. Near copies are told by
-sketches, a document's longest words: each document with a line is compared with one of them, and where
-the others, less a tenth for the sketch's errors, are within the limit, the line belongs to a family of
-near copies and stays. Whether a line stands alone or in a block of such lines makes no difference.
+Copies must not look like boilerplate. Documents with equal texts count once. Near copies count once too:
+each document with a line above the limit is compared with one of them (the hub) by the least hashes of
+their words, a sample of what they have in common that no shared block can fill. Those like the hub are one
+document; the line stays if that one and the others are within the limit. An eighth of the hub's family
+is taken off the others, for copies that the sketch misses. Without a family the count is exact.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from saccade.llm.common import SPACES, among, filter_of, private_names, shared_d
 SYMBOLS = r"[#*$%&|<>]"
 BASE = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 ADDED = [*BASE, "n_removed_words", "base_failed", "kept", "clean_text"]
-#: Words in a sketch. Sketches that share five eighths of the longer one are of near copies.
+#: Hashes in a sketch. Sketches that share four fifths of the longer one are of near copies.
 SKETCH = 32
 
 
@@ -94,12 +95,12 @@ def content_key(host: str, text: str) -> list[Column]:
 
 def contents(docs: DataFrame, host: str, text: str) -> DataFrame:
     """A row for each different text of a host: its base counts, its lines with a word (hash, number of
-    words) and its sketch."""
+    words) and its sketch: the least md5 sums of its words."""
     cells = _counted(docs, content_key(host, text), text)
     keys = F.filter(_keys(F.col("_text")), lambda x: x != "")
     lines = F.transform(keys, lambda x: F.struct(F.xxhash64(x).alias("h"), F.size(_words(x)).alias("w")))
-    longest = F.sort_array(F.transform(F.array_distinct("_w"), lambda x: F.struct((-F.length(x)).alias("n"), x.alias("w"))))
-    sketch = F.transform(F.slice(longest, 1, SKETCH), lambda x: F.xxhash64(x["w"]))
+    least = F.slice(F.sort_array(F.transform(F.array_distinct("_w"), F.md5)), 1, SKETCH)
+    sketch = F.transform(least, lambda x: F.xxhash64(x))
     kept = ["_host", "_md5", *BASE[:4]]
     rows = _repeats(cells.select(*kept, "_t", lines.alias("_lines"), sketch.alias("_sketch")), [*kept, "_lines", "_sketch"])
     return rows.dropDuplicates(["_host", "_md5"]).withColumn("_c", F.xxhash64("_md5"))
@@ -107,7 +108,7 @@ def contents(docs: DataFrame, host: str, text: str) -> DataFrame:
 
 def frequent_lines(rows: DataFrame, max_docs: int, path: str) -> DataFrame:
     """(_host, _h) of the lines above the limit, from contents(): more than max_docs different documents
-    of the host have them, and also more besides those that look like copies of one."""
+    of the host have them, where those that look like copies of one of them count once."""
     hashes = F.explode(F.array_distinct("_lines.h")).alias("_h")
     many = rows.select("_host", hashes).groupBy("_host", "_h").agg(F.count("*").alias("_docs")).where(F.col("_docs") > max_docs)
     many = stored(many, f"{path}/many")
@@ -118,8 +119,9 @@ def frequent_lines(rows: DataFrame, max_docs: int, path: str) -> DataFrame:
     hubs = stored(held.groupBy("_host", "_h").agg(F.min(F.struct("_md5", "_sketch")).alias("_hub")), f"{path}/hubs")  # stored, so that the join can split frequent lines
     pairs = held.join(hubs, ["_host", "_h"])
     common, longer = F.size(F.array_intersect("_sketch", "_hub._sketch")), F.greatest(F.size("_sketch"), F.size("_hub._sketch"))
-    others = pairs.where(common * 8 < longer * 5).groupBy("_host", "_h", "_docs").agg(F.count("*").alias("_others"))
-    return others.where(F.col("_others") * 10 > F.col("_docs") + 10 * max_docs).select("_host", "_h")
+    others = pairs.where(common * 5 < longer * 4).groupBy("_host", "_h", "_docs").agg(F.count("*").alias("_others"))
+    family = F.col("_docs") - F.col("_others")
+    return others.where((F.col("_others") + 1 - max_docs) * 8 > family - 1).select("_host", "_h")
 
 
 @private_names

@@ -77,12 +77,12 @@ l AS (SELECT rid, host, t, pos, line FROM (SELECT rid, host, t, unnest(range(1,
 dup AS (SELECT rid, count(*) - count(DISTINCT line) AS n_dup_lines FROM l GROUP BY rid),
 n AS (SELECT rid, host, t, pos, len(list_filter(regexp_split_to_array(line, '[\x20\x09-\x0D]+'), lambda x: x <> '')) AS words,
   trim(translate(lower(line), chr(9) || chr(11) || chr(12) || chr(13), '    ')) AS key FROM l),
-sk AS (SELECT DISTINCT host, md5(t) AS m, list_sort(list_transform(list_distinct(w), lambda x: {'n': -length(x), 'w': x}))[1:32] AS s FROM w),
+sk AS (SELECT DISTINCT host, md5(t) AS m, list_sort(list_transform(list_distinct(w), lambda x: md5(x)))[1:32] AS s FROM w),
 o AS (SELECT DISTINCT host, key, md5(t) AS m FROM n),
 many AS (SELECT host, key, count(*) AS docs, min(m) AS hub FROM o GROUP BY host, key HAVING count(*) > 10),
 far AS (SELECT host, key, docs, count(*) AS others FROM many JOIN o USING (host, key) JOIN sk AS a ON a.host = o.host AND a.m = o.m JOIN sk AS b ON b.host = o.host AND b.m = hub
-  WHERE 8 * len(list_intersect(a.s, b.s)) < 5 * greatest(len(a.s), len(b.s)) GROUP BY host, key, docs),
-f AS (SELECT host, key FROM far WHERE 10 * others > docs + 100),
+  WHERE 5 * len(list_intersect(a.s, b.s)) < 4 * greatest(len(a.s), len(b.s)) GROUP BY host, key, docs),
+f AS (SELECT host, key FROM far WHERE 8 * (others + 1 - 10) > docs - others - 1),
 gone AS (SELECT rid, sum(words) AS gone FROM n SEMI JOIN f USING (host, key) GROUP BY rid),
 r AS (SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(regexp_replace(t, '[\x20\x09-\x0D]+', '', 'g')) AS BIGINT) AS word_chars,
   CAST(length(t) - length(translate(t, '#*$%&|<>', '')) AS BIGINT) AS n_symbols, CAST(coalesce(n_dup_lines, 0) AS BIGINT) AS n_dup_lines,

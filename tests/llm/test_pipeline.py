@@ -18,13 +18,26 @@ def test_pipeline_matches_brute_force(spark, tmp_path):
     folder = cases.save(spark, tmp_path, rows, items)
     got = pipeline.run(spark, folder).orderBy("start").collect()
 
-    kept = []
+    plain = lambda x: x.lower().translate(str.maketrans("\t\x0b\x0c\r", "    ")).strip(" ")
+    holders = {}
+    for r in rows:
+        for line in (r[1] or "").split("\n"):
+            holders.setdefault((r[3], plain(line)), set()).add(r[1])
+    common = {k for k, v in holders.items() if len(v) > 10 and k[1]}
+    assert ("s2", "shared boilerplate line here") in common
+
+    kept, removed = [], 0
     for r in rows:
         w = brute.words(r[1])
+        lines = (r[1] or "").split("\n")
+        text[r[0]] = "\n".join(x for x in lines if (r[3], plain(x)) not in common) if r[1] else r[1]
+        left = len(brute.words(text[r[0]]))
+        removed += left < len(w)
         tri = [tuple(w[i : i + 3]) for i in range(len(w) - 2)]
         hit = {p for i, t in enumerate(tri) if tri.count(t) > 1 for p in range(i, i + 3)} if len(w) < 2000 else set()
-        if len(w) >= 50 and 100 * len(hit) <= 50 * len(w):
-            kept.append(r)
+        if len(w) >= 50 and 100 * len(hit) <= 50 * len(w) and left >= 50 and left >= 0.3 * len(w):
+            kept.append((r[0], text[r[0]], r[2], r[3], len(text[r[0]])))
+    assert removed >= 12
     comp = brute.components([(r[0], r[1]) for r in kept], 5, 80)
     kept = [r for r, c in zip(kept, comp, strict=True) if r[0] == c[1]]
     clean = [r for r, (n, hit, _) in zip(kept, brute.contamination([r[1] for r in kept], items), strict=True) if not (hit and 20 * hit >= n)]

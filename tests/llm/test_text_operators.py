@@ -293,6 +293,27 @@ def test_quality_removes_blocks_and_leaves_families_of_near_copies(spark):
     assert all(got[i].kept and got[i].n_removed_words == 0 and got[i].clean_text == t for i, t, *_ in rows if i >= 100)
 
 
+def test_quality_limit_is_exact_without_families_and_no_block_hides(spark):
+    """A line in 11 unrelated documents goes, in 10 it stays; a block of 48 long words on unrelated pages goes; copies
+    of one text, changed in single words, are one document for each of their lines."""
+    rng = cases.random.Random(21)
+    word = lambda n: "".join(rng.choice("abcdefghij") for _ in range(n))
+    page = lambda n: " ".join(word(rng.randint(2, 7)) for _ in range(n))
+    rows = [(i, f"{page(70)}\nthe eleventh line\n{page(20)}", "en", "a", 1) for i in range(11)]
+    rows += [(20 + i, f"{page(70)}\nthe tenth line\n{page(20)}", "en", "a", 1) for i in range(10)]
+    block = " ".join(word(14) for _ in range(48))
+    rows += [(100 + i, f"{page(40)}\n{block}\n{page(40)}", "en", "b", 1) for i in range(60)]
+    base = [page(12) for _ in range(12)]
+    for i in range(60):
+        own = list(base)
+        k = rng.randrange(12)
+        own[k] = own[k].rsplit(" ", 1)[0] + f" own{i}"
+        rows.append((200 + i, "\n".join(own), "en", "c", 1))
+    got = {r.doc_id: r.n_removed_words for r in quality.score(cases.frame(spark, rows)).collect()}
+    assert {got[i] for i in range(11)} == {3} and {got[20 + i] for i in range(10)} == {0}
+    assert {got[100 + i] for i in range(60)} == {48} and {got[200 + i] for i in range(60)} == {0}
+
+
 def test_quality_has_one_verdict_with_its_sql(spark, tmp_path):
     import duckdb
 
