@@ -73,19 +73,52 @@ def accuracies(tracks: DataFrame, filters: dict) -> DataFrame:
     return rows.groupBy("detector", "filter", "scene").agg(F.coalesce(F.avg("ok"), F.lit(0.0)).alias("accuracy"))
 
 
+#: Hundredths of a weather table that make each level of rain or snow in recorded scenes.
+SHARES = {None: 0, "light": 4, "medium": 8, "heavy": 16}
+
+
+def recorded_scenes(events: DataFrame, falling: DataFrame, names: list[str], first: int = 0, denoised: bool = True) -> DataFrame:
+    """Scenes as scenes() makes them, from a recording (t, x, y, p, label) and weather events of the same form (and
+    a bucket from 0 to 99): each scene is the recording with the buckets that its rain and snow take, from
+    ``first`` on, so that scenes to learn from can have weather of their own."""
+    kinds = SCENES | TRAINING
+    levels = F.array(*[F.struct(F.lit(n).alias("scene"), F.lit(i).alias("i"), F.lit(SHARES[kinds[n][0]]).alias("rain"), F.lit(SHARES[kinds[n][1]]).alias("snow")) for i, n in enumerate(names)])
+    cells = ["t", "x", "y", "p", "label"]
+    clean = events.select(*cells, F.explode(levels).alias("s"))
+    share = F.when(F.col("label") == RAIN, F.col("s.rain")).otherwise(F.col("s.snow"))
+    bucket = F.pmod(F.col("bucket") - first, F.lit(100))
+    bad = falling.select(*cells, "bucket", F.explode(levels).alias("s")).where(bucket < share).select(*cells, "s")
+    end = events.agg(F.max("t")).scalar()
+    both = clean.unionByName(bad).select("s.scene", (F.col("t") + F.col("s.i") * (end + APART_US)).alias("t"), "x", "y", "p", "label")
+    rows = stored(both.withColumn("event_id", F.xxhash64("scene", "t", "x", "y", "p", "label")))
+    rows = stored(denoise.numbered(rows, "number").drop("event_id").withColumnRenamed("number", "event_id"))
+    return denoise.denoise(rows) if denoised else rows
+
+
 def run(spark: SparkSession, detectors: list[str], names: list[str] | None = None, duration_ms: float = 200.0, trees: int = 200, max_iter: int = 100, epochs: int = 12) -> DataFrame:
+    """evaluated() on synthetic scenes; filters learn from scenes of other seeds."""
+    teach = [scenes(spark, ["Clean", *TRAINING], duration_ms, weather_seed=seed) for seed in (42, 99)]
+    return evaluated(spark, detectors, *teach, scenes(spark, names or list(SCENES), duration_ms), trees, max_iter, epochs)
+
+
+def run_recorded(events: DataFrame, falling: DataFrame, detectors: list[str], names: list[str] | None = None, trees: int = 200, max_iter: int = 100, epochs: int = 12) -> DataFrame:
+    """evaluated() on a recording and weather events; filters learn from weather that no scene has."""
+    teach = [recorded_scenes(events, falling, ["Clean", *TRAINING], first) for first in (40, 70)]
+    return evaluated(events.sparkSession, detectors, *teach, recorded_scenes(events, falling, names or list(SCENES)), trees, max_iter, epochs)
+
+
+def evaluated(spark: SparkSession, detectors: list[str], for_trees: DataFrame, for_network: DataFrame, test: DataFrame, trees: int = 200, max_iter: int = 100, epochs: int = 12) -> DataFrame:
     """(detector, filter, scene, accuracy): every detector without a filter, with gradient boosting, with the
-    network and with both. The classifier learns from the clean scene, the filters from that and from a
-    rainy and snowy one of other seeds. Detections are made once for each detector."""
-    names_taught = ["Clean", *TRAINING]
-    taught, deep = (stored(scene_tracks(scenes(spark, names_taught, duration_ms, weather_seed=seed), clustering.DETECTORS["DBSCAN"], min_length=2)) for seed in (42, 99))
+    network and with both, over the scenes of test. The classifier learns from the clean scene, the filters from
+    that and from a rainy and snowy one. Detections are made once for each detector."""
+    taught, deep = (stored(scene_tracks(s, clustering.DETECTORS["DBSCAN"], min_length=2)) for s in (for_trees, for_network))
     objects, rain_snow = taught.where("gt_class between 0 and 9"), taught.where("gt_class >= 10")
     classifier = Pipeline(stages=[*weather.assembled(), learning.forest("gt_class", trees)]).fit(objects)
     learned = weather.train(objects, rain_snow, max_iter=max_iter)
     gt = F.col("gt_class")
     weights, _ = network.train(deep.where(gt >= 0).select("seq", F.when(gt == RAIN, 1).when(gt == SNOW, 2).otherwise(0).alias("cls")), epochs)
 
-    events = stored(scenes(spark, names or list(SCENES), duration_ms))
+    events = stored(test)
     made = [scene_tracks(events, clustering.DETECTORS[d]).withColumn("detector", F.lit(d)) for d in detectors]
     tracks = network.score(reduce(DataFrame.unionByName, made), weights).withColumn("deep", F.col("p_rain") + F.col("p_snow") > 0.5).drop("seq")
     kept = tracks.columns

@@ -489,27 +489,41 @@ def weather_rate_histogram(spark, sf_dir):
     return streams.rate_histogram(_rainy(spark, sf_dir)).select(F.col("bin").cast("long").alias("bin"), "objects", "rain", "snow", "total")
 
 
-@query()
+def _weather(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rain and snow from lineitem, over the time of the replayed events, in hundred buckets."""
+    label = F.when(F.col("l_returnflag") == "R", 10).otherwise(11)
+    bucket = F.pmod(F.col("l_orderkey") * 7 + F.col("l_linenumber") * 13, F.lit(100)).cast("int")
+    return read(spark, sf_dir, "lineitem").select((F.col("l_orderkey") * 2.5).alias("t"), (F.col("l_partkey") % 346).cast("int").alias("x"), (F.col("l_suppkey") % 260).cast("int").alias("y"), F.when(F.col("l_linenumber") % 2 == 0, 1).otherwise(-1).alias("p"), label.alias("label"), bucket.alias("bucket"))
+
+
+FALLING = """f AS (SELECT CAST(l_orderkey * 2.5 AS DOUBLE) AS t, CAST(l_partkey % 346 AS INTEGER) AS x, CAST(l_suppkey % 260 AS INTEGER) AS y, CASE WHEN l_linenumber % 2 = 0 THEN 1 ELSE -1 END AS p,
+ CASE WHEN l_returnflag = 'R' THEN 10 ELSE 11 END AS label, (l_orderkey * 7 + l_linenumber * 13) % 100 AS bucket FROM lineitem)"""
+
+
+@query(f"WITH {D} SELECT row_number() OVER (ORDER BY t, event_id) - 1 AS number, t, x, y, p, label FROM d")
 def synthetic_scene(spark, sf_dir):
-    return rounded(generators.numbered(generators.objects(spark)))
+    """The recording as the benchmark's clean scene, its events numbered in order of time."""
+    return denoise.numbered(replay_events(spark, sf_dir)).select("number", "t", "x", "y", "p", "label")
 
 
-@query()
+@query(f"WITH {D}, {FALLING}, u AS (SELECT t, x, y, p, label FROM d UNION ALL SELECT t, x, y, p, label FROM f WHERE bucket < CASE WHEN label = 10 THEN 8 ELSE 4 END) SELECT t, x, y, p, label, count(*) AS n FROM u GROUP BY ALL")
 def weather_scene(spark, sf_dir):
-    return rounded(benchmark.scene(spark, "Rain+Snow"))
+    """The recording with medium rain and light snow, before the noise filter."""
+    scene = benchmark.recorded_scenes(replay_events(spark, sf_dir), _weather(spark, sf_dir), ["Rain+Snow"], denoised=False)
+    return scene.groupBy("t", "x", "y", "p", "label").agg(F.count("*").alias("n"))
 
 
 @query()
 def scene_tracks(spark, sf_dir):
-    """Tracks of the clean scene by the adaptive detector, with features, ground truth and polarity."""
-    rows = stored(benchmark.clean_scene(spark, "Clean"))
-    return rounded(benchmark.tracks_of(rows, clustering.DETECTORS["ADB-Opt"])[1])
+    """Tracks of the recording by the adaptive detector, with features, ground truth and polarity."""
+    return rounded(benchmark.tracks_of(stored(denoise.denoise(replay_events(spark, sf_dir))), clustering.DETECTORS["ADB-Opt"])[1])
 
 
 @query()
 def benchmark_ranking(spark, sf_dir):
-    """The benchmark on synthetic scenes: all detectors by four filters over the seven conditions."""
-    return rounded(benchmark.ranked(benchmark.run(spark, list(clustering.DETECTORS))), 4)
+    """The benchmark on the recording with weather from lineitem: all detectors by four filters over the seven conditions."""
+    scores = benchmark.run_recorded(replay_events(spark, sf_dir), _weather(spark, sf_dir), list(clustering.DETECTORS))
+    return rounded(benchmark.ranked(scores), 4)
 
 
 # Learning
@@ -655,6 +669,12 @@ def weather_logistic_filter(spark, sf_dir):
     return kept.select("track_id", F.lit(False).alias("is_weather")).unionByName(gone.select("track_id", F.lit(True).alias("is_weather")))
 
 
+@query()
+def weather_train_report(spark, sf_dir):
+    clean, noisy = _two_kinds(spark, sf_dir)
+    return rounded(weather.trained_report(clean, noisy))
+
+
 @query()
 def nn_forward(spark, sf_dir):
     rows = features.sequences(proxy_events(spark, sf_dir), ["track_id"])
