@@ -3,7 +3,7 @@
 Rows wait in their key's state until the watermark has passed them; a timer then releases them in order
 of time, so that what comes out is what a batch over the same rows gives, however files were dealt.
 Rows later than the watermark are dropped and counted by Spark (late_rows). Timers stand on a grid of
-``step_ms``, so a key has few of them. State is lists of rows, which Spark's state reader shows.
+``step_ms``; a key has one for its first row that waits, so it has few of them. State is lists of rows, which Spark's state reader shows.
 """
 
 from __future__ import annotations
@@ -55,24 +55,26 @@ class NoiseFilter(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getListState("waiting", "t double, event_id long, x int, y int, p int, own boolean")
+        cells = "t array<double>, event_id array<long>, x array<int>, y array<int>, p array<int>, own array<boolean>"
+        self.waiting = handle.getListState("waiting", cells)  # an element for each part of a batch: a call for each row would be slow
         self.last = handle.getListState("last", "x int, y int, t double, density double, number long")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         for part in rows:
-            cells = part[["t", "event_id", "x", "y", "p", "own"]]
-            self.waiting.appendList(list(cells.itertuples(index=False, name=None)))
-            for at in np.unique(part["t"].to_numpy() // 1000 // self.step_ms):
-                self.handle.registerTimer(int(at + 1) * self.step_ms)
+            self.waiting.appendValue(tuple(part[c].tolist() for c in ("t", "event_id", "x", "y", "p", "own")))
+            self.handle.registerTimer(due(part["t"].min() / 1000, self.step_ms))
         yield from ()
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         upto = passed(timerValues, expiredTimerInfo, self.step_ms) * 1000
-        rows = sorted(self.waiting.get()) if self.waiting.exists() else []
+        rows = sorted(r for part in self.waiting.get() for r in zip(*part, strict=True)) if self.waiting.exists() else []
         ready, rest = [r for r in rows if r[0] < upto], [r for r in rows if r[0] >= upto]
         if not ready:
             return
-        self.waiting.put(rest) if rest else self.waiting.clear()
+        self.waiting.clear()
+        if rest:
+            self.waiting.put([tuple(map(list, zip(*rest, strict=True)))])
+            self.handle.registerTimer(due(rest[0][0] / 1000, self.step_ms))
         edge, size = self.edge, self.tile + 2 * self.edge
         x0, y0 = int(key[-2]) * self.tile - edge, int(key[-1]) * self.tile - edge
         last, density, number = np.full((size, size), -np.inf), np.zeros((size, size)), np.zeros((size, size), "i8")
@@ -150,8 +152,7 @@ class TrackLinker(StatefulProcessor):
         for part in rows:
             cells = part[["window_id", "cluster_id", "cx", "cy"]]
             self.waiting.appendList([(int(w), int(c), float(x), float(y)) for w, c, x, y in cells.itertuples(index=False)])
-            for at in {due(self._end(int(w)), self.step_ms) for w in part["window_id"].unique()}:
-                self.handle.registerTimer(at)
+            self.handle.registerTimer(due(self._end(int(part["window_id"].min())), self.step_ms))
         yield from ()
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
@@ -161,6 +162,8 @@ class TrackLinker(StatefulProcessor):
         next_id, seen = self.next.get() if self.next.exists() else (0, -1)
         linker = Linker(self.link_px, self.max_gap, list(self.open.get()) if self.open.exists() else [], next_id)
         found = [(*linker.add(w, x, y), w, c) for w, c, x, y in ready]
+        if rest:
+            self.handle.registerTimer(due(self._end(rest[0][0]), self.step_ms))
         if ready:
             self.waiting.put(rest) if rest else self.waiting.clear()
             seen = max(seen, ready[-1][0])
