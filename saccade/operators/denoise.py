@@ -18,18 +18,22 @@ DECAY, HALF, DENSE, RADII = 0.995, 4, (15.0, 40.0), (8, 4, 2)
 LONGEST, SLICE_US = 65_536, 2000.0
 
 
+#: Sides of the noise filters' cells, in reaches: an event's row goes to few cells beside its own.
+CELLS = 4
+
+
 def _near(events: DataFrame, radius: int, dt_us: float, own: str | None = None) -> tuple[DataFrame, DataFrame, Column]:
     """Later events, earlier events and when the two are near: at most radius apart on both axes (or the later
-    event's own radius, a column, up to that) and less than dt_us. Space and time are cut into cells of these
-    sizes, so that this is an equi-join: the later event looks into the cells around its own."""
-    size = radius + 1
-    cell = lambda c: F.floor(F.col(c) / size)
-    tick = F.floor(F.col("t") / dt_us)
-    old = events.select(F.col("event_id").alias("other"), F.col("t").alias("t0"), F.col("x").alias("x0"), F.col("y").alias("y0"), cell("x").alias("cx"), cell("y").alias("cy"), tick.alias("ct"))
-    cells = ["event_id", "t", "x", "y", *([own] if own else [])]
-    new = events.select(*cells, F.explode(F.array(*[cell("x") + i for i in (-1, 0, 1)])).alias("cx"), cell("y").alias("_cy"), tick.alias("_ct"))
-    new = new.select(*cells, "cx", F.explode(F.array(*[F.col("_cy") + i for i in (-1, 0, 1)])).alias("cy"), "_ct")
-    new = new.select(*cells, "cx", "cy", F.explode(F.array(F.col("_ct"), F.col("_ct") - 1)).alias("ct"))
+    event's own radius, a column, up to that) and less than dt_us. Space and time are cut into cells of several such
+    sizes, so that this is an equi-join: a later event is in its own cell, an earlier one in all that it reaches."""
+    size, long = CELLS * (radius + 1), CELLS * dt_us
+    place = lambda c: F.floor(c / size).cast("int")
+    tick = lambda c: F.floor(c / long)
+    reached = lambda c: F.explode(F.sequence(place(F.col(c) - radius), place(F.col(c) + radius)))
+    old = events.where("t IS NOT NULL AND x IS NOT NULL AND y IS NOT NULL").select(F.col("event_id").alias("other"), F.col("t").alias("t0"), F.col("x").alias("x0"), F.col("y").alias("y0"))
+    old = old.select("*", F.explode(F.sequence(tick(F.col("t0")), tick(F.col("t0") + dt_us))).alias("ct"))
+    old = old.select("*", reached("x0").alias("cx")).select("*", reached("y0").alias("cy"))
+    new = events.select("event_id", "t", "x", "y", *([own] if own else []), place(F.col("x")).alias("cx"), place(F.col("y")).alias("cy"), tick(F.col("t")).alias("ct"))
     before = (F.col("t0") < F.col("t")) | ((F.col("t0") == F.col("t")) & (F.col("other") < F.col("event_id")))
     reach = F.col(own) if own else F.lit(radius)
     close = (F.abs(F.col("x") - F.col("x0")) <= reach) & (F.abs(F.col("y") - F.col("y0")) <= reach)
@@ -38,14 +42,16 @@ def _near(events: DataFrame, radius: int, dt_us: float, own: str | None = None)
 
 def ba_filter(events: DataFrame, radius: int, dt_us: float = 8000.0, min_neighbours: int = 1, own: str | None = None) -> DataFrame:
     """events with at least min_neighbours earlier ones near them (its own pixel counts). own: a column with
-    each event's radius, up to ``radius``, which no other event's matters for."""
+    each event's radius, up to ``radius``, which no other event's matters for. Both joins are merged: their sides grow
+    with the stream, and what Spark guesses of their sizes knows nothing of the cells, so it would send one to all."""
     new, old, fits = _near(events, radius, dt_us, own)
     keys = [F.col(f"n.{c}") == F.col(f"o.{c}") for c in ("cx", "cy", "ct")]
+    both = new.alias("n"), old.alias("o").hint("merge"), [*keys, fits]
     if min_neighbours <= 1:
-        kept = new.alias("n").join(old.alias("o"), [*keys, fits], "left_semi").select("event_id").distinct()
+        kept = both[0].join(*both[1:], "left_semi").select("event_id")
     else:
-        kept = new.alias("n").join(old.alias("o"), [*keys, fits]).groupBy("event_id").count().where(F.col("count") >= min_neighbours).select("event_id")
-    return events.join(kept, "event_id", "left_semi")
+        kept = both[0].join(*both[1:]).groupBy("event_id").count().where(F.col("count") >= min_neighbours).select("event_id")
+    return events.join(kept.hint("merge"), "event_id", "left_semi")
 
 
 def numbered(events: DataFrame, name: str = "number") -> DataFrame:

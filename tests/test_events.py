@@ -54,6 +54,14 @@ def test_noise_filter_refuses_unknown_modes_and_takes_no_rows(spark):
     assert denoise.denoise(stream(spark, [(0, 1, 1)]).limit(0)).count() == 0
 
 
+def test_noise_filters_send_no_side_of_a_join_to_all(spark):
+    rows = stream(spark, [(i * 40.0, 7 * i % 346, 11 * i % 260) for i in range(400)])
+    for least in (1, 3):
+        kept = denoise.ba_filter(rows, 10, min_neighbours=least)
+        kept.collect()
+        assert "Broadcast" not in kept._jdf.queryExecution().executedPlan().toString()
+
+
 # Slices and windows
 
 
