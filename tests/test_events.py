@@ -62,6 +62,12 @@ def test_noise_filters_send_no_side_of_a_join_to_all(spark):
         assert "Broadcast" not in kept._jdf.queryExecution().executedPlan().toString()
 
 
+def test_noise_filters_make_few_copies_of_an_event(spark):
+    rows = stream(spark, [(i * 40.0, 7 * i % 346, 11 * i % 260) for i in range(4000)])
+    new, old, _ = denoise._near(rows, 10, 8000.0)
+    assert new.count() == rows.count() and old.count() < 4 * rows.count()  # 18 copies before
+
+
 # Slices and windows
 
 
