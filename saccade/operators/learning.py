@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import MultilayerPerceptronClassifier, RandomForestClassifier
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
@@ -10,6 +12,8 @@ from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from saccade.functions.scratch import stored
+
 
 def scaled(rows: DataFrame, columns: list[str]) -> DataFrame:
     """Columns less their mean, by their population deviation (1 where it is 0)."""
@@ -49,6 +53,17 @@ def forest(label: str = "label", trees: int = 200, depth: int = 12, seed: int =
     return RandomForestClassifier(labelCol=label, numTrees=trees, maxDepth=depth, seed=seed)
 
 
+#: Rows of a partition that a trainer goes over again and again.
+TASK_ROWS = 131_072
+
+
+def compact(rows: DataFrame) -> DataFrame:
+    """rows as a table of few partitions: a trainer starts a task for each of them hundreds of times, so small tables
+    must not be spread over as many partitions as a shuffle leaves."""
+    kept = stored(rows)
+    return kept.coalesce(max(1, math.ceil(kept.count() / TASK_ROWS)))
+
+
 def fit(rows: DataFrame, model, label: str = "label") -> PipelineModel:
     """A model of the rows whose label isn't noise."""
     known = rows.where(F.col(label) >= 0)

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from saccade.operators.features import NAMES
-from saccade.operators.learning import hashed_ranks
+from saccade.operators.learning import compact, hashed_ranks
 
 #: Fixed values of the polarity filter.
 RAIN_FLIP, RAIN_RUN, RAIN_SLACK, SNOW_EVENTS, SNOW_WINDOWS, SNOW_FLIP, SNOW_DENSITY = 0.28, 6.0, 1.4, 250, 6, 0.35, 30.0
@@ -74,7 +74,7 @@ def augmented(tracks: DataFrame, copies: int, sigma: float, seed: int = 42) -> D
 def train(clean: DataFrame, weather: DataFrame, kind: str = "gradient_boost", copies: int = 4, seed: int = 42, max_iter: int = 100) -> PipelineModel:
     """A classifier of tracks as weather (1) or not (0); the two sets are augmented and scaled."""
     rows = clean.select("*", F.lit(0.0).alias("weather")).unionByName(weather.select("*", F.lit(1.0).alias("weather")), allowMissingColumns=True)
-    rows = augmented(rows, copies, 0.03, seed).persist()  # every iteration reads it again
+    rows = compact(augmented(rows, copies, 0.03, seed)).persist()  # every iteration reads it again
     n = {r["weather"]: r["count"] for r in rows.groupBy("weather").count().collect()}
     total = sum(n.values())
     rows = rows.withColumn("balance", F.when(F.col("weather") == 1.0, total / (2.0 * max(1, n.get(1.0, 0)))).otherwise(total / (2.0 * max(1, n.get(0.0, 0)))))
@@ -97,7 +97,7 @@ def trained_report(clean: DataFrame, weather: DataFrame, copies: int = 4, seed:
     ranks = hashed_ranks(rows, "weather", key)
     least = ranks.groupBy("weather").agg(F.max("_all").alias("n")).agg(F.min("n")).first()[0]
     folds = max(2, min(folds, least or 0))
-    rows = augmented(ranks.withColumn("_fold", F.pmod("_rank", F.lit(folds))).drop("_rank", "_all"), copies, 0.03, seed).persist()
+    rows = compact(augmented(ranks.withColumn("_fold", F.pmod("_rank", F.lit(folds))).drop("_rank", "_all"), copies, 0.03, seed)).persist()
     booster = GBTClassifier(labelCol="weather", maxIter=max_iter, maxDepth=4, stepSize=0.1, seed=seed)
     judge = MulticlassClassificationEvaluator(labelCol="weather", metricName="fMeasureByLabel", metricLabel=1.0)
 

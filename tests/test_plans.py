@@ -202,3 +202,9 @@ def test_ranking_breaks_ties_by_name(spark):
     assert [(r.detector, r["filter"]) for r in ranking.best(avgs, "detector", "avg", "filter").orderBy("detector").collect()] == [("a", "y"), ("b", "x")]
     assert sorted(r["rank"] for r in ranking.ranked(avgs).collect()) == [1, 1, 1, 4]
     assert [r.is_new_best for r in ranking.running_best(avgs, "detector", "filter").orderBy("detector", "filter").collect()] == [True, True, False, False]
+
+
+def test_training_reads_few_partitions(spark):
+    rows = spark.range(0, 5000, 1, 40).withColumn("x", F.col("id") * 2)
+    few = learning.compact(rows)
+    assert few.rdd.getNumPartitions() == 1 and few.agg(F.sum("x")).first()[0] == 5000 * 4999
