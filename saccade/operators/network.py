@@ -35,8 +35,12 @@ def conv(x: np.ndarray, w: np.ndarray, b: np.ndarray, stride: int = 1) -> np.nda
     k = w.shape[2]
     if k > 1:
         x = np.pad(x, ((0, 0), (0, 0), (k // 2, k // 2)))
-    spans = np.lib.stride_tricks.sliding_window_view(x, k, axis=2)[:, :, ::stride]
-    return np.einsum("nclk,ock->nol", spans, w, optimize=True) + b[None, :, None]
+    n = (x.shape[2] - k) // stride + 1
+    out = np.matmul(np.ascontiguousarray(w[:, :, 0]), np.ascontiguousarray(x[:, :, : stride * n : stride]))
+    for j in range(1, k):  # a product for each tap: spans of all taps side by side would be copies of x
+        out += np.matmul(np.ascontiguousarray(w[:, :, j]), np.ascontiguousarray(x[:, :, j : j + stride * n : stride]))
+    out += b[None, :, None]
+    return out
 
 
 def forward(x: np.ndarray, w: dict[str, np.ndarray]) -> np.ndarray:
@@ -58,10 +62,10 @@ def score(rows: DataFrame, weights: dict[str, np.ndarray], seq: str = "seq", bat
     @F.pandas_udf("p_real double, p_rain double, p_snow double")
     def apply(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for part in parts:
-            found = [forward(np.stack([np.stack(s) for s in part.iloc[i : i + batch]]), shared.value) for i in range(0, len(part), batch)]
+            found = [forward(np.stack(part.iloc[i : i + batch].to_list()).reshape(-1, part.iloc[i].size // STEM[0], STEM[0]), shared.value) for i in range(0, len(part), batch)]
             yield pd.DataFrame(np.concatenate(found).astype("f8") if found else np.empty((0, 3)), columns=["p_real", "p_rain", "p_snow"])
 
-    out = rows.withColumn("_p", apply(seq))
+    out = rows.withColumn("_p", apply(F.flatten(seq)))  # one array a row: nested ones come as an object a step
     return out.select(*rows.columns, "_p.*")
 
 
