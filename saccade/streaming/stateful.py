@@ -3,7 +3,7 @@
 Rows wait in their key's state until the watermark has passed them; a timer then releases them in order
 of time, so that what comes out is what a batch over the same rows gives, however files were dealt.
 Rows later than the watermark are dropped and counted by Spark (late_rows). Timers stand on a grid of
-``step_ms``; a key has one for its first row that waits, so it has few of them. State is lists of rows, which Spark's state reader shows.
+``step_ms``; a key has one for its first row that waits and one for its end, so it has few of them. State is lists of rows, which Spark's state reader shows.
 """
 
 from __future__ import annotations
@@ -46,11 +46,16 @@ def passed(timers, expired, step_ms: int) -> int:
     return max(expired.getExpiryTimeInMs(), timers.getCurrentWatermarkInMs() // step_ms * step_ms)
 
 
+#: Rows that become Python values, or an element of the state, at a time.
+PART = 8192
+CELLS = ("t", "event_id", "x", "y", "p", "own")
+
+
 class NoiseFilter(StatefulProcessor):
-    """A tile's pixels: last times, and densities where radii depend on them."""
+    """A tile's pixels over a slab of time (or over all time, where radii depend on density): last times, and densities."""
 
-    def __init__(self, tile: int, radius: int, dt_us: float, step_ms: int, adaptive: dict | None, scene: list[str]):
-        self.tile, self.radius, self.dt_us, self.step_ms, self.adaptive, self.scene = tile, radius, dt_us, step_ms, adaptive, scene
+    def __init__(self, tile: int, radius: int, dt_us: float, step_ms: int, adaptive: dict | None, scene: list[str], slab_us: float | None):
+        self.tile, self.radius, self.dt_us, self.step_ms, self.adaptive, self.scene, self.slab_us = tile, radius, dt_us, step_ms, adaptive, scene, slab_us
         self.edge = max(radius, adaptive["half"] if adaptive else 0)
 
     def init(self, handle: StatefulProcessorHandle) -> None:
@@ -59,46 +64,64 @@ class NoiseFilter(StatefulProcessor):
         self.waiting = handle.getListState("waiting", cells)  # an element for each part of a batch: a call for each row would be slow
         self.last = handle.getListState("last", "x int, y int, t double, density double, number long")
 
+    def _end(self, key) -> float:
+        """When a key's slab ends, in microseconds."""
+        return (int(key[-1]) + 1) * self.slab_us if self.slab_us else math.inf
+
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         for part in rows:
-            self.waiting.appendValue(tuple(part[c].tolist() for c in ("t", "event_id", "x", "y", "p", "own")))
+            self.waiting.appendValue(tuple(part[c].tolist() for c in CELLS))
             self.handle.registerTimer(due(part["t"].min() / 1000, self.step_ms))
+        if self.slab_us:
+            self.handle.registerTimer(due(self._end(key) / 1000, self.step_ms))  # what is left of an ended slab goes
         yield from ()
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         upto = passed(timerValues, expiredTimerInfo, self.step_ms) * 1000
-        rows = sorted(r for part in self.waiting.get() for r in zip(*part, strict=True)) if self.waiting.exists() else []
-        ready, rest = [r for r in rows if r[0] < upto], [r for r in rows if r[0] >= upto]
-        if not ready:
+        over = upto >= self._end(key)
+        parts = [[np.asarray(c) for c in part] for part in self.waiting.get()] if self.waiting.exists() else []
+        rows = [np.concatenate(c) for c in zip(*parts, strict=True)]
+        early = rows[0] < upto if parts else np.zeros(0, bool)
+        if not early.any():
+            if over:
+                self.last.clear()
             return
+        rest = [c[~early] for c in rows]
         self.waiting.clear()
-        if rest:
-            self.waiting.put([tuple(map(list, zip(*rest, strict=True)))])
-            self.handle.registerTimer(due(rest[0][0] / 1000, self.step_ms))
+        if len(rest[0]):
+            self.waiting.put([tuple(c[a : a + PART].tolist() for c in rest) for a in range(0, len(rest[0]), PART)])
+            self.handle.registerTimer(due(rest[0].min() / 1000, self.step_ms))
+        placed = early & ~pd.isna(rows[2]) & ~pd.isna(rows[3])  # what has no place is near nothing
+        ready = [c[placed].astype(k) for c, k in zip(rows, ("f8", "i8", "i8", "i8", "i8", "?"), strict=True)]
+        order, n = np.lexsort(ready[::-1]), int(placed.sum())
+        if not n:
+            return
+        ready = [c[order] for c in ready]
         edge, size = self.edge, self.tile + 2 * self.edge
-        x0, y0 = int(key[-2]) * self.tile - edge, int(key[-1]) * self.tile - edge
+        x0, y0 = int(key[-3]) * self.tile - edge, int(key[-2]) * self.tile - edge
         last, density, number = np.full((size, size), -np.inf), np.zeros((size, size)), np.zeros((size, size), "i8")
-        for x, y, t, d, n in self.last.get() if self.last.exists() else []:
-            last[y, x], density[y, x], number[y, x] = t, d, n
-        kept = []
-        for t, i, x, y, p, own in ready:
-            px, py = x - x0, y - y0
-            if own:
-                r = self._radius(density, number, i, x, y, px, py) if self.adaptive else self.radius
-                if (last[max(0, py - r) : py + r + 1, max(0, px - r) : px + r + 1] > t - self.dt_us).any():
-                    kept.append((i, t, x, y, p))
-            if self.adaptive:
-                density[py, px] = density[py, px] * self.adaptive["decay"] ** (i - number[py, px]) + 1
-                number[py, px] = i
-            last[py, px] = t
-        live = last > ready[-1][0] - self.dt_us
+        for x, y, t, d, m in self.last.get() if self.last.exists() else []:
+            last[y, x], density[y, x], number[y, x] = t, d, m
+        kept = np.zeros(n, bool)
+        for a in range(0, n, PART):
+            for at, (t, i, x, y, _, own) in enumerate(zip(*(c[a : a + PART].tolist() for c in ready), strict=True), a):
+                px, py = x - x0, y - y0
+                if own:
+                    r = self._radius(density, number, i, x, y, px, py) if self.adaptive else self.radius
+                    kept[at] = last[max(0, py - r) : py + r + 1, max(0, px - r) : px + r + 1].max() > t - self.dt_us
+                if self.adaptive:
+                    density[py, px] = density[py, px] * self.adaptive["decay"] ** (i - number[py, px]) + 1
+                    number[py, px] = i
+                last[py, px] = t
+        live = (last > float(ready[0][-1]) - self.dt_us) & (not over)
         if self.adaptive:
-            live |= density * self.adaptive["decay"] ** np.maximum(ready[-1][1] - number, 0.0) > LEAST_DENSITY
+            live |= density * self.adaptive["decay"] ** np.maximum(ready[1][-1] - number, 0.0) > LEAST_DENSITY
         ys, xs = np.nonzero(live)
         state = [(int(x), int(y), float(last[y, x]), float(density[y, x]), int(number[y, x])) for x, y in zip(xs, ys, strict=True)]
         self.last.put(state) if state else self.last.clear()
-        if kept:
-            yield pd.DataFrame([(*key[:-2], *k) for k in kept], columns=[*self.scene, "event_id", "t", "x", "y", "p"])
+        if kept.any():
+            t, i, x, y, p = (c[kept] for c in ready[:-1])
+            yield pd.DataFrame({c: [v] * len(t) for c, v in zip(self.scene, key, strict=False)} | {"event_id": i, "t": t, "x": x, "y": y, "p": p})
 
     def _radius(self, density: np.ndarray, number: np.ndarray, i: int, x: int, y: int, px: int, py: int) -> int:
         half, (first, second), (wide, medium, tight) = self.adaptive["half"], self.adaptive["dense"], self.adaptive["radii"]
@@ -111,14 +134,18 @@ class NoiseFilter(StatefulProcessor):
         pass
 
 
-def noise_stream(events: DataFrame, radius: int = 10, dt_us: float = 8000.0, tile: int = 128, late: str = "1 second", step_ms: int = 10, adaptive: dict | None = None, scene: list[str] | None = None) -> DataFrame:
+def noise_stream(events: DataFrame, radius: int = 10, dt_us: float = 8000.0, tile: int | None = None, late: str = "1 second", step_ms: int = 10, adaptive: dict | None = None, scene: list[str] | None = None, slab_us: float = 1e6) -> DataFrame:
     """(scene..., event_id, t, x, y, p) of a stream's events that have an earlier one at most radius away on both axes and less
     than dt_us before; events may come in any order, by up to ``late``. The sensor is cut into tiles, which
-    also see the events around them; sensors (scene: columns that name them) are apart. adaptive: decay, half, dense and radii of denoise.with_radius(), for a
-    radius by local density; event_id must then number the events, from any number on without gaps."""
+    also see the events around them, and time into slabs, which also see the dt_us before them, so that no key of the
+    state grows with the stream; sensors (scene: columns that name them) are apart. adaptive: decay, half, dense and radii of
+    denoise.with_radius(), for a radius by local density; event_id must then number the events, from any number on without
+    gaps. Densities depend on all events before, so time is not cut then, and tiles are smaller."""
     on_rocks(events.sparkSession)
     radius = max(adaptive["radii"]) if adaptive else radius
     edge = max(radius, adaptive["half"] if adaptive else 0)
+    tile = tile or (32 if adaptive else 128)
+    slab = None if adaptive else max(slab_us, dt_us)
 
     def tiles(c: str, size: int):
         return F.explode(F.sequence(F.greatest(F.lit(0), F.floor((F.col(c) - edge) / tile)), F.least(F.lit((size - 1) // tile), F.floor((F.col(c) + edge) / tile)))).alias(f"t{c}")
@@ -126,10 +153,13 @@ def noise_stream(events: DataFrame, radius: int = 10, dt_us: float = 8000.0, til
     ts = F.timestamp_micros(F.col("t").cast("long") + 1)  # a watermark begins at 0, and what isn't later is late
     timed = events.withColumn("ts", ts).withWatermark("ts", late)
     scene, kinds = scene or [], dict(events.dtypes)
-    rows = timed.select(*scene, "ts", "event_id", "t", "x", "y", "p", tiles("x", WIDTH)).select("*", tiles("y", HEIGHT))
+    slabs = F.explode(F.sequence(F.floor(F.col("t") / slab), F.floor((F.col("t") + dt_us) / slab))) if slab else F.lit(0).cast("long")
+    rows = timed.select(*scene, "ts", "event_id", "t", "x", "y", "p", tiles("x", WIDTH)).select("*", tiles("y", HEIGHT)).select("*", slabs.alias("tt"))
     out = ", ".join([*(f"{c} {kinds[c]}" for c in scene), "event_id long, t double, x int, y int, p int"])
     own = (F.floor(F.col("x") / tile) == F.col("tx")) & (F.floor(F.col("y") / tile) == F.col("ty"))
-    return rows.withColumn("own", own).groupBy(*scene, "tx", "ty").transformWithStateInPandas(NoiseFilter(tile, radius, dt_us, step_ms, adaptive, scene), out, "Append", "EventTime")
+    if slab:
+        own &= F.floor(F.col("t") / slab) == F.col("tt")
+    return rows.withColumn("own", own).groupBy(*scene, "tx", "ty", "tt").transformWithStateInPandas(NoiseFilter(tile, radius, dt_us, step_ms, adaptive, scene, slab), out, "Append", "EventTime")
 
 
 class TrackLinker(StatefulProcessor):

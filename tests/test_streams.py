@@ -88,3 +88,20 @@ def test_registered_streams_give_their_batches_rows(spark):
     adaptive = registry.QUERIES["density_adaptive_decayed"](spark, FOLDER).where("keep").select("event_id", "radius").collect()
     live_ids = {r.event_id for r in registry.QUERIES["streaming_density_adaptive"](spark, FOLDER).collect()}
     assert live_ids == {r.event_id for r in adaptive} and {r.radius for r in adaptive} == set(denoise.RADII)
+
+
+def test_no_key_of_the_noise_filter_grows_with_the_stream(spark, tmp_path):
+    path, out, state = (str(tmp_path / n) for n in ("in", "out", "state"))
+    rows = spark.range(4000).selectExpr("id AS event_id", "id * 15.0D AS t", "int(id * 37 % 346) AS x", "int(id * id % 260) AS y", "1 AS p")
+    rows.write.parquet(path)
+    stream = lambda: stateful.noise_stream(spark.readStream.schema(rows.schema).parquet(path), 5, slab_us=10_000)
+    live.run(stream(), out, state)
+    waiting = spark.read.format("statestore").option("stateVarName", "waiting").load(state)
+    sizes = [r.n for r in waiting.groupBy("key").agg(F.sum(F.size("list_element.t")).alias("n")).collect()]
+    assert max(sizes) < 1000  # a slab's 667 events and the 533 before it, in nine tiles; a third of all before
+    spark.createDataFrame([(10**9, 10.0**9, 0, 0, 1)], rows.schema).write.mode("append").parquet(path)
+    for _ in range(2):
+        live.run(stream(), out, state)
+    got = sorted(r.event_id for r in spark.read.parquet(out).collect())
+    assert got == sorted(r.event_id for r in denoise.ba_filter(rows, 5).collect()) and got
+    assert spark.read.format("statestore").option("stateVarName", "last").load(state).isEmpty()  # ended slabs leave nothing
