@@ -440,3 +440,38 @@ def test_nearest_earlier_partner(spark):
         want.append((s, w, c, *((math.sqrt(best[0]), best[1], best[2], best[3]) if best else (None,) * 4)))
     assert sorted(map(tuple, got.select("scene", "window_id", "cluster_id", "distance", "gap", "near_window_id", "near_cluster_id").collect()), key=repr) == sorted(want, key=repr)
     assert any(r[3] is None for r in want) and any(r[4] == 3 for r in want)
+
+
+def test_nearest_looks_at_few_candidates_where_rows_are_dense(spark):
+    rng = random.Random(3)
+    rows = [(w, c, float(rng.randrange(100)), float(rng.randrange(100))) for w in range(12) for c in range(60)] + [(w, 99, 400.0, 10.0 * w) for w in range(0, 12, 3)]
+    table = spark.createDataFrame(rows, "window_id long, cluster_id long, cx double, cy double")
+    looked, plain = [], nearest._candidates
+
+    def counted(*args):
+        looked.append(plain(*args).count())
+        return plain(*args)
+
+    nearest._candidates = counted
+    try:
+        got = nearest.nearest_before(table, table, 40.0, 3, ["window_id", "cluster_id"]).collect()
+    finally:
+        nearest._candidates = plain
+    want = []
+    for w, c, x, y in rows:
+        best = min(((x - a) ** 2 + (y - b) ** 2, w - v, v, d) for v, d, a, b in [*rows, (-9, 0, 1e9, 1e9)] if 1 <= w - v <= 3 and (x - a) ** 2 + (y - b) ** 2 < 1600) if any(1 <= w - v <= 3 and (x - a) ** 2 + (y - b) ** 2 < 1600 for v, _, a, b in rows) else None
+        want.append((w, c, *((math.sqrt(best[0]), *best[1:]) if best else (None,) * 4)))
+    assert sorted(map(tuple, got), key=repr) == sorted(want, key=repr)
+    assert any(r[2] and 10 < r[2] for r in want) and any(r[2] == 30.0 for r in want)
+    by_cells = sum(w // 3 - v // 3 in (0, 1) and abs(x // 40 - a // 40) <= 1 and abs(y // 40 - b // 40) <= 1 for w, _, x, y in rows for v, _, a, b in rows)
+    assert len(looked) == 2 and sum(looked) < by_cells / 2  # cells of the whole distance and gap
+
+
+def test_detections_need_no_join(spark):
+    d = clustering.DETECTORS["DBSCAN"]
+    rows = stream(spark, [(i, 50 + i % 3, 50) for i in range(30)])
+    clusters, found = clustering.detect(rows, d)
+    assert clusters.columns == ["window_id", "event_id", "cluster_id"]
+    assert " Join" not in found._jdf.queryExecution().optimizedPlan().toString()
+    joined = clustering.detections(rows, clusters, d)
+    assert found.collect() == joined.collect() and found.count() == 1
