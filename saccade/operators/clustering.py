@@ -211,15 +211,17 @@ def expand(near: Neighbours, k: np.ndarray) -> np.ndarray:
     return labels
 
 
-def kernel_clusters(events: DataFrame, d: Detector, scene: list[str] | None = None) -> DataFrame:
-    """(scene..., window_id, event_id, cluster_id) of the events of windows with at least k events; -1 is noise."""
-    scene = scene or []
-    rows = with_density(events, d, scene).select(*scene, "window_id", "event_id", "t", "x", "y", "eps", "k")
+def kernel_clusters(events: DataFrame, d: Detector, scene: list[str] | None = None, cells: list[str] | None = None) -> DataFrame:
+    """(scene..., window_id, event_id, cluster_id) of the events of windows with at least k events; -1 is noise. cells: other
+    columns of events that come along, so that nothing has to be joined to get them back."""
+    scene, cells = scene or [], cells or []
+    needed = [*scene, "window_id", "event_id", "t", "x", "y", "eps", "k"]
+    rows = with_density(events, d, scene).select(*needed, *[c for c in cells if c not in needed])
     scale, least = d.t_scale_us, d.k
 
     def cluster(w: pd.DataFrame) -> pd.DataFrame:
         w = w.sort_values(["t", "event_id"])
-        out = w[[*scene, "window_id", "event_id"]].copy()
+        out = w[[*scene, "window_id", "event_id", *cells]].copy()
         if len(w) < least:
             return out.iloc[:0].assign(cluster_id=pd.Series(dtype="int64"))
         z = None if scale is None else w["t"].to_numpy() / scale
@@ -228,7 +230,7 @@ def kernel_clusters(events: DataFrame, d: Detector, scene: list[str] | None = No
         return out
 
     kinds = dict(events.dtypes)
-    schema = ", ".join([f"{c} {kinds[c]}" for c in scene] + ["window_id long, event_id long, cluster_id long"])
+    schema = ", ".join([f"{c} {kinds[c]}" for c in scene] + ["window_id long, event_id long"] + [f"{c} {kinds[c]}" for c in cells] + ["cluster_id long"])
     return rows.groupBy(*scene, "window_id").applyInPandas(cluster, schema)
 
 
@@ -259,10 +261,17 @@ def dbscan_clusters(rows: DataFrame, eps: float = 10.0, min_samples: int = 5) ->
     return rows.select("window_id", "event_id", "x", "y").groupBy("window_id").applyInPandas(cluster, "window_id long, event_id long, cluster_id long")
 
 
+#: Columns of events that detections are made of.
+CARRIED = ["t", "x", "y", "p"]
+
+
 def detections(events: DataFrame, clusters: DataFrame, d: Detector, scene: list[str] | None = None) -> DataFrame:
-    """A row for each cluster of at least k events: its window, centre, box, size and share of positive events."""
+    """A row for each cluster of at least k events: its window, centre, box, size and share of positive events.
+    clusters that have the events' CARRIED columns with them are not joined to events."""
     scene = scene or []
-    joined = clusters.where("cluster_id >= 0").join(events, [*scene, "event_id"])
+    joined = clusters.where("cluster_id >= 0")
+    if not {*CARRIED} <= {*clusters.columns}:
+        joined = joined.join(events, [*scene, "event_id"])
     rows = joined.groupBy(*scene, "window_id", "cluster_id").agg(
         F.avg("x").alias("cx"), F.avg("y").alias("cy"), F.min("x").alias("x_min"), F.max("x").alias("x_max"), F.min("y").alias("y_min"), F.max("y").alias("y_max"),
         F.count("*").alias("n_events"), F.avg((F.col("p") > 0).cast("double")).alias("pol_ratio"),
@@ -277,5 +286,5 @@ def detections(events: DataFrame, clusters: DataFrame, d: Detector, scene: list[
 
 def detect(events: DataFrame, d: Detector, scene: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
     """(clusters, detections) of a detector."""
-    clusters = kernel_clusters(events, d, scene)
-    return clusters, detections(events, clusters, d, scene)
+    clusters = kernel_clusters(events, d, scene, CARRIED)
+    return clusters.drop(*CARRIED), detections(events, clusters, d, scene)

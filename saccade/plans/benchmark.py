@@ -23,12 +23,21 @@ TRAINING = {"Heavy rain and medium snow": ("heavy", "medium")}
 APART_US, APART_IDS = 1_000_000.0, 10_000_000
 
 
+def _members(events: DataFrame, d: clustering.Detector, min_length: int | None, group: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
+    """(members with their detections, members' events) of tracks. Clustering runs once: its windows' shuffle is the only
+    one of all events, as clusters carry their events' columns along, and only events in clusters are kept."""
+    group = group or []
+    clusters = stored(clustering.kernel_clusters(events, d, group, [*clustering.CARRIED, "label"]).where("cluster_id >= 0"))
+    found = stored(clustering.detections(events, clusters, d, group))
+    of = [*group, "window_id", "cluster_id"]
+    members = stored(tracking.long_tracks(tracking.link(found, d.link_px, d.max_gap, group), min_length or d.min_length, group))
+    own = stored(clusters.join(members, of).select(*group, "track_id", "event_id", "t", "x", "y", "p", "label"))
+    return members.join(found, of), own
+
+
 def tracks_of(events: DataFrame, d: clustering.Detector, min_length: int | None = None) -> tuple[DataFrame, DataFrame]:
     """(members with their detections, features with gt_class and polarity) of a stream's tracks."""
-    clusters, found = clustering.detect(events, d)
-    members = tracking.long_tracks(tracking.link(found, d.link_px, d.max_gap), min_length or d.min_length)
-    tracked = members.join(found, ["window_id", "cluster_id"])
-    own = members.join(clusters, ["window_id", "cluster_id"]).join(events, "event_id").select("track_id", "event_id", "t", "x", "y", "p", "label")
+    tracked, own = _members(events, d, min_length)
     key = ["track_id"]
     out = features.trajectory(tracked, key).join(tracking.vote(own, key), key, "left")
     pol = features.polarity(own, key).drop("pol_ratio")
@@ -54,13 +63,9 @@ def scenes(spark: SparkSession, names: list[str], duration_ms: float = 200.0, se
 
 def scene_tracks(events: DataFrame, d: clustering.Detector, min_length: int | None = None) -> DataFrame:
     """(scene, track_id, the track features, gt_class, seq) of all scenes at once."""
-    group, key = ["scene"], ["scene", "track_id"]
-    clusters, found = clustering.detect(events, d, group)
-    clusters, found = stored(clusters), stored(found)
-    members = tracking.long_tracks(tracking.link(found, d.link_px, d.max_gap, group), min_length or d.min_length, group)
-    of = ["scene", "window_id", "cluster_id"]
-    own = stored(members.join(clusters, of).join(events.select("event_id", "t", "x", "y", "p", "label"), "event_id").select(*key, "event_id", "t", "x", "y", "p", "label"))
-    out = features.trajectory(members.join(found, of), key).join(tracking.vote(own.select(*key, "label"), key), key)
+    key = ["scene", "track_id"]
+    tracked, own = _members(events, d, min_length, ["scene"])
+    out = features.trajectory(tracked, key).join(tracking.vote(own.select(*key, "label"), key), key)
     return out.join(features.sequences(own, key), key)
 
 

@@ -208,3 +208,11 @@ def test_training_reads_few_partitions(spark):
     rows = spark.range(0, 5000, 1, 40).withColumn("x", F.col("id") * 2)
     few = learning.compact(rows)
     assert few.rdd.getNumPartitions() == 1 and few.agg(F.sum("x")).first()[0] == 5000 * 4999
+
+
+def test_tracks_are_clustered_once(spark):
+    rows = spark.createDataFrame([(i, 400.0 * i, 50 + i % 3, 50, 1, 0) for i in range(80)], "event_id long, t double, x int, y int, p int, label int")
+    tracked, found = benchmark.tracks_of(rows, clustering.DETECTORS["DBSCAN"], min_length=2)
+    for out in (tracked, found):
+        assert "FlatMapGroups" not in out._jdf.queryExecution().optimizedPlan().toString()
+    assert [r.total_events for r in found.collect()] == [75]  # the last window has five events only, which is noise
