@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -26,3 +29,9 @@ def stored(df: DataFrame) -> DataFrame:
     path = shared_dir(df.sparkSession)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def side_by_side(spark: SparkSession, *jobs: Callable) -> list:
+    """What each of the functions returns. Their Spark jobs run at the same time, as many are too small for all cores."""
+    with ThreadPoolExecutor(len(jobs)) as pool:
+        return list(pool.map(inheritable_thread_target(spark)(lambda job: job()), jobs))

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from saccade.functions.schema import RAIN, SNOW
-from saccade.functions.scratch import stored
+from saccade.functions.scratch import side_by_side, stored
 from saccade.operators import clustering, denoise, features, learning, network, ranking, tracking, weather
 from saccade.sources import generators
 
@@ -115,16 +115,18 @@ def run_recorded(events: DataFrame, falling: DataFrame, detectors: list[str], na
 def evaluated(spark: SparkSession, detectors: list[str], for_trees: DataFrame, for_network: DataFrame, test: DataFrame, trees: int = 200, max_iter: int = 100, epochs: int = 12) -> DataFrame:
     """(detector, filter, scene, accuracy): every detector without a filter, with gradient boosting, with the
     network and with both, over the scenes of test. The classifier learns from the clean scene, the filters from
-    that and from a rainy and snowy one. Detections are made once for each detector."""
-    taught, deep = (stored(scene_tracks(s, clustering.DETECTORS["DBSCAN"], min_length=2)) for s in (for_trees, for_network))
-    objects, rain_snow = taught.where("gt_class between 0 and 9"), taught.where("gt_class >= 10")
-    classifier = Pipeline(stages=[*weather.assembled(), learning.forest("gt_class", trees)]).fit(objects)
-    learned = weather.train(objects, rain_snow, max_iter=max_iter)
+    that and from a rainy and snowy one. Detections are made once for each detector; the
+    detectors and what is learned, none of which needs another's results, run side by side."""
     gt = F.col("gt_class")
-    weights, _ = network.train(deep.where(gt >= 0).select("seq", F.when(gt == RAIN, 1).when(gt == SNOW, 2).otherwise(0).alias("cls")), epochs)
 
-    events = stored(test)
-    made = [scene_tracks(events, clustering.DETECTORS[d]).withColumn("detector", F.lit(d)) for d in detectors]
+    teach = lambda rows: stored(scene_tracks(stored(rows), clustering.DETECTORS["DBSCAN"], min_length=2))
+    taught, deep, events = side_by_side(spark, lambda: teach(for_trees), lambda: teach(for_network), lambda: stored(test))
+    objects, rain_snow = taught.where("gt_class between 0 and 9"), taught.where("gt_class >= 10")
+    forest = Pipeline(stages=[*weather.assembled(), learning.forest("gt_class", trees)])
+    weights_of = lambda: network.train(deep.where(gt >= 0).select("seq", F.when(gt == RAIN, 1).when(gt == SNOW, 2).otherwise(0).alias("cls")), epochs)[0]
+    learnt = lambda: weather.train(objects, rain_snow, max_iter=max_iter)
+    found = [lambda d=d: scene_tracks(events, clustering.DETECTORS[d]).withColumn("detector", F.lit(d)) for d in detectors]
+    learned, weights, classifier, *made = side_by_side(spark, learnt, weights_of, lambda: forest.fit(objects), *found)
     tracks = network.score(reduce(DataFrame.unionByName, made), weights).withColumn("deep", F.col("p_rain") + F.col("p_snow") > 0.5).drop("seq")
     kept = tracks.columns
     rows = learned.transform(tracks).select(*kept, (F.col("prediction") == 1.0).alias("learned"))

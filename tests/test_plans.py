@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import threading
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from saccade.functions import scratch
 from saccade.operators import clustering, features, learning, network, ranking, tracking, weather
 from saccade.plans import benchmark, registry
 
@@ -210,6 +213,11 @@ def test_training_reads_few_partitions(spark):
     assert few.rdd.getNumPartitions() == 1 and few.agg(F.sum("x")).first()[0] == 5000 * 4999
 
 
+def test_jobs_run_side_by_side(spark):
+    both = threading.Barrier(2)
+    assert scratch.side_by_side(spark, lambda: both.wait(30) * 0 + spark.range(3).count(), lambda: both.wait(30) * 0 + 7) == [3, 7]
+
+
 def test_tracks_are_clustered_once(spark):
     rows = spark.createDataFrame([(i, 400.0 * i, 50 + i % 3, 50, 1, 0) for i in range(80)], "event_id long, t double, x int, y int, p int, label int")
     tracked, found = benchmark.tracks_of(rows, clustering.DETECTORS["DBSCAN"], min_length=2)
