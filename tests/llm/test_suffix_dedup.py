@@ -107,3 +107,32 @@ def test_query_runs_on_a_folder(spark, tmp_path):
     folder = cases.save(spark, tmp_path / "t", rows)
     want = sorted(((r[0], *w) for r, w in zip(rows, rests([r[1] for r in rows]), strict=True)), key=repr)
     assert sorted(map(tuple, queries.op11_suffix_dedup(spark, folder).collect()), key=repr) == want
+
+
+def test_heavy_keys_cut_their_pieces_once(spark, monkeypatch):
+    read, plain = [], suffix_dedup.pieces
+
+    def watched(texts, length, seed):
+        if seed:
+            read.append(texts._jdf.queryExecution().optimizedPlan().toString())
+        return plain(texts, length, seed)
+
+    monkeypatch.setattr(suffix_dedup, "pieces", watched)
+    rows = passages()
+    docs = cases.frame(spark, rows)
+    got = {r.doc_id: r.n_removed for r in suffix_dedup.drop_repeated(docs, 400, shard_bytes=3000).select("doc_id", "n_removed").collect()}
+    assert read and not any("MapInArrow" in plan for plan in read)
+    assert got == {r[0]: w[1] for r, w in zip(rows, rests([r[1] for r in rows]), strict=True)}
+
+
+def test_planted_passages_go_and_clean_documents_stay(spark):
+    rng = random.Random(11)
+    shared = [cases.prose(rng, 90 + 5 * i) for i in range(8)]
+    assert all(len(p.split()) > 50 and len(p.encode()) > 400 for p in shared)
+    short = " ".join(f"{rng.randrange(1000):03}" for _ in range(60))  # more than 50 words, but fewer than 400 bytes
+    rows = [(i, f"{cases.prose(rng, 40)} #{i} {shared[i % 8]} #{i} {cases.prose(rng, 40)}") for i in range(40)]
+    rows += [(100 + i, f"{cases.prose(rng, 120)} #{i} {short} #{i}") for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.n_removed for r in suffix_dedup.drop_repeated(docs).select("doc_id", "n_removed").collect()}
+    assert got == {r[0]: w[1] for r, w in zip(rows, rests([r[1] for r in rows]), strict=True)}
+    assert all(got[i] >= len(shared[i % 8].encode()) and got[100 + i] == 0 for i in range(40))
