@@ -4,15 +4,19 @@ from __future__ import annotations
 
 import math
 
-from pyspark.ml import Pipeline, PipelineModel
+import numpy as np
+import pandas as pd
+from pyspark.ml import Pipeline, PipelineModel, Transformer
 from pyspark.ml.classification import MultilayerPerceptronClassifier, RandomForestClassifier
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.param import Param, Params, TypeConverters
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
+from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from saccade.functions.scratch import stored
+from saccade.functions.scratch import side_by_side, stored
 
 
 def scaled(rows: DataFrame, columns: list[str]) -> DataFrame:
@@ -64,11 +68,56 @@ def compact(rows: DataFrame) -> DataFrame:
     return kept.coalesce(max(1, math.ceil(kept.count() / TASK_ROWS)))
 
 
+#: Trees that are grown together. A forest's counts by node, feature, bin and class cross the shuffle once for each
+#: partition, 17 GB for 200 trees and ten classes, so rows lie in few partitions and the trees are what is dealt out.
+PART_TREES = 25
+
+
+def _summed(*parts: pd.Series) -> pd.DataFrame:  # in SQL each use of a sum would walk all trees again
+    votes = sum(np.array(p.to_list(), "f8").reshape(len(p), -1) for p in parts)
+    shares = votes / votes.sum(axis=1, keepdims=True)
+    best = shares.argmax(axis=1).astype("f8") if len(votes) else np.empty(0)
+    return pd.DataFrame({"votes": list(votes), "shares": list(shares), "best": best})
+
+
+class Votes(Transformer, DefaultParamsReadable, DefaultParamsWritable):
+    """rawPrediction, probability and prediction of a forest that was grown in parts: the sums of its parts' votes, as
+    one forest of all their trees would have them."""
+
+    parts = Param(Params._dummy(), "parts", "number of parts", typeConverter=TypeConverters.toInt)
+
+    def _transform(self, rows: DataFrame) -> DataFrame:
+        names = [f"_votes{i}" for i in range(self.getOrDefault(self.parts))]
+        summed = F.pandas_udf(_summed, "votes array<double>, shares array<double>, best double")
+        out = rows.withColumn("_new", summed(*[vector_to_array(c) for c in names]))
+        made = {"rawPrediction": array_to_vector("_new.votes"), "probability": array_to_vector("_new.shares"), "prediction": F.col("_new.best")}
+        return out.withColumns(made).drop(*names, "_new")
+
+
+def grown(rows: DataFrame, model: RandomForestClassifier, label: str = "label") -> PipelineModel:
+    """The forest of rows (features, label), its trees in parts that are grown side by side."""
+    parts = math.ceil(model.getNumTrees() / PART_TREES)
+    few = compact(rows.select("features", label)).persist()  # every part reads it
+
+    def part(i: int):
+        trees = model.getNumTrees() // parts + (i < model.getNumTrees() % parts)
+        own = {model.numTrees: trees, model.seed: model.getSeed() + 1_000_003 * i, model.rawPredictionCol: f"_votes{i}", model.probabilityCol: "", model.predictionCol: ""}
+        return model.copy(own).fit(few)
+
+    made = side_by_side(rows.sparkSession, *[lambda i=i: part(i) for i in range(parts)])
+    few.unpersist()
+    votes = Votes()
+    votes.set(votes.parts, parts)
+    return PipelineModel([*made, votes])
+
+
 def fit(rows: DataFrame, model, label: str = "label") -> PipelineModel:
     """A model of the rows whose label isn't noise."""
     known = rows.where(F.col(label) >= 0)
     if known.isEmpty():
         raise ValueError("no labelled rows")
+    if isinstance(model, RandomForestClassifier) and model.getNumTrees() > PART_TREES:
+        return grown(known, model, label)
     return Pipeline(stages=[model]).fit(known)
 
 

@@ -224,3 +224,24 @@ def test_tracks_are_clustered_once(spark):
     for out in (tracked, found):
         assert "FlatMapGroups" not in out._jdf.queryExecution().optimizedPlan().toString()
     assert [r.total_events for r in found.collect()] == [75]  # the last window has five events only, which is noise
+
+
+def test_forests_grow_in_parts_of_few_partitions(spark, monkeypatch, tmp_path):
+    seen, plain = [], learning.RandomForestClassifier._fit
+    monkeypatch.setattr(learning.RandomForestClassifier, "_fit", lambda self, rows: seen.append((self.getNumTrees(), rows.rdd.getNumPartitions())) or plain(self, rows))
+    rng = np.random.default_rng(3)
+    table = spark.createDataFrame([(i, rng.normal(i % 3, 0.8, 4).tolist(), i % 3) for i in range(240)], "k long, v array<double>, label int").repartition(12)
+    rows = learning.as_features(table, "v")
+    model = learning.fit(rows, learning.forest(trees=60, depth=4))
+    assert sorted(seen) == [(20, 1)] * 3
+    got = {r.k: r for r in learning.predicted(rows, model).collect()}
+    parts = [{r.k: np.array(r[f"_votes{i}"]) for r in m.transform(rows).collect()} for i, m in enumerate(model.stages[:-1])]
+    for k, r in got.items():
+        votes = sum(p[k] for p in parts)
+        assert np.allclose(r.rawPrediction, votes) and abs(votes.sum() - 60) < 1e-6 and np.allclose(r.probability, votes / 60)
+        assert r.prediction == votes.argmax() and abs(r.confidence - votes.max() / 60) < 1e-9
+    assert len(got) == 240 and not any(c.startswith("_") for c in learning.predicted(rows, model).columns)
+    assert sum(r.prediction == r.label for r in got.values()) > 200
+    learning.save(model, str(tmp_path / "model"))
+    again = learning.predicted(rows, learning.load(str(tmp_path / "model"))).collect()
+    assert all(r.prediction == got[r.k].prediction for r in again) and learning.predicted(rows.limit(0), model).count() == 0
