@@ -245,3 +245,13 @@ def test_forests_grow_in_parts_of_few_partitions(spark, monkeypatch, tmp_path):
     learning.save(model, str(tmp_path / "model"))
     again = learning.predicted(rows, learning.load(str(tmp_path / "model"))).collect()
     assert all(r.prediction == got[r.k].prediction for r in again) and learning.predicted(rows.limit(0), model).count() == 0
+
+
+def test_validation_fits_a_model_a_fold_only(spark, monkeypatch):
+    seen, plain = [], learning.fit
+    monkeypatch.setattr(learning, "fit", lambda rows, model, label="label": seen.append({r.f for r in rows.select("f").distinct().collect()}) or plain(rows, model, label))
+    monkeypatch.setattr(learning.RandomForestClassifier, "_fit", lambda self, rows, fit=learning.RandomForestClassifier._fit: seen.append(rows.count()) or fit(self, rows))
+    rows = learning.as_features(spark.createDataFrame([(i, [float(i % 2), 1.0], i % 2, i % 3) for i in range(30)], "k long, v array<double>, label int, f int"), "v")
+    assert learning.cross_validated(rows, learning.forest(trees=3, depth=2), folds=3, fold="f") == [1.0]
+    assert seen == [{1, 2}, 20, {0, 2}, 20, {0, 1}, 20]  # none on all rows, which nobody would look at
+    assert learning.cross_validated(rows, learning.forest(trees=3, depth=2), folds=2) == [1.0]
