@@ -67,6 +67,12 @@ def compact(rows: DataFrame) -> DataFrame:
     return kept.coalesce(max(1, math.ceil(kept.count() / TASK_ROWS)))
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """rows dealt evenly to all cores: a trainer whose passes are arithmetic waits for the fullest partition in each."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores * max(1, math.ceil(rows.count() / (cores * TASK_ROWS))))
+
+
 #: Trees that are grown together. A forest's counts by node, feature, bin and class cross the shuffle once for each
 #: partition, 17 GB for 200 trees and ten classes, so rows lie in few partitions and the trees are what is dealt out.
 PART_TREES = 25
@@ -117,6 +123,8 @@ def fit(rows: DataFrame, model, label: str = "label") -> PipelineModel:
         raise ValueError("no labelled rows")
     if isinstance(model, RandomForestClassifier) and model.getNumTrees() > PART_TREES:
         return grown(known, model, label)
+    if isinstance(model, MultilayerPerceptronClassifier):
+        known = spread(known)
     return Pipeline(stages=[model]).fit(known)
 
 

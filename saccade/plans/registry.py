@@ -551,7 +551,7 @@ def stratified_split(spark, sf_dir):
 
 def _fitted(spark: SparkSession, sf_dir: str, model) -> DataFrame:
     rows = read(spark, sf_dir, "embeddings").select("vec_id", F.col("label").cast("int").alias("label"), "embedding")
-    rows = learning.stratified(learning.as_features(rows, "embedding"), "label", "vec_id")
+    rows = stored(learning.stratified(learning.as_features(rows, "embedding"), "label", "vec_id"))  # read by training and by prediction
     fitted = learning.fit(rows.where("not is_test"), model)
     return learning.predicted(rows.where("is_test"), fitted)
 

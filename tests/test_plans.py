@@ -255,3 +255,12 @@ def test_validation_fits_a_model_a_fold_only(spark, monkeypatch):
     assert learning.cross_validated(rows, learning.forest(trees=3, depth=2), folds=3, fold="f") == [1.0]
     assert seen == [{1, 2}, 20, {0, 2}, 20, {0, 1}, 20]  # none on all rows, which nobody would look at
     assert learning.cross_validated(rows, learning.forest(trees=3, depth=2), folds=2) == [1.0]
+
+
+def test_perceptrons_learn_from_even_partitions(spark, monkeypatch):
+    seen, plain = [], learning.MultilayerPerceptronClassifier._fit
+    monkeypatch.setattr(learning.MultilayerPerceptronClassifier, "_fit", lambda self, rows: seen.extend(rows.rdd.glom().map(len).collect()) or plain(self, rows))
+    rows = learning.as_features(spark.createDataFrame([(i, [float(i % 2), 1.0], i % 2) for i in range(200)], "k long, v array<double>, label int").coalesce(1), "v")
+    model = learning.fit(rows, learning.mlp(2, 2, (3,), max_iter=20))
+    assert len(seen) == spark.sparkContext.defaultParallelism and sum(seen) == 200 and max(seen) - min(seen) <= len(seen)
+    assert learning.predicted(rows, model).where("prediction = label").count() == 200
