@@ -56,6 +56,11 @@ def forest(label: str = "label", trees: int = 200, depth: int = 12, seed: int =
     return RandomForestClassifier(labelCol=label, numTrees=trees, maxDepth=depth, seed=seed)
 
 
+def bins(n: int) -> int:
+    """maxBins of a tree model that is to take its thresholds from all of n rows: MLlib samples maxBins ** 2 of them, or 10,000."""
+    return max(32, math.isqrt(n - 1) + 1) if n > 10_000 else 32
+
+
 #: Rows of a partition that a trainer goes over again and again.
 TASK_ROWS = 131_072
 

@@ -6,10 +6,12 @@ Parquet table of (name, shape, values), and broadcast: under a million numbers.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -119,18 +121,33 @@ def gradients(x: np.ndarray, y: np.ndarray, share: np.ndarray, w: dict[str, np.n
     return loss, g
 
 
-def train(rows: DataFrame, epochs: int = 12, batch: int = 16, rate: float = 1e-3, tasks: int = 4, max_rows: int = 4000, seed: int = 42, seq: str = "seq", label: str = "cls") -> tuple[dict[str, np.ndarray], DataFrame]:
-    """(weights, losses (epoch, loss)) learned from at most max_rows rows of sequences and classes 0 to 2.
+#: Rows that a task learns from in an epoch, about: the more rows there are, the more tasks.
+TASK_ROWS = 1000
+#: Weights that are averaged together.
+PIECE = 65_536
 
-    Data-parallel: in each epoch every task takes Adam steps over its rows from the shared weights, and the
-    tasks' weights are averaged by their numbers of rows: under four megabytes a task come to the driver.
-    Classes weigh in inversely to their frequency."""
+
+def _averaged(pieces: pd.DataFrame) -> pd.DataFrame:
+    pieces = pieces.sort_values("part")
+    flat = sum(np.frombuffer(p, "f4") for p in pieces["weights"])
+    return pd.DataFrame({"piece": pieces["piece"].iloc[:1], "loss": [pieces["loss"].sum()], "weights": [flat.tobytes()]}, index=pieces.index[:1])
+
+
+def train(rows: DataFrame, epochs: int = 12, batch: int = 16, rate: float = 1e-3, tasks: int = 4, seed: int = 42, seq: str = "seq", label: str = "cls") -> tuple[dict[str, np.ndarray], DataFrame]:
+    """(weights, losses (epoch, loss)) learned from all rows of sequences and classes 0 to 2.
+
+    Data-parallel: in each epoch every task (``tasks``, or one for each TASK_ROWS rows if these are more) takes Adam
+    steps over its rows from the shared weights. The tasks' weights are averaged by their numbers of rows, in pieces
+    that are shuffled: one model, under four megabytes, comes to the driver. Classes weigh in inversely to their frequency."""
     spark = rows.sparkSession
-    kept = stored(rows.select(F.col(seq).alias("seq"), F.col(label).cast("int").alias("cls")).orderBy(F.xxhash64(F.lit(seed), F.to_json(seq))).limit(max_rows).repartition(tasks))
+    kept = stored(rows.select(F.flatten(seq).cast("array<float>").alias("seq"), F.col(label).cast("int").alias("cls")))
     counts = {r.cls: r["count"] for r in kept.groupBy("cls").count().collect()}  # three rows
     if not counts:
         raise ValueError("no labelled rows")
-    share = np.array([sum(counts.values()) / counts[c] if c in counts else 0.0 for c in range(OUT)], "f4")
+    n = sum(counts.values())
+    share = np.array([n / counts[c] if c in counts else 0.0 for c in range(OUT)], "f4")
+    tasks, place = max(tasks, math.ceil(n / TASK_ROWS)), F.xxhash64(F.lit(seed), "seq", "cls")
+    dealt = kept.repartitionById(tasks, F.pmod(place, F.lit(tasks)).cast("int")).sortWithinPartitions(place).persist()  # every epoch reads it
     weights = random_weights(seed)
     for i in range(len(BLOCKS)):
         weights[f"r{i}_2"] *= 0.3  # blocks begin near the identity
@@ -140,31 +157,35 @@ def train(rows: DataFrame, epochs: int = 12, batch: int = 16, rate: float = 1e-3
         step = rate * (0.02 + 0.98 * 0.5 * (1 + np.cos(np.pi * epoch / epochs)))
 
         def learn(batches: Iterator[pd.DataFrame], shared=shared, step=step, epoch=epoch) -> Iterator[pd.DataFrame]:
-            own = pd.concat([*batches, pd.DataFrame({"seq": [], "cls": []})])
-            if not len(own):
+            own = [b for b in batches if len(b)]
+            if not own:
                 return
-            x, y = np.stack([np.stack(s) for s in own["seq"]]).astype("f4"), own["cls"].to_numpy("i4")
+            y = np.concatenate([b["cls"].to_numpy("i4") for b in own])
+            x = np.concatenate([np.stack(b["seq"].to_list()) for b in own]).astype("f4").reshape(len(y), -1, STEM[0])
             w = {k: v.copy() for k, v in shared.value.items()}
             m, v = ({k: np.zeros_like(a) for k, a in w.items()} for _ in range(2))
-            order, total, n = np.random.default_rng([seed, epoch, len(y)]).permutation(len(y)), 0.0, 0
+            order, total, steps = np.random.default_rng([seed, epoch, len(y)]).permutation(len(y)), 0.0, 0
             for a in range(0, len(y), batch):
                 at = order[a : a + batch]
                 loss, g = gradients(x[at], y[at], share, w)
-                total, n = total + loss * len(at), n + 1
+                total, steps = total + loss * len(at), steps + 1
                 for k in w:
                     m[k] = 0.9 * m[k] + 0.1 * g[k]
                     v[k] = 0.999 * v[k] + 0.001 * g[k] ** 2
-                    w[k] -= (step * (m[k] / (1 - 0.9**n)) / (np.sqrt(v[k] / (1 - 0.999**n)) + 1e-8) + step * 1e-4 * w[k]).astype("f4")
-            yield pd.DataFrame({"n": [len(y)], "loss": [total], "weights": [b"".join(w[k].astype("f4").tobytes() for k in sorted(w))]})
-
-        parts = kept.mapInPandas(learn, "n long, loss double, weights binary").collect()
-        n = sum(r.n for r in parts)
-        flat = sum(np.frombuffer(r.weights, "f4") * np.float32(r.n / n) for r in parts)
-        at = 0
+                    w[k] -= (step * (m[k] / (1 - 0.9**steps)) / (np.sqrt(v[k] / (1 - 0.999**steps)) + 1e-8) + step * 1e-4 * w[k]).astype("f4")
+            flat = np.concatenate([w[k].ravel() for k in sorted(w)]) * np.float32(len(y) / n)
+            for i, a in enumerate(range(0, len(flat), PIECE)):
+                yield pd.DataFrame({"piece": [i], "part": [TaskContext.get().partitionId()], "loss": [total if i == 0 else 0.0], "weights": [flat[a : a + PIECE].astype("f4").tobytes()]})
+
+        parts = dealt.mapInPandas(learn, "piece int, part int, loss double, weights binary")
+        pieces = sorted(parts.groupBy("piece").applyInPandas(_averaged, "piece int, loss double, weights binary").collect())
+        flat, at = np.frombuffer(b"".join(r.weights for r in pieces), "f4"), 0
         for k in sorted(weights):
             weights[k] = flat[at : at + weights[k].size].reshape(weights[k].shape)
             at += weights[k].size
-        losses.append((epoch, sum(r.loss for r in parts) / n))
+        shared.unpersist()
+        losses.append((epoch, pieces[0].loss / n))
+    dealt.unpersist()
     return weights, spark.createDataFrame(losses, "epoch int, loss double")
 
 

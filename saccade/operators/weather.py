@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from saccade.operators.features import NAMES
-from saccade.operators.learning import compact, hashed_ranks
+from saccade.operators.learning import bins, compact, hashed_ranks
 
 #: Fixed values of the polarity filter.
 RAIN_FLIP, RAIN_RUN, RAIN_SLACK, SNOW_EVENTS, SNOW_WINDOWS, SNOW_FLIP, SNOW_DENSITY = 0.28, 6.0, 1.4, 250, 6, 0.35, 30.0
@@ -81,7 +81,7 @@ def train(clean: DataFrame, weather: DataFrame, kind: str = "gradient_boost", co
     if kind == "logistic":
         model = LogisticRegression(labelCol="weather", weightCol="balance", regParam=1.0 / max(1, total), maxIter=max_iter)
     else:
-        model = GBTClassifier(labelCol="weather", maxIter=max_iter, maxDepth=4, stepSize=0.1, seed=seed)
+        model = GBTClassifier(labelCol="weather", maxIter=max_iter, maxDepth=4, maxBins=bins(total), stepSize=0.1, seed=seed)
     fitted = Pipeline(stages=[*assembled(), model]).fit(rows)
     rows.unpersist()
     return fitted
@@ -98,7 +98,7 @@ def trained_report(clean: DataFrame, weather: DataFrame, copies: int = 4, seed:
     least = ranks.groupBy("weather").agg(F.max("_all").alias("n")).agg(F.min("n")).first()[0]
     folds = max(2, min(folds, least or 0))
     rows = compact(augmented(ranks.withColumn("_fold", F.pmod("_rank", F.lit(folds))).drop("_rank", "_all"), copies, 0.03, seed)).persist()
-    booster = GBTClassifier(labelCol="weather", maxIter=max_iter, maxDepth=4, stepSize=0.1, seed=seed)
+    booster = GBTClassifier(labelCol="weather", maxIter=max_iter, maxDepth=4, maxBins=bins(rows.count()), stepSize=0.1, seed=seed)
     judge = MulticlassClassificationEvaluator(labelCol="weather", metricName="fMeasureByLabel", metricLabel=1.0)
 
     def f1(fold: int) -> float:

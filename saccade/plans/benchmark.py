@@ -122,7 +122,7 @@ def evaluated(spark: SparkSession, detectors: list[str], for_trees: DataFrame, f
     teach = lambda rows: stored(scene_tracks(stored(rows), clustering.DETECTORS["DBSCAN"], min_length=2))
     taught, deep, events = side_by_side(spark, lambda: teach(for_trees), lambda: teach(for_network), lambda: stored(test))
     objects, rain_snow = taught.where("gt_class between 0 and 9"), taught.where("gt_class >= 10")
-    forest = Pipeline(stages=[*weather.assembled(), learning.forest("gt_class", trees)])
+    forest = Pipeline(stages=[*weather.assembled(), learning.forest("gt_class", trees).setMaxBins(learning.bins(objects.count()))])
     weights_of = lambda: network.train(deep.where(gt >= 0).select("seq", F.when(gt == RAIN, 1).when(gt == SNOW, 2).otherwise(0).alias("cls")), epochs)[0]
     learnt = lambda: weather.train(objects, rain_snow, max_iter=max_iter)
     found = [lambda d=d: scene_tracks(events, clustering.DETECTORS[d]).withColumn("detector", F.lit(d)) for d in detectors]

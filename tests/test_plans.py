@@ -264,3 +264,28 @@ def test_perceptrons_learn_from_even_partitions(spark, monkeypatch):
     model = learning.fit(rows, learning.mlp(2, 2, (3,), max_iter=20))
     assert len(seen) == spark.sparkContext.defaultParallelism and sum(seen) == 200 and max(seen) - min(seen) <= len(seen)
     assert learning.predicted(rows, model).where("prediction = label").count() == 200
+
+
+def test_the_network_learns_from_all_rows(spark, monkeypatch):
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(x, y, share, w):
+        seen.add(len(y))
+        return float(x.sum()), {k: np.zeros_like(a) for k, a in w.items()}
+
+    monkeypatch.setattr(network, "gradients", counted)
+    cell = F.array(*[(F.col("id") + i).cast("double") for i in range(4)])
+    weights, losses = network.train(spark.range(4100).select(F.array(cell, cell).alias("seq"), (F.col("id") % 3).alias("cls")), epochs=1)
+    assert seen.value == 4100 and losses.count() == 1
+    first = network.random_weights(42)
+    for k, a in weights.items():  # nothing but decay, as gradients are 0: pieces come back in their places
+        assert a.shape == first[k].shape and np.allclose(a, first[k] * (0.3 if k in {f"r{i}_2" for i in range(6)} else 1.0), rtol=1e-4, atol=1e-7)
+
+
+def test_thresholds_come_from_all_rows(spark, monkeypatch):
+    assert [learning.bins(n) for n in (0, 500, 10_000)] == [32] * 3 and all(learning.bins(n) ** 2 >= n for n in (10_001, 123_457, 10**7))
+    seen = []
+    monkeypatch.setattr(weather.GBTClassifier, "_fit", lambda self, rows, fit=weather.GBTClassifier._fit: seen.append((rows.count(), self.getMaxBins())) or fit(self, rows))
+    rows = spark.range(2400).select("id", *[((F.col("id") * (i + 3)) % 1009).cast("double").alias(c) for i, c in enumerate(features.NAMES)])
+    weather.train(rows.where("id % 2 = 0"), rows.where("id % 2 = 1"), max_iter=1)
+    assert seen == [(12_000, 110)]
