@@ -8,15 +8,17 @@ a window is one group, of as many events as a sensor makes in one window.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from saccade.functions.schema import HEIGHT, WIDTH, WINDOW_US
-from saccade.operators.streams import with_window
+from saccade.operators.streams import with_first, with_window
 
 
 @dataclass(frozen=True)
@@ -93,7 +95,10 @@ def eps_lidar(rows: DataFrame, k: int, dims: int = 2) -> DataFrame:
 def with_density(events: DataFrame, d: Detector, scene: list[str] | None = None) -> DataFrame:
     """events with window_id, eps and k of a detector. radius_of: radial (from the centre; k is the
     detector's), pixel (both from x) or lidar (k from x, eps from the window's extent and that k)."""
-    rows = with_window(events, d.window_us, scene)
+    return _dense(with_window(events, d.window_us, scene), d, scene)
+
+
+def _dense(rows: DataFrame, d: Detector, scene: list[str] | None = None) -> DataFrame:
     if d.radius_of in ("pixel", "lidar"):
         rows = rows.withColumn("k", k_xpos(d.c2, d.c1, d.base))
         if d.radius_of == "pixel":
@@ -234,6 +239,158 @@ def kernel_clusters(events: DataFrame, d: Detector, scene: list[str] | None = No
     return rows.groupBy(*scene, "window_id").applyInPandas(cluster, schema)
 
 
+def _pairs(x: np.ndarray, y: np.ndarray, group: np.ndarray, reach: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(point, other, square of their distance): a group's points at most reach apart, each with itself too, in order
+    of the first. As _adjacent(), with cells of each group of their own."""
+    n, size = len(x), max(reach, 1e-9)
+    col, row = np.floor((x - x.min(initial=0)) / size).astype("i8"), np.floor((y - y.min(initial=0)) / size).astype("i8")
+    width, height = int(col.max(initial=0)) + 3, int(row.max(initial=0)) + 3
+    cell = (group * height + row + 1) * width + col + 1
+    order = np.argsort(cell, kind="stable")
+    held = cell[order]
+    runs = cell[:, None] + np.array([-width, 0, width])
+    lo, hi = np.searchsorted(held, runs - 1, "left"), np.searchsorted(held, runs + 1, "right")
+    total = np.cumsum((hi - lo).sum(axis=1))
+    cuts = np.unique(np.append(np.searchsorted(total, np.arange(CANDIDATES, int(total[-1]) if n else 0, CANDIDATES)) + 1, n))
+    found = []
+    for a, b in zip(np.append(0, cuts[:-1]).tolist(), cuts.tolist(), strict=True):
+        first, many = lo[a:b].ravel(), (hi - lo)[a:b].ravel()
+        other = order[np.repeat(first - np.append(0, np.cumsum(many)[:-1]), many) + np.arange(many.sum())]
+        own = np.repeat(np.arange(a, b), (hi - lo)[a:b].sum(axis=1))
+        d = (x[other] - x[own]) ** 2 + (y[other] - y[own]) ** 2
+        near = np.sqrt(d) <= reach
+        found.append((own[near], other[near], d[near]))
+    return tuple(np.concatenate(f) for f in zip(*found, strict=True))
+
+
+def expand_all(near: Neighbours, k: np.ndarray, group: np.ndarray) -> np.ndarray:
+    """expand() of many groups of points (ascending numbers from 0) at once: in each round every group's wave goes on by
+    one step, or its next cluster begins. Rounds are as many as the longest group's waves, whatever the number of groups."""
+    counts, groups = near.counts(), int(group[-1]) + 1 if len(group) else 0
+    labels, reached, place = np.full(len(near), -1), np.zeros(len(near), bool), np.empty(len(near), "i8")
+    cluster, last = np.full(groups, -1), np.full(groups, -1)  # each group's number of the cluster, and the point it began at
+    seeds, wave = np.flatnonzero(counts > k), np.empty(0, "i8")
+    while True:
+        busy = np.zeros(groups, bool)
+        busy[group[wave]] = True
+        seeds = seeds[~reached[seeds]]
+        of = group[seeds]
+        begin = seeds[np.append(True, of[1:] != of[:-1])[: len(of)] & ~busy[of]]
+        if len(begin):
+            last[group[begin]] = begin  # those before were looked at in their turn
+            cluster[group[begin]] += 1
+            joined = near.around(begin)
+            labels[joined] = cluster[group[joined]]
+            wave = np.append(wave, joined)
+        if not len(wave):
+            return labels
+        reached[wave] = True
+        joined = near.around(wave[counts[wave] >= 2])
+        of = group[joined]
+        labels[joined] = cluster[of]
+        new = joined[~reached[joined] & (joined > last[of])]
+        place[new] = np.arange(len(new))
+        wave = new[place[new] == np.arange(len(new))]  # once each
+
+
+#: Events whose windows are clustered together, about.
+EVENTS = 1 << 16
+#: Tasks for each core that windows are dealt to: a task's windows are sorted, and clustered as they come.
+TASKS = 3
+PLACED = "cx double, cy double, x_min int, x_max int, y_min int, y_max int, n_events long, pol_ratio double, t_min_us double, t_max_us double, t_span_ms double, t_center double"
+OWN = "t double, event_id long, x int, y int, p int, label int"
+
+
+def clustered(events: DataFrame, detectors: list[Detector], scene: list[str] | None = None) -> DataFrame:
+    """(detector, scene..., window_id, cluster_id, the columns of detections(), events): what detect() finds by each of
+    several detectors of one window length, with each cluster's events (OWN) in order of time. Windows are shuffled
+    once for all detectors, and neighbours are looked for once, in the largest radius; many windows are clustered together."""
+    scene, (window_us,) = scene or [], {d.window_us for d in detectors}
+    key = [*scene, "window_id"]
+    rows = with_first(events, scene).withColumn("window_id", F.floor((F.col("t") - F.col("_first")) / window_us))
+    rows = rows.select(*key, "event_id", F.col("t").cast("double"), *[F.col(c).cast("int") for c in ("x", "y", "p", "label")], "_first")
+    tasks = max(TASKS * events.sparkSession.sparkContext.defaultParallelism, int(events.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    if any(d.radius_of == "lidar" for d in detectors):  # a join
+        rows = _all_dense(rows, detectors, scene).repartition(tasks, *key).sortWithinPartitions(*key, "t", "event_id")
+    else:
+        rows = _all_dense(rows.repartition(tasks, *key).sortWithinPartitions(*key, "t", "event_id"), detectors, scene)
+
+    def begins(table: pa.Table) -> np.ndarray:
+        new = np.zeros(len(table), bool)
+        new[:1] = True
+        for c in key:
+            v = table[c].combine_chunks()
+            v = (v if c == "window_id" else v.dictionary_encode().indices.fill_null(-1)).to_numpy(zero_copy_only=False)
+            new[1:] |= v[1:] != v[:-1]
+        return np.flatnonzero(new)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+        for batch in batches:
+            held, n = [*held, batch], n + batch.num_rows
+            if n >= EVENTS:
+                table = pa.Table.from_batches(held).combine_chunks()
+                first = begins(table)
+                if len(first) > 1:  # the last window may go on
+                    yield from windows(table.slice(0, int(first[-1])), first[:-1])
+                    table = table.slice(int(first[-1]))
+                held, n = table.to_batches(), len(table)
+        if n:
+            table = pa.Table.from_batches(held).combine_chunks()
+            yield from windows(table, begins(table))
+
+    def windows(table: pa.Table, first: np.ndarray) -> Iterator[pa.RecordBatch]:
+        n, sizes = len(table), np.diff(np.append(first, len(table)))
+        table = table.combine_chunks()
+        cell = {c: table[c].combine_chunks().to_numpy(zero_copy_only=False) for c in table.column_names if c not in scene}
+        x, y, t, group = cell["x"].astype("f8"), cell["y"].astype("f8"), cell["t"], np.repeat(np.arange(len(first)), sizes)
+        own, other, square = _pairs(x, y, group, max(float(cell[f"eps{i}"].max()) for i in range(len(detectors))))
+        flat, of, counts, ks = np.sqrt(square), [], [], []
+        for i, d in enumerate(detectors):
+            z = None if d.t_scale_us is None else t / d.t_scale_us
+            near = (flat if z is None else np.sqrt(square + (z[other] - z[own]) ** 2)) <= cell[f"eps{i}"][own]
+            of.append(other[near] + n * i)
+            counts.append(np.bincount(own[near], minlength=n))
+            ks.append(np.where(sizes[group] < d.k, n, cell[f"k{i}"]))  # windows of fewer events have no clusters
+        all_groups = np.concatenate([group + len(first) * i for i in range(len(detectors))])
+        near = Neighbours(np.append(0, np.cumsum(np.concatenate(counts))), np.concatenate(of))
+        labels = expand_all(near, np.concatenate(ks), all_groups).reshape(len(detectors), n)
+        for i, d in enumerate(detectors):
+            at = np.flatnonzero(labels[i] >= 0)
+            place = group[at] * (n + 1) + labels[i][at]
+            order = np.argsort(place, kind="stable")
+            at, place = at[order], place[order]
+            starts = np.flatnonzero(np.append(True, place[1:] != place[:-1])[: len(place)])
+            many = np.diff(np.append(starts, len(at)))
+            enough = np.repeat(many >= d.k, many)
+            at, many = at[enough], many[many >= d.k]
+            if not len(many):
+                continue
+            ends = np.cumsum(many)
+            starts = ends - many
+            heads, total = at[starts], lambda v, how=np.add, at=at, starts=starts: how.reduceat(v[at], starts)
+            low, high = total(t, np.minimum), total(t, np.maximum)
+            cells = [pa.array([d.name] * len(many)), *[table[c].combine_chunks().take(pa.array(heads)) for c in scene], pa.array(cell["window_id"][heads]), pa.array(labels[i][heads])]
+            cells += [total(x) / many, total(y) / many, *[total(cell[c], how) for c in ("x", "y") for how in (np.minimum, np.maximum)]]
+            cells += [many, total((cell["p"] > 0).astype("f8")) / many, low, high, (high - low) / 1000, cell["_first"][heads] + (cell["window_id"][heads] + 0.5) * window_us]
+            names = [f.split()[0] for f in OWN.split(", ")]
+            held = pa.StructArray.from_arrays([table[c].combine_chunks().take(pa.array(at)) for c in names], names)
+            cells.append(pa.ListArray.from_arrays(pa.array(np.append(0, ends), pa.int32()), held))
+            out = ["detector", *key, "cluster_id", *[f.split()[0] for f in PLACED.split(", ")], "events"]
+            yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in cells], out)
+
+    kinds = dict(events.dtypes)
+    schema = ", ".join(["detector string", *[f"{c} {kinds[c]}" for c in scene], "window_id long, cluster_id long", PLACED, f"events array<struct<{OWN.replace(' ', ':').replace(',:', ',')}>>"])
+    return rows.mapInArrow(run, schema)
+
+
+def _all_dense(rows: DataFrame, detectors: list[Detector], scene: list[str]) -> DataFrame:
+    """rows with eps and k of each detector, by its number."""
+    for i, d in enumerate(detectors):
+        rows = _dense(rows, d, scene).withColumnsRenamed({"eps": f"eps{i}", "k": f"k{i}"})
+    return rows
+
+
 def dbscan_clusters(rows: DataFrame, eps: float = 10.0, min_samples: int = 5) -> DataFrame:
     """(window_id, event_id, cluster_id) by classic DBSCAN: cluster_id is the smallest core event_id of
     the cluster, a border event joins the smallest of its core neighbours' clusters, -1 is noise.

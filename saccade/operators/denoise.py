@@ -20,6 +20,8 @@ LONGEST, SLICE_US = 65_536, 2000.0
 
 #: Sides of the noise filters' cells, in reaches: an event's row goes to few cells beside its own.
 CELLS = 4
+#: Columns of a cell.
+CELL = ("_cx", "_cy", "_ct")
 
 
 def _near(events: DataFrame, radius: int, dt_us: float, own: str | None = None) -> tuple[DataFrame, DataFrame, Column]:
@@ -31,9 +33,9 @@ def _near(events: DataFrame, radius: int, dt_us: float, own: str | None = None)
     tick = lambda c: F.floor(c / long)
     reached = lambda c: F.explode(F.sequence(place(F.col(c) - radius), place(F.col(c) + radius)))
     old = events.where("t IS NOT NULL AND x IS NOT NULL AND y IS NOT NULL").select(F.col("event_id").alias("other"), F.col("t").alias("t0"), F.col("x").alias("x0"), F.col("y").alias("y0"))
-    old = old.select("*", F.explode(F.sequence(tick(F.col("t0")), tick(F.col("t0") + dt_us))).alias("ct"))
-    old = old.select("*", reached("x0").alias("cx")).select("*", reached("y0").alias("cy"))
-    new = events.select("event_id", "t", "x", "y", *([own] if own else []), place(F.col("x")).alias("cx"), place(F.col("y")).alias("cy"), tick(F.col("t")).alias("ct"))
+    old = old.select("*", F.explode(F.sequence(tick(F.col("t0")), tick(F.col("t0") + dt_us))).alias("_ct"))
+    old = old.select("*", reached("x0").alias("_cx")).select("*", reached("y0").alias("_cy"))
+    new = events.select("*", place(F.col("x")).alias("_cx"), place(F.col("y")).alias("_cy"), tick(F.col("t")).alias("_ct"))
     before = (F.col("t0") < F.col("t")) | ((F.col("t0") == F.col("t")) & (F.col("other") < F.col("event_id")))
     reach = F.col(own) if own else F.lit(radius)
     close = (F.abs(F.col("x") - F.col("x0")) <= reach) & (F.abs(F.col("y") - F.col("y0")) <= reach)
@@ -45,12 +47,11 @@ def ba_filter(events: DataFrame, radius: int, dt_us: float = 8000.0, min_neighbo
     each event's radius, up to ``radius``, which no other event's matters for. Both joins are merged: their sides grow
     with the stream, and what Spark guesses of their sizes knows nothing of the cells, so it would send one to all."""
     new, old, fits = _near(events, radius, dt_us, own)
-    keys = [F.col(f"n.{c}") == F.col(f"o.{c}") for c in ("cx", "cy", "ct")]
+    keys = [F.col(f"n.{c}") == F.col(f"o.{c}") for c in CELL]
     both = new.alias("n"), old.alias("o").hint("merge"), [*keys, fits]
-    if min_neighbours <= 1:
-        kept = both[0].join(*both[1:], "left_semi").select("event_id")
-    else:
-        kept = both[0].join(*both[1:]).groupBy("event_id").count().where(F.col("count") >= min_neighbours).select("event_id")
+    if min_neighbours <= 1:  # an event is in one cell, so it stays once at most, with all its columns
+        return both[0].where("event_id IS NOT NULL").join(*both[1:], "left_semi").select(*events.columns)
+    kept = both[0].join(*both[1:]).groupBy("event_id").count().where(F.col("count") >= min_neighbours).select("event_id")
     return events.join(kept.hint("merge"), "event_id", "left_semi")
 
 

@@ -82,8 +82,16 @@ def runs(events: DataFrame, key: list[str]) -> DataFrame:
 def sequences(events: DataFrame, key: list[str], length: int = 256) -> DataFrame:
     """(key..., seq): ``length`` steps of [x, y, time, polarity] scaled to 0..1, in order of (t, event_id): longer
     tracks are thinned evenly, shorter ones filled up with zeros."""
-    ordered = F.array_sort(F.collect_list(F.struct("t", "event_id", "x", "y", "p")))
-    rows = events.groupBy(*key).agg(ordered.alias("a"), F.min("t").alias("t0"), (F.max("t") - F.min("t")).alias("span"))
+    return _steps(events.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("t", "event_id", "x", "y", "p"))).alias("a")), key, length)
+
+
+def cluster_sequences(clusters: DataFrame, key: list[str], length: int = 256) -> DataFrame:
+    """sequences() of rows that have a cluster's events each: an array of structs that begin with t and event_id."""
+    return _steps(clusters.groupBy(*key).agg(F.array_sort(F.flatten(F.collect_list("events"))).alias("a")), key, length)
+
+
+def _steps(rows: DataFrame, key: list[str], length: int) -> DataFrame:
+    rows = rows.select(*key, "a", F.get("a", F.lit(0))["t"].alias("t0"), (F.get("a", F.size("a") - 1)["t"] - F.get("a", F.lit(0))["t"]).alias("span"))
     n = F.size("a")
     at = F.transform(F.sequence(F.lit(0), F.lit(length - 1)), lambda i: F.when(n >= length, F.floor(i * n / length).cast("int")).otherwise(i))
 

@@ -32,68 +32,116 @@ def random_weights(seed: int = 7) -> dict[str, np.ndarray]:
     return {k: (rng.standard_normal(s) * np.sqrt(2 / np.prod(s[1:])) if len(s) > 1 else np.zeros(s)).astype("f4") for k, s in shapes.items()}
 
 
+def _met(j: int, k: int, stride: int, length: int, steps: int) -> tuple[slice, slice]:
+    """The steps whose tap j lies on the input, and the places it lies on."""
+    pad = k // 2
+    lo, hi = max(0, -((j - pad) // stride)), min(steps, (length - 1 + pad - j) // stride + 1)
+    return (slice(lo, hi), slice(lo * stride + j - pad, (hi - 1) * stride + j - pad + 1, stride)) if hi > lo else (slice(0, 0), slice(0, 0))
+
+
+class Room:
+    """Arrays by name, used again by the next call: the system clears new ones page by page, which takes as long as the work in them."""
+
+    def __init__(self) -> None:
+        self.held: dict[str, np.ndarray] = {}
+
+    def __call__(self, name: str, shape: tuple[int, ...], kind: np.dtype) -> np.ndarray:
+        size, held = math.prod(shape), self.held.get(name)
+        if held is None or held.size < size or held.dtype != kind:
+            held = self.held[name] = np.empty(size, kind)
+        return held[:size].reshape(shape)
+
+
+def spans(x: np.ndarray, k: int, stride: int, room: Room) -> np.ndarray:
+    """(n * steps, k * channels): what each step of a convolution over (n, length, channels), padded to keep the length,
+    looks at, so that it is one product. All have one room: they are made again where they are needed again."""
+    n, length, c = x.shape
+    steps = (length - 1) // stride + 1
+    out = room("spans", (n, steps, k, c), x.dtype)
+    for j in range(k):
+        here, there = _met(j, k, stride, length, steps)
+        out[:, : here.start, j], out[:, here.stop :, j], out[:, here, j] = 0, 0, x[:, there]
+    return out.reshape(n * steps, k * c)
+
+
+def _flat(w: np.ndarray) -> np.ndarray:
+    """(taps * in, out) of (out, in, taps), as spans() has its columns."""
+    return np.ascontiguousarray(w.transpose(2, 1, 0)).reshape(-1, w.shape[0])
+
+
+def _conv(x: np.ndarray, w: np.ndarray, b: np.ndarray, stride: int, room: Room, name: str) -> np.ndarray:
+    """(n, steps, out) of (n, length, in), in the room of that name."""
+    seen = spans(x, w.shape[2], stride, room)
+    out = np.matmul(seen, _flat(w), out=room(name, (len(seen), len(w)), np.result_type(x, w)))
+    out += b
+    return out.reshape(len(x), -1, len(w))
+
+
 def conv(x: np.ndarray, w: np.ndarray, b: np.ndarray, stride: int = 1) -> np.ndarray:
     """(n, channels, length) by (out, in, taps), padded to keep the length."""
-    k = w.shape[2]
-    if k > 1:
-        x = np.pad(x, ((0, 0), (0, 0), (k // 2, k // 2)))
-    n = (x.shape[2] - k) // stride + 1
-    out = np.matmul(np.ascontiguousarray(w[:, :, 0]), np.ascontiguousarray(x[:, :, : stride * n : stride]))
-    for j in range(1, k):  # a product for each tap: spans of all taps side by side would be copies of x
-        out += np.matmul(np.ascontiguousarray(w[:, :, j]), np.ascontiguousarray(x[:, :, j : j + stride * n : stride]))
-    out += b[None, :, None]
-    return out
-
-
-def forward(x: np.ndarray, w: dict[str, np.ndarray]) -> np.ndarray:
-    """Probabilities of real, rain and snow for (n, length, 4) sequences."""
-    x = np.maximum(conv(x.transpose(0, 2, 1).astype("f4"), w["stem"], w["stem_b"]), 0)
+    return _conv(x.transpose(0, 2, 1), w, b, stride, Room(), "out").transpose(0, 2, 1)
+
+
+def _relu(x: np.ndarray) -> np.ndarray:
+    return np.maximum(x, 0, out=x)
+
+
+def _layers(x: np.ndarray, w: dict[str, np.ndarray], room: Room) -> list[np.ndarray]:
+    """The stem's output, and of each block what is between its convolutions and what comes out."""
+    kept = [_relu(_conv(x, w["stem"], w["stem_b"], 1, room, "stem"))]
     for i, (_, _, stride) in enumerate(BLOCKS):
-        y = conv(np.maximum(conv(x, w[f"r{i}_1"], w[f"r{i}_1b"], stride), 0), w[f"r{i}_2"], w[f"r{i}_2b"])
-        x = np.maximum(y + (conv(x, w[f"r{i}_s"], w[f"r{i}_sb"], stride) if f"r{i}_s" in w else x), 0)
-    h = np.maximum(x.mean(axis=2) @ w["fc1"].T + w["fc1_b"], 0)
+        a = kept[-1]
+        h = _relu(_conv(a, w[f"r{i}_1"], w[f"r{i}_1b"], stride, room, f"h{i}"))
+        z = _conv(h, w[f"r{i}_2"], w[f"r{i}_2b"], 1, room, f"z{i}")
+        z += _conv(a, w[f"r{i}_s"], w[f"r{i}_sb"], stride, room, "aside") if f"r{i}_s" in w else a
+        kept += [h, _relu(z)]
+    return kept
+
+
+def forward(x: np.ndarray, w: dict[str, np.ndarray], room: Room | None = None) -> np.ndarray:
+    """Probabilities of real, rain and snow for (n, length, 4) sequences."""
+    x = _layers(x.astype("f4"), w, room or Room())[-1]
+    h = np.maximum(x.mean(axis=1) @ w["fc1"].T + w["fc1_b"], 0)
     z = h @ w["fc2"].T + w["fc2_b"]
     e = np.exp(z - z.max(axis=1, keepdims=True))
     return e / e.sum(axis=1, keepdims=True)
 
 
-def score(rows: DataFrame, weights: dict[str, np.ndarray], seq: str = "seq", batch: int = 64) -> DataFrame:
+def score(rows: DataFrame, weights: dict[str, np.ndarray], seq: str = "seq", batch: int = 16) -> DataFrame:
     """rows with p_real, p_rain, p_snow from their sequence column."""
     shared = rows.sparkSession.sparkContext.broadcast(weights)
 
     @F.pandas_udf("p_real double, p_rain double, p_snow double")
     def apply(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        room = Room()
         for part in parts:
-            found = [forward(np.stack(part.iloc[i : i + batch].to_list()).reshape(-1, part.iloc[i].size // STEM[0], STEM[0]), shared.value) for i in range(0, len(part), batch)]
+            found = [forward(np.stack(part.iloc[i : i + batch].to_list()).reshape(-1, part.iloc[i].size // STEM[0], STEM[0]), shared.value, room) for i in range(0, len(part), batch)]
             yield pd.DataFrame(np.concatenate(found).astype("f8") if found else np.empty((0, 3)), columns=["p_real", "p_rain", "p_snow"])
 
     out = rows.withColumn("_p", apply(F.flatten(seq)))  # one array a row: nested ones come as an object a step
     return out.select(*rows.columns, "_p.*")
 
 
-def conv_back(x: np.ndarray, w: np.ndarray, dy: np.ndarray, stride: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """What conv() sends back: to its input, its weights and its constants."""
-    k, n = w.shape[2], x.shape[2]
-    padded = np.pad(x, ((0, 0), (0, 0), (k // 2, k // 2))) if k > 1 else x
-    spans = np.lib.stride_tricks.sliding_window_view(padded, k, axis=2)[:, :, ::stride]
-    dw = np.einsum("nol,nclk->ock", dy, spans, optimize=True)
-    dx = np.zeros_like(padded)
+def _conv_back(x: np.ndarray, w: np.ndarray, dy: np.ndarray, stride: int, room: Room, name: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """What _conv() sends back: to its input (in the room of that name), its weights and its constants."""
+    (o, c, k), (n, length, _), steps = w.shape, x.shape, dy.shape[1]
+    d, kind = dy.reshape(-1, o), np.result_type(dy, w)
+    dw = (spans(x, k, stride, room).T @ d).reshape(k, c, o).transpose(2, 1, 0)
+    back = np.matmul(d, _flat(w).T, out=room("back", (len(d), k * c), kind)).reshape(n, steps, k, c)
+    dx = room(name, x.shape, kind)
+    dx[:] = 0
     for j in range(k):
-        dx[:, :, j : j + stride * dy.shape[2] : stride] += np.einsum("nol,oc->ncl", dy, w[:, :, j], optimize=True)
-    return dx[:, :, k // 2 : k // 2 + n], dw, dy.sum(axis=(0, 2))
+        here, there = _met(j, k, stride, length, steps)
+        dx[:, there] += back[:, here, j]
+    return dx, dw, d.sum(axis=0)
 
 
-def gradients(x: np.ndarray, y: np.ndarray, share: np.ndarray, w: dict[str, np.ndarray]) -> tuple[float, dict[str, np.ndarray]]:
+def gradients(x: np.ndarray, y: np.ndarray, share: np.ndarray, w: dict[str, np.ndarray], room: Room | None = None) -> tuple[float, dict[str, np.ndarray]]:
     """The mean weighted cross-entropy of classes y (their weights: share), and its gradient."""
-    x0 = x.transpose(0, 2, 1).astype("f4")
-    a = np.maximum(conv(x0, w["stem"], w["stem_b"]), 0)
-    kept = []
-    for i, (_, _, stride) in enumerate(BLOCKS):
-        h = np.maximum(conv(a, w[f"r{i}_1"], w[f"r{i}_1b"], stride), 0)
-        z = conv(h, w[f"r{i}_2"], w[f"r{i}_2b"]) + (conv(a, w[f"r{i}_s"], w[f"r{i}_sb"], stride) if f"r{i}_s" in w else a)
-        kept.append((a, h, z))
-        a = np.maximum(z, 0)
-    mean = a.mean(axis=2)
+    x0, room = x.astype("f4"), room or Room()
+    kept = _layers(x0, w, room)
+    a = kept[-1]
+    mean = a.mean(axis=1)
     head = np.maximum(mean @ w["fc1"].T + w["fc1_b"], 0)
     z = head @ w["fc2"].T + w["fc2_b"]
     e = np.exp(z - z.max(axis=1, keepdims=True))
@@ -105,19 +153,22 @@ def gradients(x: np.ndarray, y: np.ndarray, share: np.ndarray, w: dict[str, np.n
     g = {"fc2": d.T @ head, "fc2_b": d.sum(axis=0)}
     d = (d @ w["fc2"]) * (head > 0)
     g |= {"fc1": d.T @ mean, "fc1_b": d.sum(axis=0)}
-    d = np.repeat((d @ w["fc1"])[:, :, None] / a.shape[2], a.shape[2], axis=2)
+    d = np.repeat((d @ w["fc1"])[:, None] / a.shape[1], a.shape[1], axis=1)
     for i in reversed(range(len(BLOCKS))):
-        a, h, z = kept[i]
-        stride, d = BLOCKS[i][2], d * (z > 0)
-        dh, g[f"r{i}_2"], g[f"r{i}_2b"] = conv_back(h, w[f"r{i}_2"], d, 1)
-        da, g[f"r{i}_1"], g[f"r{i}_1b"] = conv_back(a, w[f"r{i}_1"], dh * (h > 0), stride)
+        a, h, out = kept[2 * i : 2 * i + 3]
+        stride = BLOCKS[i][2]
+        d *= out > 0
+        dh, g[f"r{i}_2"], g[f"r{i}_2b"] = _conv_back(h, w[f"r{i}_2"], d, 1, room, "dh")
+        dh *= h > 0
+        da, g[f"r{i}_1"], g[f"r{i}_1b"] = _conv_back(a, w[f"r{i}_1"], dh, stride, room, f"da{i % 2}")
         if f"r{i}_s" in w:
-            ds, g[f"r{i}_s"], g[f"r{i}_sb"] = conv_back(a, w[f"r{i}_s"], d, stride)
-            d = da + ds
+            ds, g[f"r{i}_s"], g[f"r{i}_sb"] = _conv_back(a, w[f"r{i}_s"], d, stride, room, "ds")
+            da += ds
         else:
-            d = da + d
-    d = d * (np.maximum(conv(x0, w["stem"], w["stem_b"]), 0) > 0)
-    _, g["stem"], g["stem_b"] = conv_back(x0, w["stem"], d, 1)
+            da += d
+        d = da
+    d *= kept[0] > 0
+    _, g["stem"], g["stem_b"] = _conv_back(x0, w["stem"], d, 1, room, "dx")
     return loss, g
 
 
@@ -164,15 +215,21 @@ def train(rows: DataFrame, epochs: int = 12, batch: int = 16, rate: float = 1e-3
             x = np.concatenate([np.stack(b["seq"].to_list()) for b in own]).astype("f4").reshape(len(y), -1, STEM[0])
             w = {k: v.copy() for k, v in shared.value.items()}
             m, v = ({k: np.zeros_like(a) for k, a in w.items()} for _ in range(2))
+            room = Room()
             order, total, steps = np.random.default_rng([seed, epoch, len(y)]).permutation(len(y)), 0.0, 0
             for a in range(0, len(y), batch):
                 at = order[a : a + batch]
-                loss, g = gradients(x[at], y[at], share, w)
+                loss, g = gradients(x[at], y[at], share, w, room)
                 total, steps = total + loss * len(at), steps + 1
                 for k in w:
-                    m[k] = 0.9 * m[k] + 0.1 * g[k]
-                    v[k] = 0.999 * v[k] + 0.001 * g[k] ** 2
-                    w[k] -= (step * (m[k] / (1 - 0.9**steps)) / (np.sqrt(v[k] / (1 - 0.999**steps)) + 1e-8) + step * 1e-4 * w[k]).astype("f4")
+                    m[k] += np.float32(0.1) * (g[k] - m[k])
+                    v[k] += np.float32(0.001) * (g[k] * g[k] - v[k])
+                    move = np.sqrt(v[k] * np.float32(1 / (1 - 0.999**steps)))
+                    move += np.float32(1e-8)
+                    np.divide(m[k], move, out=move)
+                    move *= np.float32(step / (1 - 0.9**steps))
+                    w[k] *= np.float32(1 - step * 1e-4)
+                    w[k] -= move
             flat = np.concatenate([w[k].ravel() for k in sorted(w)]) * np.float32(len(y) / n)
             for i, a in enumerate(range(0, len(flat), PIECE)):
                 yield pd.DataFrame({"piece": [i], "part": [TaskContext.get().partitionId()], "loss": [total if i == 0 else 0.0], "weights": [flat[a : a + PIECE].astype("f4").tobytes()]})

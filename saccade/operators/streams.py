@@ -14,13 +14,16 @@ def slice_region(events: DataFrame, x0: int, y0: int, x1: int, y1: int) -> DataF
     return events.where((F.col("x") >= x0) & (F.col("x") < x1) & (F.col("y") >= y0) & (F.col("y") < y1))
 
 
-def with_window(events: DataFrame, window_us: float, scene: list[str] | None = None) -> DataFrame:
-    """events with window_id, counted from the first event (a scalar subquery) or from each scene's own."""
+def with_first(events: DataFrame, scene: list[str] | None = None) -> DataFrame:
+    """events with _first, the time of the first event (a scalar subquery) or of each scene's own (a row a scene)."""
     if scene:
-        firsts = events.groupBy(*scene).agg(F.min("t").alias("_first"))
-        return events.join(firsts, scene).withColumn("window_id", F.floor((F.col("t") - F.col("_first")) / window_us)).drop("_first")
-    first = events.agg(F.min("t")).scalar()
-    return events.withColumn("window_id", F.floor((F.col("t") - first) / window_us))
+        return events.join(F.broadcast(events.groupBy(*scene).agg(F.min("t").alias("_first"))), scene)
+    return events.withColumn("_first", events.agg(F.min("t")).scalar())
+
+
+def with_window(events: DataFrame, window_us: float, scene: list[str] | None = None) -> DataFrame:
+    """events with window_id, counted from the first event or from each scene's own."""
+    return with_first(events, scene).withColumn("window_id", F.floor((F.col("t") - F.col("_first")) / window_us)).drop("_first")
 
 
 def time_windows(events: DataFrame, window_us: float) -> DataFrame:

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -25,17 +25,19 @@ class Linker:
     def __init__(self, link_px: float, max_gap: int, state: list | None = None, next_id: int = 0):
         self.link_px, self.max_gap, self.next_id, self.first_id, self.tied = link_px, max_gap, next_id, next_id, False
         self.open: list[list] = [list(s) for s in state or []]  # id, window, cx, cy, length
+        self.window: int | None = None  # the last one that tracks were closed for
 
     def add(self, window: int, cx: float, cy: float) -> tuple[int, int]:
         """(track, number of the detection in it)"""
-        self.expire(window)
+        if window != self.window:
+            self.expire(window)
         if self.open:
-            d = np.sqrt([(cx - o[2]) ** 2 + (cy - o[3]) ** 2 for o in self.open])
-            best = int(np.argmin(d))
-            if d[best] < self.link_px:
-                if not self.tied and sum(o[0] < self.first_id for o, e in zip(self.open, d, strict=True) if e == d[best]) > 1:
+            d = [math.sqrt((cx - o[2]) ** 2 + (cy - o[3]) ** 2) for o in self.open]
+            least = min(d)
+            if least < self.link_px:
+                if not self.tied and d.count(least) > 1 and sum(o[0] < self.first_id for o, e in zip(self.open, d, strict=True) if e == least) > 1:
                     self.tied = True
-                o = self.open[best]
+                o = self.open[d.index(least)]
                 o[1:] = [window, cx, cy, o[4] + 1]
                 return o[0], o[4] - 1
         self.open.append([self.next_id, window, cx, cy, 1])
@@ -44,7 +46,7 @@ class Linker:
 
     def expire(self, window: int) -> None:
         """Closes the tracks that nothing from this window on can join."""
-        self.open = [o for o in self.open if window - o[1] <= self.max_gap]
+        self.open, self.window = [o for o in self.open if window - o[1] <= self.max_gap], window
 
 
 PLACE = "struct<window_id:long,cluster_id:long>"

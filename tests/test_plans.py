@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from saccade.functions import scratch
-from saccade.operators import clustering, features, learning, network, ranking, tracking, weather
+from saccade.operators import clustering, denoise, features, learning, network, ranking, tracking, weather
 from saccade.plans import benchmark, registry
 
 
@@ -269,7 +269,7 @@ def test_perceptrons_learn_from_even_partitions(spark, monkeypatch):
 def test_the_network_learns_from_all_rows(spark, monkeypatch):
     seen = spark.sparkContext.accumulator(0)
 
-    def counted(x, y, share, w):
+    def counted(x, y, share, w, room=None):
         seen.add(len(y))
         return float(x.sum()), {k: np.zeros_like(a) for k, a in w.items()}
 
@@ -289,3 +289,41 @@ def test_thresholds_come_from_all_rows(spark, monkeypatch):
     rows = spark.range(2400).select("id", *[((F.col("id") * (i + 3)) % 1009).cast("double").alias(c) for i, c in enumerate(features.NAMES)])
     weather.train(rows.where("id % 2 = 0"), rows.where("id % 2 = 1"), max_iter=1)
     assert seen == [(12_000, 110)]
+
+
+def test_detectors_share_a_pass(spark, monkeypatch):
+    """Windows of two scenes, in batches that cut through them: what each detector finds alone, and its clusters' events."""
+    monkeypatch.setattr(clustering, "EVENTS", 70)
+    rng = np.random.default_rng(11)
+    spots = rng.integers(20, 240, (6, 2))
+    rows = [(s, i, float(50 * i), *(int(v) for v in spots[rng.integers(6)] + rng.integers(-9, 10, 2)), int(rng.choice([-1, 1])), int(rng.integers(-1, 3))) for s in ("a", "b") for i in range(900 if s == "a" else 640)]
+    rows += [("c", i, 20_000.0 * (i // 4), 50, 50, 1, 0) for i in range(12)]  # windows of fewer events than k
+    events = spark.createDataFrame(rows, "scene string, event_id long, t double, x int, y int, p int, label int")
+    found = clustering.clustered(events, list(clustering.DETECTORS.values()), ["scene"])
+    got = found.collect()
+    cells = [c for c in found.columns if c not in ("detector", "events")]
+    for name, d in clustering.DETECTORS.items():
+        clusters, alone = clustering.detect(events, d, ["scene"])
+        assert sorted(tuple(r[c] for c in cells) for r in got if r.detector == name) == sorted(tuple(r[c] for c in cells) for r in alone.collect()), name
+        kept = {(r.scene, r.window_id, r.cluster_id) for r in got if r.detector == name}
+        ids = sorted((r.scene, r.window_id, r.cluster_id, e.event_id) for r in got if r.detector == name for e in r.events)
+        assert ids == sorted(tuple(r) for r in clusters.select("scene", "window_id", "cluster_id", "event_id").collect() if (r.scene, r.window_id, r.cluster_id) in kept)
+    assert len({r.detector for r in got}) == 7 and all([e.t for e in r.events] == sorted(e.t for e in r.events) for r in got)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and plan.count("RepartitionByExpression") == 1
+
+
+def test_noise_filter_joins_once(spark):
+    rows = spark.createDataFrame([(1, 0.0, 5, 5), (2, 10.0, 6, 6), (2, 20.0, 200, 200), (None, 30.0, 6, 6), (3, 40.0, None, 6)], "event_id long, t double, x int, y int")
+    kept = denoise.denoise(rows)
+    assert [tuple(r) for r in kept.collect()] == [(2, 10.0, 6, 6)]  # each event by itself, whatever others are called
+    assert kept.columns == rows.columns and kept._jdf.queryExecution().optimizedPlan().toString().count("Join") == 1
+
+
+def test_cluster_sequences_are_those_of_the_events(spark):
+    rng = np.random.default_rng(2)
+    rows = [(k, c, c * 900 + i, float(rng.integers(0, 400)), int(rng.integers(346)), int(rng.integers(260)), int(rng.choice([-1, 1])), 0) for k in (1, 2) for c in range(3) for i in range(k * 60)]
+    events = spark.createDataFrame(rows, "track_id long, cluster_id long, event_id long, t double, x int, y int, p int, label int")
+    held = events.groupBy("track_id", "cluster_id").agg(F.collect_list(F.struct("t", "event_id", "x", "y", "p", "label")).alias("events"))
+    seqs = lambda made: {r.track_id: r.seq for r in made.collect()}
+    assert seqs(features.cluster_sequences(held, ["track_id"])) == seqs(features.sequences(events, ["track_id"]))
